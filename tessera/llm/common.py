@@ -51,6 +51,20 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa
     return df.mapInArrow(f, schema)
 
 
+def group_arrow(df: DataFrame, keys: list[str], f: Callable[[tuple, pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """One call for each group of rows; None gives no rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(key, table):
+        out = f(key, table)
+        return arrow.empty_table() if out is None else pa.Table.from_arrays(out.columns, schema=arrow)
+
+    return df.groupBy(*keys).applyInArrow(run, schema)
+
+
 def batch(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
