@@ -37,3 +37,15 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
 ORACLES: dict[str, str] = {"op8_chat_formatting": OP8, "op10_benchmark_decontamination": OP10}
+
+OP4 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spots AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS win FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+twice AS (SELECT md5(win) AS h FROM spots GROUP BY md5(win) HAVING count(*) > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(generate_series(i, i + 34)) AS p FROM spots WHERE md5(win) IN (SELECT h FROM twice)) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, i: ps IS NULL OR NOT list_contains(ps, i)), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
+ORACLES["op4_substring_dedup"] = OP4
