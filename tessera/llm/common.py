@@ -11,12 +11,14 @@ Rules that hold for every operator here:
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -33,13 +35,19 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``;
-    only a session without one (tests, a laptop) gets a temporary folder.
+    only a session without one (tests, a laptop) gets a temporary folder.  The pass before
+    is over then, so its shuffle files are released at once and not at some later garbage
+    collection of the driver.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def binaries(col: pa.Array) -> list[bytes]:
@@ -69,10 +77,19 @@ def batch(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
+def slices(b: pa.RecordBatch, col: int = 1, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `limit` bytes of text, at least one row each, so that work on words has bounded memory."""
+    size = pc.fill_null(pc.binary_length(b.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(size + 16) // limit
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        yield b.slice(lo, hi - lo)
+
+
 class WordHashes(dict):
     """word bytes -> 64-bit hash; a cache of bounded size."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

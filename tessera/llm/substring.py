@@ -6,7 +6,7 @@ covered by a window whose word sequence also starts anywhere else goes, in all p
 First pass: each unit of documents makes a sketch of its windows, two rows of counters;
 the sketches are merged by ranges of counters.  The smaller of a window's two counters never
 underestimates its count, so a window that the sketch counts once occurs once.  Second pass:
-only windows that the sketch counts more often are grouped, by 128 bits of hash, and counted
+only windows that the sketch counts more often are grouped, by 96 bits of hash, and counted
 exactly.  Third pass: words under repeated windows are removed.
 
 The counters are as many as twice the words, so the share of windows that pass wrongly stays
@@ -113,7 +113,7 @@ def _candidates(w: Windows, answers: dict, bits: int) -> np.ndarray:
 
 def _pairs(w: Windows, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (hash, hash) of these windows in order, whether each stands more than once, and each window's place."""
-    a, b = w.hashes[0][at], w.hashes[1][at]
+    a, b = w.hashes[0][at], (w.hashes[1][at] >> np.uint64(32)).astype(np.uint32)
     order = np.lexsort((b, a))
     sa, sb = a[order], b[order]
     new = np.concatenate([[True], (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])]) if len(sa) else np.zeros(0, bool)
@@ -136,7 +136,7 @@ def _exact_rows(unit: int, w: Windows, at: np.ndarray, n_blocks: int):
 
 def _unpair(x: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(x[:4], "little")
-    return expand_sorted(x[4 : len(x) - 8 * n], np.uint64), np.frombuffer(x[len(x) - 8 * n :], np.uint64)
+    return expand_sorted(x[4 : len(x) - 4 * n], np.uint64), np.frombuffer(x[len(x) - 4 * n :], np.uint32)
 
 
 def _count_exactly(key, rows: pa.Table) -> pa.RecordBatch:
