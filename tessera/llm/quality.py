@@ -13,7 +13,9 @@ labelled rows of both classes every score is 0.5.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, binaries, map_arrow, mix, rolling, starts
+from .common import batch, binaries, map_arrow, mix, rolling, slices, starts
 from .sampling import held_out, labelled_sample
 
 BITS = 18
@@ -32,14 +34,14 @@ THRESHOLD = 0.3
 class Vocabulary(dict):
     """word -> number; for each number, the hashes of the word and of its shape."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
     _RUNS = re.compile(rb"(.)\1+")
     #: lower case and everything beyond ASCII is 'a', upper case 'A', digits '0', the rest itself
     _SHAPE = bytes(0x61 if b >= 0x80 or 0x61 <= b <= 0x7A else 0x41 if 0x41 <= b <= 0x5A else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
 
     def __init__(self):
         super().__init__()
-        self.word, self.shape = [], []
+        self.word, self.shape = array("Q"), array("Q")
 
     def __missing__(self, w: bytes) -> int:
         k = self[w] = len(self.word)
@@ -50,7 +52,7 @@ class Vocabulary(dict):
     def tidy(self) -> None:
         if len(self.word) > self.LIMIT:
             self.clear()
-            self.word, self.shape = [], []
+            self.word, self.shape = array("Q"), array("Q")
 
 
 _vocabulary = Vocabulary()
@@ -63,9 +65,9 @@ def indicators(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.nda
     words = [t.split() for t in texts]
     n = np.array([len(w) for w in words], np.int64)
     at = starts(n)
-    ids = np.fromiter((i for w in words for i in map(v.__getitem__, w)), np.int64, int(at[-1]))
+    ids = np.fromiter(map(v.__getitem__, chain.from_iterable(words)), np.int64, int(at[-1]))
     row = np.repeat(np.arange(len(texts)), n)
-    word, shape = np.array(v.word, np.uint64)[ids], np.array(v.shape, np.uint64)[ids]
+    word, shape = np.array(v.word)[ids], np.array(v.shape)[ids]
     left = np.repeat(at[1:], n) - np.arange(len(ids))  # words from here to the text's end
     keys = []
     for h, sizes, salt in ((word, (1, 2), 0), (shape, (1, 2, 3), 7)):
@@ -100,14 +102,15 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
-    """Slope and shift of P(y = 1 | x), by Newton steps with a weak prior."""
+    """Slope and shift of P(y = 1 | x), by bounded Newton steps with a prior that keeps the slope near 1."""
     a, b = 1.0, 0.0
     t = (y * (y.sum() + 1) + (1 - y)) / (np.where(y > 0, y.sum(), len(y) - y.sum()) + 2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
         g, s = p - t, np.maximum(p * (1 - p), 1e-9)
-        h = np.array([[s @ (x * x) + 1e-3, s @ x], [s @ x, s.sum() + 1e-3]])
-        d = np.linalg.solve(h, np.array([g @ x + 1e-3 * (a - 1), g.sum()]))
+        h = np.array([[s @ (x * x) + 1.0, s @ x], [s @ x, s.sum() + 1e-3]])
+        d = np.linalg.solve(h, np.array([g @ x + (a - 1), g.sum()]))
+        d = np.clip(d, -1, 1)
         a, b = a - d[0], b - d[1]
         if np.abs(d).max() < 1e-6:
             break
@@ -164,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, per
     """Fits on at most `per_class` labelled rows of each class, outside the held-out fold."""
 
     def run(batches):
-        for b in batches:
+        for b in (x for y in batches for x in slices(y)):
             row, f = indicators(binaries(b.column(1)), bits)
             cut = np.searchsorted(row, np.arange(b.num_rows + 1))
             yield batch(doc_id=b.column(0), label=b.column(2), features=pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(f, pa.int32())))
@@ -179,7 +182,7 @@ def score(docs: DataFrame, model: QualityModel, folds: int = 5, fold: int = 0, t
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: two arrays of 2**bits
 
     def run(batches):
-        for b in batches:
+        for b in (x for y in batches for x in slices(y)):
             s = shared.value.scores(binaries(b.column(1)))
             yield batch(doc_id=b.column(0), held_out=b.column(2), score=pa.array(s), predicted=pa.array((s >= threshold).astype(np.int32)))
 
@@ -193,7 +196,7 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in (x for y in batches for x in slices(y, at)):
             yield b.filter(pa.array(shared.value.scores(binaries(b.column(at))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
