@@ -31,6 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it; a temporary one only where none is named."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
@@ -39,10 +47,8 @@ def settle(df: DataFrame) -> DataFrame:
     is over then, so its shuffle files are released at once and not at some later garbage
     collection of the driver.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    sc = df.sparkSession.sparkContext
+    checkpoint_folder(df.sparkSession)
     out = df.checkpoint(eager=True)
     del df
     gc.collect()

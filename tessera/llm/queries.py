@@ -88,4 +88,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_toxicity, op4_substring_dedup, op5_quality_classifier, op6_best_fit_packing, op7_ngram_jaccard_join, op8_chat_formatting, op9_pii_surrogates, op10_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_toxicity, op4_substring_dedup, op5_quality_classifier, op6_best_fit_packing, op7_ngram_jaccard_join, op8_chat_formatting, op9_pii_surrogates, op10_benchmark_decontamination, pipeline)}
