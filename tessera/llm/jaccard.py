@@ -9,7 +9,7 @@ token-group matrix has, for each token, the groups whose token union holds it.
 reaches similarity s with a member of a group only if the group's union holds at least
 s * |set| of its tokens; that overlap is bounded in two steps.  First, only the rows of
 the matrix for the tokens among the first (1 - s) * |set| + 1 in a fixed order are
-looked at (a qualifying group shares one of them), with very common tokens last in
+looked at (a qualifying group shares one of them, and more when more are shown), with very common tokens last in
 that order.  Then the overlap with the whole union is counted.  Only groups that still
 qualify are opened and their sets compared exactly.  A document's own group is always opened.
 
@@ -27,15 +27,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, binaries, block_bounds, blocks_for, expand, expand_sorted, group_arrow, mix, rolling, settle, squeeze, squeeze_sorted, word_hashes
+from .common import batch, binaries, block_bounds, blocks_for, expand, expand_sorted, group_arrow, mix, rolling, settle, slices, squeeze, squeeze_sorted, word_hashes
 from .components import UnionFind, components
 
 WORDS = 5
 PERCENT = 80
+#: tokens looked at beyond the fewest possible, in percent of a set; more tokens bound the overlap better
+MARGIN = 10
+#: tokens of one block of the matrix, about
+TOKENS = 1 << 18
 #: sets of one tile of a group
 TILE = 4096
-#: counters of the sketch of common tokens: 2**21 at least, and a fixed most
-CELL_BITS = (21, 26)
+#: counters of the sketch of common tokens: one for 64 bytes of text, within these powers of two
+CELL_BITS = (20, 24)
 #: 64-bit words of the filter of wanted sets
 FILTER_WORDS = 1 << 18
 
@@ -72,14 +76,13 @@ def _describe(docs: DataFrame, width: int, bits: int) -> DataFrame:
 
     def run(batches):
         count = np.zeros(1 << bits, np.uint32)
-        for b in batches:
+        for b in (x for y in batches for x in slices(y)):
             sets = shingle_sets(binaries(b.column(1)), width)
             d1, d2 = _digests(sets)
             n = np.array([len(s) for s in sets], np.int64)
             g = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
             if len(sets):
-                cells = np.concatenate(sets) >> np.uint64(64 - bits)
-                count += np.bincount(cells.astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                np.add.at(count, np.concatenate(sets) >> np.uint64(64 - bits), 1)
             none = pa.nulls(len(sets))
             yield batch(doc_id=b.column(0), n_shingles=pa.array(n), d1=_signed(d1), d2=_signed(d2), g=_signed(g), block=none.cast(pa.int32()), payload=none.cast(pa.binary()))
         for k, part in enumerate(np.split(count, 8)):
@@ -108,57 +111,65 @@ def _common_tokens(rows: DataFrame, bits: int) -> bytes:
     return b"".join(parts.get(k, bytes(size // 8)) for k in range(8))
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1
+def looked_at(n: int, percent: int = PERCENT) -> tuple[int, int]:
+    """How many tokens of a set of n are looked at, and how many of those a group's union must hold at least.
+
+    Two sets with that similarity share ceil(percent * n / 100) tokens.  If each shows its first
+    n - ceil(percent * n / 100) + m tokens in one fixed order, they share at least m of the shown, with the
+    smaller m of the two; a partner is never smaller than percent / 100 of the set.
+    """
+    extra = lambda k: MARGIN * k // 100 + 1
+    return min(n, n - -(-percent * n // 100) + extra(n)), extra(-(-percent * n // 100))
 
 
 def _matrix(docs: DataFrame, hot, width: int, bits: int, percent: int, n_blocks: int) -> DataFrame:
     """Parts of the token-group matrix: block of tokens, packed (token, set); local copies of a set count once."""
 
+    def packed(found: list) -> pa.RecordBatch:
+        tokens, info = [x for x, *_ in found], np.array([x[1:] for x in found], np.uint64).T
+        own, t = np.repeat(np.arange(len(found)), [len(x) for x in tokens]), np.concatenate(tokens)
+        order = np.argsort(t)
+        t, own = t[order], own[order]
+        at = block_bounds(t, n_blocks)
+        blocks, payloads = [], []
+        for k in range(n_blocks):
+            lo, hi = at[k], at[k + 1]
+            if lo < hi:
+                used, local = np.unique(own[lo:hi], return_inverse=True)
+                blocks.append(k)
+                payloads.append([squeeze_sorted(t[lo:hi]), squeeze(local.astype(np.uint32)), squeeze(np.ascontiguousarray(info[:, used]).reshape(-1))])
+        return batch(block=pa.array(blocks, pa.int32()), payload=pa.array(payloads, pa.list_(pa.binary())))
+
     def run(batches):
         common = np.unpackbits(np.frombuffer(hot.value, np.uint8))
         seen: set = set()
-        for b in batches:
+        found, held = [], 0
+        for b in (x for y in batches for x in slices(y)):
             sets = [s for i, s in zip(b.column(0).to_pylist(), shingle_sets(binaries(b.column(1)), width), strict=True) if i is not None and len(s)]
             d1, d2 = _digests(sets)
-            new = []
-            for k, d in enumerate(zip(d1.tolist(), d2.tolist(), strict=True)):
-                if d not in seen:
-                    seen.add(d)
-                    new.append(k)
-            if len(seen) > 2_000_000:
-                seen.clear()
-            if not new:
-                continue
-            tokens = []
-            for k in new:
-                s = sets[k]
-                p = prefix_length(len(s), percent)
+            for s, *d in zip(sets, d1.tolist(), d2.tolist(), strict=True):
+                if tuple(d) in seen:
+                    continue
+                seen.add(tuple(d))
+                p = looked_at(len(s), percent)[0]
                 late = common[s >> np.uint64(64 - bits)] > 0
                 rare = s[~late]
-                tokens.append(rare[:p] if len(rare) >= p else np.concatenate([rare, s[late][: p - len(rare)]]))
-            own = np.repeat(np.arange(len(new)), [len(t) for t in tokens])
-            t = np.concatenate(tokens)
-            order = np.argsort(t)
-            t, own = t[order], own[order]
-            info = np.stack([d1[new], d2[new], np.array([sets[k][0] for k in new]), np.array([len(sets[k]) for k in new], np.uint64)])
-            at = block_bounds(t, n_blocks)
-            blocks, payloads = [], []
-            for k in range(n_blocks):
-                lo, hi = at[k], at[k + 1]
-                if lo < hi:
-                    used, local = np.unique(own[lo:hi], return_inverse=True)
-                    parts = [squeeze_sorted(t[lo:hi]), squeeze(local.astype(np.uint32)), squeeze(np.ascontiguousarray(info[:, used]).reshape(-1))]
-                    blocks.append(k)
-                    payloads.append(parts)
-            yield batch(block=pa.array(blocks, pa.int32()), payload=pa.array(payloads, pa.list_(pa.binary())))
+                found.append((rare[:p] if len(rare) >= p else np.concatenate([rare, s[late][: p - len(rare)]]), *d, int(s[0]), len(s)))
+                held += p
+            if len(seen) > 500_000:
+                seen.clear()
+            if held > 1_000_000:
+                yield packed(found)
+                found, held = [], 0
+        if found:
+            yield packed(found)
 
     return docs.mapInArrow(run, "block int, payload array<binary>")
 
 
 def _candidates(matrix: DataFrame, percent: int) -> DataFrame:
     """(d1, d2 of a set; a group other than its own) wherever the set's looked-at tokens meet the group's union."""
-    schema = "d1 long, d2 long, target long"
+    schema = "d1 long, d2 long, n long, target long, shared long"
 
     def look(key, rows):
         toks, owns, infos, at = [], [], [], 0
@@ -169,58 +180,89 @@ def _candidates(matrix: DataFrame, percent: int) -> DataFrame:
             infos.append(i)
             at += i.shape[1]
         info = np.concatenate(infos, axis=1)
-        t, own = np.concatenate(toks), np.concatenate(owns)
-        order = np.argsort(t, kind="stable")
+        # the same set may have come from several tasks
+        order = np.lexsort((info[1], info[0]))
+        new = np.concatenate([[True], (np.diff(info[0][order]) != 0) | (np.diff(info[1][order]) != 0)])
+        same = np.empty(len(order), np.int64)
+        same[order] = np.cumsum(new) - 1
+        info = info[:, order[new]]
+        t, own = np.concatenate(toks), same[np.concatenate(owns)]
+        order = np.lexsort((own, t))
         t, own = t[order], own[order]
-        edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        end = np.append(edge[1:], len(t))
-        g = info[2][own]
-        mixed = np.flatnonzero(np.minimum.reduceat(g, edge) != np.maximum.reduceat(g, edge))
-        found = set()
-        for r in mixed.tolist():
-            nodes = np.unique(own[edge[r] : end[r]])
-            gs, which = np.unique(info[2][nodes], return_inverse=True)
-            n = info[3][nodes].astype(np.int64)
-            most, least = np.zeros(len(gs), np.int64), np.full(len(gs), 1 << 62)
-            np.maximum.at(most, which, n)
-            np.minimum.at(least, which, n)
-            for k in range(len(gs) - 1):  # each pair of groups is met from the side of the smaller group number
-                m = nodes[which == k]
-                size = n[which == k][:, None]
-                ok = (100 * most[None, k + 1 :] >= percent * size) & (100 * size >= percent * least[None, k + 1 :])
-                x, y = np.nonzero(ok)
-                found.update(zip(m[x].tolist(), gs[k + 1 :][y].tolist(), strict=True))
-        if not found:
+        keep = np.concatenate([[True], (t[1:] != t[:-1]) | (own[1:] != own[:-1])])
+        t, own = t[keep], own[keep]
+        groups, g = np.unique(info[2], return_inverse=True)
+        q, target = meetings(t, own, g, info[3].astype(np.int64), percent)
+        if not len(q):
             return None
-        nodes, target = np.array([x for x, _ in found]), np.array([y for _, y in found], np.uint64)
-        # the same set may have come from several tasks
-        out = np.unique(np.stack([info[0][nodes], info[1][nodes], target]), axis=1)
-        return batch(d1=_signed(out[0]), d2=_signed(out[1]), target=_signed(out[2]))
+        pair, shared = np.unique(q * len(groups) + target, return_counts=True)
+        q, target = pair // len(groups), pair % len(groups)
+        return batch(d1=_signed(info[0][q]), d2=_signed(info[1][q]), n=_signed(info[3][q]), target=_signed(groups[target]), shared=pa.array(shared.astype(np.int64)))
 
-    return group_arrow(matrix, ["block"], look, schema).distinct()
+    least = F.floor(F.lit(MARGIN) * F.ceil(F.lit(percent) * F.col("n") / 100) / 100) + 1
+    return group_arrow(matrix, ["block"], look, schema).groupBy("d1", "d2", "n", "target").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= least).select("d1", "d2", "target")
 
 
-def _wanted_filter(nodes: DataFrame) -> bytes:
-    """A filter of a fixed size over d1; it may pass more sets, never fewer."""
-    at = f"pmod(d1, {FILTER_WORDS * 64}L)"
-    rows = nodes.selectExpr(f"{at} div 64 as w", f"shiftleft(1L, cast({at} % 64 as int)) as bit").groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+def meetings(token: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, group) once for each token that the set and a member of the group of fitting size show.
+
+    `token` is sorted and (token, node) distinct; each pair of groups is met from the side of the smaller group number.
+    """
+    edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    n = np.diff(edge, append=len(token))
+    own = group[node]
+    mixed = np.minimum.reduceat(own, edge) != np.maximum.reduceat(own, edge)
+    found: list[tuple] = []
+
+    def met(run, a, b):
+        ok = (group[a] != group[b]) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+        run, a, b = run[ok], a[ok], b[ok]
+        swap = group[a] > group[b]
+        found.append((run, np.where(swap, b, a), np.where(swap, group[a], group[b])))
+
+    for length in range(2, 17):
+        runs = edge[mixed & (n == length)]
+        for i in range(length if len(runs) else 0):
+            for j in range(i):
+                met(runs, node[runs + i], node[runs + j])
+    for e, length in zip(edge[mixed & (n > 16)].tolist(), n[mixed & (n > 16)].tolist(), strict=True):
+        own = node[e : e + length]
+        i, j = np.tril_indices(length, -1)
+        met(np.full(len(i), e), own[i], own[j])
+        run, q, g = found.pop()
+        q, g = np.divmod(np.unique(q * (group.max() + 1) + g), group.max() + 1)
+        found.append((np.full(len(q), e), q, g))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    run, q, g = (np.concatenate([x[k] for x in found]) for k in range(3))
+    order = np.lexsort((g, q, run))
+    run, q, g = run[order], q[order], g[order]
+    new = np.concatenate([[True], (np.diff(run) != 0) | (np.diff(q) != 0) | (np.diff(g) != 0)]) if len(run) else np.zeros(0, bool)
+    return q[new], g[new]
+
+
+def _wanted_filter(ids: DataFrame) -> bytes:
+    """A filter of a fixed size over the ids in column `rep`; it may pass more documents, never fewer."""
+    at = f"pmod(xxhash64(rep), {FILTER_WORDS * 64}L)"
+    rows = ids.selectExpr(f"{at} div 64 as w", f"shiftleft(1L, cast({at} % 64 as int)) as bit").groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(FILTER_WORDS, np.int64)
     words[rows["w"].to_numpy()] = rows["bits"].to_numpy()
     return words.tobytes()
 
 
 def _wanted_sets(docs: DataFrame, wanted, width: int) -> DataFrame:
+    """rep, tokens of the documents that pass the filter."""
+
     def run(batches):
         words = np.frombuffer(wanted.value, np.int64)
         for b in batches:
-            sets = [s for i, s in zip(b.column(0).to_pylist(), shingle_sets(binaries(b.column(1)), width), strict=True) if i is not None and len(s)]
-            d1, d2 = _digests(sets)
-            at = np.mod(d1.view(np.int64), FILTER_WORDS * 64)
-            _, first = np.unique(np.stack([d1, d2]), axis=1, return_index=True)
-            keep = [k for k in first.tolist() if (int(words[at[k] >> 6]) >> int(at[k] & 63)) & 1]
-            yield batch(d1=_signed(d1[keep]), d2=_signed(d2[keep]), tokens=pa.array([squeeze(sets[k]) for k in keep], pa.binary()))
+            at = b.column(2).to_numpy()
+            b = b.filter(pa.array(((words[at >> 6] >> (at & 63)) & 1).astype(bool)))
+            for x in slices(b):
+                yield batch(rep=x.column(0), tokens=pa.array([squeeze_sorted(s) for s in shingle_sets(binaries(x.column(1)), width)], pa.binary()))
 
-    return docs.mapInArrow(run, "d1 long, d2 long, tokens binary").groupBy("d1", "d2").agg(F.first("tokens").alias("tokens"))
+    at = F.expr(f"pmod(xxhash64(doc_id), {FILTER_WORDS * 64}L)")
+    return docs.where("doc_id is not null").select("doc_id", "text", at.alias("at")).mapInArrow(run, "rep long, tokens binary")
 
 
 def open_group(sets: list[np.ndarray], member: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -267,29 +309,29 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
     share = spark.sparkContext.broadcast
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     about = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(max(CELL_BITS[0], int(about // 16).bit_length()), CELL_BITS[1])
+    bits = min(max(CELL_BITS[0], int(about // 64).bit_length()), CELL_BITS[1])
     rows = settle(_describe(docs, width, bits))
     meta = rows.where("block is null").select("doc_id", "n_shingles", "d1", "d2", "g")
     hot = share(_common_tokens(rows, bits))
     total = meta.agg(F.sum("n_shingles")).first()[0] or 0
     named = meta.where("doc_id is not null and n_shingles > 0")
     classes = settle(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("g").alias("g")))
-    found = settle(_candidates(_matrix(docs, hot, width, bits, percent, blocks_for(total // 5, 1 << 21)), percent))
-    queries = found.join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("d1", "d2", "rep", F.col("target").alias("grp"), F.lit(False).alias("member"))
+    found = settle(_candidates(_matrix(docs, hot, width, bits, percent, blocks_for(total // 3, TOKENS)), percent))
+    queries = found.join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("rep", F.col("target").alias("grp"), F.lit(False).alias("member"))
     several = classes.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
     opened = several.unionByName(found.select(F.col("target").alias("g"))).distinct()
-    members = classes.join(opened, "g", "left_semi").select("d1", "d2", "rep", F.col("g").alias("grp"), F.lit(True).alias("member"))
+    members = classes.join(opened, "g", "left_semi").select("rep", F.col("g").alias("grp"), F.lit(True).alias("member"))
     asked = settle(members.unionByName(queries))
     tiles = asked.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     asked = asked.join(tiles, "grp").withColumn("own", own).select("*", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least(x, "own").alias("i"), F.greatest(x, "own").alias("j")))).alias("tile"))
-    sets = _wanted_sets(docs, share(_wanted_filter(asked.select("d1").distinct())), width)
-    fed = asked.select("d1", "d2", "rep", "grp", "member", "tile.i", "tile.j").join(sets, ["d1", "d2"]).select("grp", "i", "j", "rep", "member", "tokens")
+    sets = _wanted_sets(docs, share(_wanted_filter(asked.select("rep").distinct())), width)
+    fed = asked.select("rep", "grp", "member", "tile.i", "tile.j").join(sets, "rep").select("grp", "i", "j", "rep", "member", "tokens")
 
     def links(key, rows):
         reps = rows.column("rep").to_numpy()
         order = np.argsort(reps)
-        own = [expand(x, np.uint64) for x in rows.column("tokens").to_pylist()]
+        own = [expand_sorted(x, np.uint64) for x in rows.column("tokens").to_pylist()]
         roots = open_group([own[k] for k in order], rows.column("member").to_numpy()[order], percent)
         k = np.flatnonzero(roots != np.arange(len(roots)))
         return batch(a=pa.array(reps[order][k]), b=pa.array(reps[order][roots[k]]))
