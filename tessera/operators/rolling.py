@@ -53,10 +53,16 @@ def _middle(sorted_list: Column) -> Column:
     return (F.element_at(sorted_list, F.floor((n + 1) / 2).cast("int")) + F.element_at(sorted_list, (F.floor(n / 2) + 1).cast("int"))) / 2
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with `value` computed once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def mad(x: Column, w: int) -> Column:
-    """Median of the absolute deviations from the frame's median."""
+    """Median of the absolute deviations from the frame's median; each list is sorted once."""
+    spread = lambda s: _let(_middle(s), lambda m: F.array_sort(F.transform(s, lambda v: F.abs(v - m))))
     values = F.array_sort(F.collect_list(x).over(frame(w)))
-    return gated(F.when(F.size(values) > 0, _middle(F.array_sort(F.transform(values, lambda v: F.abs(v - _middle(values)))))), x, w)
+    return gated(_let(values, lambda s: F.when(F.size(s) > 0, _let(spread(s), _middle))), x, w)
 
 
 def ts_rank(x: Column, w: int) -> Column:
