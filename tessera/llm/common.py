@@ -27,7 +27,14 @@ from pyspark.sql import functions as F
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+#: Python workers give freed memory back at once, as an executor's memory is shared by all its workers and its heap
+LEAN = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; workers that the session starts from then on are lean."""
+    for k, v in LEAN.items():
+        spark.sparkContext.environment.setdefault(k, v)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -21,6 +21,8 @@ count each by its own text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,6 +40,8 @@ MARGIN = 10
 TOKENS = 1 << 18
 #: sets of one tile of a group
 TILE = 4096
+#: pairs of sets that meet at one token and are looked at together
+PAIRS = 1 << 19
 #: counters of the sketch of common tokens: one for 64 bytes of text, within these powers of two
 CELL_BITS = (20, 24)
 #: 64-bit words of the filter of wanted sets
@@ -203,6 +207,17 @@ def _candidates(matrix: DataFrame, percent: int) -> DataFrame:
     return group_arrow(matrix, ["block"], look, schema).groupBy("d1", "d2", "n", "target").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= least).select("d1", "d2", "target")
 
 
+def fitting_pairs(size: np.ndarray, percent: int, limit: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i < j, of ascending sizes that may reach the similarity; in parts of about `limit` pairs, so memory is bounded."""
+    n = np.searchsorted(percent * size, 100 * size, side="right") - np.arange(len(size)) - 1
+    part = np.cumsum(n) // limit
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        i = np.repeat(np.arange(lo, hi), n[lo:hi])
+        before = np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi])
+        yield i, i + 1 + np.arange(len(i)) - before
+
+
 def meetings(token: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(set, group) once for each token that the set and a member of the group of fitting size show.
 
@@ -227,11 +242,12 @@ def meetings(token: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.nd
                 met(runs, node[runs + i], node[runs + j])
     for e, length in zip(edge[mixed & (n > 16)].tolist(), n[mixed & (n > 16)].tolist(), strict=True):
         own = node[e : e + length]
-        i, j = np.tril_indices(length, -1)
-        met(np.full(len(i), e), own[i], own[j])
-        run, q, g = found.pop()
-        q, g = np.divmod(np.unique(q * (group.max() + 1) + g), group.max() + 1)
-        found.append((np.full(len(q), e), q, g))
+        own = own[np.argsort(size[own], kind="stable")]
+        for i, j in fitting_pairs(size[own], percent):
+            met(np.full(len(i), e), own[i], own[j])
+            run, q, g = found.pop()
+            q, g = np.divmod(np.unique(q * (group.max() + 1) + g), group.max() + 1)
+            found.append((np.full(len(q), e), q, g))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     run, q, g = (np.concatenate([x[k] for x in found]) for k in range(3))
