@@ -16,7 +16,8 @@ qualify are opened and their sets compared exactly.  A document's own group is a
 Exact copies form one class before anything else.  Groups with very many sets are opened in
 tiles of bounded size.  Sets are 64-bit hashes of shingles, classes 128-bit hashes of sets.
 A row without doc_id links with nothing and has no component; rows that share a doc_id
-count each by its own text.
+count each by its own text.  Classes are numbered by their smallest doc_id, and those numbers, not
+the ids, are the nodes of the links.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, binaries, block_bounds, blocks_for, expand, expand_sorted, group_arrow, mix, rolling, settle, slices, squeeze, squeeze_sorted, word_hashes
@@ -75,8 +76,13 @@ def _cut(sets: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), _signed(np.concatenate(sets) if sets else np.zeros(0, np.uint64)))
 
 
+def _text_hash() -> Column:
+    """With a doc_id, this names a text of the documents."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _describe(docs: DataFrame, width: int, bits: int) -> DataFrame:
-    """Rows of documents (doc_id, n_shingles, class d1 d2, group g) and rows of the sketch of common tokens (block, payload)."""
+    """Rows of documents (doc_id, hash of the text th, n_shingles, class d1 d2, group g) and rows of the sketch of common tokens (block, payload)."""
 
     def run(batches):
         count = np.zeros(1 << bits, np.uint32)
@@ -88,15 +94,15 @@ def _describe(docs: DataFrame, width: int, bits: int) -> DataFrame:
             if len(sets):
                 np.add.at(count, np.concatenate(sets) >> np.uint64(64 - bits), 1)
             none = pa.nulls(len(sets))
-            yield batch(doc_id=b.column(0), n_shingles=pa.array(n), d1=_signed(d1), d2=_signed(d2), g=_signed(g), block=none.cast(pa.int32()), payload=none.cast(pa.binary()))
+            yield batch(doc_id=b.column(0), th=b.column(2), n_shingles=pa.array(n), d1=_signed(d1), d2=_signed(d2), g=_signed(g), block=none.cast(pa.int32()), payload=none.cast(pa.binary()))
         for k, part in enumerate(np.split(count, 8)):
             if len(at := np.flatnonzero(part)):
                 body = squeeze_sorted(at.astype(np.uint32))
                 row = batch(block=pa.array([k], pa.int32()), payload=pa.array([len(body).to_bytes(8, "little") + body + squeeze(part[at])], pa.binary()))
-                empty = [pa.nulls(1, pa.int64())] * 5
-                yield pa.RecordBatch.from_arrays([*empty, *row.columns], names=["doc_id", "n_shingles", "d1", "d2", "g", "block", "payload"])
+                empty = [pa.nulls(1, pa.int64())] * 6
+                yield pa.RecordBatch.from_arrays([*empty, *row.columns], names=["doc_id", "th", "n_shingles", "d1", "d2", "g", "block", "payload"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, g long, block int, payload binary")
+    return docs.select("doc_id", "text", _text_hash().alias("th")).mapInArrow(run, "doc_id long, th long, n_shingles long, d1 long, d2 long, g long, block int, payload binary")
 
 
 def _common_tokens(rows: DataFrame, bits: int) -> bytes:
@@ -258,8 +264,8 @@ def meetings(token: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.nd
 
 
 def _wanted_filter(ids: DataFrame) -> bytes:
-    """A filter of a fixed size over the ids in column `rep`; it may pass more documents, never fewer."""
-    at = f"pmod(xxhash64(rep), {FILTER_WORDS * 64}L)"
+    """A filter of a fixed size over the texts (rep, th); it may pass more documents, never fewer."""
+    at = f"pmod(xxhash64(rep, th), {FILTER_WORDS * 64}L)"
     rows = ids.selectExpr(f"{at} div 64 as w", f"shiftleft(1L, cast({at} % 64 as int)) as bit").groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(FILTER_WORDS, np.int64)
     words[rows["w"].to_numpy()] = rows["bits"].to_numpy()
@@ -267,18 +273,19 @@ def _wanted_filter(ids: DataFrame) -> bytes:
 
 
 def _wanted_sets(docs: DataFrame, wanted, width: int) -> DataFrame:
-    """rep, tokens of the documents that pass the filter."""
+    """rep, th, tokens of the documents that pass the filter, once for each text of an id."""
 
     def run(batches):
         words = np.frombuffer(wanted.value, np.int64)
         for b in batches:
-            at = b.column(2).to_numpy()
+            at = b.column(3).to_numpy()
             b = b.filter(pa.array(((words[at >> 6] >> (at & 63)) & 1).astype(bool)))
             for x in slices(b):
-                yield batch(rep=x.column(0), tokens=pa.array([squeeze_sorted(s) for s in shingle_sets(binaries(x.column(1)), width)], pa.binary()))
+                yield batch(rep=x.column(0), th=x.column(2), tokens=pa.array([squeeze_sorted(s) for s in shingle_sets(binaries(x.column(1)), width)], pa.binary()))
 
-    at = F.expr(f"pmod(xxhash64(doc_id), {FILTER_WORDS * 64}L)")
-    return docs.where("doc_id is not null").select("doc_id", "text", at.alias("at")).mapInArrow(run, "rep long, tokens binary")
+    at = F.expr(f"pmod(xxhash64(doc_id, th), {FILTER_WORDS * 64}L)")
+    rows = docs.where("doc_id is not null").select("doc_id", "text", _text_hash().alias("th")).select("*", at.alias("at"))
+    return rows.mapInArrow(run, "rep long, th long, tokens binary").dropDuplicates(["rep", "th"])
 
 
 def open_group(sets: list[np.ndarray], member: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -319,50 +326,71 @@ def open_group(sets: list[np.ndarray], member: np.ndarray, percent: int = PERCEN
     return uf.roots()
 
 
-def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of `docs`."""
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Each row's doc_id, th and n_shingles; if it has a class, also the class's node and first text (rep, rep_th), its component's
+    smallest node and that node's rep (label)."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     about = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(CELL_BITS[0], int(about // 64).bit_length()), CELL_BITS[1])
     rows = settle(_describe(docs, width, bits))
-    meta = rows.where("block is null").select("doc_id", "n_shingles", "d1", "d2", "g")
+    meta = rows.where("block is null").select("doc_id", "th", "n_shingles", "d1", "d2", "g")
     hot = share(_common_tokens(rows, bits))
     total = meta.agg(F.sum("n_shingles")).first()[0] or 0
     named = meta.where("doc_id is not null and n_shingles > 0")
-    classes = settle(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("g").alias("g")))
+    classes = settle(named.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th")).alias("text"), F.first("g").alias("g")).select("d1", "d2", "g", F.col("text.doc_id").alias("rep"), F.col("text.th").alias("th")))
+    # in this order, the smallest node of a component has its smallest doc_id
+    classes = settle(classes.orderBy("rep", "d1", "d2").withColumn("node", F.monotonically_increasing_id()))
     found = settle(_candidates(_matrix(docs, hot, width, bits, percent, blocks_for(total // 3, TOKENS)), percent))
-    queries = found.join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("rep", F.col("target").alias("grp"), F.lit(False).alias("member"))
+    queries = found.join(classes.select("d1", "d2", "node", "rep", "th"), ["d1", "d2"]).select("node", "rep", "th", F.col("target").alias("grp"), F.lit(False).alias("member"))
     several = classes.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
     opened = several.unionByName(found.select(F.col("target").alias("g"))).distinct()
-    members = classes.join(opened, "g", "left_semi").select("rep", F.col("g").alias("grp"), F.lit(True).alias("member"))
+    members = classes.join(opened, "g", "left_semi").select("node", "rep", "th", F.col("g").alias("grp"), F.lit(True).alias("member"))
     asked = settle(members.unionByName(queries))
     tiles = asked.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     asked = asked.join(tiles, "grp").withColumn("own", own).select("*", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least(x, "own").alias("i"), F.greatest(x, "own").alias("j")))).alias("tile"))
-    sets = _wanted_sets(docs, share(_wanted_filter(asked.select("rep").distinct())), width)
-    fed = asked.select("rep", "grp", "member", "tile.i", "tile.j").join(sets, "rep").select("grp", "i", "j", "rep", "member", "tokens")
+    sets = _wanted_sets(docs, share(_wanted_filter(asked.select("rep", "th").distinct())), width)
+    fed = asked.select("node", "rep", "th", "grp", "member", "tile.i", "tile.j").join(sets, ["rep", "th"]).select("grp", "i", "j", "node", "member", "tokens")
 
     def links(key, rows):
-        reps = rows.column("rep").to_numpy()
-        order = np.argsort(reps)
+        nodes = rows.column("node").to_numpy()
+        order = np.argsort(nodes)
         own = [expand_sorted(x, np.uint64) for x in rows.column("tokens").to_pylist()]
         roots = open_group([own[k] for k in order], rows.column("member").to_numpy()[order], percent)
         k = np.flatnonzero(roots != np.arange(len(roots)))
-        return batch(a=pa.array(reps[order][k]), b=pa.array(reps[order][roots[k]]))
+        return batch(a=pa.array(nodes[order][k]), b=pa.array(nodes[order][roots[k]]))
 
     edges = group_arrow(fed, ["grp", "i", "j"], links, "a long, b long")
     comp = components(edges)
-    named = classes.select("d1", "d2", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return meta.join(named, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    first = comp.where("node = component").select("node").join(classes, "node").select(F.col("node").alias("component"), F.col("rep").alias("label"))
+    comp = comp.join(first, "component")
+    named = classes.join(comp, "node", "left").select("d1", "d2", "node", "rep", F.col("th").alias("rep_th"), F.coalesce("component", "node").alias("component"), F.coalesce("label", "rep").alias("label"))
+    return meta.join(named, ["d1", "d2"], "left").select("doc_id", "th", "n_shingles", "node", "rep", "rep_th", "component", "label")
+
+
+def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of `docs`."""
+    own = F.when(F.col("n_shingles") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
+    return _labelled(docs, width, percent).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs`, with all columns, whose doc_id is the smallest of its component.
+    """The rows of `docs`, with all columns, one of each component: that of the smallest doc_id, then of the smallest
+    class, text hash and hash of the whole row.
 
-    Rows without doc_id stay.  The ids that go are joined to the documents by doc_id.
+    Rows without doc_id or without words stay.  Rows are told apart by doc_id and text.
     """
-    gone = similar_documents(docs, width, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    gone = F.expr("component <> node or doc_id <> rep or th <> rep_th")
+    rows = _labelled(docs, width, percent).where("doc_id is not null and n_shingles > 0")
+    marks = rows.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.bool_or(gone).alias("_gone"), F.count("*").alias("_rows"))
+    marks = settle(marks.where("_gone or _rows > 1"))
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (_text_hash() == F.col("_th"))
+    once = docs.join(marks, same, "left_anti")
+    repeated = marks.where("not _gone")
+    if repeated.isEmpty():
+        return once
+    whole = F.struct(*docs.columns)
+    again = docs.join(repeated, same).groupBy("_id", "_th").agg(F.min_by(whole, F.sha2(F.to_json(whole).cast("binary"), 256)).alias("_row")).select("_row.*")
+    return once.unionByName(again)

@@ -55,6 +55,17 @@ def test_jaccard_join(spark):
     assert jaccard.similar_documents(d.limit(0)).count() == 0
 
 
+def test_jaccard_rows_that_share_an_id(spark):
+    p, q, r = say(120), say(120), say(120)
+    rows = [(3, p, "a"), (5, p, "b"), (5, q, "c"), (5, r, "d"), (9, changed(q, 1), "e"), (9, changed(r, 1), "f"), (7, "alone here", "g"), (7, "alone here", "h"), (7, "ALONE here", "i"), (None, p, "j"), (None, p, "k"), (8, "", "l"), (8, "", "m")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    kept = "".join(sorted(x.name for x in jaccard.keep_one(d).collect()))
+    assert kept[:3] == "acd" and kept[4:] == "jklm" and kept[3] in "ghi"
+    assert jaccard.keep_one(d.repartition(7)).where("doc_id = 7").first().name == kept[3]
+    got = sorted((x.doc_id or 0, x.component_id or 0) for x in jaccard.similar_documents(d).collect())
+    assert got == [(0, 0), (0, 0), (3, 3), (5, 3), (5, 5), (5, 5), (7, 7), (7, 7), (7, 7), (8, 8), (8, 8), (9, 5), (9, 5)]
+
+
 def test_substrings(spark):
     shared, often = say(50), say(36)
     texts = [say(40) + " " + shared + "\n" + say(20), say(10) + " " + shared.replace(" ", "  "), shared.upper(), often, often, "y " + often + " z", say(100), say(34), *EDGES]
