@@ -7,23 +7,29 @@ automaton; each document is normalised (its words between single spaces) and
 scanned once, and matches are mapped back to the original text.
 
 Null or empty texts have no words: such documents are never hit, such items have no
-window.  Items that share a window all count.  The benchmark is broadcast only up to
-``max_broadcast_bytes`` of text; a larger one is split into parts of that size, which
-are scanned one after the other, and the hits of a document are united.
+window.  Items that share a window all count; an item without item_id hits documents
+like any other, but has no name in their lists of items.  A benchmark of more than
+``max_broadcast_bytes`` of text is broadcast in parts of about that size.  Each task scans its
+rows with one part's automaton after the other and unites the hits of each row, so every row is judged
+alone, by its own text, at every size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, binaries, map_arrow
 
 WINDOW = 13
+#: bytes of text that a task holds while the parts of a benchmark of several parts are loaded in turn
+ROUND = 64 << 20
 #: every ASCII byte that is no letter or digit becomes a space, A-Z become a-z
 _NORM = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -71,14 +77,18 @@ def scan(auto, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         last = int(np.searchsorted(spaces, end))
         items.update(own)
         runs.append([last - n, last])
-    runs.sort()
+    return unite(runs), items
+
+
+def unite(runs: list) -> list[tuple[int, int]]:
+    """Runs [first, last), sorted; those that overlap or touch are one."""
     joined: list[list[int]] = []
-    for a, b in runs:
+    for a, b in sorted(runs):
         if joined and a <= joined[-1][1]:
             joined[-1][1] = max(b, joined[-1][1])
         else:
             joined.append([a, b])
-    return [(a, b) for a, b in joined], items
+    return [(a, b) for a, b in joined]
 
 
 def char_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -97,59 +107,64 @@ _RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan_part(docs: DataFrame, shared, width: int) -> DataFrame:
-    def run(batches):
-        auto = build_automaton(shared.value, width)
-        names = [str(i) for i, _ in shared.value]
-        for b in batches:
-            n, runs, spans, items = [], [], [], []
-            for t in binaries(b.column(1)):
-                w = norm_words(t)
-                r, own = scan(auto, w)
-                n.append(len(w))
-                runs.append([{"first": x, "last": y} for x, y in r])
-                spans.append([{"start": x, "end": y} for x, y in char_spans(t, r)])
-                items.append(sorted({names[k] for k in own}))
-            yield batch(doc_id=b.column(0), n_words=pa.array(n, pa.int64()), runs=pa.array(runs, _RUNS), spans=pa.array(spans, _SPANS), items=pa.array(items, pa.list_(pa.string())))
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, _SCHEMA)
-
-
-def _parts(benchmark: DataFrame, limit: int):
-    """The benchmark in parts of at most about `limit` bytes of text; the size is checked before anything is fetched."""
-    items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+def _rounds(batches, at: int, limit: int):
+    """Batches in lists of at least `limit` bytes of text, but for the last."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(at).nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _scanned(batches, shares: list, at: int, width: int):
+    """Each batch with, for each of its rows, the text, its number of words, runs and items; `at` is the column of texts."""
+    now, auto, names = None, None, []
+    for held in _rounds(batches, at, ROUND if len(shares) > 1 else 0):
+        texts = [binaries(b.column(at)) for b in held]
+        found = [[(len(norm_words(t)), [], set()) for t in own] for own in texts]
+        for k, share in enumerate(shares):
+            if now != k:
+                auto = None  # the one before goes before the next is built
+                items = pickle.loads(zstandard.ZstdDecompressor().decompress(share.value))
+                now, auto, names = k, build_automaton(items, width), [None if i is None else str(i) for i, _ in items]
+            for own, rows in zip(texts, found, strict=True):
+                for t, (_, runs, hit) in zip(own, rows, strict=True):
+                    more, which = scan(auto, norm_words(t))
+                    runs += more
+                    hit.update(names[j] for j in which if names[j] is not None)
+        for b, own, rows in zip(held, texts, found, strict=True):
+            yield b, [(t, n, unite(runs), sorted(hit)) for t, (n, runs, hit) in zip(own, rows, strict=True)]
+
+
+def _shares(benchmark: DataFrame, limit: int) -> list:
+    """The benchmark broadcast in compressed parts of at most about `limit` bytes of text; the size is checked before anything is fetched."""
+    items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // limit))
+    shares = []
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield sorted({(r[0], r[1].encode()) for r in part.collect()})
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        own = sorted({(r[0], r[1].encode()) for r in part.collect()}, key=lambda x: (str(x[0]), x[1]))
+        shares.append(benchmark.sparkSession.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(pickle.dumps(own))))
+    return shares
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """doc_id, n_words, the hit runs of words, their spans in the text, and the items found.
-
-    One row for each row of `docs` (with a benchmark of several parts, for each
-    doc_id).
-    """
-    spark = docs.sparkSession
-    shares = [spark.sparkContext.broadcast(p) for p in _parts(benchmark, max_broadcast_bytes)]
-    found = [_scan_part(docs, s, width) for s in shares]
-    out = found[0]
-    if len(found) > 1:
-        for f in found[1:]:
-            out = out.unionByName(f)
-        out = out.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"),
-            F.flatten(F.collect_list("runs")).alias("runs"),
-            F.flatten(F.collect_list("spans")).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-        seen = F.aggregate(
-            F.array_sort("runs"),
-            F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("end")),
-            lambda a, r: F.struct((a.hit + F.greatest(F.lit(0), r["last"] - F.greatest(r["first"], a.end))).alias("hit"), F.greatest(a.end, r["last"]).alias("end")),
-        ).hit
-        return out.withColumn("n_hit", seen)
+    """doc_id, n_words, the hit runs of words, their spans in the text, and the items found; one row for each row of `docs`."""
+    shares = _shares(benchmark, max_broadcast_bytes)
+
+    def run(batches):
+        for b, rows in _scanned(batches, shares, 1, width):
+            n = pa.array([n for _, n, _, _ in rows], pa.int64())
+            runs = pa.array([[{"first": x, "last": y} for x, y in r] for _, _, r, _ in rows], _RUNS)
+            spans = pa.array([[{"start": x, "end": y} for x, y in char_spans(t, r)] for t, _, r, _ in rows], _SPANS)
+            yield batch(doc_id=b.column(0), n_words=n, runs=runs, spans=spans, items=pa.array([i for *_, i in rows], pa.list_(pa.string())))
+
+    out = map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, _SCHEMA)
     return out.withColumn("n_hit", F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"]))
 
 
@@ -166,27 +181,15 @@ def digest(found: DataFrame) -> DataFrame:
 
 def reject_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """The rows of `docs`, with all their columns, that are not contaminated; row by row, without a shuffle."""
-    spark = docs.sparkSession
-    shares = [spark.sparkContext.broadcast(p) for p in _parts(benchmark, max_broadcast_bytes)]
+    shares = _shares(benchmark, max_broadcast_bytes)
     at = docs.columns.index("text")
 
-    def keep(share):
-        def run(batches):
-            auto = build_automaton(share.value, width)
-            for b in batches:
-                ok = []
-                for t in binaries(b.column(at)):
-                    w = norm_words(t)
-                    hit = sum(y - x for x, y in scan(auto, w)[0])
-                    ok.append(not (hit > 0 and 20 * hit >= len(w)))
-                yield b.filter(pa.array(ok, pa.bool_()))
-
-        return run
-
-    if len(shares) == 1:
-        return docs.mapInArrow(keep(shares[0]), docs.schema)
-    good = digest(decontaminate(docs, benchmark, width, max_broadcast_bytes)).where("not contaminated").select("doc_id").distinct()
-    return docs.alias("d").join(good.alias("g"), F.expr("d.doc_id <=> g.doc_id"), "left_semi")
+    def keep(batches):
+        for b, rows in _scanned(batches, shares, at, width):
+            hits = [sum(y - x for x, y in r) for _, _, r, _ in rows]
+            yield b.filter(pa.array([not (hit > 0 and 20 * hit >= n) for hit, (_, n, _, _) in zip(hits, rows, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def items_digest(names: list[str]) -> str:
