@@ -99,6 +99,18 @@ def test_near_vectors(spark):
     assert neardup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_near_vectors_recall_across_shards(spark):
+    x = RNG.normal(size=(500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = RNG.normal(size=x.shape)
+    off -= (off * x).sum(1)[:, None] * x
+    c = RNG.uniform(0.931, 0.95, 500)[:, None]
+    y = c * x + np.sqrt(1 - c * c) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    d = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate([*x, *y])], "vec_id long, embedding array<double>, label int")
+    got, total = neardup.audit_recall(d, neardup.near_duplicates(d, shard=150), every=1)
+    assert total >= 1000 and got >= 0.9 * total, (got, total)
+
+
 def test_language_model(spark):
     P = pytest.importorskip("public_tokenizers")
     texts = [" ".join(f"w{k} follows" for k in RNG.integers(0, 30, 40)) for _ in range(150)] + EDGES
