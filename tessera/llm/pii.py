@@ -30,9 +30,15 @@ ASSIGNED = r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
-CARD = r"(?<![0-9+])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"
+CARD = r"(?<![0-9+])(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9A-Za-z.])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
+#: groups of 3, 3 and 4 digits, with or without a country code; other international numbers of 8 to 15 digits after a plus; ten digits in a row
+PHONE = (
+    r"(?<![0-9A-Za-z.])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\(?[0-9]{3}\)?[ .-]|\([0-9]{3}\))[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    r"|\+[1-9](?:[ .()/-]{0,2}[0-9]){7,14}(?![0-9])|(?<![-_/#=+])[2-9][0-9]{9}(?![0-9A-Za-z_]|[.-][0-9]))"
+)
+#: the country code at the head of an international number
+COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 MALE, FEMALE = "Mr|Herr|Señor|Sr|Monsieur|Господин|Κύριος", "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Госпожа|Κυρία"
 PERSON = rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})"
 ANY = "|".join((EMAIL, ASSIGNED, ACCESS_KEY, IBAN, IP, CARD, SSN, PHONE, PERSON))
@@ -68,7 +74,7 @@ def _pieces(text: Column) -> Column:
             .when(full(IP), F.array(s(m, F.lit("IP"), m)))
             .when(full(CARD), F.array(s(m, F.lit("CARD"), digits(m))))
             .when(full(SSN), F.array(s(m, F.lit("SSN"), digits(m))))
-            .when(full(PHONE), F.array(s(m, F.lit("PHONE"), digits(m))))
+            .when(full(PHONE), F.array(s(m, F.lit("PHONE"), F.concat(F.when(m.startswith("+"), "+").otherwise(""), digits(m)))))
             .when(F.size(names) == 2, F.array(s(title), s(names[0], gender, names[0]), s(F.lit(" ")), s(names[1], F.lit("LAST"), names[1])))
             .otherwise(F.array(s(title), s(names[0], F.lit("LAST"), names[0])))
         )
@@ -108,7 +114,7 @@ def _surrogate(kind: Column, norm: Column, nonce: Column, key: str) -> Column:
     body = F.concat(F.substring(norm, 1, 1), letters(F.substring(norm, F.lit(2), n - 2), 1))
     check = ((10 - luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
     card = F.concat(body, F.when(luhn(norm) % 10 == 0, check).otherwise(_pick(DIGITS, byte(n))))
-    country = F.greatest(n - 10, F.lit(0))
+    country = F.length(F.regexp_extract(norm, COUNTRY, 0))
     phone = F.concat(F.substring(norm, F.lit(1), country), _pick("23456789", byte(F.lit(1))), letters(F.substring(norm, country + 2, n), 2))
 
     def name(script: str) -> Column:
@@ -143,7 +149,8 @@ def surrogates(entities: DataFrame, key: str = KEY, rounds: int = 40) -> DataFra
 
 def _laid_out(lit: Column, kind: Column, made: Column) -> Column:
     """A surrogate in the writing of the original: its separators, or its upper case."""
-    spread = F.aggregate(F.split(lit, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), lambda a, c: F.struct(F.when(c.rlike("[0-9A-Za-z]"), F.concat(a.out, F.substring(made, a.k + 1, F.lit(1)))).otherwise(F.concat(a.out, c)).alias("out"), (a.k + c.rlike("[0-9A-Za-z]").cast("int")).alias("k"))).out
+    own = F.when(kind == "PHONE", F.regexp_replace(made, "[^0-9]", "")).otherwise(made)
+    spread = F.aggregate(F.split(lit, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), lambda a, c: F.struct(F.when(c.rlike("[0-9A-Za-z]"), F.concat(a.out, F.substring(own, a.k + 1, F.lit(1)))).otherwise(F.concat(a.out, c)).alias("out"), (a.k + c.rlike("[0-9A-Za-z]").cast("int")).alias("k"))).out
     cased = F.concat_ws("", F.zip_with(F.split(lit, ""), F.split(made, ""), lambda o, m: F.when(o.between("A", "Z"), F.upper(m)).otherwise(m)))
     return F.when(kind.isin("CARD", "PHONE", "SSN", "IBAN"), spread).when(kind == "EMAIL", F.when(lit == F.lower(lit), made).otherwise(cased)).otherwise(made)
 

@@ -162,3 +162,17 @@ def test_surrogates(spark):
     assert re.search(r"Господин [А-Яа-я]+$", got[4]) and "Господин Иванов" not in got[4]
     assert [got[10 + k] for k in range(len(EDGES))] == EDGES
     assert pii.replace_entities(d.limit(0)).count() == 0
+
+
+def test_phones_and_cards_in_other_forms(spark):
+    phones = ["+44 20 7946 0958", "+33 1 23 45 67 89", "5551234567", "(555)123-4567", "+1 (743) 555-3824", "212.555.0188"]
+    finds = [*phones, "3782 822463 10005", "3782-822463-10005"]
+    d = spark.createDataFrame([(k, f"call {f}, now") for k, f in enumerate(finds)] + [(90, "at 1700000000 on 2024-01-02")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n) for r in pii.replace_entities(d, count="n").collect()}
+    assert got[90] == ("at 1700000000 on 2024-01-02", 0)
+    for k, f in enumerate(finds):
+        text, n = got[k]
+        own = text.removeprefix("call ").removesuffix(", now")
+        assert n == 1 and own != f and re.sub(r"\d", "0", own) == re.sub(r"\d", "0", f), (f, text)
+    assert got[0][0].startswith("call +44 ") and got[1][0].startswith("call +33 ") and got[4][0].startswith("call +1 (")
+    assert re.sub(r"\D", "", got[6][0]) == re.sub(r"\D", "", got[7][0])
