@@ -11,7 +11,6 @@ Rules that hold for every operator here:
 
 from __future__ import annotations
 
-import gc
 import math
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -39,28 +38,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a temporary one only where none is named."""
+    """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only a local session may do without: its executors are this machine, so a temporary folder will do.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="ckpt-")
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Spark's own setting: a query's shuffle files go when it ends
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+    """Cut the lineage with a reliable checkpoint in the shared folder; the pass's shuffle files go with it."""
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``;
-    only a session without one (tests, a laptop) gets a temporary folder.  The pass before
-    is over then, so its shuffle files are released at once and not at some later garbage
-    collection of the driver.
-    """
-    sc = df.sparkSession.sparkContext
-    checkpoint_folder(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    del df
-    gc.collect()
-    sc._jvm.System.gc()
-    return out
+
+def free_name(columns: list[str], base: str) -> str:
+    """A column name that none of `columns` has."""
+    taken = {c.lower() for c in columns}
+    name = f"_{base}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+_caches: dict[str, list[Callable[[], None]]] = {}
+_user: list[str] = [""]
+
+
+def cache_of(owner: str, clear: Callable[[], None]) -> None:
+    """Registers a cache of the worker process that only `owner` fills."""
+    _caches.setdefault(owner, []).append(clear)
+
+
+def use(owner: str) -> None:
+    """Called by a task: workers are used again by other operators, whose caches go first."""
+    if _user[0] != owner:
+        for name, clears in _caches.items():
+            if name != owner:
+                for clear in clears:
+                    clear()
+        _user[0] = owner
 
 
 def binaries(col: pa.Array) -> list[bytes]:
@@ -112,6 +146,7 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+cache_of("hashes", _hashes.clear)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -206,7 +241,20 @@ def pack_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", un
     return map_arrow(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, UNIT_SCHEMA)
 
 
-def unpack(blob: bytes) -> tuple[list, list[bytes]]:
+def pack_texts(texts: list[bytes]) -> bytes:
+    """Texts as one compressed row."""
+    inner = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, inner.schema) as w:
+        w.write_batch(inner)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+
+
+def unpack(blob: bytes) -> list[bytes]:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all().column("text").to_pylist()
+
+
+def unpack_units(blob: bytes) -> tuple[list, list[bytes]]:
     inner = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
     return inner.column("id").to_pylist(), inner.column("text").to_pylist()
 
@@ -238,8 +286,8 @@ def blocks_for(total: int, per_block: int = 1 << 22) -> int:
     return 1 << max(3, math.ceil(math.log2(max(total, 1) / per_block))) if total > per_block else 8
 
 
-def block_bounds(sorted_hashes: np.ndarray, n_blocks: int) -> np.ndarray:
-    """Where each range of hashes begins in a sorted array (n_blocks + 1 places)."""
-    shift = np.uint64(64 - int(math.log2(n_blocks)))
-    edges = np.arange(1, n_blocks, dtype=np.uint64) << shift
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]])
+def filled_blocks(ordered: np.ndarray, bits: int, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted numbers of `bits` bits: the ranges that hold any, and where each begins (and the end)."""
+    block = (ordered >> np.uint64(bits - int(math.log2(n_blocks)))).astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
+    return block[at], np.append(at, len(block))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, block_bounds, blocks_for, expand_sorted, group_arrow, pack_units, rolling, settle, squeeze_sorted, starts, unpack, word_hashes
+from .common import batch, blocks_for, expand_sorted, filled_blocks, group_arrow, pack_units, rolling, settle, squeeze_sorted, starts, unpack_units, use, word_hashes
 
 WINDOW = 35
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -72,15 +72,19 @@ def _sent(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["sketch", "block", "unit", "once", "more"])
 
 
+def _filled(ordered: np.ndarray, bits: int, n_blocks: int):
+    """(block, begin, end) of the blocks that hold any of these sorted numbers."""
+    block, at = filled_blocks(ordered.astype(np.uint64), bits, n_blocks)
+    return zip(block.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)
+
+
 def _sketch_rows(unit: int, w: Windows, bits: int):
     per = min(bits, BLOCK_BITS)
     for k, h in enumerate(w.hashes):
         c, many, _ = _local(_cells(h, bits))
-        block = c >> c.dtype.type(per)
-        at = np.searchsorted(block, np.arange((1 << (bits - per)) + 1, dtype=c.dtype))
         low = (c & c.dtype.type((1 << per) - 1)).astype(np.uint32)
-        for b in np.flatnonzero(np.diff(at)).tolist():
-            own, m = low[at[b] : at[b + 1]], many[at[b] : at[b + 1]]
+        for b, lo, hi in _filled(c, bits, 1 << (bits - per)):
+            own, m = low[lo:hi], many[lo:hi]
             yield k, b, unit, squeeze_sorted(own[~m]), squeeze_sorted(own[m])
 
 
@@ -101,10 +105,8 @@ def _candidates(w: Windows, answers: dict, bits: int) -> np.ndarray:
     per, ok = min(bits, BLOCK_BITS), np.ones(len(w.first), bool)
     for k, h in enumerate(w.hashes):
         c, flags, place = _local(_cells(h, bits))
-        block = c >> c.dtype.type(per)
-        at = np.searchsorted(block, np.arange((1 << (bits - per)) + 1, dtype=c.dtype))
-        for b in np.flatnonzero(np.diff(at)).tolist():
-            m = flags[at[b] : at[b + 1]]
+        for b, lo, hi in _filled(c, bits, 1 << (bits - per)):
+            m = flags[lo:hi]
             one = np.flatnonzero(~m)
             m[one] = np.unpackbits(np.frombuffer(answers[k, b], np.uint8), count=len(one)).astype(bool)
         ok &= flags[place]
@@ -125,13 +127,10 @@ def _pairs(w: Windows, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _exact_rows(unit: int, w: Windows, at: np.ndarray, n_blocks: int):
     a, b, many, _ = _pairs(w, at)
-    cut = block_bounds(a, n_blocks)
-    for k in range(n_blocks):
-        lo, hi = cut[k], cut[k + 1]
-        if lo < hi:
-            m = many[lo:hi]
-            pack = lambda own: squeeze_sorted(a[lo:hi][own]) + b[lo:hi][own].tobytes()  # noqa: B023, E731
-            yield 2, k, unit, int((~m).sum()).to_bytes(4, "little") + pack(~m), int(m.sum()).to_bytes(4, "little") + pack(m)
+    for k, lo, hi in _filled(a, 64, n_blocks):
+        m = many[lo:hi]
+        pack = lambda own: squeeze_sorted(a[lo:hi][own]) + b[lo:hi][own].tobytes()  # noqa: B023, E731
+        yield 2, k, unit, int((~m).sum()).to_bytes(4, "little") + pack(~m), int(m.sum()).to_bytes(4, "little") + pack(m)
 
 
 def _unpair(x: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -164,12 +163,10 @@ def _repeated(w: Windows, answers: dict, bits: int, n_blocks: int) -> np.ndarray
     """The first words of the repeated windows."""
     at = _candidates(w, answers, bits)
     a, _, flags, place = _pairs(w, at)
-    cut = block_bounds(a, n_blocks)
-    for k in range(n_blocks):
-        m = flags[cut[k] : cut[k + 1]]
-        if len(m):
-            one = np.flatnonzero(~m)
-            m[one] = np.unpackbits(np.frombuffer(answers[2, k], np.uint8), count=len(one)).astype(bool)
+    for k, lo, hi in _filled(a, 64, n_blocks):
+        m = flags[lo:hi]
+        one = np.flatnonzero(~m)
+        m[one] = np.unpackbits(np.frombuffer(answers[2, k], np.uint8), count=len(one)).astype(bool)
     return w.first[at[flags[place]]]
 
 
@@ -181,15 +178,17 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     n_blocks = blocks_for(words // 3, 1 << 21)
 
     def sketch(batches):
+        use("substring")
         for b in batches:
             for unit, blob in zip(b.column("unit").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                if rows := list(_sketch_rows(unit, Windows(unpack(blob)[1], width), bits)):
+                if rows := list(_sketch_rows(unit, Windows(unpack_units(blob)[1], width), bits)):
                     yield _sent(rows)
 
     back = settle(group_arrow(units.mapInArrow(sketch, _SENT), ["sketch", "block"], _merge_sketches, _BACK))
 
     def exact(key, left, right):
-        unit, w = key[0].as_py(), Windows(unpack(left.column("blob")[0].as_py())[1], width)
+        use("substring")
+        unit, w = key[0].as_py(), Windows(unpack_units(left.column("blob")[0].as_py())[1], width)
         return pa.Table.from_batches([_sent(list(_exact_rows(unit, w, _candidates(w, _answers(right), bits), n_blocks)))])
 
     def cogroup(f, answers, schema):
@@ -198,7 +197,8 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     sure = settle(group_arrow(cogroup(exact, back, _SENT), ["sketch", "block"], _count_exactly, _BACK))
 
     def remove(key, left, right):
-        ids, texts = unpack(left.column("blob")[0].as_py())
+        use("substring")
+        ids, texts = unpack_units(left.column("blob")[0].as_py())
         w = Windows(texts, width)
         step = np.zeros(int(w.at[-1]) + width + 1, np.int32)
         first = _repeated(w, _answers(right), bits, n_blocks)
