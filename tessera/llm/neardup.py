@@ -1,19 +1,24 @@
 """Embedding near-dedup with robust-pruned flat graphs on overlapping cluster shards.
 
-Vectors with the same label and the same components form one class.  The classes of a label are routed to
+Vectors with the same label and the same components form one class, numbered by their smallest vec_id; those numbers, not
+the ids, are the nodes of the graphs.  The classes of a label are routed to
 shards: cluster centres are fitted on a bounded sample of each oversized shard, every vector
-goes to its nearest centre and to each other centre almost as near, and shards that are still
+goes to its nearest centre, its home, and to each other centre almost as near, and shards that are still
 too large are split again.  Each shard gets a flat graph, built by inserting batches: a greedy
 search from the medoid finds candidates, robust pruning keeps few and diverse neighbours, and
 reverse edges are added.  The adjacency lists of a vector in several shards are united.  Every vector is then
-searched for in each of its shards over the united lists: a greedy search from the medoid, then a
+searched for in its home over the united lists: a greedy search from the medoid, then a
 range-expanding one, which goes on from every vector in range, over edges in both directions, until no
 new one is found; so pruning can't hide a near copy behind a neighbour with a full list.
-Pairs found are verified by cosine in double precision.
+Pairs found are verified by cosine in double precision and never leave the task: a shard gives each vector's
+number of links and one edge to the smallest vector that it reaches there.  A link whose other end has its home elsewhere
+counts for that end too, unless the first vector stands in that home and is found from there.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label, link
-with nothing; rows without vec_id have no component.  Vectors of different lengths don't link.  Shards that clusters can't split any more are
-cut into blocks with a graph each, and every vector of the shard is searched for in every block.
+with nothing; rows without vec_id have no component and are nobody's link.  Rows that share a vec_id are linked each by its own
+vector (the smallest id of what each reaches is its component).  Vectors of different lengths don't link.  Shards that clusters
+can't split any more are cut into blocks with a graph each, and every vector at home there is searched for in every block: a
+dense group of n different vectors, all linked, takes n * n comparisons, as its numbers of links do.
 """
 
 from __future__ import annotations
@@ -24,14 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, group_arrow, settle
+from .common import batch, group_arrow, settle, use
 from .components import components
 
 THRESHOLD = 0.93
-SHARD, SAMPLE, CENTRES, DEPTH = 1500, 1500, 16, 6
+SHARD, SAMPLE, CENTRES, DEPTH = 500, 1500, 16, 6
 #: a vector also goes to a centre whose angle is at most so many radians wider than the nearest one's
-SLACK = 0.12
-DEGREE, BEAM, ALPHA = 24, 48, 1.2
+SLACK = 0.08
+DEGREE, BEAM, ALPHA = 12, 24, 1.2
+#: tables of centres are broadcast up to so many shards (8 KB each for 64 components)
+BROADCAST_SHARDS = 4096
 
 
 # --- one shard's graph ----------------------------------------------------------------
@@ -201,16 +208,17 @@ def _classes(vectors: DataFrame) -> DataFrame:
 
 
 def _route(points: DataFrame, shard: int, sample: int, k: int, slack: float, depth: int) -> DataFrame:
-    """rep, unit, shard (a path of centres), blocks, and whether this shard is the vector's first."""
-    parts = settle(points.withColumn("first", F.lit(True)))
+    """node, copies, unit, shard (a path of centres), home (whether this shard is the vector's nearest), and blocks and tiles of the shard."""
+    parts = settle(points.withColumn("home", F.lit(True)))
     for level in range(depth):
-        large = parts.groupBy("shard").count().where(F.col("count") > shard).withColumn("level", F.lit(level))
-        large = settle(large)
-        if large.isEmpty():
+        large = settle(parts.groupBy("shard").count().where(F.col("count") > shard).withColumn("level", F.lit(level)))
+        n_large = large.count()
+        if not n_large:
             break
+        small = F.broadcast if n_large <= BROADCAST_SHARDS else lambda df: df
         # the sample: rows in hash order up to a bound for each oversized shard
         share = F.least(F.lit(1.0), F.lit(1.5 * sample) / F.col("count"))
-        drawn = parts.join(large, "shard").where((F.pmod(F.xxhash64("rep", "level"), F.lit(1 << 20)) / F.lit(float(1 << 20))) < share)
+        drawn = parts.join(small(large), "shard").where((F.pmod(F.xxhash64("node", "level"), F.lit(1 << 20)) / F.lit(float(1 << 20))) < share)
 
         def fit(key, t, level=level):
             x = _matrix(t.column("unit"))[: 2 * sample]
@@ -222,16 +230,17 @@ def _route(points: DataFrame, shard: int, sample: int, k: int, slack: float, dep
         def deal(batches, slack=slack):
             for b in batches:
                 t = pa.Table.from_batches([b])
-                at, paths, first = [], [], []
+                at, paths, home = [], [], []
                 by: dict = {}
                 for i, s in enumerate(t.column("shard").to_pylist()):
                     by.setdefault(s, []).append(i)
+                own = t.column("home").to_pylist()
                 for s, rows in by.items():
                     c = t.column("centres")[rows[0]].as_py()
                     if c is None:
                         at += rows
                         paths += [s] * len(rows)
-                        first += [t.column("first")[i].as_py() for i in rows]
+                        home += [own[i] for i in rows]
                         continue
                     c = np.frombuffer(c, np.float64).reshape(-1, t.column("width")[rows[0]].as_py())
                     angle = np.arccos(np.clip(_matrix(t.column("unit").take(rows)) @ c.T, -1, 1))
@@ -239,62 +248,105 @@ def _route(points: DataFrame, shard: int, sample: int, k: int, slack: float, dep
                     for i, j in zip(*np.nonzero(angle <= angle.min(1)[:, None] + slack), strict=True):
                         at.append(rows[i])
                         paths.append(f"{s}.{j}")
-                        first.append(bool(j == near[i]) and t.column("first")[rows[i]].as_py())
-                yield batch(rep=t.column("rep").take(at).combine_chunks(), unit=t.column("unit").take(at).combine_chunks(), shard=pa.array(paths, pa.string()), first=pa.array(first, pa.bool_()))
+                        home.append(bool(j == near[i]) and own[rows[i]])
+                cols = {c: t.column(c).take(pa.array(at, pa.int64())).combine_chunks() for c in ("node", "copies", "unit")}
+                yield batch(**cols, shard=pa.array(paths, pa.string()), home=pa.array(home, pa.bool_()))
 
-        parts = settle(parts.join(centres, "shard", "left").mapInArrow(deal, "rep long, unit binary, shard string, first boolean"))
-    sizes = parts.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(2.0 * shard)).cast("int").alias("blocks"))
+        parts = settle(parts.join(small(centres), "shard", "left").mapInArrow(deal, "node long, copies long, unit binary, shard string, home boolean"))
+    sizes = parts.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(2.0 * shard)).cast("int").alias("blocks"), F.ceil(F.count_if("home") / F.lit(8.0 * shard)).cast("int").alias("tiles"))
     return parts.join(sizes, "shard")
 
 
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each of n reaches over the pairs."""
+    r = np.arange(n)
+    while True:
+        low = np.minimum(r[a], r[b])
+        new = r.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == r).all():
+            return r
+        r = new
+
+
+def _shard_links(t: pa.Table, here: int, threshold: float) -> pa.RecordBatch | None:
+    """node, add (links to count), root (the smallest node reached here) of one shard's members and those that ask."""
+    order = np.argsort(~t.column("member").to_numpy(), kind="stable")
+    t = t.take(pa.array(order))
+    n, asks = int(t.column("member").to_numpy().sum()), np.flatnonzero(t.column("asks").to_numpy())
+    if not n or not len(asks):
+        return None
+    node, copies, exact = t.column("node").to_numpy(), t.column("copies").to_numpy(), _matrix(t.column("unit"))
+    place = {r: i for i, r in enumerate(node[:n].tolist())}
+    lists = [[place[r] for r in near or () if r in place] for near in t.column("near").to_pylist()[:n]]
+    graph = np.full((n, max(1, max(map(len, lists)))), -1, np.int64)
+    for i, o in enumerate(lists):
+        graph[i, : len(o)] = o
+    x = exact.astype(np.float32)
+    found = search_range(x[:n], graph, medoid(x[:n]), x[asks], threshold)
+    a = np.repeat(asks, [len(f) for f in found])
+    b = np.concatenate(found)
+    ok = a != b
+    a, b = a[ok], b[ok]
+    ok = np.concatenate([np.einsum("nd,nd->n", exact[a[k : k + 65536]], exact[b[k : k + 65536]]) >= threshold for k in range(0, max(len(a), 1), 65536)])  # verified in double precision
+    a, b = a[ok], b[ok]
+    if not len(a):
+        return None
+    # found from either end counts for both, if both ask here
+    both = (a < n) & np.isin(b, asks)
+    key = np.unique(np.concatenate([a * len(node) + b, b[both] * len(node) + a[both]]))
+    a, b = key // len(node), key % len(node)
+    add = np.bincount(a, copies[b], len(node))
+    home = t.column("at_home").to_numpy()
+    away = np.flatnonzero(home[b] != here)
+    shards = t.column("shards").to_pylist()
+    back = away[np.array([home[j] not in shards[i] for i, j in zip(a[away].tolist(), b[away].tolist(), strict=True)], bool)]
+    add += np.bincount(b[back], copies[a[back]], len(node))
+    rank = np.argsort(node, kind="stable")
+    number = np.empty(len(node), np.int64)
+    number[rank] = np.arange(len(node))
+    root = node[rank][_roots(len(node), number[a], number[b])[number]]
+    k = np.flatnonzero((add > 0) | (root != node))
+    return batch(node=pa.array(node[k]), add=pa.array(add[k].astype(np.int64)), root=pa.array(root[k]))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, slack: float = SLACK) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of `vectors` (vec_id, embedding, label)."""
     rows = settle(_classes(vectors))
     named = rows.where("vec_id is not null and key is not null")
-    classes = settle(named.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")))
-    points = classes.select("rep", "unit", F.concat_ws(":", F.col("label").cast("string"), F.length("unit").cast("string")).alias("shard"))
-    parts = settle(_route(points, shard, SAMPLE, CENTRES, slack, DEPTH))
-    blocked = parts.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    classes = named.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
+    # in this order, the smallest node of a component has its smallest vec_id
+    classes = settle(classes.orderBy("rep", "label", "key").withColumn("node", F.monotonically_increasing_id()))
+    points = classes.select("node", "copies", "unit", F.concat_ws(":", F.col("label").cast("string"), F.length("unit").cast("string")).alias("shard"))
+    parts = settle(_route(points, shard, SAMPLE, CENTRES, slack, DEPTH).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
 
     def build(key, t):
-        reps, x = t.column("rep").to_numpy(), _matrix(t.column("unit")).astype(np.float32)
+        use("neardup")
+        node, x = t.column("node").to_numpy(), _matrix(t.column("unit")).astype(np.float32)
         graph, _ = build_graph(x)
-        out = [reps[g[g >= 0]] for g in graph]
-        return batch(rep=pa.array(reps), near=pa.array([o.tolist() for o in out], pa.list_(pa.int64())))
+        return batch(node=pa.array(node), near=pa.array([node[g[g >= 0]].tolist() for g in graph], pa.list_(pa.int64())), at=t.column("at").combine_chunks(), home=t.column("home").combine_chunks())
 
-    lists = group_arrow(blocked.select("shard", "block", "rep", "unit"), ["shard", "block"], build, "rep long, near array<long>")
-    united = settle(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-    own = blocked.join(united, "rep", "left").select("shard", "block", "rep", "unit", F.lit(True).alias("member"), "near")
-    asked = blocked.where("blocks > 1").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "unit", F.col("block").alias("home")).where("block <> home").select("shard", "block", "rep", "unit", F.lit(False).alias("member"), F.lit(None).cast("array<long>").alias("near"))
+    at = F.xxhash64("shard").alias("at")
+    lists = group_arrow(parts.select("shard", "block", "node", "unit", at, "home"), ["shard", "block"], build, "node long, near array<long>, at long, home boolean")
+    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.collect_list("at").alias("shards"), F.max(F.when(F.col("home"), F.col("at"))).alias("at_home"))
+    whole = settle(parts.join(united, "node").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(1)), F.greatest("tiles", F.lit(1))).cast("int")))
+    cols = ["node", "copies", "unit", "shards", "at_home"]
+    # one row where a vector asks in the tile that holds it as a member
+    own = whole.select("shard", F.explode(F.sequence(F.lit(0), F.greatest("tiles", F.lit(1)) - 1)).alias("tile"), "block", *cols, "near", F.lit(True).alias("member"), "home", F.col("tile").alias("asks_in")).withColumn("asks", F.expr("home and tile = asks_in")).drop("home", "asks_in")
+    other = whole.where("home and blocks > 1").select("shard", "tile", F.col("block").alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *cols, F.lit(None).cast("array<long>").alias("near"), F.lit(False).alias("member"), F.lit(True).alias("asks")).where("block <> mine").drop("mine")
 
     def search(key, t):
-        member = t.column("member").to_numpy()
-        order = np.argsort(~member, kind="stable")
-        t, n = t.take(order), int(member.sum())
-        reps, exact = t.column("rep").to_numpy(), _matrix(t.column("unit"))
-        if n == 0:
-            return None
-        place = {r: i for i, r in enumerate(reps[:n].tolist())}
-        lists = [[place[r] for r in near or () if r in place] for near in t.column("near").to_pylist()[:n]]
-        graph = np.full((n, max(1, max(map(len, lists)))), -1, np.int64)
-        for i, o in enumerate(lists):
-            graph[i, : len(o)] = o
-        x = exact.astype(np.float32)
-        found = search_range(x[:n], graph, medoid(x[:n]), x, threshold)
-        a = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        b = np.concatenate(found) if found else np.zeros(0, np.int64)
-        ok = (a != b) & (np.einsum("nd,nd->n", exact[a], exact[b]) >= threshold)  # verified in double precision
-        lo, hi = np.minimum(reps[a[ok]], reps[b[ok]]), np.maximum(reps[a[ok]], reps[b[ok]])
-        pairs = np.unique(np.stack([lo, hi], axis=1), axis=0)
-        return batch(a=pa.array(pairs[:, 0].copy(), pa.int64()), b=pa.array(pairs[:, 1].copy(), pa.int64()))
-
-    pairs = settle(group_arrow(own.unionByName(asked), ["shard", "block"], search, "a long, b long").distinct())
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = classes.select(F.col("rep").alias("b"), "copies")
-    linked = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    comp = components(pairs)
-    about = classes.select("label", "key", "rep", "copies").join(linked, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("node"), "left")
-    about = about.select("label", "key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
+        use("neardup")
+        return _shard_links(t, t.column("at")[0].as_py(), threshold)
+
+    found = settle(group_arrow(own.unionByName(other).withColumn("at", F.xxhash64("shard")), ["shard", "block", "tile"], search, "node long, add long, root long"))
+    linked = found.groupBy("node").agg(F.sum("add").alias("others"))
+    comp = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    label = classes.select(F.col("node").alias("component"), F.col("rep").alias("component_id"))
+    about = classes.select("label", "key", "node", "rep", "copies").join(linked, "node", "left").join(comp.join(label, "component").select("node", "component_id"), "node", "left")
+    about = about.select("label", "key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component_id", "rep").alias("component"))
     out = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("label")).alias("label"), "key").join(about, ["label", "key"], "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
@@ -307,7 +359,7 @@ def audit_recall(vectors: DataFrame, found: DataFrame, threshold: float = THRESH
     """
     rows = settle(_classes(vectors).where("vec_id is not null and key is not null"))
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "label", "unit")
-    groups = max(1, -(-asked.count() // 500))
+    groups = max(1, -(-asked.count() // 8192))
     total = 0
     for k in range(groups):
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == k).collect()
