@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, binaries, map_arrow, settle
+from .common import batch, binaries, cache_of, map_arrow, settle, use
 
 CAPACITY = 2048
 OPEN_BINS = 512
@@ -101,6 +101,7 @@ class WordTokens:
 
 
 _loaded: dict[str, WordTokens] = {}
+cache_of("tokens", _loaded.clear)
 
 
 def word_tokens(path: str) -> WordTokens:
@@ -115,6 +116,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        use("packing")
         tok = word_tokens(tokenizer_path)
         for b in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])

@@ -115,7 +115,7 @@ def test_language_model(spark):
     P = pytest.importorskip("public_tokenizers")
     texts = [" ".join(f"w{k} follows" for k in RNG.integers(0, 30, 40)) for _ in range(150)] + EDGES
     d = spark.createDataFrame([*enumerate(texts), (None, "w1")], "doc_id long, text string")
-    out = {r.doc_id: r for r in lm.score_documents(d, str(P.path("word_bpe_49k.json")), steps=30).collect()}
+    out = {r.doc_id: r for r in lm.score_documents(d, str(P.path("word_bpe_49k.json")), least=8).collect()}
     assert len(out) == len(texts) + 1
     seen = Counter()
     held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
@@ -134,6 +134,52 @@ def test_language_model(spark):
         assert r.base_score == pytest.approx(base, rel=1e-9) and math.isfinite(r.score) and r.score < 0
 
 
+def test_scores_equal_a_plain_forward_pass():
+    r = np.random.default_rng(4)
+    groups, members, n_ids = 3, 4, 40
+    klass = np.append(np.append(np.arange(10), np.full(29, 10)), 11)
+    share = np.log(np.where(klass == 10, 1 / 29, 1.0)).astype(np.float32)
+    first, second = lm.tables(r.integers(0, 9, (13, 12)), groups)
+    w = {k: v * np.float32(3) for k, v in lm.init_weights(12, groups).items()}
+    m = lm.Model(klass, share, first, second, w)
+    texts = [np.append(r.integers(0, n_ids - 1, n), n_ids - 1) for n in (0, 1, 22, 23, 24, 41, 42, 100)]
+    for t, got in zip(texts, lm.score_texts(m, texts, chunk=2), strict=True):
+        total, y = 0.0, klass[t]
+        prev = [12, *y[:-1].tolist()]
+        for i in range(len(t)):
+            k = max(0, -(-(i + 1 - lm.SPAN) // lm.STEP))  # the window that scores place i
+            own = prev[lm.STEP * k : i + 1]
+            h = np.stack([w["e"][c] + w["p"][j] for j, c in enumerate(own)]).astype(float)
+            s = np.array([(h[-1] @ w["q"]) @ (x @ w["k"]) / math.sqrt(lm.WIDTH) for x in h])
+            a = np.exp(s - s.max())
+            o = h[-1] + (a / a.sum()) @ (h @ w["v"]) @ w["o"]
+            z = o @ w["w1"] + first[own[-1]]
+            g, k = divmod(int(y[i]), members)
+            total += z[g] - np.log(np.exp(z).sum()) + second[own[-1], g, k] + share[t[i]]
+        assert got == pytest.approx(total / math.log(10), rel=1e-4)
+    # the probabilities of all ids after a context add up to 1
+    at = np.exp(np.array([lm.score_texts(m, [np.array([5, 3, k])])[0] for k in range(n_ids)]) * math.log(10)).sum()
+    assert at == pytest.approx(math.exp(lm.score_texts(m, [np.array([5, 3])])[0] * math.log(10)), rel=1e-4)
+
+
+def test_training_lowers_the_cross_entropy_of_unseen_texts():
+    r = np.random.default_rng(5)
+    n_ids = 13
+    text = lambda: np.append(np.concatenate([np.repeat(r.integers(0, 6), 2) * 2 + np.array([0, 1]) for _ in range(20)]), 12)
+    made = lambda: np.append(np.tile(r.integers(0, 12, 4), 8), 12)  # noqa: E731  the token four places before decides
+    seen, unseen = [made() for _ in range(300)] + [text()], [made() for _ in range(40)]
+    klass = np.append(np.arange(12), 15)
+    pairs = np.ones((17, 16))
+    first, second = lm.tables(pairs, 8)
+    m = lm.Model(klass, np.zeros(n_ids, np.float32), first, second, lm.init_weights(16, 8))
+    before = lm.score_texts(m, unseen).sum()
+    _, y, x = lm.laid_out(m, seen)
+    at, n, _ = lm.windows(np.array([len(t) for t in seen]))
+    place = at[:, None] + np.minimum(np.arange(lm.SPAN), n[:, None] - 1)
+    m.weights = lm.train_steps(m.weights, first, x[place], y[place] // 2, np.arange(lm.SPAN) < n[:, None], 400)
+    assert lm.score_texts(m, unseen).sum() > 0.8 * before
+
+
 def test_toxicity(spark):
     calm, rude = ["kind", "garden", "river", "letter", "music"], ["kind", "garden", "idiot", "trash", "hate"]
     docs = [(k, " ".join(RNG.choice(rude if k % 2 else calm, 25))) for k in range(400)] + [(1000 + k, t) for k, t in enumerate(EDGES)] + [(None, "x"), (1, "x")]
