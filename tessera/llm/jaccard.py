@@ -42,6 +42,8 @@ PERCENT = 80
 UNIT_BYTES, TOKENS = 4 << 20, 1 << 21
 #: rows of the matrix that one call looks at, about, and pairs of a set and a group in one step
 ROWS, PAIRS = 1 << 18, 1 << 20
+#: heavy leaders that may be broadcast (16 bytes each)
+HEAVY = 1 << 20
 #: sets of one tile of a group, and of one call that opens groups
 TILE = 2048
 #: counts are told apart up to here
@@ -235,9 +237,11 @@ def meetings(token: np.ndarray, node: np.ndarray, n: np.ndarray, group: np.ndarr
 
 def _matches(met: DataFrame, percent: int) -> DataFrame:
     """(node, target): sets and the groups that they meet in the token-group matrix. met: leader, token, node, n, root, size (of the group)."""
-    load = met.groupBy("leader").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("parts"))
     blocks = max(1, -(-met.count() // ROWS))
-    dealt = met.join(load, "leader").withColumn("block", F.pmod(F.xxhash64("leader", F.pmod(F.xxhash64("token"), "parts")), F.lit(blocks)).cast("int"))
+    # fewer than `blocks` leaders have more than ROWS rows
+    heavy = met.groupBy("leader").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = met.join(F.broadcast(heavy) if blocks <= HEAVY else heavy, "leader", "left").withColumn("block", F.pmod(F.xxhash64("leader", F.pmod(F.xxhash64("token"), parts)), F.lit(blocks)).cast("int"))
 
     def run(key, t):
         root, size = t.column("root").to_numpy(), t.column("size").to_numpy()
