@@ -258,8 +258,19 @@ def _apply(op: str, args: list):
     if op == "or":
         return args[0] or args[1]
     if op[0] == "|":
-        return FILTERS[op[1:]](args[0])
-    return _BINARY[op](*args)
+        return FILTERS[op[1:]](_text(args[0]))
+    try:
+        return _BINARY[op](*args)
+    except TypeError as e:
+        raise TemplateError(f"{op} can't take these values") from e
+
+
+def _folded(node):
+    """The constant that an operation on constants gives; one that fails stays, and fails only if it is reached."""
+    try:
+        return Const(_apply(node.op, [x.value for x in node.args]))
+    except TemplateError:
+        return node
 
 
 def fold(node):
@@ -276,7 +287,7 @@ def fold(node):
         return tuple(out)
     if isinstance(node, Op):
         args = tuple(fold(x) for x in node.args)
-        return Const(_apply(node.op, [x.value for x in args])) if all(isinstance(x, Const) for x in args) else Op(node.op, args)
+        return _folded(Op(node.op, args)) if all(isinstance(x, Const) for x in args) else Op(node.op, args)
     if isinstance(node, Field):
         return Field(fold(node.of), node.name)
     if isinstance(node, Out):
@@ -341,9 +352,6 @@ def _value(node) -> Callable[[dict], object]:
         return lambda env: args[0](env) and args[1](env)
     if op == "or":
         return lambda env: args[0](env) or args[1](env)
-    if op[0] == "|":
-        f, a = FILTERS[op[1:]], args[0]
-        return lambda env: f(_text(a(env)))
     return lambda env: _apply(op, [a(env) for a in args])
 
 

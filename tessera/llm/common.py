@@ -30,10 +30,17 @@ M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 LEAN = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
+#: texts are long, so a batch of Spark's 10,000 rows would hold tens of megabytes, several times over
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; workers that the session starts from then on are lean."""
+    """A table of the folder; workers that the session starts from then on are lean, and Arrow batches have BATCH_ROWS rows, unless the session says otherwise."""
     for k, v in LEAN.items():
         spark.sparkContext.environment.setdefault(k, v)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

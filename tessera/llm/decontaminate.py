@@ -16,7 +16,6 @@ alone, by its own text, at every size.
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 
 import numpy as np
@@ -25,11 +24,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, binaries, map_arrow
+from .common import batch, binaries, map_arrow, use
 
 WINDOW = 13
 #: bytes of text that a task holds while the parts of a benchmark of several parts are loaded in turn
 ROUND = 64 << 20
+#: bytes of a part's text; its automaton takes about 13 windows of 13 words for a word, some hundred times as much
+PART = 8 << 20
 #: every ASCII byte that is no letter or digit becomes a space, A-Z become a-z
 _NORM = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -122,6 +123,7 @@ def _rounds(batches, at: int, limit: int):
 
 def _scanned(batches, shares: list, at: int, width: int):
     """Each batch with, for each of its rows, the text, its number of words, runs and items; `at` is the column of texts."""
+    use("decontaminate")
     now, auto, names = None, None, []
     for held in _rounds(batches, at, ROUND if len(shares) > 1 else 0):
         texts = [binaries(b.column(at)) for b in held]
@@ -153,7 +155,7 @@ def _shares(benchmark: DataFrame, limit: int) -> list:
     return shares
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_broadcast_bytes: int = PART) -> DataFrame:
     """doc_id, n_words, the hit runs of words, their spans in the text, and the items found; one row for each row of `docs`."""
     shares = _shares(benchmark, max_broadcast_bytes)
 
@@ -179,7 +181,7 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def reject_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+def reject_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_broadcast_bytes: int = PART) -> DataFrame:
     """The rows of `docs`, with all their columns, that are not contaminated; row by row, without a shuffle."""
     shares = _shares(benchmark, max_broadcast_bytes)
     at = docs.columns.index("text")
@@ -190,7 +192,3 @@ def reject_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIND
             yield b.filter(pa.array([not (hit > 0 and 20 * hit >= n) for hit, (_, n, _, _) in zip(hits, rows, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
-
-
-def items_digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()

@@ -33,13 +33,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, binaries, blocks_for, expand, expand_sorted, filled_blocks, free_name, group_arrow, mix, pack_texts, rolling, settle, squeeze, squeeze_sorted, unpack, use, word_hashes
+from .common import batch, binaries, blocks_for, expand, expand_sorted, filled_blocks, free_name, group_arrow, mix, pack_texts, rolling, settle, slices, squeeze, squeeze_sorted, unpack, use, word_hashes
 from .components import components
 
 WORDS = 5
 PERCENT = 80
-#: bytes of text of one unit, and tokens of one block of counts
-UNIT_BYTES, TOKENS = 4 << 20, 1 << 21
+#: bytes of text of one unit (a compressed one is no humongous object of the JVM), and tokens of one block of counts
+UNIT_BYTES, TOKENS = 1 << 20, 1 << 21
 #: rows of the matrix that one call looks at, about, and pairs of a set and a group in one step
 ROWS, PAIRS = 1 << 18, 1 << 20
 #: heavy leaders that may be broadcast (16 bytes each)
@@ -122,7 +122,7 @@ def _described(docs: DataFrame, width: int, bits: int, n_blocks: int) -> DataFra
                 yield rows("tokens", unit=np.full(len(block), unit), block=block.astype(np.int32), a=[squeeze_sorted(u.values[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], b=[squeeze(count[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)])
             ids, ths, texts, size, k = [], [], [], 0, k + 1
 
-        for b in batches:
+        for b in (x for y in batches for x in slices(y)):
             for i, t, h in zip(b.column(0).to_pylist(), binaries(b.column(1)), b.column(2).to_pylist(), strict=True):
                 ids.append(i)
                 ths.append(h)

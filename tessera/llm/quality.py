@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, binaries, map_arrow, mix, rolling, slices, starts
+from .common import batch, binaries, cache_of, map_arrow, mix, rolling, slices, starts, use
 from .sampling import held_out, labelled_sample
 
 BITS = 18
@@ -49,13 +49,17 @@ class Vocabulary(dict):
         self.shape.append(xxhash.xxh3_64_intdigest(self._RUNS.sub(rb"\1", w.translate(self._SHAPE)), seed=1))
         return k
 
+    def empty(self) -> None:
+        self.clear()
+        self.word, self.shape = array("Q"), array("Q")
+
     def tidy(self) -> None:
         if len(self.word) > self.LIMIT:
-            self.clear()
-            self.word, self.shape = array("Q"), array("Q")
+            self.empty()
 
 
 _vocabulary = Vocabulary()
+cache_of("quality", _vocabulary.empty)
 
 
 def indicators(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -140,11 +144,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, cost: floa
     dim = 1 << bits
     if len(set(labels.tolist())) < 2:
         return QualityModel(np.zeros(dim), np.zeros(dim), 0.0, 1.0, 0.0, bits)
+    # a quarter of the rows is kept for the probabilities: neither ratios nor weights see it
+    fold = np.arange(len(rows)) % 4
     seen = [np.ones(dim), np.ones(dim)]
-    for r, y in zip(rows, labels, strict=True):
-        seen[y][r] += 1
+    for k in np.flatnonzero(fold > 0):
+        seen[labels[k]][rows[k]] += 1
     scale = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
-    fold = np.arange(len(rows)) % 4
 
     def values(r):
         s = scale[r]
@@ -167,6 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, per
     """Fits on at most `per_class` labelled rows of each class, outside the held-out fold."""
 
     def run(batches):
+        use("quality")
         for b in (x for y in batches for x in slices(y)):
             row, f = indicators(binaries(b.column(1)), bits)
             cut = np.searchsorted(row, np.arange(b.num_rows + 1))
@@ -182,6 +188,7 @@ def score(docs: DataFrame, model: QualityModel, folds: int = 5, fold: int = 0, t
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: two arrays of 2**bits
 
     def run(batches):
+        use("quality")
         for b in (x for y in batches for x in slices(y)):
             s = shared.value.scores(binaries(b.column(1)))
             yield batch(doc_id=b.column(0), held_out=b.column(2), score=pa.array(s), predicted=pa.array((s >= threshold).astype(np.int32)))
@@ -196,6 +203,7 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD
     at = docs.columns.index("text")
 
     def run(batches):
+        use("quality")
         for b in (x for y in batches for x in slices(y, at)):
             yield b.filter(pa.array(shared.value.scores(binaries(b.column(at))) >= threshold))
 

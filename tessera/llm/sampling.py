@@ -22,10 +22,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
     The ids are the first in the order of a hash, so the sample is the same at each run.
     Only ids are broadcast, at most twice `per_class`.  Null labels and ids don't count;
-    an id with several labels takes the smallest.
+    an id with several labels takes the smallest, an id with several texts the smallest text.
     """
     counts = per_class if isinstance(per_class, tuple) else (per_class, per_class)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("label").alias("label")).where(~held_out(folds, fold))
     ids = reduce(DataFrame.unionByName, [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in enumerate(counts)])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", "label")

@@ -6,8 +6,8 @@ gates reads each window of words in both directions; attention pools its states
 48 words overlap by 12 and cover the whole text; a text's logit is the largest of its
 windows', turned into a probability by a logistic fit on rows that training didn't see.
 
-Training uses a bounded sample of labelled rows (``per_class`` of each label by hash order,
-texts of at most ``max_train_bytes``), learns from all windows of a text at once (weighted by
+Training uses a bounded sample of labelled rows (``per_class`` of each label by hash order; of a text of more
+than ``max_windows`` windows, so many spread evenly over all of it), learns from all windows of a text at once (weighted by
 the softmax of their logits), by Adam.  Each step also learns from a few texts that say one word of
 a clean text over and over, as clean, since such texts drive a recurrent state where no other does.  Null and empty texts are one empty window.
 With no labelled rows of both classes every score is 0.5.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, binaries, map_arrow, mix, slices, starts, word_hashes
+from .common import batch, binaries, map_arrow, mix, slices, starts, use, word_hashes
 from .quality import logistic_fit
 from .sampling import held_out, labelled_sample
 
@@ -30,6 +30,8 @@ SPAN, STEP, HIDDEN, WIDTH = 48, 36, 8, 8
 WORD_BITS, CHAR_BITS = 14, 12
 PER_CLASS = (2500, 1200)
 THRESHOLD = 0.7
+#: windows of one text that training sees
+MAX_WINDOWS = 80
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,11 +239,26 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 5, size: int = 64,
     return ToxicityModel(p, *logistic_fit(model.logits([texts[k] for k in unseen]), labels[unseen].astype(float)))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, per_class: tuple[int, int] = PER_CLASS, max_train_bytes: int = 12_000) -> ToxicityModel:
+def spread_windows(text: bytes, most: int) -> bytes:
+    """The text, or of a long one the words of at most `most` windows, evenly spread from its first to its last."""
+    words = text.lower().split()
+    _, first, n = cut_windows(np.array([len(words)], np.int64))
+    if len(first) <= most:
+        return b" ".join(words)
+    at = np.unique(np.linspace(0, len(first) - 1, most).astype(np.int64))
+    return b" ".join(w for k in at.tolist() for w in words[int(first[k]) : int(first[k] + n[k])])
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, per_class: tuple[int, int] = PER_CLASS, max_windows: int = MAX_WINDOWS) -> ToxicityModel:
     """Fits on a bounded sample of labelled rows outside the held-out fold."""
-    sample = labelled_sample(docs, labels, "toxic", folds, fold, per_class).where(F.octet_length("text") <= max_train_bytes)
-    rows = sorted(sample.select("doc_id", "text", "label").collect(), key=lambda r: (r[0], r[1]))
-    return fit([r[1].encode() for r in rows], np.array([r[2] for r in rows], np.int64))
+
+    def run(batches):
+        for b in (x for y in batches for x in slices(y)):
+            yield batch(doc_id=b.column(0), label=b.column(2), text=pa.array([spread_windows(t, max_windows) for t in binaries(b.column(1))], pa.binary()))
+
+    sample = labelled_sample(docs, labels, "toxic", folds, fold, per_class)
+    rows = sorted(map_arrow(sample, run, "doc_id long, label int, text binary").collect(), key=lambda r: (r[0], r[2]))
+    return fit([bytes(r[2]) for r in rows], np.array([r[1] for r in rows], np.int64))
 
 
 def score(docs: DataFrame, model: ToxicityModel, folds: int = 3, fold: int = 1, threshold: float = THRESHOLD) -> DataFrame:
@@ -249,6 +266,7 @@ def score(docs: DataFrame, model: ToxicityModel, folds: int = 3, fold: int = 1,
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def run(batches):
+        use("toxicity")
         for b in (x for y in batches for x in slices(y)):
             s = shared.value.scores(binaries(b.column(1)))
             yield batch(doc_id=b.column(0), held_out=b.column(2), score=pa.array(s), predicted=pa.array((s >= threshold).astype(np.int32)))
