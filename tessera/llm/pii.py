@@ -1,15 +1,16 @@
 """Surrogates for personal data, with DataFrame functions alone.
 
-Found are e-mail addresses, IPv4 addresses, phone numbers, card numbers, social security numbers, bank account
+Found are e-mail addresses, IPv4 and IPv6 addresses, phone numbers, card numbers, social security numbers, bank account
 numbers (IBAN), cloud access keys, values after words such as password and token, and persons named
-after a title.  Each gets a keyed surrogate of the same type and format: digits stay digits, letters
+after a title, whose names are then replaced in all of the text, with or without it.  Each gets a keyed surrogate of the same type and format: digits stay digits, letters
 letters of their case, separators, lengths, country codes and titles stay, octets stay below 256, valid card
-numbers stay valid, names get names of their title's gender in their own script.
+numbers stay valid, names get names of their title's gender in their own script (none is known after Dr or Prof).
 
 The same entity gets the same surrogate in all documents and in every way of writing it (case of an
-address, separators of a number); a surname has one surrogate with or without a first name.
+address, separators of a number); a surname has one surrogate with or without a first name, and so has a domain for all its addresses.
 Distinct entities of a type get distinct surrogates, none of which is an entity of the corpus: all
-entities are checked at once, and those in collision draw again until none is left.
+entities are checked at once, and those in collision draw again until none is left.  After `WIDE` draws the lengths of
+octets go, and local parts, domains and secrets grow, so that short formats can't run out.
 
 Null texts stay null, empty ones empty; texts without a find stay as they are.  Only texts with a find are
 shuffled.  Results depend on the text and the key, so repeated rows and null ids need no rule.
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import settle
 
 KEY = "surrogates-1"
+#: draws that keep the length of short formats
+WIDE = 8
 
 # What is looked for, in this order at each place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
@@ -30,6 +33,7 @@ ASSIGNED = r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
+IP6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
 CARD = r"(?<![0-9+])(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 #: groups of 3, 3 and 4 digits, with or without a country code; other international numbers of 8 to 15 digits after a plus; ten digits in a row
@@ -40,10 +44,12 @@ PHONE = (
 #: the country code at the head of an international number
 COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 MALE, FEMALE = "Mr|Herr|Señor|Sr|Monsieur|Господин|Κύριος", "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Госпожа|Κυρία"
-PERSON = rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})"
-ANY = "|".join((EMAIL, ASSIGNED, ACCESS_KEY, IBAN, IP, CARD, SSN, PHONE, PERSON))
+NEUTRAL = "Dr|Prof|Doctor|Professor|Доктор|Профессор"
+NAME = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)?"
+PERSON = rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {NAME}(?: {NAME})?(?!\p{{L}})"
+ANY = "|".join((EMAIL, ASSIGNED, ACCESS_KEY, IBAN, IP6, IP, CARD, SSN, PHONE, PERSON))
 #: without one of these a text holds nothing that is looked for
-HINT = rf"[0-9@]|(?i:pass|pwd|secret|token|api)|{MALE}|{FEMALE}"
+HINT = rf"[0-9@]|(?i:pass|pwd|secret|token|api)|{MALE}|{FEMALE}|{NEUTRAL}|::"
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: name syllables and endings by script
@@ -64,13 +70,17 @@ def _pieces(text: Column) -> Column:
         head = F.regexp_extract(m, r"^((?i:[a-z_-]+)\s{0,2}[=:]\s{0,2}[\"']?)", 1)
         secret = F.substring(m, F.length(head) + 1, F.length(m))
         title = F.regexp_extract(m, r"^(\p{L}+\.? )", 1)
-        gender = F.when(title.rlike(rf"^(?:{FEMALE})[. ]"), "FIRST_F").otherwise("FIRST_M")
+        gender = F.when(title.rlike(rf"^(?:{FEMALE})[. ]"), "FIRST_F").when(title.rlike(rf"^(?:{NEUTRAL})[. ]"), "FIRST").otherwise("FIRST_M")
+        host = F.substring_index(m, "@", -1)
+        tld = F.regexp_extract(host, r"(\.[^.]*)$", 1)
+        local, domain = F.substring_index(m, "@", 1), F.substring(host, F.lit(1), F.length(host) - F.length(tld))
         names = F.split(F.substring(m, F.length(title) + 1, F.length(m)), " ")
         return (
-            F.when(full(EMAIL), F.array(s(m, F.lit("EMAIL"), F.lower(m))))
+            F.when(full(EMAIL), F.array(s(local, F.lit("LOCAL"), F.lower(local)), s(F.lit("@")), s(domain, F.lit("DOMAIN"), F.lower(domain)), s(tld)))
             .when(full(ASSIGNED), F.array(s(head), s(secret, F.lit("SECRET"), secret)))
             .when(full(ACCESS_KEY), F.array(s(m, F.lit("ACCESS_KEY"), m)))
             .when(full(IBAN), F.array(s(m, F.lit("IBAN"), F.regexp_replace(m, " ", ""))))
+            .when(full(IP6), F.array(s(m, F.lit("IP6"), F.lower(m))))
             .when(full(IP), F.array(s(m, F.lit("IP"), m)))
             .when(full(CARD), F.array(s(m, F.lit("CARD"), digits(m))))
             .when(full(SSN), F.array(s(m, F.lit("SSN"), digits(m))))
@@ -92,7 +102,9 @@ def _surrogate(kind: Column, norm: Column, nonce: Column, key: str) -> Column:
     """The nonce-th draw for an entity, in its normal form."""
     stream = F.concat_ws("", F.transform(F.sequence(F.lit(0), (F.length(norm) / 60).cast("int") + 1), lambda r: F.sha2(F.concat_ws("\u0001", F.lit(key), kind, norm, nonce.cast("string"), r.cast("string")), 512)))
     byte = lambda i: F.conv(F.substring(stream, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-    hexed = norm.rlike("^[0-9a-f]+$")
+    hexed = norm.rlike("^[0-9a-f:]+$")
+    wide = nonce >= WIDE
+    longer = F.when(wide, F.substring(stream, 101, 8)).otherwise("")
 
     def letters(text: Column, shift: int = 0) -> Column:
         def one(i: Column) -> Column:
@@ -102,8 +114,7 @@ def _surrogate(kind: Column, norm: Column, nonce: Column, key: str) -> Column:
         return F.when(F.length(text) > 0, F.concat_ws("", F.transform(F.sequence(F.lit(1), F.length(text)), one))).otherwise("")
 
     n = F.length(norm)
-    mail = F.concat(letters(F.regexp_extract(norm, "^([^@]*)@", 1)), F.lit("@"), letters(F.regexp_extract(norm, r"@(.*)\.[^.]*$", 1), 40), F.regexp_extract(norm, r"(\.[^.]*)$", 1))
-    octet = lambda o, i: F.when(F.length(o) == 1, byte(i + 1) % 9 + 1).when(F.length(o) == 2, byte(i + 1) % 90 + 10).otherwise(byte(i + 1) % 156 + 100)
+    octet = lambda o, i: F.when(wide, byte(2 * i + 1) % 254 + 1).when(F.length(o) == 1, byte(i + 1) % 9 + 1).when(F.length(o) == 2, byte(i + 1) % 90 + 10).otherwise(byte(i + 1) % 156 + 100)
     ip = F.concat_ws(".", F.transform(F.split(norm, r"\."), lambda o, i: octet(o, i).cast("string")))
 
     def luhn(text: Column) -> Column:  # the sum that is divisible by 10 in a valid number
@@ -125,7 +136,7 @@ def _surrogate(kind: Column, norm: Column, nonce: Column, key: str) -> Column:
 
     names = F.when(norm.rlike(r"\p{IsCyrillic}"), name("cyrillic")).when(norm.rlike(r"\p{IsGreek}"), name("greek")).otherwise(name("latin"))
     fixed = F.when(kind == "ACCESS_KEY", F.concat(F.substring(norm, 1, 4), letters(F.substring(norm, F.lit(5), n), 4)))
-    return fixed.when(kind == "EMAIL", mail).when(kind == "IP", ip).when(kind == "CARD", card).when(kind == "PHONE", phone).when(kind == "IBAN", F.concat(F.substring(norm, 1, 2), letters(F.substring(norm, F.lit(3), n), 2))).when(kind.isin("SECRET", "SSN"), letters(norm)).otherwise(names)
+    return fixed.when(kind.isin("LOCAL", "DOMAIN", "SECRET"), F.concat(letters(norm), longer)).when(kind == "IP", ip).when(kind == "CARD", card).when(kind == "PHONE", phone).when(kind == "IBAN", F.concat(F.substring(norm, 1, 2), letters(F.substring(norm, F.lit(3), n), 2))).when(kind.isin("IP6", "SSN"), letters(norm)).otherwise(names)
 
 
 def surrogates(entities: DataFrame, key: str = KEY, rounds: int = 40) -> DataFrame:
@@ -152,21 +163,27 @@ def _laid_out(lit: Column, kind: Column, made: Column) -> Column:
     own = F.when(kind == "PHONE", F.regexp_replace(made, "[^0-9]", "")).otherwise(made)
     spread = F.aggregate(F.split(lit, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), lambda a, c: F.struct(F.when(c.rlike("[0-9A-Za-z]"), F.concat(a.out, F.substring(own, a.k + 1, F.lit(1)))).otherwise(F.concat(a.out, c)).alias("out"), (a.k + c.rlike("[0-9A-Za-z]").cast("int")).alias("k"))).out
     cased = F.concat_ws("", F.zip_with(F.split(lit, ""), F.split(made, ""), lambda o, m: F.when(o.between("A", "Z"), F.upper(m)).otherwise(m)))
-    return F.when(kind.isin("CARD", "PHONE", "SSN", "IBAN"), spread).when(kind == "EMAIL", F.when(lit == F.lower(lit), made).otherwise(cased)).otherwise(made)
+    return F.when(kind.isin("CARD", "PHONE", "SSN", "IBAN"), spread).when(kind.isin("LOCAL", "DOMAIN", "IP6"), F.when(lit == F.lower(lit), made).otherwise(cased)).otherwise(made)
 
 
 def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text", count: str | None = None) -> DataFrame:
     """`docs` with surrogates in the texts, all columns kept; `count` names a column for the number of entities."""
     has = F.coalesce(F.col(text).rlike(HINT) & F.col(text).rlike(ANY), F.lit(False))
     free = docs.where(~has)
-    mine = docs.where(has).select(F.struct("*").alias("_row"), F.col(text).alias("_text"), F.sha2(F.col(text).cast("binary"), 256).alias("_key"))
+    mine = settle(docs.where(has).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"), F.sha2(F.col(text).cast("binary"), 256).alias("_key")))
     cut = mine.dropDuplicates(["_key"]).select("_key", F.posexplode(_pieces(F.col("_text"))).alias("pos", "piece")).select("_key", "pos", "piece.*")
     cut = settle(cut)
     made = surrogates(cut.where("kind is not null").select("kind", "norm"), key)
-    whole = cut.join(made, ["kind", "norm"], "left").select("_key", "kind", F.struct("pos", F.coalesce(_laid_out(F.col("lit"), F.col("kind"), F.col("made")), F.col("lit")).alias("out")).alias("part"))
-    whole = whole.groupBy("_key").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.count("kind").alias("_n")).select("_key", F.concat_ws("", F.col("parts.out")).alias("_new"), "_n")
+    name = F.when(F.col("kind").startswith("FIRST") | (F.col("kind") == "LAST"), F.struct(F.col("norm").alias("was"), F.col("made").alias("now")))
+    whole = cut.join(made, ["kind", "norm"], "left").select("_key", "kind", name.alias("name"), F.struct("pos", F.coalesce(_laid_out(F.col("lit"), F.col("kind"), F.col("made")), F.col("lit")).alias("out")).alias("part"))
+    whole = whole.groupBy("_key").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.array_sort(F.collect_set("name")).alias("names"), F.count(F.when(F.col("kind") != "DOMAIN", 1)).alias("_n"))
+    # a name found after a title goes wherever else it stands in the text
+    again = lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{L})"), x.was, F.lit(r"(?!\p{L})")), x.now)
+    whole = whole.select("_key", F.aggregate("names", F.concat_ws("", F.col("parts.out")), again).alias("_new"), "_n")
     out = mine.join(whole, "_key")
     cols = [F.col("_new").alias(text) if c == text else F.col("_row")[c].alias(c) for c in docs.columns]
+    if count in docs.columns:
+        raise ValueError(f"a column {count} is there already")
     out = out.select(*cols, *([F.col("_n").alias(count)] if count else []))
     return free.select("*", *([F.lit(0).cast("long").alias(count)] if count else [])).unionByName(out)
 

@@ -210,6 +210,22 @@ def test_surrogates(spark):
     assert pii.replace_entities(d.limit(0)).count() == 0
 
 
+def test_names_addresses_and_short_formats(spark):
+    rows = [(1, "Dr Anna Miller wrote. Later Anna Miller and Miller left; Millerton stayed. Prof. O'Neil-x no."), (2, "a@corp.example.org and b@corp.example.org and A@other.org"), (3, "from 2001:db8::ff00:42:8329 and 2001:0db8:0000:0000:0000:ff00:0042:8329 at 12:34:56")]
+    rows += [(100 + k, f"host {k // 81 % 9 + 1}.{k // 9 % 9 + 1}.{k % 9 + 1}.{k // 729 + 1} up, mail {chr(97 + k % 26)}@x{k}.org") for k in range(3400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n) for r in pii.replace_entities(d, count="n").collect()}
+    one = got[1][0]
+    assert not re.search(r"Anna|\bMiller\b", one) and "Millerton" in one
+    first, last = re.match(r"Dr (\w+) (\w+) wrote\. Later (?=\1 \2 and \2 left)", one).groups()
+    assert first != last
+    a, b, c = (x.split("@") for x in re.findall(r"\S+@\S+", got[2][0]))
+    assert a[1] == b[1] != c[1] and a[0] != b[0] and a[0] == c[0].lower() and got[2][1] == 3
+    assert "2001:" not in got[3][0] and "12:34:56" in got[3][0] and got[3][1] == 2
+    ips = [re.match(r"host (\S+) up", got[100 + k][0])[1] for k in range(3400)]
+    assert len(set(ips)) == 3400 and not set(ips) & {re.match(r"host (\S+) up", t)[1] for i, t in rows if i >= 100}
+
+
 def test_phones_and_cards_in_other_forms(spark):
     phones = ["+44 20 7946 0958", "+33 1 23 45 67 89", "5551234567", "(555)123-4567", "+1 (743) 555-3824", "212.555.0188"]
     finds = [*phones, "3782 822463 10005", "3782-822463-10005"]
