@@ -38,7 +38,7 @@ def parse(text: str):
         if kind == "feature":
             return Feature(v[1:].lower())
         if kind == "number":
-            return Window(int(v)) if window and v.isdigit() else Constant(float(v))
+            return Window(int(float(v))) if window and float(v).is_integer() else Constant(float(v))
         if kind != "name" or v not in V.OPERATORS:
             raise ExpressionError(f"unexpected {v!r}")
         n, windowed = V.OPERATORS[v]
@@ -60,8 +60,8 @@ def parse(text: str):
 
 
 def parse_tagged(response: str):
-    """The expression of a response that has exactly one <expr>...</expr>."""
-    found = re.findall(r"<expr>(.*?)</expr>", response, re.I | re.S)
-    if len(found) != 1:
-        raise ExpressionError(f"{len(found)} tagged expressions, not 1")
-    return parse(found[0].strip())
+    """The expression of a response that is one <expr>...</expr> and nothing else but white space."""
+    whole = response.strip()
+    if not (len(whole) > 12 and whole[:6].lower() == "<expr>" and whole[-7:].lower() == "</expr>"):
+        raise ExpressionError("the response is not one tagged expression")
+    return parse(whole[6:-7].strip())

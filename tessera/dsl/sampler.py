@@ -8,6 +8,8 @@ from . import vocabulary as V
 from .ast import Call, Constant, ExpressionError, Feature, Window, check_limits
 
 LEAF, TRIES = 0.22, 100
+#: a family is drawn first, then one of its operators
+FAMILIES = (V.UNARY, V.BINARY, V.ROLLING, V.PAIR_ROLLING, V.CROSS_SECTION)
 
 
 def sample(rng: random.Random, max_depth: int = V.MAX_DEPTH):
@@ -16,7 +18,7 @@ def sample(rng: random.Random, max_depth: int = V.MAX_DEPTH):
     def grow(depth: int):
         if depth <= 1 or rng.random() < LEAF:
             return Feature(rng.choice(V.FEATURES))
-        op = rng.choice(sorted(V.OPERATORS))
+        op = rng.choice(rng.choice(FAMILIES))
         n, windowed = V.OPERATORS[op]
         args = [grow(depth - 1) for _ in range(n)]
         if n == 2 and not windowed and rng.random() < 0.2:

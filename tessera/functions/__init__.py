@@ -36,11 +36,6 @@ def clip(x: Column, low: Column, high: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.least(x, high), low))
 
 
-def compound(x: Column) -> Column:
-    """log(1 + x) of a return above -1, for sums of returns."""
-    return F.when(x > -1, F.log1p(x))
-
-
 #: fixed values: twelve industries, the first range that holds the code wins
 INDUSTRIES = (
     ("NoDur", ((100, 999), (2000, 2399), (2700, 2749), (2770, 2799), (3100, 3199), (3940, 3989))),

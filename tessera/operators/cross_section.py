@@ -58,28 +58,36 @@ def prepare_exposure(df: DataFrame, x: str, out: str, mask: Column) -> DataFrame
 def residuals(df: DataFrame, targets: list[str], exposures: list[str], mask: Column) -> DataFrame:
     """OLS residuals `<target>_res` of all targets on the exposures (with intercept), date by date.
 
-    One grouped call for each date solves all targets; a ridge of 1e-10 steps in when the exposures are
+    One grouped call for each date, on the columns that it needs; targets that are present on the same rows share one factorisation.
+    A ridge of 1e-10 steps in when the exposures are
     rank-deficient or their condition exceeds 1e12; dates with no more rows than columns get nulls.
     """
-    schema = StructType([*df.schema.fields, *(StructField(f"{x}_res", DoubleType()) for x in targets)])
-    rows = df.withColumn("_use", mask)
+    schema = StructType([df.schema["a"], df.schema["t"], *(StructField(f"{x}_res", DoubleType()) for x in targets)])
+    rows = df.where(F.coalesce(mask, F.lit(False))).select("a", "t", *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*targets, *exposures])])
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        for x in targets:
-            y = part[x].astype(float)
-            use = part["_use"].fillna(False).astype(bool) & y.notna() & part[exposures].notna().all(axis=1)
-            out = pd.Series(np.nan, part.index)
-            design = np.column_stack([np.ones(int(use.sum())), part.loc[use, exposures].astype(float)])
-            if len(design) > design.shape[1]:
-                q, r = np.linalg.qr(design)
-                bad = np.linalg.matrix_rank(design) < design.shape[1] or np.linalg.cond(r) > 1e12
-                own = y[use].to_numpy()
-                beta = np.linalg.solve(design.T @ design + 1e-10 * np.eye(design.shape[1]), design.T @ own) if bad else np.linalg.solve(r, q.T @ own)
-                out[use] = own - design @ beta
-            part[f"{x}_res"] = out
-        return part.drop(columns="_use")
-
-    return rows.groupBy("t").applyInPandas(one, schema)
+        risk, y = part[exposures].to_numpy(float), part[targets].to_numpy(float)
+        there = ~np.isnan(y) & ~np.isnan(risk).any(axis=1)[:, None]
+        out = np.full(y.shape, np.nan)
+        supports: dict[bytes, list[int]] = {}
+        for k in range(y.shape[1]):
+            supports.setdefault(there[:, k].tobytes(), []).append(k)
+        for own in supports.values():
+            use = there[:, own[0]]
+            design = np.column_stack([np.ones(int(use.sum())), risk[use]])
+            if len(design) <= design.shape[1]:
+                continue
+            q, r = np.linalg.qr(design)
+            b = y[np.ix_(use, own)]
+            s = np.linalg.svd(r, compute_uv=False)
+            bad = s[-1] <= s[0] * max(design.shape) * np.finfo(float).eps or s[0] > 1e12 * s[-1]
+            beta = np.linalg.solve(design.T @ design + 1e-10 * np.eye(design.shape[1]), design.T @ b) if bad else np.linalg.solve(r, q.T @ b)
+            out[np.ix_(use, own)] = b - design @ beta
+        return pd.DataFrame({"a": part["a"], "t": part["t"]} | {f"{x}_res": out[:, k] for k, x in enumerate(targets)})
+
+    solved = rows.groupBy("t").applyInPandas(one, schema)
+    solved = solved.withColumns({f"{x}_res": F.when(~F.isnan(f"{x}_res"), F.col(f"{x}_res")) for x in targets})
+    return df.join(solved, ["a", "t"], "left")
 
 
 def combine(columns: dict[str, float]) -> tuple[Column, Column]:
@@ -97,3 +105,53 @@ def buckets(score: Column, share: float = 0.2, fewest: int = 10) -> Column:
     k = F.greatest(F.lit(1), F.floor(n * share))
     rn = F.row_number().over(W.partitionBy("t").orderBy(score.asc_nulls_last(), F.col("a")))
     return F.when(score.isNotNull(), F.when((n >= fewest) & (rn > n - k), F.lit(0.5) / k).when((n >= fewest) & (rn <= k), F.lit(-0.5) / k).otherwise(0.0))
+
+
+# --- transforms of factors for the pool -------------------------------------------------------
+
+
+def own_transform(df: DataFrame, factors: list[str], base: Column, exposures: list[str] | None = None, restandardize: bool = True) -> DataFrame:
+    """Each factor on its own rows: standardised where it and the base (with present exposures) are there, residualised on the exposures, z-scored again.
+
+    A factor that is missing or constant on a date is missing there and takes nothing from the others. Results replace the columns.
+    """
+    for e in exposures or []:
+        base = base & F.col(e).isNotNull()
+    base = F.coalesce(base, F.lit(False))
+    for f in factors:
+        df = standardize(df, f, f, base & F.col(f).isNotNull())
+    if exposures:
+        df = residuals(df, factors, exposures, base).drop(*factors)
+        df = df.withColumnsRenamed({f"{f}_res": f for f in factors})
+        if restandardize:
+            df = df.withColumns({f: cs_zscore(F.col(f), base, FLAT) for f in factors})
+    return df
+
+
+def fixed_universe(df: DataFrame, factors: list[str], label: str, base: Column, exposures: list[str] | None = None, metric: str = "metric") -> DataFrame:
+    """Factors and label on one universe: base rows with a label (and exposures), standardised label, missing factors as 0, all residualised together.
+
+    Adds the universe as `metric`; outside it factors and label are null. Dates with no more rows than exposure columns drop out.
+    """
+    rows = F.coalesce(base, F.lit(False)) & F.col(label).isNotNull()
+    for e in exposures or []:
+        rows = rows & F.col(e).isNotNull()
+    df = standardize(df.withColumn(metric, rows), label, label, F.col(metric))
+    df = df.withColumn(metric, F.col(metric) & F.col(label).isNotNull())
+    df = df.withColumns({f: F.when(F.col(metric), F.coalesce(F.col(f), F.lit(0.0))) for f in factors})
+    if exposures:
+        own = [*factors, label]
+        df = residuals(df, own, exposures, F.col(metric)).drop(*own).withColumnsRenamed({f"{f}_res": f for f in own})
+        df = df.withColumn(metric, F.col(metric) & F.col(label).isNotNull())
+    return df.withColumns({c: F.when(F.col(metric), F.col(c)) for c in [*factors, label]})
+
+
+def joint_transform(df: DataFrame, factors: list[str], label: str, mask: Column) -> DataFrame:
+    """The older form: only rows where all factors and the label are there, each standardised on them."""
+    rows = F.coalesce(mask, F.lit(False)) & F.col(label).isNotNull()
+    for f in factors:
+        rows = rows & F.col(f).isNotNull()
+    df = df.withColumn("_rows", rows)
+    for c in [*factors, label]:
+        df = standardize(df, c, c, F.col("_rows"))
+    return df.drop("_rows")

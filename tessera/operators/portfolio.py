@@ -36,13 +36,39 @@ def returns(held: DataFrame, panel: DataFrame, r: str = "return") -> DataFrame:
     return own.groupBy("t").agg(F.sum(F.col("weight") * F.coalesce("_r", F.lit(0.0))).alias("ret"), F.sum(size).alias("gross"), F.try_divide(F.sum(F.when(F.col("_r").isNotNull(), size)), F.sum(size)).alias("coverage"))
 
 
+def liquidation(held: DataFrame, last: int) -> DataFrame:
+    """t, turnover of closing the net holdings after the last day's return, once."""
+    return held.where(F.col("t") == last).groupBy("t").agg(F.sum(F.abs("weight")).alias("turnover"))
+
+
+def net_returns(path: DataFrame, moved: DataFrame, cost_bps: float) -> DataFrame:
+    """The path with its turnover (0 on days without) and the return after costs."""
+    cost = moved.groupBy("t").agg(F.sum("turnover").alias("turnover"))
+    both = path.join(cost, "t", "left").withColumn("turnover", F.coalesce("turnover", F.lit(0.0)))
+    return both.withColumn("net", F.col("ret") - F.lit(cost_bps / 10000.0) * F.col("turnover"))
+
+
 def metrics(path: DataFrame, r: str = "ret", year: float = 252.0) -> DataFrame:
-    """One row: days, total and annual return, volatility, Sharpe ratio, maximum drawdown."""
-    so_far = W.partitionBy(F.lit(0)).orderBy("t").rowsBetween(W.unboundedPreceding, 0)
-    p = path.withColumn("_w", F.product(1 + F.col(r)).over(so_far))
-    p = p.withColumn("_dd", F.col("_w") / F.greatest(F.lit(1.0), F.max("_w").over(so_far)) - 1)
-    one = p.agg(F.count(r).alias("days"), (F.product(1 + F.col(r)) - 1).alias("total"), (F.avg(r) * year).alias("mean"), (F.stddev_samp(r) * F.sqrt(F.lit(year))).alias("vol"), F.min("_dd").alias("drawdown"))
-    return one.withColumn("sharpe", F.try_divide("mean", "vol"))
+    """One row: days, total return, growth a year, mean and volatility a year, Sharpe ratio, maximum drawdown, invalid.
+
+    Wealth is kept in logarithms. A path without days, with a missing return or with one under -1 is invalid: all but days is null.
+    """
+    so_far = W.partitionBy(F.lit(0)).orderBy("t").rowsBetween(W.unboundedPreceding, 0)  # one row for each date
+    x = F.col(r)
+    p = path.withColumn("_l", F.sum(F.log1p(F.when(x > -1, x))).over(so_far))
+    p = p.withColumn("_dd", F.expm1(F.col("_l") - F.greatest(F.lit(0.0), F.max("_l").over(so_far))))
+    one = p.agg(F.count("*").alias("days"), F.sum(F.log1p(F.when(x > -1, x))).alias("_log"), (F.avg(x) * year).alias("mean"), (F.coalesce(F.stddev_samp(x), F.lit(0.0)) * F.sqrt(F.lit(year))).alias("vol"), F.least(F.lit(0.0), F.min("_dd")).alias("drawdown"), (F.count_if(x.isNull() | F.isnan(x) | (x < -1)) > 0).alias("_bad"), (F.count_if(x == -1) > 0).alias("_ruin"))
+    one = one.withColumn("invalid", F.col("_bad") | (F.col("days") == 0))
+    wealth = F.when(F.col("_ruin"), 0.0).otherwise(F.exp("_log"))
+    one = one.withColumns({"total": wealth - 1, "cagr": F.pow(wealth, F.lit(year) / F.col("days")) - 1, "drawdown": F.when(F.col("_ruin"), -1.0).otherwise(F.col("drawdown")), "sharpe": F.when(F.col("vol") > 0, F.col("mean") / F.col("vol"))})
+    names = ["total", "cagr", "mean", "vol", "sharpe", "drawdown"]
+    return one.select("days", *[F.when(~F.col("invalid"), F.col(c)).alias(c) for c in names], "invalid")
+
+
+def coverage(path: DataFrame) -> DataFrame:
+    """One row: mean gross weight, days with a missing held return, and the share of held weight with a return."""
+    missing = F.col("gross") * (1 - F.coalesce("coverage", F.lit(1.0)))
+    return path.agg(F.avg("gross").alias("average_gross"), F.count_if(missing > 1e-12).alias("missing_days"), F.coalesce(1 - F.sum(missing) / F.when(F.sum("gross") > 0, F.sum("gross")), F.lit(1.0)).alias("held_coverage"))
 
 
 def exposures(held: DataFrame, panel: DataFrame, columns: list[str]) -> DataFrame:

@@ -25,10 +25,38 @@ def fill_missing(facts: DataFrame, lookup: DataFrame, keys: list[str], column: s
     return facts.join(found, keys, "left").withColumn(column, filled).drop("_fill")
 
 
-def in_interval(facts: DataFrame, intervals: DataFrame, key: str = "a", date: str = "d", start: str = "start", end: str = "end") -> DataFrame:
-    """Rows whose date lies in a closed interval of their key; a null end is open."""
+def in_interval(facts: DataFrame, intervals: DataFrame, key: str = "a", date: str = "d", start: str = "start", end: str = "end", open_end: bool = False) -> DataFrame:
+    """Rows whose date lies in a closed interval of their key; a null end is no end that a date could lie before, unless `open_end`."""
     i = intervals.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"))
-    return facts.join(i, (F.col(key) == F.col("_k")) & (F.col(date) >= F.col("_s")) & (F.col("_e").isNull() | (F.col(date) <= F.col("_e"))), "left_semi")
+    return facts.join(i, (F.col(key) == F.col("_k")) & (F.col(date) >= F.col("_s")) & ((F.lit(open_end) & F.col("_e").isNull()) | (F.col(date) <= F.col("_e"))), "left_semi")
+
+
+def linked_records(records: DataFrame, links: DataFrame, key: str, date: str, start: str, end: str) -> DataFrame:
+    """Records joined with the links of their key that hold at the record's date; a link without an end is still open."""
+    valid = (F.col(start) <= F.col(date)) & (F.col(end).isNull() | (F.col(date) <= F.col(end)))
+    return records.join(links, key).where(valid)
+
+
+def last_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One row for each key: the last in a total order."""
+    return first_by(df, keys, [c.desc() for c in order])
+
+
+def one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join whose keys must be unique on both sides."""
+    return require_unique(a, keys).join(require_unique(b, keys), keys)
+
+
+def look_up(facts: DataFrame, table: DataFrame, keys: list[str], defaults: dict[str, object]) -> DataFrame:
+    """The table's columns for each row, or their defaults where it has no such key; its keys must be unique."""
+    out = facts.join(require_unique(table, keys).withColumn("_found", F.lit(True)), keys, "left")
+    return out.withColumns({c: F.when(F.col("_found"), F.col(c)).otherwise(F.lit(v)) for c, v in defaults.items()}).drop("_found")
+
+
+def unsorted_keys(df: DataFrame, key: str, order: str, position: str) -> DataFrame:
+    """Keys whose rows, in the order of `position`, go back in `order` anywhere."""
+    before = F.lag(order).over(W.partitionBy(key).orderBy(position))
+    return df.withColumn("_b", before).where(F.col(order) < F.col("_b")).select(key).distinct()
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -119,15 +119,15 @@ def ema(panel: DataFrame, columns: dict[str, tuple[str, int]]) -> DataFrame:
 
     One grouped call for each asset; an asset's rows are bounded by the calendar.
     """
-    schema = StructType([*panel.schema.fields, *(StructField(name, DoubleType()) for name in columns)])
+    inputs = list(dict.fromkeys(x for x, _ in columns.values()))
+    schema = StructType([panel.schema["a"], panel.schema["t"], *(StructField(name, DoubleType()) for name in columns)])
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
-        for name, (x, w) in columns.items():
-            rows[name] = rows[x].astype(float).ewm(span=w, adjust=False, min_periods=least(w)).mean()
-        return rows
+        return pd.DataFrame({"a": rows["a"], "t": rows["t"]} | {name: rows[x].ewm(span=w, adjust=False, min_periods=least(w)).mean() for name, (x, w) in columns.items()})
 
-    return panel.groupBy("a").applyInPandas(one, schema)
+    narrow = panel.select("a", "t", *[F.col(x).cast("double").alias(x) for x in inputs])
+    return panel.join(narrow.groupBy("a").applyInPandas(one, schema), ["a", "t"], "left")
 
 
 # --- derived series --------------------------------------------------------------------
@@ -155,15 +155,19 @@ def market_model(r: Column, m: Column, w: int, needed: int) -> tuple[Column, Col
     x, y = _jointly(m, r)
     fr = frame(w)
     n, vx, vy, cov = F.count(x).over(fr), F.var_samp(x).over(fr), F.var_samp(y).over(fr), F.covar_samp(x, y).over(fr)
-    slope = F.when((n >= needed) & (vx > FLAT), F.try_divide(cov, vx))
+    slope = F.when((n >= needed) & (vx * (n - 1) > FLAT), F.try_divide(cov, vx))
     return slope, F.when(slope.isNotNull(), F.sqrt(F.greatest(vy - slope * cov, F.lit(0.0))))
 
 
-def drawdown(r: Column) -> Column:
-    """Wealth relative to its highest value so far, the start (1) included, minus 1."""
+def drawdown(df: DataFrame, r: str, out: str) -> DataFrame:
+    """Adds wealth relative to its highest value so far, the start (1) included, minus 1; all in logarithms, so long paths keep their precision.
+
+    Missing returns count as 0; a path ends in null where a return is under -1.
+    """
     so_far = ordered().rowsBetween(W.unboundedPreceding, 0)
-    wealth = F.product(1 + F.coalesce(r, F.lit(0.0))).over(so_far)
-    return wealth, so_far
+    x = F.coalesce(F.col(r), F.lit(0.0))
+    df = df.withColumn("_w", F.when(F.min(x).over(so_far) > -1, F.sum(F.log1p(F.when(x > -1, x))).over(so_far)))
+    return df.withColumn(out, F.expm1(F.col("_w") - F.greatest(F.lit(0.0), F.max("_w").over(so_far)))).drop("_w")
 
 
 def growth(x: Column, key: str, order: str) -> Column:

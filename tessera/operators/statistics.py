@@ -1,10 +1,7 @@
-"""Daily correlations, moments, inference and pool arithmetic on aggregates."""
+"""Daily correlations, ranks, errors of means and false-discovery rates."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,48 +39,31 @@ def average_rank(df: DataFrame, x: str, out: str, keys: list[str]) -> DataFrame:
     return df.withColumn(out, rank)
 
 
-def daily_spearman(df: DataFrame, x: str, y: str, day: str = "t") -> DataFrame:
-    """Rank correlation of each day on the pair's joint rows."""
+def daily_spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
+    """Rank correlation of each day (or of each of `keys`) on the pair's joint rows."""
+    keys = keys or ["t"]
     own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    own = average_rank(average_rank(own, x, "_rx", [day]), y, "_ry", [day])
-    return own.groupBy(day).agg(pearson(F.col("_rx"), F.col("_ry")).alias("rank_ic"))
-
-
-def daily_moments(df: DataFrame, factors: list[str], label: str, day: str = "t", fewest: int = 3) -> DataFrame:
-    """Day-equal means of z_i z_j / n and z_i y / n, over days with enough rows: one row (i, j, value)."""
-    ok = F.col(label).isNotNull()
-    for f in factors:
-        ok = ok & F.col(f).isNotNull()
-    own = df.where(ok)
-    pairs = [(a, b) for k, a in enumerate(factors) for b in [*factors[k:], label]]
-    by = own.groupBy(day).agg(F.count("*").alias("n"), *[F.avg(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in pairs]).where(F.col("n") >= fewest)
-    one = by.agg(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.avg(f"`{a}|{b}`").alias("value")).alias(f"m{k}") for k, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(F.array(*[f"m{k}" for k in range(len(pairs))])))
-
-
-def ridge_weights(moments: DataFrame, factors: list[str], label: str, ridge: float) -> np.ndarray:
-    """(G + ridge I) w = p on the driver, from k * k numbers; the system must be positive definite."""
-    if ridge <= 0:
-        raise ValueError("the ridge must be positive")
-    values = {(r.i, r.j): r.value for r in moments.collect()}
-    g = np.array([[values.get((a, b), values.get((b, a))) for b in factors] for a in factors], float) + ridge * np.eye(len(factors))
-    np.linalg.cholesky(g)
-    return np.linalg.solve(g, np.array([values[a, label] for a in factors], float))
+    own = average_rank(average_rank(own, x, "_rx", keys), y, "_ry", keys)
+    return own.groupBy(*keys).agg(pearson(F.col("_rx"), F.col("_ry")).alias("rank_ic"))
 
 
 # --- inference on daily series ------------------------------------------------------------
 
 
-def hac(series: DataFrame, x: str, lags: int, order: str = "t") -> DataFrame:
-    """n, mean and gap-aware standard error: missing days keep their place and count as 0 deviation, but not in n."""
-    mean = series.agg(F.avg(x).alias("mean"), F.count(x).alias("n"))
-    c = series.join(F.broadcast(mean)).withColumn("_c", F.coalesce(F.col(x) - F.col("mean"), F.lit(0.0)))
-    w = W.partitionBy(F.lit(0)).orderBy(order)  # one series: as many rows as dates
+def hac(series: DataFrame, x: str, lags: int, order: str = "t", keys: list[str] | None = None) -> DataFrame:
+    """n, mean and gap-aware standard error of each series: missing days keep their place and count as 0 deviation, but not in n.
+
+    Lags end at the series' length less one; fewer than two values have no error. A series has as many rows as the calendar.
+    """
+    keys = keys or []
+    mean = series.groupBy(*keys).agg(F.avg(x).alias("mean"), F.count(x).alias("n"), F.least(F.lit(lags), F.count("*") - 1).alias("_m"))
+    c = (series.join(mean, keys) if keys else series.join(F.broadcast(mean))).withColumn("_c", F.coalesce(F.col(x) - F.col("mean"), F.lit(0.0)))
+    w = W.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
     terms = F.col("_c") * F.col("_c")
     for k in range(1, lags + 1):
-        terms = terms + F.lit(2 * (1 - k / (lags + 1))) * F.col("_c") * F.coalesce(F.lag("_c", k).over(w), F.lit(0.0))
+        terms = terms + F.when(F.col("_m") >= k, 2 * (1 - k / (F.col("_m") + 1)) * F.col("_c") * F.coalesce(F.lag("_c", k).over(w), F.lit(0.0))).otherwise(0.0)
     c = c.withColumn("_s", terms)
-    return c.groupBy("n", "mean").agg(F.sum("_s").alias("_s")).select("n", "mean", F.when(F.col("n") > 0, F.sqrt(F.greatest("_s", F.lit(0.0))) / F.col("n")).alias("se"))
+    return c.groupBy(*keys, "n", "mean").agg(F.sum("_s").alias("_s")).select(*keys, "n", "mean", F.when(F.col("n") >= 2, F.sqrt(F.greatest("_s", F.lit(0.0))) / F.col("n")).alias("se"))
 
 
 def newey_west(series: DataFrame, x: str, lags: int, order: str = "t") -> DataFrame:
@@ -100,28 +80,3 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, name: str) -> DataFrame:
     ranked = own.withColumns({"_r": F.row_number().over(up), "_m": F.count(F.lit(1)).over(W.partitionBy(F.lit(0)))})
     q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(up.rowsBetween(0, W.unboundedFollowing)))
     return ranked.withColumn(out, q).drop("_r", "_m").unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
-
-
-def two_sided_p(t: float) -> float:
-    return math.erfc(abs(t) / math.sqrt(2))
-
-
-def block_indices(years: list[int], block: int, samples: int, seed: int) -> np.ndarray:
-    """Rows of moving-block resamples that keep each year's length; drawn once and shared by all series."""
-    rng = np.random.default_rng(seed)
-    y = np.asarray(years)
-    parts = []
-    for year in sorted(set(years)):
-        at = np.flatnonzero(y == year)
-        b = min(block, len(at))
-        first = rng.integers(0, len(at) - b + 1, size=(samples, -(-len(at) // b)))
-        parts.append(at[(first[:, :, None] + np.arange(b)).reshape(samples, -1)[:, : len(at)]])
-    return np.concatenate(parts, axis=1)
-
-
-def bootstrap_interval(values: np.ndarray, years: list[int], block: int = 20, samples: int = 2000, seed: int = 0, level: float = 0.95) -> tuple[float, float]:
-    """Percentile interval of the mean of a daily series; missing values stay out of the means."""
-    drawn = values[block_indices(years, block, samples, seed)]
-    with np.errstate(invalid="ignore"):
-        means = np.nanmean(drawn, axis=1)
-    return tuple(np.nanquantile(means, [(1 - level) / 2, (1 + level) / 2]).tolist())

@@ -19,14 +19,41 @@ def gates(panel: DataFrame, signals: list[str], member: Column, min_assets: int
     return rows.withColumn("status", status)
 
 
-def redundancy(panel: DataFrame, signal: str, pool: list[str], member: Column) -> DataFrame:
-    """pool member, mean absolute daily correlation, pooled correlation, mean absolute daily rank correlation, and their maximum."""
+def redundancy(panel: DataFrame, signals: list[str], pool: list[str], member: Column, min_assets: int = 100) -> DataFrame:
+    """For each signal and pool member: mean absolute daily correlation, absolute pooled correlation, mean absolute daily rank correlation,
+    the largest of them, and the share of the signal's valid days that have a daily correlation. Missing ones count as 0.
+
+    All pairs go through the panel together: one aggregation for the correlations, and one long table of the pairs' joint rows for
+    the ranks. Days of fewer than `min_assets` present values of the signal count for the pooled correlation alone.
+    """
     own = panel.where(member)
-    out = None
-    for m in pool:
-        days = own.groupBy("t").agg(pearson(F.col(signal), F.col(m)).alias("ic")).agg(F.avg(F.abs("ic")).alias("daily"))
-        pooled = own.agg(F.abs(pooled_corr(F.col(signal), F.col(m))).alias("pooled"))
-        ranks = daily_spearman(own, signal, m).agg(F.avg(F.abs("rank_ic")).alias("ranked"))
-        row = days.join(F.broadcast(pooled)).join(F.broadcast(ranks)).select(F.lit(m).alias("member"), "daily", "pooled", "ranked", F.greatest("daily", "pooled", "ranked").alias("strongest"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    days = own.groupBy("t").agg(*[F.count(s).alias(f"n_{s}") for s in signals])
+    pairs = [(s, m) for s in signals for m in pool]
+    pooled = own.agg(*[F.abs(pooled_corr(F.col(s), F.col(m))).alias(f"r{k}") for k, (s, m) in enumerate(pairs)])
+    daily = own.groupBy("t").agg(*[pearson(F.col(s), F.col(m)).alias(f"c{k}") for k, (s, m) in enumerate(pairs)]).join(days, "t")
+    valid = lambda s: F.col(f"n_{s}") >= min_assets
+    one = daily.agg(*[x for k, (s, _) in enumerate(pairs) for x in (F.avg(F.when(valid(s), F.abs(f"c{k}"))).alias(f"d{k}"), F.count(F.when(valid(s), F.col(f"c{k}"))).alias(f"h{k}"))], *[F.count_if(valid(s)).alias(f"v_{s}") for s in signals])
+    rows = one.join(F.broadcast(pooled)).select(F.inline(F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(m).alias("member"), F.coalesce(f"d{k}", F.lit(0.0)).alias("daily"), F.coalesce(f"r{k}", F.lit(0.0)).alias("pooled"), (F.col(f"h{k}") / F.greatest(F.lit(1), F.col(f"v_{s}"))).alias("corr_coverage")) for k, (s, m) in enumerate(pairs)])))
+    joint = own.select("t", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(s).cast("double").alias("x"), F.col(m).cast("double").alias("y")) for k, (s, m) in enumerate(pairs)])).alias("p")).select("t", "p.*").where("x is not null and y is not null")
+    ranks = daily_spearman(joint, "x", "y", ["k", "t"]).join(days, "t")
+    enough = F.lit(False)
+    for k, (s, _) in enumerate(pairs):
+        enough = enough | ((F.col("k") == k) & valid(s))
+    named = F.element_at(F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(m).alias("member")) for s, m in pairs]), F.col("k") + 1)
+    ranked = ranks.where(enough).groupBy("k").agg(F.avg(F.abs("rank_ic")).alias("ranked")).select(named.alias("n"), "ranked").select("n.*", "ranked")
+    out = rows.join(F.broadcast(ranked), ["signal", "member"], "left").withColumn("ranked", F.coalesce("ranked", F.lit(0.0)))
+    return out.withColumn("strongest", F.greatest("daily", "pooled", "ranked"))
+
+
+def validate(panel: DataFrame, signals: list[str], pool: list[str], member: Column, most: float = 0.95, min_assets: int = 100, **limits) -> DataFrame:
+    """The gates of every signal; those that pass them, and only those, are compared with the pool.
+
+    Adds the strongest pool member with its correlations; above `most` the status is near_duplicate_signal.
+    """
+    first = gates(panel, signals, member, min_assets=min_assets, **limits)
+    passed = [r.signal for r in first.where("status = 'valid'").select("signal").collect()]  # one row for each signal
+    empty = "signal string, member string, daily double, pooled double, corr_coverage double, ranked double, strongest double"
+    found = redundancy(panel, passed, pool, member, min_assets) if passed and pool else panel.sparkSession.createDataFrame([], empty)
+    best = found.groupBy("signal").agg(F.max_by(F.struct("member", "daily", "pooled", "ranked", "strongest"), F.struct("strongest", *[(-F.when(F.col("member") == m, k).otherwise(0)) for k, m in enumerate(pool)])).alias("b")).select("signal", "b.*")
+    out = first.join(best, "signal", "left")
+    return out.withColumn("status", F.when(F.col("strongest") > most, "near_duplicate_signal").otherwise(F.col("status")))

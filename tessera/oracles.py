@@ -156,13 +156,13 @@ _HAC_DAYS = f"{_LABEL}, ic AS (SELECT t, {_ic('close', 'y')} AS x FROM lab WHERE
 
 
 def _hac(source: str, lags: int) -> str:
-    terms = " + ".join(f"2 * (1 - {k} / {lags + 1}.0) * c * coalesce(lag(c, {k}) OVER (ORDER BY t), 0)" for k in range(1, lags + 1))
-    return f"""st AS (SELECT avg(x) AS mean, count(x) AS n FROM {source}), cc AS (SELECT t, coalesce(x - mean, 0) AS c FROM {source}, st), ss AS (SELECT c * c + {terms} AS s FROM cc)
-SELECT CAST((SELECT n FROM st) AS BIGINT) AS n, {fold('(SELECT mean FROM st)')} AS mean, {fold('sqrt(greatest(sum(s), 0)) / (SELECT n FROM st)')} AS se FROM ss"""
+    terms = " + ".join(f"CASE WHEN m >= {k} THEN 2 * (1 - {k} / (m + 1.0)) * c * coalesce(lag(c, {k}) OVER (ORDER BY t), 0) ELSE 0 END" for k in range(1, lags + 1))
+    return f"""st AS (SELECT avg(x) AS mean, count(x) AS n, least({lags}, count(*) - 1) AS m FROM {source}), cc AS (SELECT t, m, coalesce(x - mean, 0) AS c FROM {source}, st), ss AS (SELECT c * c + {terms} AS s FROM cc)
+SELECT CAST((SELECT n FROM st) AS BIGINT) AS n, {fold('(SELECT mean FROM st)')} AS mean, {fold('CASE WHEN (SELECT n FROM st) >= 2 THEN sqrt(greatest(sum(s), 0)) / (SELECT n FROM st) END')} AS se FROM ss"""
 
 
 _FUND = """fr AS (SELECT l_suppkey AS a, year(l_shipdate) AS y, sum(l_extendedprice) / 1000 AS rev FROM lineitem GROUP BY 1, 2),
-rec AS (SELECT a, make_date(y, 12, 31) AS datadate, make_date(y, 12, 31) + to_months(6) AS available, rev FROM fr WHERE y % 3 = 1)"""
+rec AS (SELECT a, make_date(y, 12, 31) AS datadate, make_date(y, 12, 31) + to_months(6) AS available, rev FROM fr)"""
 
 QUERIES: dict[str, str] = {
     **{k: sql for k, (_, sql) in SIGNALS.items()},
@@ -173,14 +173,14 @@ QUERIES: dict[str, str] = {
     "sc_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "sc_digits": "SELECT c_custkey, regexp_matches(split_part(c_name, '#', 2), '^[0-9]+$') AS ok, TRY_CAST(split_part(c_name, '#', 2) AS BIGINT) AS n FROM customer",
     "ts_label": f"{PANEL}, {_LABEL} SELECT a, t, {fold('y')} AS v FROM lab",
-    "ts_beta": f"{PANEL}, {_MKT}, j AS (SELECT a, t, CASE WHEN ret IS NOT NULL THEN mret END AS x, CASE WHEN mret IS NOT NULL THEN ret END AS y FROM p LEFT JOIN mk USING (t)) SELECT a, t, {fold(f'CASE WHEN count(x) OVER {win(60)} >= 30 AND var_samp(x) OVER {win(60)} > 1e-12 THEN covar_samp(x, y) OVER {win(60)} / var_samp(x) OVER {win(60)} END')} AS v FROM j",
-    "ts_resid_vol": f"{PANEL}, {_MKT}, j AS (SELECT a, t, CASE WHEN ret IS NOT NULL THEN mret END AS x, CASE WHEN mret IS NOT NULL THEN ret END AS y FROM p LEFT JOIN mk USING (t)), b AS (SELECT *, count(x) OVER {win(60)} AS n, var_samp(x) OVER {win(60)} AS vx, var_samp(y) OVER {win(60)} AS vy, covar_samp(x, y) OVER {win(60)} AS cv FROM j) SELECT a, t, {fold('CASE WHEN n >= 30 AND vx > 1e-12 THEN sqrt(greatest(vy - cv / vx * cv, 0)) END')} AS v FROM b",
+    "ts_beta": f"{PANEL}, {_MKT}, j AS (SELECT a, t, CASE WHEN ret IS NOT NULL THEN mret END AS x, CASE WHEN mret IS NOT NULL THEN ret END AS y FROM p LEFT JOIN mk USING (t)) SELECT a, t, {fold(f'CASE WHEN count(x) OVER {win(60)} >= 30 AND var_samp(x) OVER {win(60)} * (count(x) OVER {win(60)} - 1) > 1e-12 THEN covar_samp(x, y) OVER {win(60)} / var_samp(x) OVER {win(60)} END')} AS v FROM j",
+    "ts_resid_vol": f"{PANEL}, {_MKT}, j AS (SELECT a, t, CASE WHEN ret IS NOT NULL THEN mret END AS x, CASE WHEN mret IS NOT NULL THEN ret END AS y FROM p LEFT JOIN mk USING (t)), b AS (SELECT *, count(x) OVER {win(60)} AS n, var_samp(x) OVER {win(60)} AS vx, var_samp(y) OVER {win(60)} AS vy, covar_samp(x, y) OVER {win(60)} AS cv FROM j) SELECT a, t, {fold('CASE WHEN n >= 30 AND vx * (n - 1) > 1e-12 THEN sqrt(greatest(vy - cv / vx * cv, 0)) END')} AS v FROM b",
     "ts_reversal": f"{PANEL} SELECT a, t, {fold('CASE WHEN count(ret) OVER f = 4 THEN exp(sum(ln(1 + ret)) OVER f) - 1 END')} AS v FROM p WINDOW f AS (PARTITION BY a ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)",
     "ts_momentum": f"{PANEL} SELECT a, t, {fold('CASE WHEN count(ret) OVER f = 6 THEN exp(sum(ln(1 + ret)) OVER f) - 1 END')} AS v FROM p WINDOW f AS (PARTITION BY a ORDER BY t ROWS BETWEEN 8 PRECEDING AND 3 PRECEDING)",
     "ts_amihud": f"{PANEL}, i AS (SELECT a, t, abs(ret) / (abs(close * volume) + 1e-12) AS x FROM p) SELECT a, t, {fold(f'CASE WHEN count(x) OVER {win(20)} >= 15 THEN ln(avg(x) OVER {win(20)}) END')} AS v FROM i",
     "ts_growth": f"WITH {_FUND}, g AS (SELECT a, y, rev, lag(rev) OVER (PARTITION BY a ORDER BY y) AS b FROM fr) SELECT a, CAST(y AS INTEGER) AS y, {fold('CASE WHEN rev > 0 AND b > 0 THEN rev / b - 1 END')} AS v FROM g",
     "ts_interval_overlap": "WITH i AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + INTERVAL 90 DAY AS e, o_orderkey AS id FROM orders), j AS (SELECT *, lag(e) OVER (PARTITION BY k ORDER BY s, e) AS b FROM i) SELECT k, CAST(count(*) AS BIGINT) AS n FROM j WHERE s <= b GROUP BY k",
-    "ts_drawdown": f"{PANEL}, u AS (SELECT a, t, product(1 + coalesce(ret * 0.01, 0)) OVER f AS w FROM p WINDOW f AS (PARTITION BY a ORDER BY t)) SELECT a, t, {fold('w / greatest(1, max(w) OVER (PARTITION BY a ORDER BY t)) - 1')} AS v FROM u",
+    "ts_drawdown": f"{PANEL}, u AS (SELECT a, t, sum(ln(1 + coalesce(ret, 0))) OVER f AS w FROM p WINDOW f AS (PARTITION BY a ORDER BY t)) SELECT a, t, {fold('exp(w - greatest(0, max(w) OVER (PARTITION BY a ORDER BY t))) - 1')} AS v FROM u",
     "cs_standardize": f"{PANEL}, {_STD} SELECT a, t, {fold('z')} AS v FROM s",
     "cs_zscore_plain": f"{PANEL} SELECT a, t, {fold(z_of('volume'))} AS v FROM p",
     "cs_industry_dummies": "SELECT s_suppkey AS a, " + ", ".join(f"CAST(CASE WHEN ind = '{n}' THEN 1 ELSE 0 END AS INTEGER) AS ind_{n.lower()}" for n, _ in INDUSTRIES) + f" FROM (SELECT s_suppkey, {_IND} AS ind FROM (SELECT s_suppkey, (s_suppkey * 137) % 10000 AS code FROM supplier))",
@@ -194,9 +194,9 @@ SELECT a, t, {fold('CASE WHEN member THEN CASE WHEN n >= greatest(3, least(30, f
     "cs_combine": f"{PANEL}, {_LABEL}, {_FACTORS} SELECT a, t, {fold('coalesce(z1, 0) * 0.7 + coalesce(z2, 0) * -0.3')} AS v, (z1 IS NOT NULL OR z2 IS NOT NULL) AS available FROM fac",
     "cs_bucket": f"{PANEL}, {_TARGET} SELECT a, t, {fold('target')} AS v FROM tg",
     "jn_fill": "WITH f AS (SELECT o_orderkey AS k, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS r, o_orderstatus AS flag FROM orders), lk AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1) SELECT f.k, CAST(round(CASE WHEN flag = 'F' AND r IS NULL THEN v ELSE r END, 2) AS DOUBLE) AS v FROM f LEFT JOIN lk USING (k)",
-    "jn_interval_member": f"{PANEL}, iv AS (SELECT s_suppkey AS a, DATE '1995-01-01' + to_months(CAST(s_suppkey % 12 AS INTEGER)) AS s, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE DATE '2001-12-31' - to_months(CAST(s_suppkey % 7 AS INTEGER)) END AS e FROM supplier WHERE s_suppkey % 10 <> 0) SELECT a, t FROM p WHERE EXISTS (SELECT 1 FROM iv WHERE iv.a = p.a AND p.d >= s AND (e IS NULL OR p.d <= e))",
+    "jn_interval_member": f"{PANEL}, iv AS (SELECT s_suppkey AS a, DATE '1995-01-01' + to_months(CAST(s_suppkey % 12 AS INTEGER)) AS s, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE DATE '2001-12-31' - to_months(CAST(s_suppkey % 7 AS INTEGER)) END AS e FROM supplier WHERE s_suppkey % 10 <> 0) SELECT a, t FROM p WHERE EXISTS (SELECT 1 FROM iv WHERE iv.a = p.a AND p.d >= s AND p.d <= e)",
     "jn_link_priority": "WITH k AS (SELECT n_nationkey AS nation, s_suppkey AS a, CASE s_suppkey % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'C' ELSE 'J' END AS prim, DATE '1995-01-01' + to_months(CAST(s_suppkey % 24 AS INTEGER)) AS linkdt FROM supplier JOIN nation ON n_nationkey = s_nationkey) SELECT nation, a, prim FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY CASE prim WHEN 'P' THEN 0 WHEN 'C' THEN 1 ELSE 2 END, linkdt DESC, a) AS rn FROM k) WHERE rn = 1",
-    "jn_asof_expiry": f"{PANEL}, {_FUND} SELECT x.a, x.t, {fold('CASE WHEN x.d <= rec.available + to_months(18) THEN rec.rev END', 4)} AS v FROM p x ASOF LEFT JOIN rec ON x.a = rec.a AND x.d >= rec.available",
+    "jn_asof_expiry": f"{PANEL}, {_FUND} SELECT x.a, x.t, {fold('CASE WHEN x.d <= rec.available + to_months(8) THEN rec.rev END', 4)} AS v FROM p x ASOF LEFT JOIN rec ON x.a = rec.a AND x.d >= rec.available",
     "jn_grid": f"{PANEL} SELECT a, t, d, close IS NOT NULL AS filled FROM p",
     "jn_market": f"{PANEL}, {_MKT} SELECT a, t, {fold('ret - mret')} AS v FROM p LEFT JOIN mk USING (t)",
     "jn_anti_seen": "SELECT DISTINCT sha256(p_type) AS h FROM part WHERE sha256(p_type) NOT IN (SELECT sha256(p_type) FROM part WHERE p_size <= 5)",
@@ -206,13 +206,13 @@ SELECT a, t, {fold('CASE WHEN member THEN CASE WHEN n >= greatest(3, least(30, f
     "ag_ic_zero_rule": f"{PANEL}, {_LABEL} SELECT t, {fold(_ic('c1', 'y', True))} AS ic FROM (SELECT t, y, CASE WHEN close IS NOT NULL THEN 1.0 END AS c1 FROM lab WHERE mask) GROUP BY t",
     "ag_pooled_corr": f"{PANEL}, {_LABEL}, j AS (SELECT close AS x, y FROM lab WHERE mask AND close IS NOT NULL AND y IS NOT NULL) SELECT {fold('CASE WHEN stddev_pop(x) > 1e-12 AND stddev_pop(y) > 1e-12 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END')} AS r FROM j",
     "ag_mean_abs_corr": f"{PANEL}, dd AS (SELECT t, {_ic('close', 'volume')} AS ic FROM p WHERE mask GROUP BY t) SELECT {fold('avg(abs(ic))')} AS r FROM dd",
-    "ag_gram": f"{PANEL}, {_LABEL}, {_FACTORS}, dd AS (SELECT t, avg(z1*z1) AS m11, avg(z1*z2) AS m12, avg(z2*z2) AS m22, avg(z1*y) AS m1y, avg(z2*y) AS m2y FROM fac WHERE z1 IS NOT NULL AND z2 IS NOT NULL AND y IS NOT NULL GROUP BY t HAVING count(*) >= 3) " + " UNION ALL ".join(f"SELECT '{i}' AS i, '{j}' AS j, {fold(f'avg({m})')} AS value FROM dd" for i, j, m in (("z1", "z1", "m11"), ("z1", "z2", "m12"), ("z1", "y", "m1y"), ("z2", "z2", "m22"), ("z2", "y", "m2y"))),
+    "ag_gram": f"{PANEL}, {_LABEL}, {_FACTORS}, dd AS (SELECT t, avg(z1*z1) AS m11, avg(z1*z2) AS m12, avg(z2*z2) AS m22, avg(z1*y) AS m1y, avg(z2*y) AS m2y FROM (SELECT t, coalesce(z1, 0) AS z1, coalesce(z2, 0) AS z2, y FROM fac WHERE mask AND y IS NOT NULL) GROUP BY t HAVING count(*) >= 3) " + " UNION ALL ".join(f"SELECT '{i}' AS i, '{j}' AS j, {fold(f'avg({m})')} AS value FROM dd" for i, j, m in (("z1", "z1", "m11"), ("z1", "z2", "m12"), ("z1", "y", "m1y"), ("z2", "z2", "m22"), ("z2", "y", "m2y"))),
     "ag_missingness": f"{PANEL} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) - count({x}) AS BIGINT) AS nulls, CAST(count(*) FILTER (isnan({x}) OR isinf({x})) AS BIGINT) AS non_finite FROM p" for c, x in (("open", "open"), ("close", "close"), ("volume", "volume"), ("return", "ret"))),
     "ag_date_coverage": f"{PANEL}, s AS (SELECT 'all' AS scope, * FROM p UNION ALL SELECT 'member', * FROM p WHERE member UNION ALL SELECT 'eligible', * FROM p WHERE eligible) SELECT scope, min(d) AS first_day, max(d) AS last_day, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT d) AS BIGINT) AS days, CAST(count(DISTINCT a) AS BIGINT) AS assets FROM s GROUP BY scope",
     "ag_universe_counts": f"{PANEL}, {_LABEL} SELECT t, CAST(count(*) FILTER (member) AS BIGINT) AS members, CAST(count(*) FILTER (eligible) AS BIGINT) AS eligible_n, CAST(count(*) FILTER (mask) AS BIGINT) AS both_n, CAST(count(y) AS BIGINT) AS labels FROM lab GROUP BY t",
     "ag_quantiles": f"{PANEL} SELECT {', '.join(f'{fold(f'quantile_cont(ret, {q})')} AS {n}' for q, n in ((0.001, 'q001'), (0.01, 'q01'), (0.5, 'q50'), (0.99, 'q99'), (0.999, 'q999')))} FROM p",
     "ag_summary": f"{PANEL} SELECT a, {fold('median(ret)')} AS med, {fold('avg(ret)')} AS mean, {fold('stddev_samp(ret)')} AS sd, {fold('avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END)')} AS positive, CAST(count(ret) AS BIGINT) AS n FROM p GROUP BY a",
-    "ag_strict_mean": f"{PANEL} SELECT t, {fold('CASE WHEN count(ret) = count(*) THEN avg(ret) END')} AS v FROM p WHERE a <= 3 GROUP BY t",
+    "ag_strict_mean": f"{PANEL} SELECT nation, t, {fold('CASE WHEN count(ret) = count(*) THEN avg(ret) END')} AS v FROM p GROUP BY nation, t",
     "ag_max_by": "SELECT p_brand, CAST(arg_max(p_partkey, (p_retailprice, p_partkey)) AS BIGINT) AS best, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY p_brand",
     "fl_eligibility": f"{PANEL} SELECT a, t, eligible, mask FROM p",
     "fl_standard": "SELECT DISTINCT c_nationkey AS nation, c_mktsegment AS seg, CAST(o_orderdate AS DATE) + to_months(6) AS available FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'F'".replace("CAST(o_orderdate AS DATE) + to_months(6)", "CAST(CAST(o_orderdate AS DATE) + to_months(6) AS DATE)"),
@@ -227,7 +227,6 @@ SELECT a, t, {fold('CASE WHEN member THEN CASE WHEN n >= greatest(3, least(30, f
     "se_distinct": "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem",
     "se_cross": "SELECT r_name, s.seed, m.method FROM region CROSS JOIN (VALUES (0), (1), (2)) s(seed) CROSS JOIN (VALUES ('random'), ('gp')) m(method)",
     "val_coverage": f"{PANEL}, x AS (SELECT *, {rolled('avg', C, 20)} AS s FROM p), dd AS (SELECT t, count(*) AS n, count(s) AS ns, var_pop(s) AS v FROM x WHERE member GROUP BY t) SELECT {fold('sum(ns) / sum(n)')} AS coverage, CAST(count(*) FILTER (ns >= 5) AS BIGINT) AS valid_days, {fold('count(*) FILTER (ns >= 5 AND v > 1e-12) / nullif(count(*) FILTER (ns >= 5), 0)')} AS variable_rate FROM dd",
-    "val_duplicate": f"{PANEL}, dd AS (SELECT t, {_ic('close', 'high')} AS ic FROM p WHERE mask GROUP BY t), po AS (SELECT abs(covar_pop(close, high) / (stddev_pop(close) * stddev_pop(high))) AS r FROM p WHERE mask AND close IS NOT NULL AND high IS NOT NULL), k AS (SELECT t, rank() OVER (PARTITION BY t ORDER BY close) + (count(*) OVER (PARTITION BY t, close) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY t ORDER BY high) + (count(*) OVER (PARTITION BY t, high) - 1) / 2.0 AS ry FROM p WHERE mask AND close IS NOT NULL AND high IS NOT NULL), rr AS (SELECT t, {_ic('rx', 'ry')} AS ic FROM k GROUP BY t) SELECT 'high' AS member, {fold('(SELECT avg(abs(ic)) FROM dd)')} AS daily, {fold('(SELECT r FROM po)')} AS pooled, {fold('(SELECT avg(abs(ic)) FROM rr)')} AS ranked",
     "po_composite_ic": f"{PANEL}, {_LABEL}, {_FACTORS}, cx AS (SELECT t, y, coalesce(z1, 0) * 0.7 - coalesce(z2, 0) * 0.3 AS s FROM fac WHERE mask) SELECT t, {fold(_ic('s', 'y'))} AS ic FROM cx GROUP BY t",
     "st_gap_hac": f"{PANEL}, {_HAC_DAYS}, {_hac('ser', 4)}",
     "st_nw": f"{PANEL}, {_HAC_DAYS}, pr AS (SELECT row_number() OVER (ORDER BY t) AS t, x FROM ser WHERE x IS NOT NULL), {_hac('pr', 4)}",
@@ -236,7 +235,6 @@ SELECT a, t, {fold('CASE WHEN member THEN CASE WHEN n >= greatest(3, least(30, f
     "pf_sleeve_weights": f"{PANEL}, {_HELD} SELECT a, t, {fold('weight')} AS weight FROM h",
     "pf_turnover": f"{PANEL}, {_TARGET}, nd AS (SELECT max(t) + 1 AS n FROM p), o AS (SELECT t, a, target FROM tg, nd WHERE t % 5 = 0 AND t + 2 < n), b AS (SELECT t + 20 AS t, a, target AS before FROM o WHERE t + 20 IN (SELECT t FROM o)) SELECT CAST(t + 1 AS INTEGER) AS t, {fold('sum(abs(coalesce(target, 0) - coalesce(before, 0)) / 4)')} AS turnover FROM o FULL JOIN b USING (t, a) GROUP BY t",
     "pf_returns": f"{PANEL}, {_HELD} SELECT t, {fold('ret')} AS ret, {fold('gross')} AS gross, {fold('coverage')} AS coverage FROM path",
-    "pf_metrics": f"{PANEL}, {_HELD}, sc AS (SELECT t, ret * 0.01 AS ret FROM path), w AS (SELECT t, ret, product(1 + ret) OVER (ORDER BY t) AS w FROM sc), dd AS (SELECT *, w / greatest(1, max(w) OVER (ORDER BY t)) - 1 AS dd FROM w) SELECT CAST(count(ret) AS BIGINT) AS days, {fold('product(1 + ret) - 1')} AS total, {fold('avg(ret) * 252')} AS mean, {fold('stddev_samp(ret) * sqrt(252)')} AS vol, {fold('min(dd)')} AS drawdown, {fold('avg(ret) * 252 / (stddev_samp(ret) * sqrt(252))')} AS sharpe FROM dd",
     "pf_exposure": f"{PANEL}, {_HELD}, e AS (SELECT h.t, weight, volume FROM h LEFT JOIN p USING (a, t)) SELECT t, {fold('CASE WHEN count(volume) = count(*) THEN sum(weight * volume) END')} AS volume FROM e GROUP BY t",
     "dv_keys": "SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "rp_ic_summary": f"{PANEL}, {_LABEL}, dd AS (SELECT t, any_value(year(d)) AS y, {_ic('close', 'y')} AS ic FROM lab WHERE mask GROUP BY t) SELECT CAST(y AS INTEGER) AS y, CAST(count(ic) AS BIGINT) AS n, {fold('avg(ic)')} AS mean, {fold('stddev_samp(ic)')} AS sd, {fold('avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END)')} AS positive FROM dd GROUP BY y",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import INDUSTRIES, industry, rounded
 from .operators import cross_section as CS
+from .operators import pool as PO
 from .operators import portfolio as PF
 from .operators import relational as RL
 from .operators import rolling as TS
@@ -153,9 +154,7 @@ def ts_interval_overlap(spark, sf_dir):
 
 @panel_query
 def ts_drawdown(p):
-    """Of a hundredth of the return, so that the product keeps its precision."""
-    wealth, so_far = TS.drawdown(F.col("return") * 0.01)
-    return _value(p.withColumn("w", wealth), F.col("w") / F.greatest(F.lit(1.0), F.max("w").over(so_far)) - 1)
+    return _value(TS.drawdown(p, "return", "w"), F.col("w"))
 
 
 # --- cross sections ---------------------------------------------------------------------------
@@ -247,8 +246,8 @@ def jn_link_priority(spark, sf_dir):
 
 @query
 def jn_asof_expiry(spark, sf_dir):
-    rec = _revenue(spark, sf_dir).where("y % 3 = 1").select("a", F.add_months(F.make_date("y", F.lit(12), F.lit(31)), 6).alias("available"), "rev")
-    return RL.as_of(weekly_panel(spark, sf_dir), rec, ["rev"], 18).select("a", "t", rounded(F.col("rev"), 4).alias("v"))
+    rec = _revenue(spark, sf_dir).select("a", F.add_months(F.make_date("y", F.lit(12), F.lit(31)), 6).alias("available"), "rev")
+    return RL.as_of(weekly_panel(spark, sf_dir), rec, ["rev"], 8).select("a", "t", rounded(F.col("rev"), 4).alias("v"))
 
 
 @panel_query
@@ -304,7 +303,11 @@ def ag_mean_abs_corr(p):
 
 @panel_query
 def ag_gram(p):
-    return ST.daily_moments(_factors(p), ["z1", "z2"], "y").select("i", "j", rounded(F.col("value")).alias("value"))
+    """Day-equal moments of two factors and the label, with missing factors as 0."""
+    stats = PO.daily_statistics(_factors(p), ["z1", "z2"], "y", F.col("mask")).where(F.col("n") >= PO.FEWEST)
+    cells = (("z1", "z1", "g0_0"), ("z1", "z2", "g0_1"), ("z2", "z2", "g1_1"), ("z1", "y", "p0"), ("z2", "y", "p1"))
+    one = stats.agg(*[F.avg(m).alias(m) for *_, m in cells])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), rounded(F.col(m)).alias("value")) for i, j, m in cells])))
 
 
 @panel_query
@@ -338,7 +341,8 @@ def ag_summary(p):
 
 @panel_query
 def ag_strict_mean(p):
-    return p.where("a <= 3").groupBy("t").agg(rounded(F.when(F.count("return") == F.count("*"), F.avg("return"))).alias("v"))
+    """Of each nation and date: missing unless every asset has a return."""
+    return p.groupBy("nation", "t").agg(rounded(F.when(F.count("return") == F.count("*"), F.avg("return"))).alias("v"))
 
 
 @query
@@ -432,8 +436,8 @@ def val_coverage(p):
 
 @panel_query
 def val_duplicate(p):
-    out = VAL.redundancy(p, "close", ["high"], F.col("mask"))
-    return out.select("member", *[rounded(F.col(c)).alias(c) for c in ("daily", "pooled", "ranked")])
+    out = VAL.redundancy(p, ["close"], ["high", "volume"], F.col("mask"), min_assets=5)
+    return out.select("member", *[rounded(F.col(c)).alias(c) for c in ("daily", "pooled", "ranked", "corr_coverage", "strongest")])
 
 
 @panel_query
@@ -446,7 +450,7 @@ def po_composite_ic(p):
 def po_ridge(p):
     """Weights of the ridge composite, applied to the panel."""
     f = _factors(p)
-    w = ST.ridge_weights(ST.daily_moments(f, ["z1", "z2"], "y"), ["z1", "z2"], "y", 0.01)
+    w, _ = PO.moments(PO.daily_statistics(f, ["z1", "z2"], "y", F.col("mask")), 2)["all"].ridge(0.01)
     v, here = CS.combine(dict(zip(("z1", "z2"), w.tolist(), strict=True)))
     return f.select("a", "t", rounded(v).alias("v"), here.alias("available"))
 
@@ -508,8 +512,8 @@ def pf_returns(p):
 
 @panel_query
 def pf_metrics(p):
-    out = PF.metrics(PF.returns(_held(p), p).withColumn("ret", F.col("ret") * 0.01))
-    return out.select("days", *[rounded(F.col(c)).alias(c) for c in ("total", "mean", "vol", "drawdown", "sharpe")])
+    out = PF.metrics(PF.returns(_held(p), p), year=52.0)
+    return out.select("days", *[rounded(F.col(c)).alias(c) for c in ("total", "cagr", "mean", "vol", "drawdown", "sharpe")], "invalid")
 
 
 @panel_query
