@@ -62,9 +62,13 @@ def _contract(edges: DataFrame) -> DataFrame:
 
 
 def _star_step(e: DataFrame) -> DataFrame:
-    """Large-star, then small-star: every node points closer to its component's smallest node."""
+    """Large-star, then small-star: every node points closer to its component's smallest node.
+
+    The smallest neighbours are settled first: then both sides of the join are dealt for it alone, and Spark can split the
+    rows of a node with very many neighbours.
+    """
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    low = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
     down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("m"))

@@ -36,7 +36,31 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op8_chat_formatting": OP8, "op10_benchmark_decontamination": OP10}
+_REACH = """reach AS (SELECT id, id AS root FROM nodes UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
+comp AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)"""
+
+OP1 = rf"""
+WITH RECURSIVE v AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT vec_id AS id, label, e FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT x.id AS a, y.id AS b FROM good x JOIN good y ON x.label = y.label AND x.id <> y.id WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+nodes AS (SELECT id FROM good), {_REACH},
+n AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM v LEFT JOIN comp ON comp.id = vec_id LEFT JOIN n ON n.id = vec_id
+"""
+
+OP7 = rf"""
+WITH RECURSIVE d AS (SELECT CAST(doc_id AS BIGINT) AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+s AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+h AS (SELECT id, md5_number(x) AS x FROM s),
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM h x JOIN h y ON x.x = y.x AND x.id <> y.id GROUP BY x.id, y.id),
+links AS (SELECT a, b FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 180 * c >= 80 * (na.n + nb.n)),
+nodes AS (SELECT id FROM n), {_REACH}
+SELECT d.id AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, d.id) AS component_id FROM d LEFT JOIN n ON n.id = d.id LEFT JOIN comp ON comp.id = d.id
+"""
+
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": OP1, "op7_ngram_jaccard_join": OP7, "op8_chat_formatting": OP8, "op10_benchmark_decontamination": OP10}
 
 OP4 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
