@@ -36,6 +36,8 @@ THRESHOLD = 0.93
 SHARD, SAMPLE, CENTRES, DEPTH = 500, 1500, 16, 6
 #: a vector also goes to a centre whose angle is at most so many radians wider than the nearest one's
 SLACK = 0.08
+#: a shard is split unless a part would hold more than this share of it, or a vector stand in more than so many parts on average
+MOST_SHARE, MOST_COPIES, WHOLE = 0.75, 4, "!"
 DEGREE, BEAM, ALPHA = 12, 24, 1.2
 #: tables of centres are broadcast up to so many shards (8 KB each for 64 components)
 BROADCAST_SHARDS = 4096
@@ -211,7 +213,7 @@ def _route(points: DataFrame, shard: int, sample: int, k: int, slack: float, dep
     """node, copies, unit, shard (a path of centres), home (whether this shard is the vector's nearest), and blocks and tiles of the shard."""
     parts = settle(points.withColumn("home", F.lit(True)))
     for level in range(depth):
-        large = settle(parts.groupBy("shard").count().where(F.col("count") > shard).withColumn("level", F.lit(level)))
+        large = settle(parts.where(~F.col("shard").endswith(WHOLE)).groupBy("shard").count().where(F.col("count") > shard).withColumn("level", F.lit(level)))
         n_large = large.count()
         if not n_large:
             break
@@ -223,7 +225,11 @@ def _route(points: DataFrame, shard: int, sample: int, k: int, slack: float, dep
         def fit(key, t, level=level):
             x = _matrix(t.column("unit"))[: 2 * sample]
             c = _centres(x, int(min(k, max(2, -(-t.column("count")[0].as_py() * 2 // shard)))), level)
-            return batch(shard=pa.array([key[0].as_py()]), centres=pa.array([c.astype(np.float64).tobytes()], pa.binary()), width=pa.array([c.shape[1]], pa.int32()))
+            # where most vectors stand near most centres, a split would copy them all: the shard stays whole
+            angle = np.arccos(np.clip(x @ c.T, -1, 1))
+            near = angle <= angle.min(1)[:, None] + slack
+            splits = near.mean(0).max() <= MOST_SHARE and near.sum(1).mean() <= MOST_COPIES
+            return batch(shard=pa.array([key[0].as_py()]), centres=pa.array([c.astype(np.float64).tobytes() if splits else None], pa.binary()), width=pa.array([c.shape[1]], pa.int32()))
 
         centres = group_arrow(drawn.select("shard", "unit", "count"), ["shard"], fit, "shard string, centres binary, width int")
 
@@ -239,7 +245,7 @@ def _route(points: DataFrame, shard: int, sample: int, k: int, slack: float, dep
                     c = t.column("centres")[rows[0]].as_py()
                     if c is None:
                         at += rows
-                        paths += [s] * len(rows)
+                        paths += [s if t.column("width")[rows[0]].as_py() is None else s + WHOLE] * len(rows)
                         home += [own[i] for i in rows]
                         continue
                     c = np.frombuffer(c, np.float64).reshape(-1, t.column("width")[rows[0]].as_py())
