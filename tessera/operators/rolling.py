@@ -7,8 +7,10 @@ needs ceil(0.8 w) present values (pairs: at least 2); missing is null.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -48,30 +50,6 @@ def _spread(f: Callable[[Column], Column]) -> Callable[[Column, int], Column]:
     return op
 
 
-def _middle(sorted_list: Column) -> Column:
-    n = F.size(sorted_list)
-    return (F.element_at(sorted_list, F.floor((n + 1) / 2).cast("int")) + F.element_at(sorted_list, (F.floor(n / 2) + 1).cast("int"))) / 2
-
-
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with `value` computed once however often f names it."""
-    return F.transform(F.array(value), f)[0]
-
-
-def mad(x: Column, w: int) -> Column:
-    """Median of the absolute deviations from the frame's median; each list is sorted once."""
-    spread = lambda s: _let(_middle(s), lambda m: F.array_sort(F.transform(s, lambda v: F.abs(v - m))))
-    values = F.array_sort(F.collect_list(x).over(frame(w)))
-    return gated(_let(values, lambda s: F.when(F.size(s) > 0, _let(spread(s), _middle))), x, w)
-
-
-def ts_rank(x: Column, w: int) -> Column:
-    """Average rank of the current value in its frame, over the present values' number."""
-    values = F.collect_list(x).over(frame(w))
-    rank = F.size(F.filter(values, lambda v: v < x)) + (F.size(F.filter(values, lambda v: v == x)) + 1) / F.lit(2.0)
-    return F.when(x.isNotNull(), gated(F.try_divide(rank, F.size(values)), x, w))
-
-
 def wma(x: Column, w: int) -> Column:
     """Weights w (now) to 1 (oldest), over present values alone."""
     t, here = F.col("t"), x.isNotNull().cast("double")
@@ -94,7 +72,8 @@ def _pair(f: Callable[[Column, Column, object], Column]) -> Callable[[Column, Co
 
 
 def _corr(x: Column, y: Column, fr) -> Column:
-    return F.try_divide(F.covar_samp(x, y).over(fr), F.stddev_samp(x).over(fr) * F.stddev_samp(y).over(fr))
+    r = F.corr(x, y).over(fr)
+    return F.when(~F.isnan(r), r)
 
 
 ROLLING: dict[str, Callable[[Column, int], Column]] = {
@@ -107,24 +86,54 @@ ROLLING: dict[str, Callable[[Column, int], Column]] = {
     "Max": _of(F.max),
     "Min": _of(F.min),
     "Med": _of(lambda x: F.percentile(x, F.lit(0.5))),
-    "Mad": mad,
-    "TSRank": ts_rank,
     "WMA": wma,
 }
 PAIRS: dict[str, Callable[[Column, Column, int], Column]] = {"Cov": _pair(lambda x, y, fr: F.covar_samp(x, y).over(fr)), "Corr": _pair(_corr)}
 
 
-def ema(panel: DataFrame, columns: dict[str, tuple[str, int]]) -> DataFrame:
-    """Adds exponential means {name: (input, w)}: recursive from the first row, decaying over gaps.
+def _frames(x: np.ndarray, w: int) -> np.ndarray:
+    """The w values up to each place, missing before the first."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(w - 1, np.nan), x]), w)
 
-    One grouped call for each asset; an asset's rows are bounded by the calendar.
-    """
-    inputs = list(dict.fromkeys(x for x, _ in columns.values()))
+
+def _enough(x: np.ndarray, w: int, out: np.ndarray) -> np.ndarray:
+    return np.where((~np.isnan(_frames(x, w))).sum(1) >= least(w), out, np.nan)
+
+
+def ema(x: np.ndarray, w: int) -> np.ndarray:
+    """Exponential mean, recursive from the first value, decaying over gaps."""
+    return pd.Series(x).ewm(span=w, adjust=False, min_periods=least(w)).mean().to_numpy()
+
+
+def mad(x: np.ndarray, w: int) -> np.ndarray:
+    """Median of the absolute deviations from the frame's median."""
+    f = _frames(x, w)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)  # frames without any value
+        return _enough(x, w, np.nanmedian(np.abs(f - np.nanmedian(f, axis=1)[:, None]), axis=1))
+
+
+def ts_rank(x: np.ndarray, w: int) -> np.ndarray:
+    """Average rank of the current value in its frame, over the present values' number; missing where the value is."""
+    f, now = _frames(x, w), x[:, None]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        rank = ((f < now).sum(1) + ((f == now).sum(1) + 1) / 2) / (~np.isnan(f)).sum(1)
+    return np.where(np.isnan(x), np.nan, _enough(x, w, rank))
+
+
+#: operators that frames of Spark would compute by building a list for each row: vectorised over one asset's series instead
+SERIES: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {"EMA": ema, "Mad": mad, "TSRank": ts_rank}
+
+
+def with_series(panel: DataFrame, columns: dict[str, tuple[str, str, int]]) -> DataFrame:
+    """Adds {name: (operator, input, w)}; one grouped call for each asset on (a, t, inputs) alone, whose rows are bounded by the calendar."""
+    inputs = list(dict.fromkeys(x for _, x, _ in columns.values()))
     schema = StructType([panel.schema["a"], panel.schema["t"], *(StructField(name, DoubleType()) for name in columns)])
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
-        return pd.DataFrame({"a": rows["a"], "t": rows["t"]} | {name: rows[x].ewm(span=w, adjust=False, min_periods=least(w)).mean() for name, (x, w) in columns.items()})
+        x = {c: rows[c].to_numpy(float) for c in inputs}
+        return pd.DataFrame({"a": rows["a"], "t": rows["t"]} | {name: SERIES[op](x[c], w) for name, (op, c, w) in columns.items()})
 
     narrow = panel.select("a", "t", *[F.col(x).cast("double").alias(x) for x in inputs])
     return panel.join(narrow.groupBy("a").applyInPandas(one, schema), ["a", "t"], "left")
@@ -176,4 +185,4 @@ def growth(x: Column, key: str, order: str) -> Column:
     return F.when((x > 0) & (before > 0), x / before - 1)
 
 
-__all__ = ["PAIRS", "ROLLING", "amihud", "compounded", "drawdown", "ema", "finite", "forward_return", "frame", "growth", "least", "market_model", "ordered"]
+__all__ = ["PAIRS", "ROLLING", "SERIES", "amihud", "compounded", "drawdown", "finite", "forward_return", "frame", "growth", "least", "market_model", "ordered", "with_series"]

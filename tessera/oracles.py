@@ -118,14 +118,21 @@ SIGNALS: dict[str, tuple[str, str]] = {
     "dsl_depth6": ("Abs(Sub(CSRank(Mean(Log($close),10)),CSRank(Ref($volume,5))))", signal(f"abs(({rank_of('x')}) - ({rank_of('y')}))", "q", f", q AS (SELECT *, {rolled('avg', 'ln(abs(close) + 1e-6)', 10)} AS x, lag(volume, 5) OVER (PARTITION BY a ORDER BY t) AS y FROM p)")),
 }
 
-EMA = f"""{PANEL.replace('WITH li', 'WITH RECURSIVE li', 1)}, e AS (
-  SELECT a, t, close AS e, CASE WHEN close IS NULL THEN 0 ELSE 1 END AS n, CAST(t AS INTEGER) AS at FROM p WHERE t = 0
+RECURSIVE = PANEL.replace("WITH li", "WITH RECURSIVE li", 1)
+
+
+def ema_of(x: str, w: int) -> str:
+    """CTE e: a, t, e (the exponential mean), n (values so far)."""
+    keep = f"pow(1 - 2.0 / {w + 1}, p.t - e.at)"
+    return f"""e AS (
+  SELECT a, t, {x} AS e, CASE WHEN {x} IS NULL THEN 0 ELSE 1 END AS n, CAST(t AS INTEGER) AS at FROM p WHERE t = 0
   UNION ALL
-  SELECT p.a, p.t, CASE WHEN p.close IS NULL THEN e.e WHEN e.e IS NULL THEN p.close
-    ELSE (pow(1 - 2.0 / 21, p.t - e.at) * e.e + 2.0 / 21 * p.close) / (pow(1 - 2.0 / 21, p.t - e.at) + 2.0 / 21) END,
-    e.n + CASE WHEN p.close IS NULL THEN 0 ELSE 1 END, CASE WHEN p.close IS NULL THEN e.at ELSE CAST(p.t AS INTEGER) END
-  FROM e JOIN p ON p.a = e.a AND p.t = e.t + 1)
-SELECT a, t, {fold('CASE WHEN n >= 16 THEN e END')} AS v FROM e"""
+  SELECT p.a, p.t, CASE WHEN p.{x} IS NULL THEN e.e WHEN e.e IS NULL THEN p.{x} ELSE ({keep} * e.e + 2.0 / {w + 1} * p.{x}) / ({keep} + 2.0 / {w + 1}) END,
+    e.n + CASE WHEN p.{x} IS NULL THEN 0 ELSE 1 END, CASE WHEN p.{x} IS NULL THEN e.at ELSE CAST(p.t AS INTEGER) END
+  FROM e JOIN p ON p.a = e.a AND p.t = e.t + 1)"""
+
+
+EMA = f"{RECURSIVE}, {ema_of('close', 20)} SELECT a, t, {fold('CASE WHEN n >= 16 THEN e END')} AS v FROM e"
 
 _IND = "CASE " + " ".join(f"WHEN {' OR '.join(f'code BETWEEN {lo} AND {hi}' for lo, hi in ranges)} THEN '{name}'" for name, ranges in INDUSTRIES) + " ELSE 'Other' END"
 _STD = f"""w AS (SELECT *, CASE WHEN mask THEN close END AS x FROM p),

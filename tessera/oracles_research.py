@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .operators.inference import _ERFC
-from .oracles import _FACTORS, _HAC_DAYS, _HELD, _LABEL, _MKT, PANEL, _ic, fold, z_of
+from .oracles import _FACTORS, _HAC_DAYS, _HELD, _LABEL, _MKT, PANEL, RECURSIVE, _ic, div, ema_of, fold, rank_of, rolled, spread, z_of
 
 L = 0.01
 _U = f"""{_LABEL}, {_FACTORS}, cx AS (SELECT t, d, lead(d, 5) OVER (ORDER BY t) AS ex FROM cal),
@@ -78,6 +78,18 @@ def _res(x: str) -> str:
     return f"CASE WHEN mt AND count({e}) {w} > 2 THEN {x} - avg({own}) {w} - covar_pop({own}, {e}) {w} / var_pop({e}) {w} * (sz - avg({e}) {w}) END"
 
 
+def _regressed(target: str, out: str) -> str:
+    """CTEs that regress the target on three exposures date by date, one orthogonal step after the other, ending in `out` (a, t, v)."""
+    w = "OVER (PARTITION BY t)"
+    on = lambda x, *rs: f"{x} - avg({x}) {w}" + "".join(f" - covar_pop({x}, {r}) {w} / var_pop({r}) {w} * {r}" for r in rs)
+    return f"""{out}0 AS (SELECT a, t, {target} AS x, z1 AS e1, z2 AS e2, z3 AS e3, count(*) {w} AS n FROM fz WHERE mask AND {target} IS NOT NULL AND z1 IS NOT NULL AND z2 IS NOT NULL AND z3 IS NOT NULL),
+{out}1 AS (SELECT *, e1 - avg(e1) {w} AS r1 FROM {out}0 WHERE n > 4), {out}2 AS (SELECT *, {on('e2', 'r1')} AS r2 FROM {out}1), {out}3 AS (SELECT *, {on('e3', 'r1', 'r2')} AS r3 FROM {out}2),
+{out} AS (SELECT a, t, {on('x', 'r1', 'r2', 'r3')} AS v FROM {out}3)"""
+
+
+_M20, _S20 = rolled("avg", "close", 20), spread("stddev_samp", "close", 20)
+_BATCH = f"""{ema_of('close', 10)}, b0 AS (SELECT *, {_M20} AS m, {_S20} AS s, list(volume) FILTER (volume IS NOT NULL) OVER (PARTITION BY a ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS vl FROM p),
+b1 AS (SELECT *, {rank_of('m')} AS rm, {rank_of('s')} AS rs FROM b0)"""
 _DUP = """SELECT t, count(close) AS nv FROM p WHERE mask GROUP BY t"""
 
 
@@ -111,6 +123,8 @@ SELECT p_partkey, {fold('greatest(-1, least(1, raw - (CASE WHEN seen THEN 0.1 EL
     "cs_own_transform": f"{PANEL}, {_std('close', 'mask', 'p', 'x', 'z1')}, {_std('(CASE WHEN a % 3 <> 0 THEN volume END)', 'mask', 'x3', 'v', 'z2')} SELECT a, t, {fold('z1')} AS f1, {fold('z2')} AS f2 FROM v3",
     "cs_joint_transform": f"{PANEL}, {_LABEL}, jm AS (SELECT *, mask AND close IS NOT NULL AND volume IS NOT NULL AND y IS NOT NULL AS ok FROM lab), {_std('close', 'ok', 'jm', 'x', 'z1')}, {_std('volume', 'ok', 'x3', 'v', 'z2')}, {_std('y', 'ok', 'v3', 'yy', 'z3')} SELECT a, t, {fold('z1')} AS f1, {fold('z2')} AS f2, {fold('z3')} AS y FROM yy3",
     "cs_fixed_universe": f"{PANEL}, {_LABEL}, m0 AS (SELECT a, t, close, high - low AS f2, y, ln(volume) AS sz, mask AND y IS NOT NULL AND volume IS NOT NULL AS m FROM lab), {_std('y', 'm', 'm0', 'k', 'ys')}, m1 AS (SELECT *, m AND ys IS NOT NULL AS mt, coalesce(close, 0) AS c1, coalesce(f2, 0) AS c2 FROM k3), rs AS (SELECT a, t, {_res('c1')} AS r1, {_res('c2')} AS r2, {_res('ys')} AS ry FROM m1) SELECT a, t, ry IS NOT NULL AS metric, {fold('r1')} AS f1, {fold('r2')} AS f2, {fold('ry')} AS y FROM rs",
+    "dsl_batch_shared": f"{RECURSIVE}, {_BATCH}, b2 AS (SELECT a, t, {fold('rm')} AS v0, {fold(z_of('m'))} AS v1, {fold(div('close', 'm'))} AS v2, {fold('rs')} AS v3, {fold('m - lag(m, 5) OVER (PARTITION BY a ORDER BY t)')} AS v4, {fold('rm - rs')} AS v5, {fold('CASE WHEN volume IS NOT NULL AND len(vl) >= 8 THEN (len(list_filter(vl, lambda q: q < volume)) + (len(list_filter(vl, lambda q: q = volume)) + 1) / 2.0) / len(vl) END')} AS v6 FROM b1) SELECT b2.*, {fold('CASE WHEN e.n >= 8 THEN e.e END')} AS v7 FROM b2 JOIN e ON e.a = b2.a AND e.t = b2.t",
+    "cs_residual_multi": f"{PANEL}, {_LABEL}, fz AS (SELECT a, t, mask, y, ret, {z_of('close')} AS z1, {z_of('ln(volume + 1)')} AS z2, {z_of('high - low')} AS z3 FROM lab), {_regressed('y', 'ra')}, {_regressed('ret', 'rb')} SELECT p.a, p.t, {fold('ra.v')} AS y_res, {fold('rb.v')} AS r_res FROM p LEFT JOIN ra ON ra.a = p.a AND ra.t = p.t LEFT JOIN rb ON rb.a = p.a AND rb.t = p.t",
     "ag_corr_batch": f"{PANEL}, {_LABEL} SELECT t, " + ", ".join(f"{fold(_ic(x, 'ret' if y == 'return' else y))} AS {x}_{y}" for x in ("close", "volume") for y in ("y", "return", "open")) + " FROM lab WHERE mask GROUP BY t",
     "ag_dynamic": f"SELECT p_brand, {', '.join(f'{fold(f"avg({n})")} AS {n}_mean, {fold(f"stddev_samp({n})")} AS {n}_sd' for n in ('p_size', 'p_retailprice'))} FROM part GROUP BY p_brand",
     "ag_families": "SELECT regexp_replace(p_type, '[0-9]+', '#', 'g') AS family, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1",

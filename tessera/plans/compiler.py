@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..dsl import Call, Constant, Feature, canonical, expression_hash, lookback, parse
 from ..functions import SCALAR, finite
 from ..operators.cross_section import cs_rank, cs_zscore
-from ..operators.rolling import PAIRS, ROLLING, ema
+from ..operators.rolling import PAIRS, ROLLING, SERIES, with_series
 
 
 def signal_name(tree) -> str:
@@ -76,7 +76,7 @@ def compile_batch(panel: DataFrame, expressions: dict[str, str], mask: str = "ma
             elif x.op in ("CSRank", "CSZScore"):
                 made[signal_name(x)] = (cs_rank if x.op == "CSRank" else cs_zscore)(args[0], F.col(mask))
         panel = panel.withColumns({k: finite(v) for k, v in made.items()}) if made else panel
-        means = {signal_name(x): (input_name(x.inputs[0]), x.window) for x in own if x.op == "EMA"}
-        panel = ema(panel, means) if means else panel
-        known |= set(made) | set(means)
+        series = {signal_name(x): (x.op, input_name(x.inputs[0]), x.window) for x in own if x.op in SERIES}
+        panel = with_series(panel, series).withColumns({k: finite(F.col(k)) for k in series}) if series else panel
+        known |= set(made) | set(series)
     return panel.withColumns({name: column(t) for name, t in trees.items()}) if start is None else panel.withColumns({name: column(t) for name, t in trees.items()}).where(F.col("t") >= start)
