@@ -62,22 +62,38 @@ def block_starts(days: dict[int, int], block: int, samples: int, seed: int) -> l
     return out
 
 
+def _drawn_days(series: DataFrame, block: int, samples: int, seed: int, date: str) -> tuple[DataFrame, DataFrame]:
+    """(_sample, _y, _pos) of every drawn day, and (_y, _pos, date): blocks are unrolled in Spark."""
+    calendar = series.select(date).distinct().groupBy(F.year(date).alias("_y")).agg(F.array_sort(F.collect_list(date)).alias("dates"))
+    days = {r[0]: r[1] for r in calendar.select("_y", F.size("dates")).collect()}  # one row for each year
+    spark = series.sparkSession
+    drawn = spark.createDataFrame(block_starts(days, block, samples, seed), "_sample int, _y int, n int, b int, width int, first int")
+    place = F.explode(F.sequence(F.lit(0), F.col("width") - 1))
+    cells = drawn.select("_sample", "_y", "n", "b", "width", "first", place.alias("k")).where("b * width + k < n").select("_sample", "_y", (F.col("first") + F.col("k")).alias("_pos"))
+    return cells, calendar.select("_y", F.posexplode("dates").alias("_pos", date))
+
+
+def sharpe_difference(series: DataFrame, a: str, b: str, block: int = 20, samples: int = 2000, seed: int = 0, date: str = "d", year: float = 252.0, level: float = 0.95) -> DataFrame:
+    """One row: the difference of two Sharpe ratios over the days that have both, and its interval under shared blocks within years."""
+    both = series.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    ratio = lambda c: F.when(F.stddev_samp(c) > 0, F.avg(c) / F.stddev_samp(c)) * F.sqrt(F.lit(year))
+    cells, numbered = _drawn_days(both, block, samples, seed, date)
+    drawn = both.join(F.broadcast(numbered), date).join(cells, ["_y", "_pos"]).groupBy("_sample").agg((ratio(a) - ratio(b)).alias("_d"))
+    tail = (1 - level) / 2
+    q = drawn.agg(F.percentile("_d", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
+    return both.agg((ratio(a) - ratio(b)).alias("difference")).join(F.broadcast(q)).select("difference", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
 def bootstrap(series: DataFrame, x: str, block: int = 20, samples: int = 2000, seed: int = 0, keys: list[str] | None = None, date: str = "d", level: float = 0.95) -> DataFrame:
     """For each series, the interval of its mean under moving blocks within years; the years keep their shares of present days.
 
-    Blocks are unrolled and joined with the days in Spark; a sample without any present day of a year that has some is left out.
+    A sample without any present day of a year that has some is left out.
     """
     keys = keys or []
-    calendar = series.select(date).distinct().groupBy(F.year(date).alias("y")).agg(F.array_sort(F.collect_list(date)).alias("dates"))
-    days = {r.y: r.n for r in calendar.select("y", F.size("dates").alias("n")).collect()}  # one row for each year
-    spark = series.sparkSession
-    drawn = spark.createDataFrame(block_starts(days, block, samples, seed), "sample int, y int, n int, b int, width int, first int")
-    place = F.explode(F.sequence(F.lit(0), F.col("width") - 1))
-    cells = drawn.select("sample", "y", "n", "b", "width", "first", place.alias("k")).where("b * width + k < n").select("sample", "y", (F.col("first") + F.col("k")).alias("pos"))
-    numbered = calendar.select("y", F.posexplode("dates").alias("pos", date))
-    values = series.join(F.broadcast(numbered), date).select(*keys, "y", "pos", F.col(x).alias("_x"))
-    share = values.groupBy(*keys, "y").agg(F.count("_x").alias("_c")).where("_c > 0")
-    by = values.join(cells, ["y", "pos"]).groupBy(*keys, "sample", "y").agg(F.avg("_x").alias("_m")).join(share, [*keys, "y"])
-    means = by.groupBy(*keys, "sample").agg(F.when(F.count("_m") == F.count("*"), F.sum(F.col("_m") * F.col("_c")) / F.sum("_c")).alias("_m"))
+    cells, numbered = _drawn_days(series, block, samples, seed, date)
+    values = series.join(F.broadcast(numbered), date).select(*keys, "_y", "_pos", F.col(x).alias("_x"))
+    share = values.groupBy(*keys, "_y").agg(F.count("_x").alias("_c")).where("_c > 0")
+    by = values.join(cells, ["_y", "_pos"]).groupBy(*keys, "_sample", "_y").agg(F.avg("_x").alias("_m")).join(share, [*keys, "_y"])
+    means = by.groupBy(*keys, "_sample").agg(F.when(F.count("_m") == F.count("*"), F.sum(F.col("_m") * F.col("_c")) / F.sum("_c")).alias("_m"))
     tail = (1 - level) / 2
     return means.groupBy(*keys).agg(F.percentile("_m", F.array(F.lit(tail), F.lit(1 - tail))).alias("q")).select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

@@ -103,6 +103,9 @@ coalesce((SELECT avg(abs(ic)) FROM (SELECT t, {_ic('rx', 'ry')} AS ic FROM (SELE
 QUERIES: dict[str, str] = {
     "po_moments": f"{PANEL}, {_ALL}, ev AS (SELECT *, (g11 + g22) / 2 AS h, sqrt(pow((g11 - g22) / 2, 2) + g12 * g12) AS q FROM wt) " + " UNION ALL ".join(f"SELECT {i} AS i, CAST(days AS INTEGER) AS days, {fold(a)} AS g0, {fold(b)} AS g1, {fold(p)} AS p, {fold(w)} AS w, {fold(f'{w} * {w} / {v}')} AS saliency, {fold('h - q')} AS low, {fold('(h + q) / (h - q)')} AS condition FROM ev" for i, a, b, p, w, v in ((0, "g11", "g12", "p1", "w1", "v1"), (1, "g12", "g22", "p2", "w2", "v2"))),
     "po_subsets": f"{PANEL}, {_ALL}, sb AS (SELECT t, y, w1 * z1 + w2 * z2 AS s_both, o1 * z1 AS s_first, o2 * z2 AS s_second, 0.0 AS s_none FROM u, wt), dd AS (SELECT t, {', '.join(f'{_days_ic(f"s_{n}")} AS i_{n}' for n in ('both', 'first', 'second', 'none'))} FROM sb GROUP BY t) " + " UNION ALL ".join(f"SELECT '{n}' AS pool, CAST(count(i_{n}) AS BIGINT) AS days, {fold(f'avg(i_{n})')} AS ic FROM dd" for n in ("both", "first", "second", "none")),
+    "po_add_many": f"{PANEL}, {_LABEL}, f3 AS (SELECT t, mask, y, {z_of('close')} AS z1, {z_of('ln(volume + 1)')} AS z2, {z_of('high - low')} AS z3 FROM lab), u3 AS (SELECT t, y, coalesce(z1, 0) AS z1, coalesce(z2, 0) AS z2, coalesce(z3, 0) AS z3 FROM f3 WHERE mask AND y IS NOT NULL), "
+    + ", ".join(f"ds{k} AS (SELECT t, avg(z1 * z1) AS g11, avg(z1 * z{k}) AS g12, avg(z{k} * z{k}) AS g22, avg(z1 * y) AS p1, avg(z{k} * y) AS p2 FROM u3 GROUP BY t HAVING count(*) >= 3), al{k} AS (SELECT {_MEANS} FROM ds{k}), wt{k} AS (SELECT {_SOLVE} FROM al{k}), sb{k} AS (SELECT t, y, w1 * z1 + w2 * z{k} AS s, o1 * z1 AS b FROM u3, wt{k}), di{k} AS (SELECT t, {_ic('s', 'y', True)} AS s, {_ic('b', 'y', True)} AS b FROM sb{k} GROUP BY t)" for k in (2, 3))
+    + " " + " UNION ALL ".join(f"SELECT '{n}' AS candidate, {fold('avg(s)')} AS ic, {fold('avg(s - b)')} AS delta FROM di{k}" for k, n in ((2, "second"), (3, "third"))),
     "po_walk_forward": f"{PANEL}, {_FOLDS} SELECT t, CAST(f AS INTEGER) AS fold, {fold(_days_ic('s'))} AS ic FROM sc GROUP BY t, f",
     "po_increment": f"{PANEL}, {_FOLDS}, dd AS (SELECT t, f, {_days_ic('s')} - {_days_ic('b')} AS x FROM sc GROUP BY t, f), ser AS (SELECT c.t, x FROM cal c LEFT JOIN dd USING (t)), {_summary('ser')} SELECT CAST(n AS BIGINT) AS n, {_r('mean', 'se')}, {fold('mean - 0.5 * se')} AS lower, {', '.join(f'{fold(f"(SELECT avg(x) FROM dd WHERE f = {k})")} AS fold{k}' for k in range(3))} FROM sm",
     "po_lower_bound": f"{PANEL}, {_ALL}, sb AS (SELECT t, y, w1 * z1 + w2 * z2 AS s FROM u, wt), di AS (SELECT t, {_days_ic('s')} AS x FROM sb GROUP BY t), ser AS (SELECT row_number() OVER (ORDER BY t) AS t, x FROM di WHERE x IS NOT NULL), {_summary('ser')} SELECT CAST(n AS BIGINT) AS n, {_r('mean', 'se')}, {fold('mean - 0.5 * se')} AS lower FROM sm",

@@ -55,6 +55,17 @@ def po_subsets(p):
     return one.select(F.inline(F.array(*chosen))).select("pool", "days", *r6("ic"))
 
 
+@panel_query
+def po_add_many(p):
+    """What each of two candidates adds to the pool of one, from one set of statistics: mean of the daily correlations and the difference."""
+    f = _factors(p).withColumn("z3", CS.cs_zscore(F.col("high") - F.col("low"), F.col("mask")))
+    s = PO.daily_statistics(f, ["z1", "z2", "z3"], "y", F.col("mask")).persist()
+    chosen = {"base": [0], "second": [0, 1], "third": [0, 2]}
+    ics = PO.scored(s, PO.subsets(3, PO.moments(s, 3)["all"], chosen, RIDGE))
+    one = ics.agg(*[F.struct(F.lit(n).alias("candidate"), F.avg(n).alias("ic"), F.avg(F.col(n) - F.col("base")).alias("delta")).alias(n) for n in ("second", "third")])
+    return one.select(F.inline(F.array("second", "third"))).select("candidate", *r6("ic", "delta"))
+
+
 @panel_query
 def po_walk_forward(p):
     return PO.walk_forward(_stats(p), 2, FOLDS, RIDGE)[0].select("t", "fold", *r6("ic"))
@@ -161,6 +172,13 @@ def st_bootstrap(p):
     return INF.bootstrap(_long(p), "x", block=20, samples=400, keys=["name"]).select("name", *r6("low", "high"))
 
 
+@panel_query
+def st_sharpe(p):
+    """The difference of the Sharpe ratios of two markets, by the median and the mean return of the members."""
+    m = p.where("member").groupBy("d").agg(F.median("return").alias("x"), F.avg("return").alias("y"))
+    return INF.sharpe_difference(m, "x", "y", samples=400, year=52.0).select(*r6("difference", "low", "high"))
+
+
 # --- portfolio -------------------------------------------------------------------------------
 
 

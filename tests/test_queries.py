@@ -42,4 +42,4 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_queries_without_sql():
-    assert queries_research.QUERIES.keys() - SQL.keys() == {"cs_residual_22", "so_greedy", "st_bootstrap", "val_status"}
+    assert queries_research.QUERIES.keys() - SQL.keys() == {"cs_residual_22", "so_greedy", "st_bootstrap", "st_sharpe", "val_status"}

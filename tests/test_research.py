@@ -115,6 +115,21 @@ def test_bootstrap_equals_plain_draws(spark):
     assert (got.low, got.high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), rel=1e-9)
 
 
+def test_sharpe_difference(spark):
+    r = np.random.default_rng(9)
+    days = [dt.date(2021, 3, 1) + dt.timedelta(k) for k in range(50)]
+    a, b = r.normal(0.1, 1, 50), r.normal(0, 1, 50)
+    s = frame(spark, [(d, float(x), float(y)) for d, x, y in zip(days, a, b, strict=True)], "d date, a double, b double")
+    got = INF.sharpe_difference(s, "a", "b", block=6, samples=80, seed=2).first()
+    ratio = lambda x: x.mean() / x.std(ddof=1) * math.sqrt(252)
+    first = np.random.default_rng(2).integers(0, 45, size=(80, 9))
+    drawn = []
+    for k in range(80):
+        own = [v + j for v in first[k] for j in range(6)][:50]
+        drawn.append(ratio(a[own]) - ratio(b[own]))
+    assert (got.difference, got.low, got.high) == pytest.approx((ratio(a) - ratio(b), *np.quantile(drawn, [0.025, 0.975])), rel=1e-9)
+
+
 def test_sleeves_and_metrics(spark):
     score = np.tile(np.arange(20.0), (30, 1))
     r = np.zeros((30, 20))
