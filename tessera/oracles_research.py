@@ -87,6 +87,7 @@ def _regressed(target: str, out: str) -> str:
 {out} AS (SELECT a, t, {on('x', 'r1', 'r2', 'r3')} AS v FROM {out}3)"""
 
 
+_NATIONS = PANEL.split("\nm AS")[0].rstrip().rstrip(",").replace("SELECT l_suppkey AS a", "SELECT CAST(s_nationkey AS BIGINT) AS a").replace("AS k FROM lineitem", "AS k FROM lineitem JOIN supplier ON s_suppkey = l_suppkey")
 _M20, _S20 = rolled("avg", "close", 20), spread("stddev_samp", "close", 20)
 _BATCH = f"""{ema_of('close', 10)}, b0 AS (SELECT *, {_M20} AS m, {_S20} AS s, list(volume) FILTER (volume IS NOT NULL) OVER (PARTITION BY a ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS vl FROM p),
 b1 AS (SELECT *, {rank_of('m')} AS rm, {rank_of('s')} AS rs FROM b0)"""
@@ -128,6 +129,10 @@ SELECT p_partkey, {fold('greatest(-1, least(1, raw - (CASE WHEN seen THEN 0.1 EL
     "cs_fixed_universe": f"{PANEL}, {_LABEL}, m0 AS (SELECT a, t, close, high - low AS f2, y, ln(volume) AS sz, mask AND y IS NOT NULL AND volume IS NOT NULL AS m FROM lab), {_std('y', 'm', 'm0', 'k', 'ys')}, m1 AS (SELECT *, m AND ys IS NOT NULL AS mt, coalesce(close, 0) AS c1, coalesce(f2, 0) AS c2 FROM k3), rs AS (SELECT a, t, {_res('c1')} AS r1, {_res('c2')} AS r2, {_res('ys')} AS ry FROM m1) SELECT a, t, ry IS NOT NULL AS metric, {fold('r1')} AS f1, {fold('r2')} AS f2, {fold('ry')} AS y FROM rs",
     "dsl_batch_shared": f"{RECURSIVE}, {_BATCH}, b2 AS (SELECT a, t, {fold('rm')} AS v0, {fold(z_of('m'))} AS v1, {fold(div('close', 'm'))} AS v2, {fold('rs')} AS v3, {fold('m - lag(m, 5) OVER (PARTITION BY a ORDER BY t)')} AS v4, {fold('rm - rs')} AS v5, {fold('CASE WHEN volume IS NOT NULL AND len(vl) >= 8 THEN (len(list_filter(vl, lambda q: q < volume)) + (len(list_filter(vl, lambda q: q = volume)) + 1) / 2.0) / len(vl) END')} AS v6 FROM b1) SELECT b2.*, {fold('CASE WHEN e.n >= 8 THEN e.e END')} AS v7 FROM b2 JOIN e ON e.a = b2.a AND e.t = b2.t",
     "cs_residual_multi": f"{PANEL}, {_LABEL}, fz AS (SELECT a, t, mask, y, ret, {z_of('close')} AS z1, {z_of('ln(volume + 1)')} AS z2, {z_of('high - low')} AS z3 FROM lab), {_regressed('y', 'ra')}, {_regressed('ret', 'rb')} SELECT p.a, p.t, {fold('ra.v')} AS y_res, {fold('rb.v')} AS r_res FROM p LEFT JOIN ra ON ra.a = p.a AND ra.t = p.t LEFT JOIN rb ON rb.a = p.a AND rb.t = p.t",
+    "ts_long_horizons": f"""{_NATIONS}, mk AS (SELECT t, avg(ret) AS mret FROM r GROUP BY t), j AS (SELECT r.*, mret, CASE WHEN ret IS NOT NULL THEN mret END AS x, CASE WHEN mret IS NOT NULL THEN ret END AS yy FROM r JOIN mk USING (t)),
+b AS (SELECT *, count(x) OVER w AS n, var_samp(x) OVER w AS vx, var_samp(yy) OVER w AS vy, covar_samp(x, yy) OVER w AS cv, {', '.join(f"CASE WHEN count(ret) OVER {k} = {n} THEN sum(ln(1 + ret)) OVER {k} END AS {name}" for k, n, name in (('w1', 20, 'lb'), ('w2', 21, 'rv'), ('w3', 232, 'mo')))} FROM j
+WINDOW w AS (PARTITION BY a ORDER BY t ROWS BETWEEN 251 PRECEDING AND CURRENT ROW), w1 AS (PARTITION BY a ORDER BY t ROWS BETWEEN 2 FOLLOWING AND 21 FOLLOWING), w2 AS (PARTITION BY a ORDER BY t ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), w3 AS (PARTITION BY a ORDER BY t ROWS BETWEEN 252 PRECEDING AND 21 PRECEDING))
+SELECT a, t, {fold('lb')} AS label, {fold('rv')} AS reversal, {fold('mo')} AS momentum, {fold('CASE WHEN n >= 126 AND vx * (n - 1) > 1e-12 THEN cv / vx END')} AS slope, {fold('CASE WHEN n >= 126 AND vx * (n - 1) > 1e-12 THEN sqrt(greatest(vy - cv / vx * cv, 0)) END')} AS spread FROM b""",
     "ag_corr_batch": f"{PANEL}, {_LABEL} SELECT t, " + ", ".join(f"{fold(_ic(x, 'ret' if y == 'return' else y))} AS {x}_{y}" for x in ("close", "volume") for y in ("y", "return", "open")) + " FROM lab WHERE mask GROUP BY t",
     "ag_dynamic": f"SELECT p_brand, {', '.join(f'{fold(f"avg({n})")} AS {n}_mean, {fold(f"stddev_samp({n})")} AS {n}_sd' for n in ('p_size', 'p_retailprice'))} FROM part GROUP BY p_brand",
     "ag_families": "SELECT regexp_replace(p_type, '[0-9]+', '#', 'g') AS family, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1",

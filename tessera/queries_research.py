@@ -17,7 +17,7 @@ from .operators import relational as RL
 from .operators import rolling as TS
 from .operators import statistics as ST
 from .operators import validity as VAL
-from .plans.panel import calendar, table, weekly_panel
+from .plans.panel import bars, calendar, densify, table, weekly_panel, with_return
 from .queries import QUERIES, _days, _factors, _held, _labelled, _market, _revenue, _targets, panel_query, query
 
 __all__ = ["QUERIES"]
@@ -249,6 +249,21 @@ def cs_residual_22(p):
     return CS.residuals(f.select("a", "t", "mask", "y", *made), ["y"], list(made), F.col("mask")).select("a", "t", rounded(F.col("y_res"), 4).alias("v"))
 
 
+@query
+def ts_long_horizons(spark, sf_dir):
+    """Label, reversal, momentum and the market model over their full horizons, on weekly bars of nations."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    li = table(spark, sf_dir, "lineitem").join(s, "l_suppkey").withColumn("l_suppkey", F.col("s_nationkey").cast("long"))
+    p = with_return(densify(bars(li)))
+    r = F.col("return")
+    p = p.join(p.groupBy("t").agg(F.avg("return").alias("mret")), "t")
+    slope, spread = TS.market_model(r, F.col("mret"), 252, 126)
+    made = {"label": TS.forward_return(r), "reversal": TS.compounded(r, -20, 0), "momentum": TS.compounded(r, -252, -21), "slope": slope, "spread": spread}
+    # long products of weekly returns are compared in logarithms
+    made |= {k: F.log1p(made[k]) for k in ("label", "reversal", "momentum")}
+    return p.withColumns(made).select("a", "t", *r6(*made))
+
+
 # --- aggregations ------------------------------------------------------------------------------
 
 
