@@ -63,10 +63,6 @@ def shingle_sets(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.asarray(x, np.uint64).view(np.int64))
-
-
 def _text_hash() -> Column:
     """With a doc_id, this names a text of the documents."""
     return F.xxhash64(F.col("text").cast("string"))
