@@ -91,8 +91,14 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.decode_documents(pieces.encode_documents(table(spark, sf_dir, "documents"), model), model))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import spelling
+
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_toxicity, op4_substring_dedup, op5_quality_classifier, op6_best_fit_packing, op7_ngram_jaccard_join, op8_chat_formatting, op9_pii_surrogates, op10_benchmark_decontamination, op11_sentencepiece, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_toxicity, op4_substring_dedup, op5_quality_classifier, op6_best_fit_packing, op7_ngram_jaccard_join, op8_chat_formatting, op9_pii_surrogates, op10_benchmark_decontamination, op11_sentencepiece, op12_spelling_variants, pipeline)}
