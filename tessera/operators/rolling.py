@@ -42,14 +42,6 @@ def _of(f: Callable[[Column], Column]) -> Callable[[Column, int], Column]:
     return lambda x, w: gated(f(x).over(frame(w)), x, w)
 
 
-def _spread(f: Callable[[Column], Column]) -> Callable[[Column, int], Column]:
-    def op(x: Column, w: int) -> Column:
-        v = f(x).over(frame(w))
-        return F.when((F.count(x).over(frame(w)) >= max(2, least(w))) & (F.abs(v) >= FLAT), v)
-
-    return op
-
-
 def wma(x: Column, w: int) -> Column:
     """Weights w (now) to 1 (oldest), over present values alone."""
     t, here = F.col("t"), x.isNotNull().cast("double")
@@ -63,32 +55,97 @@ def _jointly(x: Column, y: Column) -> tuple[Column, Column]:
     return F.when(both, x), F.when(both, y)
 
 
-def _pair(f: Callable[[Column, Column, object], Column]) -> Callable[[Column, Column, int], Column]:
-    def op(x: Column, y: Column, w: int) -> Column:
-        x, y = _jointly(x, y)
-        return F.when(F.count(x).over(frame(w)) >= max(2, least(w)), f(x, y, frame(w)))
-
-    return op
-
-
-def _corr(x: Column, y: Column, fr) -> Column:
-    r = F.corr(x, y).over(fr)
-    return F.when(~F.isnan(r), r)
-
-
 ROLLING: dict[str, Callable[[Column, int], Column]] = {
     "Ref": lambda x, w: F.lag(x, w).over(ordered()),
     "Delta": lambda x, w: x - F.lag(x, w).over(ordered()),
     "Mean": _of(F.avg),
     "Sum": _of(F.sum),
-    "Var": _spread(F.var_samp),
-    "Std": _spread(F.stddev_samp),
     "Max": _of(F.max),
     "Min": _of(F.min),
     "Med": _of(lambda x: F.percentile(x, F.lit(0.5))),
     "WMA": wma,
 }
-PAIRS: dict[str, Callable[[Column, Column, int], Column]] = {"Cov": _pair(lambda x, y, fr: F.covar_samp(x, y).over(fr)), "Corr": _pair(_corr)}
+
+
+# --- moments in time that does not depend on w ---------------------------------------------
+
+
+def with_window_moments(panel: DataFrame, columns: dict[str, tuple[str, str, int]]) -> DataFrame:
+    """Adds for each {name: (x, y, w)} the joint moments of the last w rows: {name}_n, _vx, _vy, _c, centred sums, by rows where both are present.
+
+    An asset's rows are cut into blocks of w.  Any frame is the end of one block and the beginning of the next, so it
+    joins a running sum from its block's start with one, lagged, to its block's end: each row is added twice and never taken away,
+    which keeps the sums as exact as a sum over the frame would be.  All windows are of one asset, so one shuffle serves them.
+    """
+    spans = sorted({w for _, _, w in columns.values()})
+    place = F.row_number().over(ordered()) - 1
+    panel = panel.withColumns({f"_block{w}": F.floor(place / w) for w in spans})
+    inner, lagged, out, drop = {}, {}, {}, [f"_block{w}" for w in spans]
+    for name, (x, y, w) in columns.items():
+        a, b = _jointly(F.col(x).cast("double"), F.col(y).cast("double"))
+        ways = {"p": W.partitionBy("a", f"_block{w}").orderBy("t"), "s": W.partitionBy("a", f"_block{w}").orderBy(F.desc("t"))}
+        for way, window in ways.items():
+            fr = window.rowsBetween(W.unboundedPreceding, 0)
+            n = F.count(a).over(fr)
+            made = {"n": n, "x": F.avg(a).over(fr), "vx": F.var_pop(a).over(fr) * n}
+            if x != y:
+                made |= {"y": F.avg(b).over(fr), "vy": F.var_pop(b).over(fr) * n, "c": F.covar_pop(a, b).over(fr) * n}
+            inner |= {f"_{name}_{way}_{k}": F.coalesce(v, F.lit(0.0)) for k, v in made.items()}
+        keys = ["n", "x", "vx"] + (["y", "vy", "c"] if x != y else [])
+        # a frame that is its own block needs no end of another
+        other = F.lag(f"_block{w}", w - 1).over(ordered()) < F.col(f"_block{w}")
+        lagged |= {f"_{name}_l_{k}": F.coalesce(F.when(other, F.lag(f"_{name}_s_{k}", w - 1).over(ordered())), F.lit(0.0)) for k in keys}
+        p, q = (lambda k, name=name, way=way: F.col(f"_{name}_{way}_{k}") for way in ("p", "l"))
+        n = p("n") + q("n")
+        weight = F.coalesce(F.try_divide(p("n") * q("n"), n), F.lit(0.0))
+        dx = p("x") - q("x")
+        out[f"{name}_n"] = n
+        out[f"{name}_vx"] = p("vx") + q("vx") + dx * dx * weight
+        if x != y:
+            dy = p("y") - q("y")
+            out[f"{name}_vy"] = p("vy") + q("vy") + dy * dy * weight
+            out[f"{name}_c"] = p("c") + q("c") + dx * dy * weight
+        drop += [f"_{name}_{way}_{k}" for way in ("p", "s", "l") for k in keys]
+    return panel.withColumns(inner).withColumns(lagged).withColumns(out).drop(*drop)
+
+
+def _enough_pairs(name: str, w: int) -> Column:
+    return F.col(f"{name}_n") >= max(2, least(w))
+
+
+def _spread(root: bool) -> Callable[[str, int], Column]:
+    def op(name: str, w: int) -> Column:
+        v = F.try_divide(F.col(f"{name}_vx"), F.col(f"{name}_n") - 1)
+        v = F.sqrt(v) if root else v
+        return F.when(_enough_pairs(name, w) & (F.abs(v) >= FLAT), v)
+
+    return op
+
+
+#: operators on the moments of a frame, by the moments' name and w; a correlation with a constant is missing
+MOMENTS: dict[str, Callable[[str, int], Column]] = {
+    "Var": _spread(False),
+    "Std": _spread(True),
+    "Cov": lambda name, w: F.when(_enough_pairs(name, w), F.try_divide(F.col(f"{name}_c"), F.col(f"{name}_n") - 1)),
+    "Corr": lambda name, w: F.when(_enough_pairs(name, w), F.try_divide(F.col(f"{name}_c"), F.sqrt(F.col(f"{name}_vx")) * F.sqrt(F.col(f"{name}_vy")))),
+}
+
+
+def with_moments(panel: DataFrame, columns: dict[str, tuple[str, str, str, int]]) -> DataFrame:
+    """Adds {name: (operator, x, y, w)} of MOMENTS (y = x for those of one input); equal inputs and frames share their moments."""
+    shared: dict[tuple[str, str, int], str] = {}
+    for _, x, y, w in columns.values():
+        shared.setdefault((x, y, w), f"_m{len(shared)}")
+    # a correlation of a column with itself needs both sides: as a copy
+    own = {name: (x, y, w) for (x, y, w), name in shared.items()}
+    panel = with_window_moments(panel, own)
+    made = {}
+    for name, (op, x, y, w) in columns.items():
+        m = shared[x, y, w]
+        if x == y and op in ("Cov", "Corr"):
+            panel = panel.withColumns({f"{m}_vy": F.col(f"{m}_vx"), f"{m}_c": F.col(f"{m}_vx")})
+        made[name] = MOMENTS[op](m, w)
+    return panel.withColumns(made).drop(*[f"{m}_{k}" for m in shared.values() for k in ("n", "vx", "vy", "c")])
 
 
 def _frames(x: np.ndarray, w: int) -> np.ndarray:
@@ -159,13 +216,13 @@ def amihud(r: Column, close: Column, volume: Column, w: int = 20, needed: int =
     return F.when(F.count(x).over(frame(w)) >= needed, F.log(F.avg(x).over(frame(w))))
 
 
-def market_model(r: Column, m: Column, w: int, needed: int) -> tuple[Column, Column]:
-    """Slope and residual deviation (ddof 1) of one regression of r on m with intercept, over joint rows."""
-    x, y = _jointly(m, r)
-    fr = frame(w)
-    n, vx, vy, cov = F.count(x).over(fr), F.var_samp(x).over(fr), F.var_samp(y).over(fr), F.covar_samp(x, y).over(fr)
-    slope = F.when((n >= needed) & (vx * (n - 1) > FLAT), F.try_divide(cov, vx))
-    return slope, F.when(slope.isNotNull(), F.sqrt(F.greatest(vy - slope * cov, F.lit(0.0))))
+def with_market_model(panel: DataFrame, r: str, m: str, w: int, needed: int, slope: str = "slope", spread: str = "spread") -> DataFrame:
+    """Adds slope and residual deviation (ddof 1) of one regression of r on m with intercept over the last w rows, where at least `needed` have both."""
+    panel = with_window_moments(panel, {"_mm": (m, r, w)})
+    n, vx, vy, c = (F.col(f"_mm_{k}") for k in ("n", "vx", "vy", "c"))
+    b = F.when((n >= needed) & (vx > FLAT), F.try_divide(c, vx))
+    rest = F.when(b.isNotNull(), F.sqrt(F.greatest(F.try_divide(vy - b * c, n - 1), F.lit(0.0))))
+    return panel.withColumns({slope: b, spread: rest}).drop("_mm_n", "_mm_vx", "_mm_vy", "_mm_c")
 
 
 def drawdown(df: DataFrame, r: str, out: str) -> DataFrame:
@@ -185,4 +242,4 @@ def growth(x: Column, key: str, order: str) -> Column:
     return F.when((x > 0) & (before > 0), x / before - 1)
 
 
-__all__ = ["PAIRS", "ROLLING", "SERIES", "amihud", "compounded", "drawdown", "finite", "forward_return", "frame", "growth", "least", "market_model", "ordered", "with_series"]
+__all__ = ["MOMENTS", "ROLLING", "SERIES", "amihud", "compounded", "drawdown", "finite", "forward_return", "frame", "growth", "least", "ordered", "with_market_model", "with_moments", "with_series", "with_window_moments"]

@@ -111,7 +111,7 @@ SIGNALS: dict[str, tuple[str, str]] = {
     "cs_rank": ("CSRank($close)", signal(rank_of(C))),
     "cs_zscore": ("CSZScore($close)", signal(z_of(C))),
     "dsl_csrank_mean": ("CSRank(Mean($close,20))", signal(rank_of("x"), "q", f", q AS (SELECT *, {rolled('avg', C, 20)} AS x FROM p)")),
-    "dsl_csrank_corr": ("CSRank(Corr($close,$volume,20))", signal(rank_of("round(x, 9)"), "q", f", q AS (SELECT *, {_pair('corr', C, V, 20)} AS x FROM p)")),
+    "dsl_csrank_corr": ("CSRank(Corr($close,$volume,20))", signal(rank_of("x"), "q", f", q AS (SELECT *, {_pair('corr', C, V, 20)} AS x FROM p)")),
     "dsl_zscore_delta_std": ("CSZScore(Div(Delta($close,5),Std($close,20)))", signal(z_of(div("x", "y")), "q", f", q AS (SELECT *, close - lag(close, 5) OVER (PARTITION BY a ORDER BY t) AS x, {spread('stddev_samp', C, 20)} AS y FROM p)")),
     "dsl_div_mean": ("Div($close,Mean($close,20))", signal(div("close", "x"), "q", f", q AS (SELECT *, {rolled('avg', C, 20)} AS x FROM p)")),
     "dsl_nested_mean": ("Mean(Mean($close,5),10)", signal(rolled("avg", "x", 10), "q", f", q AS (SELECT *, {rolled('avg', C, 5)} AS x FROM p)")),

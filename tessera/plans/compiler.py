@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..dsl import Call, Constant, Feature, canonical, expression_hash, lookback, parse
 from ..functions import SCALAR, finite
 from ..operators.cross_section import cs_rank, cs_zscore
-from ..operators.rolling import PAIRS, ROLLING, SERIES, with_series
+from ..operators.rolling import MOMENTS, ROLLING, SERIES, with_moments, with_series
 
 
 def signal_name(tree) -> str:
@@ -71,12 +71,12 @@ def compile_batch(panel: DataFrame, expressions: dict[str, str], mask: str = "ma
             args = [F.col(input_name(i)) for i in x.inputs]
             if x.op in ROLLING:
                 made[signal_name(x)] = ROLLING[x.op](args[0], x.window)
-            elif x.op in PAIRS:
-                made[signal_name(x)] = PAIRS[x.op](args[0], args[1], x.window)
             elif x.op in ("CSRank", "CSZScore"):
                 made[signal_name(x)] = (cs_rank if x.op == "CSRank" else cs_zscore)(args[0], F.col(mask))
         panel = panel.withColumns({k: finite(v) for k, v in made.items()}) if made else panel
+        frames = {signal_name(x): (x.op, input_name(x.inputs[0]), input_name(x.inputs[-1]), x.window) for x in own if x.op in MOMENTS}
+        panel = with_moments(panel, frames).withColumns({k: finite(F.col(k)) for k in frames}) if frames else panel
         series = {signal_name(x): (x.op, input_name(x.inputs[0]), x.window) for x in own if x.op in SERIES}
         panel = with_series(panel, series).withColumns({k: finite(F.col(k)) for k in series}) if series else panel
-        known |= set(made) | set(series)
+        known |= set(made) | set(frames) | set(series)
     return panel.withColumns({name: column(t) for name, t in trees.items()}) if start is None else panel.withColumns({name: column(t) for name, t in trees.items()}).where(F.col("t") >= start)

@@ -45,8 +45,6 @@ def _signal(text: str) -> Query:
 
 QUERIES.update({key: _signal(text) for key, (text, _) in SIGNALS.items()})
 QUERIES["ts_ema"] = _signal("EMA($close,20)")
-# correlations of equal moments differ in the last bits between engines, so ranks of rounded ones are compared
-QUERIES["dsl_csrank_corr"] = lambda spark, sf_dir: _value(compile_batch(weekly_panel(spark, sf_dir), {"x": "Corr($close,$volume,20)"}), CS.cs_rank(F.round("x", 9), F.col("mask")))
 
 
 def _value(df: DataFrame, v: Column) -> DataFrame:
@@ -112,12 +110,12 @@ def ts_label(p):
 
 @panel_query
 def ts_beta(p):
-    return _value(_market(p), TS.market_model(F.col("return"), F.col("mret"), 60, 30)[0])
+    return _value(TS.with_market_model(_market(p), "return", "mret", 60, 30), F.col("slope"))
 
 
 @panel_query
 def ts_resid_vol(p):
-    return _value(_market(p), TS.market_model(F.col("return"), F.col("mret"), 60, 30)[1])
+    return _value(TS.with_market_model(_market(p), "return", "mret", 60, 30), F.col("spread"))
 
 
 @panel_query

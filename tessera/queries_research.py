@@ -257,8 +257,8 @@ def ts_long_horizons(spark, sf_dir):
     p = with_return(densify(bars(li)))
     r = F.col("return")
     p = p.join(p.groupBy("t").agg(F.avg("return").alias("mret")), "t")
-    slope, spread = TS.market_model(r, F.col("mret"), 252, 126)
-    made = {"label": TS.forward_return(r), "reversal": TS.compounded(r, -20, 0), "momentum": TS.compounded(r, -252, -21), "slope": slope, "spread": spread}
+    p = TS.with_market_model(p, "return", "mret", 252, 126)
+    made = {"label": TS.forward_return(r), "reversal": TS.compounded(r, -20, 0), "momentum": TS.compounded(r, -252, -21), "slope": F.col("slope"), "spread": F.col("spread")}
     # long products of weekly returns are compared in logarithms
     made |= {k: F.log1p(made[k]) for k in ("label", "reversal", "momentum")}
     return p.withColumns(made).select("a", "t", *r6(*made))
