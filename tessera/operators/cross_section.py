@@ -55,14 +55,20 @@ def prepare_exposure(df: DataFrame, x: str, out: str, mask: Column) -> DataFrame
     return df.withColumn(out, z).drop("_w", "_f", "_ok")
 
 
-def residuals(df: DataFrame, targets: list[str], exposures: list[str], mask: Column) -> DataFrame:
+#: what a date's solve was like: rows, rank and condition of the exposures with intercept, and the largest mean product of an exposure with a residual
+SOLVED = ("solve_rows", "solve_rank", "solve_condition", "solve_worst")
+
+
+def residuals(df: DataFrame, targets: list[str], exposures: list[str], mask: Column, diagnose: bool = False) -> DataFrame:
     """OLS residuals `<target>_res` of all targets on the exposures (with intercept), date by date.
 
     One grouped call for each date, on the columns that it needs; targets that are present on the same rows share one factorisation.
     A ridge of 1e-10 steps in when the exposures are
     rank-deficient or their condition exceeds 1e12; dates with no more rows than columns get nulls.
+    With `diagnose`, the same pass adds the columns SOLVED, equal on all rows of a date (the worst of its solves).
     """
-    schema = StructType([df.schema["a"], df.schema["t"], *(StructField(f"{x}_res", DoubleType()) for x in targets)])
+    more = SOLVED if diagnose else ()
+    schema = StructType([df.schema["a"], df.schema["t"], *(StructField(f"{x}_res", DoubleType()) for x in targets), *(StructField(x, DoubleType()) for x in more)])
     rows = df.where(F.coalesce(mask, F.lit(False))).select("a", "t", *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*targets, *exposures])])
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
@@ -70,6 +76,7 @@ def residuals(df: DataFrame, targets: list[str], exposures: list[str], mask: Col
         there = ~np.isnan(y) & ~np.isnan(risk).any(axis=1)[:, None]
         out = np.full(y.shape, np.nan)
         supports: dict[bytes, list[int]] = {}
+        seen = [np.nan] * 4
         for k in range(y.shape[1]):
             supports.setdefault(there[:, k].tobytes(), []).append(k)
         for own in supports.values():
@@ -83,13 +90,49 @@ def residuals(df: DataFrame, targets: list[str], exposures: list[str], mask: Col
             bad = s[-1] <= s[0] * max(design.shape) * np.finfo(float).eps or s[0] > 1e12 * s[-1]
             beta = np.linalg.solve(design.T @ design + 1e-10 * np.eye(design.shape[1]), design.T @ b) if bad else np.linalg.solve(r, q.T @ b)
             out[np.ix_(use, own)] = b - design @ beta
-        return pd.DataFrame({"a": part["a"], "t": part["t"]} | {f"{x}_res": out[:, k] for k, x in enumerate(targets)})
+            if diagnose:
+                worst = float(np.abs(design.T @ (b - design @ beta)).max() / len(design))
+                found = (len(design), int((s > s[0] * max(design.shape) * np.finfo(float).eps).sum()), float(s[0] / s[-1]) if s[-1] > 0 else np.inf, worst)
+                seen = [pick((x, v)) if not np.isnan(x) else v for pick, x, v in zip((min, min, max, max), seen, found, strict=True)]
+        return pd.DataFrame({"a": part["a"], "t": part["t"]} | {f"{x}_res": out[:, k] for k, x in enumerate(targets)} | dict(zip(more, seen, strict=False)))
 
     solved = rows.groupBy("t").applyInPandas(one, schema)
-    solved = solved.withColumns({f"{x}_res": F.when(~F.isnan(f"{x}_res"), F.col(f"{x}_res")) for x in targets})
+    solved = solved.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in (*(f"{x}_res" for x in targets), *more)})
     return df.join(solved, ["a", "t"], "left")
 
 
+def solve_diagnostics(solved: DataFrame) -> DataFrame:
+    """One row for each date of what residuals(diagnose=True) gave: t and SOLVED."""
+    return solved.where(F.col(SOLVED[0]).isNotNull()).groupBy("t").agg(*[F.max(c).alias(c) for c in SOLVED])
+
+
+def neutral_violations(diagnostics: DataFrame, tolerance: float = 1e-8) -> DataFrame:
+    """Dates on which a residual is still exposed."""
+    return diagnostics.where(F.col("solve_worst") >= tolerance)
+
+
+def assert_neutral(diagnostics: DataFrame, tolerance: float = 1e-8) -> None:
+    """Raises with the first few dates on which a residual is still exposed."""
+    if bad := neutral_violations(diagnostics, tolerance).orderBy("t").take(3):
+        raise ValueError(f"exposures of {tolerance} or more remain: {[(r.t, r.solve_worst) for r in bad]}")
+
+
+def risk_gates(df: DataFrame, diagnostics: DataFrame, exposures: list[str], member: Column, formal: Column, most: float = 1e8, cover: float = 0.999) -> DataFrame:
+    """One row for each hard gate of a risk model: gate, failures, value, passed.
+
+    On the formal dates every solve has full rank and a condition of at most `most`, and members have all exposures at the rate `cover`.
+    """
+    days = df.where(formal).select("t").distinct().join(diagnostics, "t")
+    full = len(exposures) + 1
+    worst = days.agg(F.count_if(F.col("solve_rank") < full).alias("rank"), F.count_if(~(F.col("solve_condition") <= most)).alias("condition"), F.max("solve_condition").alias("top"), F.min("solve_rank").alias("low"))
+    whole = F.lit(True)
+    for e in exposures:
+        whole = whole & F.col(e).isNotNull()
+    share = df.where(formal & member).agg(F.avg(whole.cast("double")).alias("rate"), F.count_if(~whole).alias("missing"))
+    cells = (("rank", F.col("rank"), F.col("low"), F.col("rank") == 0), ("condition", F.col("condition"), F.col("top"), F.col("condition") == 0), ("coverage", F.col("missing"), F.col("rate"), F.coalesce(F.col("rate") >= cover, F.lit(False))))
+    return worst.join(F.broadcast(share)).select(F.inline(F.array(*[F.struct(F.lit(g).alias("gate"), n.cast("long").alias("failures"), v.cast("double").alias("value"), ok.alias("passed")) for g, n, v, ok in cells])))
+
+
 def combine(columns: dict[str, float]) -> tuple[Column, Column]:
     """Weighted sum with missing as 0, never renormalised; and whether any weighted value is present."""
     total, here = F.lit(0.0), F.lit(False)

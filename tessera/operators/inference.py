@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,51 @@ def paired(a: DataFrame, b: DataFrame, x: str, lags: int, order: str = "t") -> D
     return summary(both.select(order, (F.col("_a") - F.col("_b")).alias("_x")), "_x", lags, order=order)
 
 
+def t_quantile(p: Column, nu: Column) -> Column:
+    """Quantile of Student's t for a whole number `nu` of degrees, p in (0, 1).
+
+    With t = sqrt(nu) tan(a), the probability of |t| or less is a finite sum in sin a and cos a: its inverse, that of the
+    incomplete beta function, is found by halving the interval of a.  Missing for nu under 1.
+    """
+    nu, level = nu.cast("long"), F.abs(2 * p - 1)
+    odd = nu % 2 == 1
+    # cos, cos^3 2/3, ... for odd nu; 1, cos^2 1/2, ... for even nu
+    terms = F.when(odd, F.floor((nu - 1) / 2)).otherwise(F.floor(nu / 2)).cast("int")
+
+    def inside(a: Column) -> Column:
+        c2 = F.cos(a) * F.cos(a)
+        first = F.when(odd, F.cos(a)).otherwise(F.lit(1.0))
+
+        def step(acc: Column, k: Column) -> Column:
+            grown = F.when(odd, acc["term"] * c2 * (2.0 * k) / (2.0 * k + 1.0)).otherwise(acc["term"] * c2 * (2.0 * k - 1.0) / (2.0 * k))
+            return F.struct((acc["sum"] + acc["term"]).alias("sum"), grown.alias("term"))
+
+        places = F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>"))
+        total = F.aggregate(places, F.struct(F.lit(0.0).alias("sum"), first.alias("term")), step)["sum"]
+        return F.when(odd, 2 / F.pi() * (a + F.sin(a) * total)).otherwise(F.sin(a) * total)
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = (acc["low"] + acc["high"]) / 2
+        under = inside(mid) < level
+        return F.struct(F.when(under, mid).otherwise(acc["low"]).alias("low"), F.when(under, acc["high"]).otherwise(mid).alias("high"))
+
+    ends = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.lit(0.0).alias("low"), (F.pi() / 2).alias("high")), halve)
+    t = F.sqrt(nu.cast("double")) * F.tan((ends["low"] + ends["high"]) / 2)
+    return F.when((nu >= 1) & (p > 0) & (p < 1), F.signum(2 * p - 1) * t)
+
+
+def seed_interval(df: DataFrame, x: str, keys: list[str], level: float = 0.95) -> DataFrame:
+    """keys, seeds, mean, low, high: Student's interval of the mean over seeds; one seed gives its own value, none gives nulls."""
+    found = df.groupBy(*keys).agg(F.count(x).alias("seeds"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("_sd"))
+    half = F.when(F.col("seeds") > 1, t_quantile(F.lit((1 + level) / 2), F.col("seeds") - 1) * F.col("_sd") / F.sqrt("seeds")).when(F.col("seeds") == 1, 0.0)
+    return found.select(*keys, "seeds", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+
+
+def strict_seed_mean(df: DataFrame, x: str, keys: list[str], seeds: int) -> DataFrame:
+    """keys and the mean of x over seeds; missing unless all declared seeds have a value."""
+    return df.groupBy(*keys).agg(F.when(F.count(x) == seeds, F.avg(x)).alias(x))
+
+
 def significance(series: DataFrame, x: str, name: str, lags: int, fewest: int = 30, order: str = "t") -> DataFrame:
     """For each named series: days, mean, median, sd, share of positive days, se, t, p, status and q (Benjamini-Hochberg over the p that are there)."""
     facts = series.groupBy(name).agg(F.median(x).alias("median"), F.avg((F.col(x) > 0).cast("double")).alias("positive"))
@@ -62,38 +110,95 @@ def block_starts(days: dict[int, int], block: int, samples: int, seed: int) -> l
     return out
 
 
-def _drawn_days(series: DataFrame, block: int, samples: int, seed: int, date: str) -> tuple[DataFrame, DataFrame]:
-    """(_sample, _y, _pos) of every drawn day, and (_y, _pos, date): blocks are unrolled in Spark."""
-    calendar = series.select(date).distinct().groupBy(F.year(date).alias("_y")).agg(F.array_sort(F.collect_list(date)).alias("dates"))
-    days = {r[0]: r[1] for r in calendar.select("_y", F.size("dates")).collect()}  # one row for each year
-    spark = series.sparkSession
-    drawn = spark.createDataFrame(block_starts(days, block, samples, seed), "_sample int, _y int, n int, b int, width int, first int")
-    place = F.explode(F.sequence(F.lit(0), F.col("width") - 1))
-    cells = drawn.select("_sample", "_y", "n", "b", "width", "first", place.alias("k")).where("b * width + k < n").select("_sample", "_y", (F.col("first") + F.col("k")).alias("_pos"))
-    return cells, calendar.select("_y", F.posexplode("dates").alias("_pos", date))
+@lru_cache(maxsize=2)
+def multiplicities(days: tuple[tuple[int, int], ...], block: int, samples: int, seed: int) -> dict[int, np.ndarray]:
+    """For each year a matrix, samples x days of the year: how often a sample draws the day.
 
+    The draws depend on the calendar alone, so all series share them; a worker makes them once.
+    """
+    out = {year: np.zeros((samples, n), np.float32) for year, n in days}
+    for s, year, n, b, width, first in block_starts(dict(days), block, samples, seed):
+        out[year][s, first : first + min(width, n - b * width)] += 1
+    return out
+
+
+def _calendar(series: DataFrame, date: str) -> dict[int, list]:
+    """The distinct dates by year, in order: as many as the calendar has, whatever the number of series."""
+    rows = series.select(date).distinct().groupBy(F.year(date).alias("y")).agg(F.array_sort(F.collect_list(date)).alias("dates")).collect()
+    return {r.y: r.dates for r in sorted(rows, key=lambda r: r.y)}
+
+
+def _by_year(dates: dict[int, list], days, values: np.ndarray) -> dict[int, np.ndarray]:
+    """Rows of `values` (one or more columns) put at their place in each year; missing where a date has no row."""
+    place = {d: (y, k) for y, own in dates.items() for k, d in enumerate(own)}
+    out = {y: np.full((len(own), values.shape[1]), np.nan) for y, own in dates.items()}
+    for d, v in zip(days, values, strict=True):
+        y, k = place[d]
+        out[y][k] = v
+    return out
 
-def sharpe_difference(series: DataFrame, a: str, b: str, block: int = 20, samples: int = 2000, seed: int = 0, date: str = "d", year: float = 252.0, level: float = 0.95) -> DataFrame:
-    """One row: the difference of two Sharpe ratios over the days that have both, and its interval under shared blocks within years."""
-    both = series.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ratio = lambda c: F.when(F.stddev_samp(c) > 0, F.avg(c) / F.stddev_samp(c)) * F.sqrt(F.lit(year))
-    cells, numbered = _drawn_days(both, block, samples, seed, date)
-    drawn = both.join(F.broadcast(numbered), date).join(cells, ["_y", "_pos"]).groupBy("_sample").agg((ratio(a) - ratio(b)).alias("_d"))
+
+def _interval(found: np.ndarray, level: float) -> tuple[float | None, float | None]:
+    found = found[np.isfinite(found)]
     tail = (1 - level) / 2
-    q = drawn.agg(F.percentile("_d", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
-    return both.agg((ratio(a) - ratio(b)).alias("difference")).join(F.broadcast(q)).select("difference", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    return tuple(map(float, np.quantile(found, [tail, 1 - tail]))) if len(found) else (None, None)
+
+
+def sharpe_difference(series: DataFrame, a: str, b: str, block: int = 20, samples: int = 2000, seed: int = 0, date: str = "d", year: float = 252.0, level: float = 0.95, keys: list[str] | None = None) -> DataFrame:
+    """For each of `keys` (one row without): the difference of two Sharpe ratios over the days that have both, and its interval under shared blocks within years.
+
+    Sums and sums of squares of all samples are products of the samples' multiplicities with the days.
+    """
+    keys = keys or []
+    both = series.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, date, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+    dates = _calendar(both, date)
+    sizes = tuple((y, len(own)) for y, own in dates.items())
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows[["_a", "_b"]].to_numpy(float)
+        mid = x.mean(axis=0)  # taken out for exactness, and put back where the mean counts
+        placed = _by_year(dates, rows[date], x - mid)
+        n, s, ss = 0.0, 0.0, 0.0
+        for y, m in multiplicities(sizes, block, samples, seed).items():
+            v, here = np.nan_to_num(placed[y]), np.isfinite(placed[y][:, 0]).astype(float)
+            n, s, ss = n + m @ here, s + m @ v, ss + m @ (v * v)
+        n = np.asarray(n)[:, None]
+        with np.errstate(all="ignore"):
+            var = np.maximum(ss - s * s / n, 0.0) / (n - 1)
+            r = np.where(var > 0, (s / n + mid) / np.sqrt(np.where(var > 0, var, 1.0)), np.nan) * np.sqrt(year)
+            spread = x.std(axis=0, ddof=1) if len(x) > 1 else np.full(2, np.nan)
+            own = np.where(spread > 0, mid / spread, np.nan) * np.sqrt(year)
+        low, high = _interval(r[:, 0] - r[:, 1], level)
+        value = float(own[0] - own[1])
+        return pd.DataFrame({**{k: rows[k].iloc[:1].to_numpy() for k in keys}, "difference": pd.array([None if np.isnan(value) else value], "Float64"), "low": pd.array([low], "Float64"), "high": pd.array([high], "Float64")})
+
+    schema = "".join(f"{k} {both.schema[k].dataType.simpleString()}, " for k in keys) + "difference double, low double, high double"
+    return both.groupBy(*keys).applyInPandas(one, schema)
 
 
 def bootstrap(series: DataFrame, x: str, block: int = 20, samples: int = 2000, seed: int = 0, keys: list[str] | None = None, date: str = "d", level: float = 0.95) -> DataFrame:
     """For each series, the interval of its mean under moving blocks within years; the years keep their shares of present days.
 
-    A sample without any present day of a year that has some is left out.
+    A sample without any present day of a year that has some is left out.  A series is a vector of days, and all its samples are
+    one product of the samples' multiplicities with it; no row is made for a day of a sample.
     """
     keys = keys or []
-    cells, numbered = _drawn_days(series, block, samples, seed, date)
-    values = series.join(F.broadcast(numbered), date).select(*keys, "_y", "_pos", F.col(x).alias("_x"))
-    share = values.groupBy(*keys, "_y").agg(F.count("_x").alias("_c")).where("_c > 0")
-    by = values.join(cells, ["_y", "_pos"]).groupBy(*keys, "_sample", "_y").agg(F.avg("_x").alias("_m")).join(share, [*keys, "_y"])
-    means = by.groupBy(*keys, "_sample").agg(F.when(F.count("_m") == F.count("*"), F.sum(F.col("_m") * F.col("_c")) / F.sum("_c")).alias("_m"))
-    tail = (1 - level) / 2
-    return means.groupBy(*keys).agg(F.percentile("_m", F.array(F.lit(tail), F.lit(1 - tail))).alias("q")).select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    dates = _calendar(series, date)
+    sizes = tuple((y, len(own)) for y, own in dates.items())
+    narrow = series.select(*keys, date, F.col(x).cast("double").alias("_x"))
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        placed = _by_year(dates, rows[date], rows[["_x"]].to_numpy(float))
+        total = sum(int(np.isfinite(v).sum()) for v in placed.values())
+        means = np.zeros(samples) if total else np.full(samples, np.nan)
+        for y, m in multiplicities(sizes, block, samples, seed).items():
+            v = placed[y][:, 0]
+            here = np.isfinite(v)
+            if here.any():
+                with np.errstate(all="ignore"):
+                    means += (m @ np.where(here, v, 0.0)) / (m @ here.astype(float)) * (here.sum() / total)
+        low, high = _interval(means, level)
+        return pd.DataFrame({**{k: rows[k].iloc[:1].to_numpy() for k in keys}, "low": pd.array([low], "Float64"), "high": pd.array([high], "Float64")})
+
+    schema = "".join(f"{k} {narrow.schema[k].dataType.simpleString()}, " for k in keys) + "low double, high double"
+    return narrow.groupBy(*keys).applyInPandas(one, schema)

@@ -21,13 +21,14 @@ FLAT_SHARE = 1e-12
 
 
 def daily_statistics(df: DataFrame, factors: list[str], label: str, universe: Column, keys: tuple[str, ...] = ("t",)) -> DataFrame:
-    """One row for each day: n, y, yy, and for factors i <= j: s{i}, p{i}, g{i}_{j}, all means over the day's universe."""
+    """One row for each day: n, the label's mean y and variance vy, and for factors i <= j means s{i}, means of products p{i} (label) and g{i}_{j},
+    and covariances with the label c{i}.  Variances and covariances of the label are centred, so a constant label has none."""
     z = [F.coalesce(F.col(f), F.lit(0.0)) for f in factors]
     y = F.col(label)
     own = df.where(F.coalesce(universe, F.lit(False)) & y.isNotNull())
-    sums = [F.count("*").alias("n"), F.avg(y).alias("y"), F.avg(y * y).alias("yy")]
+    sums = [F.count("*").alias("n"), F.avg(y).alias("y"), F.var_pop(y).alias("vy")]
     for i, a in enumerate(z):
-        sums += [F.avg(a).alias(f"s{i}"), F.avg(a * y).alias(f"p{i}")]
+        sums += [F.avg(a).alias(f"s{i}"), F.avg(a * y).alias(f"p{i}"), F.covar_pop(a, y).alias(f"c{i}")]
         sums += [F.avg(a * b).alias(f"g{i}_{j}") for j, b in enumerate(z) if j >= i]
     return own.groupBy(*keys).agg(*sums)
 
@@ -38,8 +39,8 @@ def composite_ic(weights: list[float]) -> Column:
     total = lambda terms: sum(terms, F.lit(0.0))
     mean = total(F.lit(a) * F.col(f"s{i}") for i, a in enumerate(w))
     square = total(F.lit(a * b * (1 if i == j else 2)) * F.col(f"g{i}_{j}") for i, a in enumerate(w) for j, b in enumerate(w) if j >= i)
-    vx, vy = square - mean * mean, F.col("yy") - F.col("y") * F.col("y")
-    cov = total(F.lit(a) * F.col(f"p{i}") for i, a in enumerate(w)) - mean * F.col("y")
+    vx, vy = square - mean * mean, F.col("vy")
+    cov = total(F.lit(a) * F.col(f"c{i}") for i, a in enumerate(w))
     flat = (vx * F.col("n") <= NO_SPREAD) | (vx <= FLAT_SHARE * square)
     return F.when((F.col("n") >= FEWEST) & (vy * F.col("n") > NO_SPREAD), F.when(flat, 0.0).otherwise(F.try_divide(cov, F.sqrt(F.when(~flat, vx) * vy))))
 

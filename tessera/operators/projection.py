@@ -72,8 +72,11 @@ def nearest(c: np.ndarray, rows: np.ndarray, b: np.ndarray, low: np.ndarray, hig
     for step in range(1, rounds + 1):
         if np.abs(slope).max(initial=0.0) < close:
             break
-        free = (w > low) & (w < high)
+        v = c + m @ rows
+        free = (v >= low) & (v <= high)
         curve = rows[:, free] @ rows[:, free].T
+        # where all names of a row are at their bounds, a step as if a thousandth of them were not
+        curve[np.diag_indices(len(b))] += np.where(np.diag(curve) < 1e-12, 1e-3, 0.0)
         moved = False
         for _ in range(30):
             way = -np.linalg.solve(curve + damp * np.eye(len(b)), slope)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .statistics import daily_spearman, pearson, pooled_corr
+from .statistics import NO_SPREAD
+
+#: deviation of all days together up to which a column is constant
+POOLED_FLAT = 1e-12
 
 
 def gates(panel: DataFrame, signals: list[str], member: Column, min_assets: int = 100, min_days: int = 252, coverage: float = 0.8, variable: float = 0.8, flat: float = 1e-12) -> DataFrame:
@@ -19,30 +24,99 @@ def gates(panel: DataFrame, signals: list[str], member: Column, min_assets: int
     return rows.withColumn("status", status)
 
 
+def average_ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks from 1, ties share their mean."""
+    order = np.argsort(x, kind="stable")
+    ordered = x[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(x) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(x)))
+    out = np.empty(len(x))
+    out[order] = np.repeat(first + (sizes + 1) / 2, sizes)
+    return out
+
+
+def _correlate(left: np.ndarray, right: np.ndarray, fewest: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Correlations of columns with columns without gaps, and centred sums: vx, vy, c."""
+    a, b = left - left.mean(axis=0), right - right.mean(axis=0)
+    vx, vy, c = (a * a).sum(axis=0)[:, None] + np.zeros(b.shape[1]), (b * b).sum(axis=0)[None, :] + np.zeros((a.shape[1], 1)), a.T @ b
+    ok = (len(left) >= fewest) & (vx > NO_SPREAD) & (vy > NO_SPREAD)
+    return np.where(ok, c / np.sqrt(np.where(ok, vx * vy, 1.0)), np.nan), vx, vy, c
+
+
+def day_pairs(x: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], int]:
+    """All pairs of signals (columns of x) and pool members (of y) on one day, each on the names that both have, and how often a column was ranked.
+
+    Pairs fall into groups by the names that they share.  Within a group each column is ranked once, and the pairs are
+    matrix products; without gaps there is one group, and as many rankings as columns.
+    """
+    has_x, has_y = np.isfinite(x), np.isfinite(y)
+    shape = (x.shape[1], y.shape[1])
+    out = {k: np.full(shape, np.nan) for k in ("corr", "ranked")} | {k: np.zeros(shape) for k in ("n", "mx", "my", "vx", "vy", "c")}
+    packed_x, packed_y = np.packbits(has_x.T, axis=1), np.packbits(has_y.T, axis=1)
+    groups: dict[bytes, list[tuple[int, int]]] = {}
+    for i in range(shape[0]):
+        for j in range(shape[1]):
+            groups.setdefault((packed_x[i] & packed_y[j]).tobytes(), []).append((i, j))
+    ranked = 0
+    for support, pairs in groups.items():
+        rows = np.unpackbits(np.frombuffer(support, np.uint8))[: len(x)].astype(bool)
+        n = int(rows.sum())
+        if not n:
+            continue
+        i, j = (np.array(sorted({p[k] for p in pairs})) for k in (0, 1))
+        left, right = x[np.ix_(rows, i)], y[np.ix_(rows, j)]
+        corr, vx, vy, c = _correlate(left, right)
+        ranks, *_ = _correlate(np.column_stack([average_ranks(v) for v in left.T]), np.column_stack([average_ranks(v) for v in right.T]))
+        ranked += len(i) + len(j)
+        at_i, at_j = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+        from_i, from_j = np.searchsorted(i, at_i), np.searchsorted(j, at_j)
+        for k, v in (("corr", corr), ("ranked", ranks), ("vx", vx), ("vy", vy), ("c", c)):
+            out[k][at_i, at_j] = v[from_i, from_j]
+        out["n"][at_i, at_j] = n
+        out["mx"][at_i, at_j], out["my"][at_i, at_j] = left.mean(axis=0)[from_i], right.mean(axis=0)[from_j]
+    return out, ranked
+
+
+_DAY = "t int, k int, enough boolean, n double, mx double, my double, vx double, vy double, c double, corr double, ranked double"
+_PAIR = "k int, daily double, pooled double, ranked double, corr_coverage double"
+
+
 def redundancy(panel: DataFrame, signals: list[str], pool: list[str], member: Column, min_assets: int = 100) -> DataFrame:
     """For each signal and pool member: mean absolute daily correlation, absolute pooled correlation, mean absolute daily rank correlation,
     the largest of them, and the share of the signal's valid days that have a daily correlation. Missing ones count as 0.
 
-    All pairs go through the panel together: one aggregation for the correlations, and one long table of the pairs' joint rows for
-    the ranks. Days of fewer than `min_assets` present values of the signal count for the pooled correlation alone.
+    A day's cross-section gives all its pairs at once (day_pairs), then a pair's days, as many as the calendar has, give its row: the
+    panel is shuffled once and no row of it is repeated for a pair.  Days of fewer than `min_assets` present values of the signal
+    count for the pooled correlation alone.
     """
-    own = panel.where(member)
-    days = own.groupBy("t").agg(*[F.count(s).alias(f"n_{s}") for s in signals])
+    names = list(dict.fromkeys([*signals, *pool]))
+    own = panel.where(member).select(F.col("t").cast("int").alias("t"), *[F.col(c).cast("double").alias(c) for c in names])
     pairs = [(s, m) for s in signals for m in pool]
-    pooled = own.agg(*[F.abs(pooled_corr(F.col(s), F.col(m))).alias(f"r{k}") for k, (s, m) in enumerate(pairs)])
-    daily = own.groupBy("t").agg(*[pearson(F.col(s), F.col(m)).alias(f"c{k}") for k, (s, m) in enumerate(pairs)]).join(days, "t")
-    valid = lambda s: F.col(f"n_{s}") >= min_assets
-    one = daily.agg(*[x for k, (s, _) in enumerate(pairs) for x in (F.avg(F.when(valid(s), F.abs(f"c{k}"))).alias(f"d{k}"), F.count(F.when(valid(s), F.col(f"c{k}"))).alias(f"h{k}"))], *[F.count_if(valid(s)).alias(f"v_{s}") for s in signals])
-    rows = one.join(F.broadcast(pooled)).select(F.inline(F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(m).alias("member"), F.coalesce(f"d{k}", F.lit(0.0)).alias("daily"), F.coalesce(f"r{k}", F.lit(0.0)).alias("pooled"), (F.col(f"h{k}") / F.greatest(F.lit(1), F.col(f"v_{s}"))).alias("corr_coverage")) for k, (s, m) in enumerate(pairs)])))
-    joint = own.select("t", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(s).cast("double").alias("x"), F.col(m).cast("double").alias("y")) for k, (s, m) in enumerate(pairs)])).alias("p")).select("t", "p.*").where("x is not null and y is not null")
-    ranks = daily_spearman(joint, "x", "y", ["k", "t"]).join(days, "t")
-    enough = F.lit(False)
-    for k, (s, _) in enumerate(pairs):
-        enough = enough | ((F.col("k") == k) & valid(s))
+
+    def day(keys, table):
+        x, y = (np.column_stack([table.column(c).to_numpy() for c in cols]) for cols in (signals, pool))
+        found, _ = day_pairs(x, y)
+        enough = np.repeat(np.isfinite(x).sum(axis=0) >= min_assets, len(pool))
+        cols = [pa.array(np.full(len(pairs), keys[0].as_py(), np.int32)), pa.array(np.arange(len(pairs), dtype=np.int32)), pa.array(enough)]
+        cols += [pa.array(found[k].ravel(), mask=np.isnan(found[k].ravel())) for k in ("n", "mx", "my", "vx", "vy", "c", "corr", "ranked")]
+        return pa.Table.from_arrays(cols, names=[f.split()[0] for f in _DAY.split(", ")])
+
+    def pair(keys, table):
+        enough = table.column("enough").to_numpy(zero_copy_only=False)
+        n, mx, my, vx, vy, c, corr, ranked = (table.column(k).to_numpy() for k in ("n", "mx", "my", "vx", "vy", "c", "corr", "ranked"))
+        mean = lambda v: float(np.nanmean(np.abs(v[enough]))) if np.isfinite(v[enough]).any() else 0.0
+        total, pooled = n.sum(), 0.0
+        if total:
+            dx, dy = mx - n @ mx / total, my - n @ my / total
+            sx, sy, sxy = float(vx.sum() + n @ (dx * dx)), float(vy.sum() + n @ (dy * dy)), float(c.sum() + n @ (dx * dy))
+            if (sx / total) ** 0.5 > POOLED_FLAT and (sy / total) ** 0.5 > POOLED_FLAT:
+                pooled = abs(sxy / (sx * sy) ** 0.5)
+        cover = float(np.isfinite(corr[enough]).sum() / max(1, enough.sum()))
+        return pa.table({"k": pa.array([keys[0].as_py()], pa.int32()), "daily": [mean(corr)], "pooled": [pooled], "ranked": [mean(ranked)], "corr_coverage": [cover]})
+
+    rows = own.groupBy("t").applyInArrow(day, _DAY).groupBy("k").applyInArrow(pair, _PAIR)
     named = F.element_at(F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(m).alias("member")) for s, m in pairs]), F.col("k") + 1)
-    ranked = ranks.where(enough).groupBy("k").agg(F.avg(F.abs("rank_ic")).alias("ranked")).select(named.alias("n"), "ranked").select("n.*", "ranked")
-    out = rows.join(F.broadcast(ranked), ["signal", "member"], "left").withColumn("ranked", F.coalesce("ranked", F.lit(0.0)))
-    return out.withColumn("strongest", F.greatest("daily", "pooled", "ranked"))
+    return rows.withColumn("n", named).select("n.*", "daily", "pooled", "corr_coverage", "ranked", F.greatest("daily", "pooled", "ranked").alias("strongest"))
 
 
 def validate(panel: DataFrame, signals: list[str], pool: list[str], member: Column, most: float = 0.95, min_assets: int = 100, **limits) -> DataFrame:

@@ -67,9 +67,30 @@ def read_years(spark: SparkSession, path: str, first: int, last: int) -> DataFra
     return spark.read.parquet(path).where(F.col("year").between(first, last))
 
 
+def store_panel(panel: DataFrame, name: str, buckets: int, date: str = "d") -> None:
+    """The panel as a table of the warehouse, written once: a folder for each year, and in it `buckets` files by asset, each in the order of asset and date.
+
+    Series windows on what read_panel() gives need no shuffle, as all rows of an asset are in one bucket, and ranges of dates
+    read their years alone.
+    """
+    rows = panel.withColumn("year", F.year(date))
+    rows.repartition(buckets, "a").sortWithinPartitions("year", "a", "t").write.mode("overwrite").format("parquet").option("compression", "zstd").partitionBy("year").bucketBy(buckets, "a").sortBy("a", "t").saveAsTable(name)
+
+
+def read_panel(spark: SparkSession, name: str, first: str | None = None, last: str | None = None, date: str = "d") -> DataFrame:
+    """Rows of the stored panel from `first` to `last`, both included; folders of other years are not read."""
+    rows = spark.table(name)
+    for day, keep in ((first, lambda c, v: c >= v), (last, lambda c, v: c <= v)):
+        if day is not None:
+            limit = F.lit(day).cast("date")
+            rows = rows.where(keep(F.col("year"), int(day[:4])) & keep(F.col(date).cast("date"), limit))
+    return rows.drop("year")
+
+
 def write_checked(df: DataFrame, path: str, gate: Callable[[DataFrame], list[str]]) -> None:
     """Writes beside `path`, checks what was written, and only then takes the place of what was there, which stays if a gate fails."""
     spark = df.sparkSession
+    recover(spark, path)
     new, old = f"{path}.new", f"{path}.old"
     df.write.mode("overwrite").parquet(new)
     if failures := gate(spark.read.parquet(new)):
@@ -87,6 +108,14 @@ def write_checked(df: DataFrame, path: str, gate: Callable[[DataFrame], list[str
     fs.delete(backup, True)
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """If a writer ended between its two renames, what it had set aside is the table again."""
+    target, fs = _path(spark, path)
+    backup = _path(spark, f"{path}.old")[0]
+    if not fs.exists(target) and fs.exists(backup):
+        fs.rename(backup, target)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A small report as Parquet and as CSV with a header beside it."""
     df.write.mode("overwrite").parquet(path)
