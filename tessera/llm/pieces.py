@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import re
 import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -201,20 +202,32 @@ class Encoder:
 
     def encode(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids with the begin and end ids, and for each the span of bytes of `raw` that it stands for."""
-        text, origin = self.normalise(raw)
-        found = [b""]
-        at = 0
-        while at < len(text):
-            cut = _BORDER.search(text, at + _STRETCH)
-            stop = cut.start() if cut else len(text)
-            found.extend(map(self.words.__getitem__, _WORD.findall(text, at, stop)))
-            at = stop
-        ids = np.frombuffer(b"".join(found), np.uint32)
-        edges = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(self.width[ids], out=edges[1:])
-        edges = origin[edges]
-        end = len(raw)
-        return np.concatenate([[self.begin], ids, [self.end]]).astype(np.uint32), np.concatenate([[0], edges[:-1], [end]]), np.concatenate([[0], edges[1:], [end]])
+        return next(self.encode_all([raw]))
+
+    def encode_all(self, raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """encode() of each; new words of the texts merge together, those of long texts a stretch at a time."""
+        normal = [self.normalise(raw) for raw in raws]
+        cut = [_WORD.findall(text) if len(text) <= _STRETCH else None for text, _ in normal]
+        self.words.learn(w for c in cut if c for w in c)
+        for raw, (text, origin), known in zip(raws, normal, cut, strict=True):
+            found = [b""]
+            if known is not None:
+                found.extend(map(self.words.__getitem__, known))
+            else:
+                at = 0
+                while at < len(text):
+                    border = _BORDER.search(text, at + _STRETCH)
+                    stop = border.start() if border else len(text)
+                    some = _WORD.findall(text, at, stop)
+                    self.words.learn(some)
+                    found.extend(map(self.words.__getitem__, some))
+                    at = stop
+            ids = np.frombuffer(b"".join(found), np.uint32)
+            edges = np.zeros(len(ids) + 1, np.int64)
+            np.cumsum(self.width[ids], out=edges[1:])
+            edges = origin[edges]
+            end = len(raw)
+            yield np.concatenate([[self.begin], ids, [self.end]]).astype(np.uint32), np.concatenate([[0], edges[:-1], [end]]), np.concatenate([[0], edges[1:], [end]])
 
     # --- decoding
 
@@ -226,7 +239,7 @@ class Encoder:
                 if i in self.byte_of:
                     break
                 if s.startswith(b" ") and self.width[i]:
-                    parts[k] = s[1:] if not self.strip else s.lstrip(b" ")
+                    parts[k] = s[1:]
                     if not self.strip:
                         break
                 if parts[k]:
@@ -261,20 +274,118 @@ def _runs(ids: np.ndarray, parts: list[bytes], is_byte: np.ndarray):
         yield parts[lo:hi]
 
 
+class _Pairs:
+    """Which two neighbours join into which piece, for many words at once.
+
+    A sign is the id of its piece, or, for a character that is no piece, a number behind the ids; a character that
+    no piece holds is the negative of its code, and joins nothing.
+    """
+
+    def __init__(self, rank: dict[str, tuple[float, int]], n_pieces: int):
+        self.n_pieces = n_pieces
+        self.sign = {piece: i for piece, (_, i) in rank.items()}
+        for c in sorted({c for piece in rank for c in piece} - self.sign.keys()):
+            self.sign[c] = n_pieces + len(self.sign)
+        self.wide = max(self.sign.values()) + 1
+        order = {score: k for k, score in enumerate(sorted({score for score, _ in rank.values()}))}
+        found = sorted((self.sign[p[:k]] * self.wide + self.sign[p[k:]], i, order[score]) for p, (score, i) in rank.items() for k in range(1, len(p)) if p[:k] in self.sign and p[k:] in self.sign)
+        self.keys, self.into, self.order = (np.array([f[k] for f in found], np.int64) for k in range(3))
+        self.code = {s: c for c, s in self.sign.items() if len(c) == 1}
+        self.of_code = -np.arange(0x110000, dtype=np.int32) - 1
+        for c, sign in self.sign.items():
+            if len(c) == 1:
+                self.of_code[ord(c)] = sign
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Place of each pair in the table, or -1."""
+        key = np.where((left < 0) | (right < 0), -1, left * self.wide + right)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at, -1)
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The signs of all words in order, and where each word's signs begin (and the end).
+
+        In each round every word joins its best pair, the left one among equals; words without one are done.
+        """
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        signs = self.of_code[codes].astype(np.int64)
+        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        none = np.int64(1) << 62
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def weigh(where: np.ndarray) -> np.ndarray:
+            """The order of the pair that begins at each place, smaller first; its place in the table is found again when it joins."""
+            right = np.minimum(where + 1, len(signs) - 1)
+            pair = np.where(word[right] == word[where], self.look(signs[where], signs[right]), -1)
+            pair[where == len(signs) - 1] = -1
+            return np.where(pair < 0, none, self.order[pair])
+
+        weight = weigh(np.arange(len(signs)))
+        while len(signs):
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            least = np.minimum.reduceat(weight, first)
+            sizes = np.diff(np.append(first, len(signs)))
+            best = np.repeat(least, sizes)
+            over = best == none
+            if over.any():
+                done.append((word[over], signs[over]))
+                signs, word, weight, best = signs[~over], word[~over], weight[~over], best[~over]
+                if not len(signs):
+                    break
+            hit = np.flatnonzero(weight == best)
+            hit = hit[np.concatenate([[True], word[hit[1:]] != word[hit[:-1]]])]  # the left one of each word
+            signs[hit] = self.into[self.look(signs[hit], signs[hit + 1])]
+            keep = np.ones(len(signs), bool)
+            keep[hit + 1] = False
+            hit = hit - np.arange(len(hit))  # one sign fell out before each later one
+            signs, word, weight = signs[keep], word[keep], weight[keep]
+            touched = np.zeros(len(signs), bool)
+            touched[hit] = touched[np.maximum(hit - 1, 0)] = True
+            near = np.flatnonzero(touched)
+            weight[near] = weigh(near)
+        word, signs = (np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in (0, 1))
+        order = np.argsort(word, kind="stable")
+        return signs[order], np.searchsorted(word[order], np.arange(len(words) + 1))
+
+
 class _Words(dict):
     """word -> its ids as bytes; a cache of bounded size that keeps short words alone."""
 
-    LIMIT, LONGEST = 200_000, 40
+    LIMIT, LONGEST = 300_000, 40
 
     def __init__(self, owner: Encoder):
         super().__init__()
         self.owner = owner
+        self.pairs = _Pairs(owner.rank, len(owner.width))
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Words that are not known merge together; other words may be forgotten for them."""
+        every = set(words)
+        new = [w for w in every if w not in self and len(w) <= self.LONGEST]
+        if len(self) + len(new) > self.LIMIT:
+            self.clear()
+            new = [w for w in every if len(w) <= self.LONGEST]
+        if len(new) < 20:
+            return
+        signs, at = self.pairs.merge(new)
+        plain = (signs >= 0) & (signs < self.pairs.n_pieces)
+        odd = np.add.reduceat(~plain, at[:-1]) > 0
+        raw, edges = signs.astype(np.uint32).tobytes(), (4 * at).tolist()
+        for k, w in enumerate(new):
+            self[w] = raw[edges[k] : edges[k + 1]]
+        for k in np.flatnonzero(odd).tolist():
+            ids: list[int] = []
+            for sign in signs[at[k] : at[k + 1]].tolist():
+                if 0 <= sign < self.pairs.n_pieces:
+                    ids.append(sign)
+                else:
+                    c = chr(-sign - 1) if sign < 0 else self.pairs.code[sign]
+                    ids.extend(self.owner.bytes[b] for b in c.encode())
+            self[new[k]] = np.array(ids, np.uint32).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         ids = np.array(self.owner.merge(word), np.uint32).tobytes()
         if len(word) <= self.LONGEST:
-            if len(self) >= self.LIMIT:
-                self.clear()
             self[word] = ids
         return ids
 
@@ -303,7 +414,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         own = encoder(model)
         for b in batches:
             for part in slices(b):
-                found = [own.encode(t) for t in binaries(part.column(1))]
+                found = list(own.encode_all(binaries(part.column(1))))
                 yield batch(doc_id=part.column(0), ids=_lists([f[0] for f in found], pa.int32()), starts=_lists([f[1] for f in found], pa.int32()), ends=_lists([f[2] for f in found], pa.int32()))
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
