@@ -144,6 +144,11 @@ def _interval(found: np.ndarray, level: float) -> tuple[float | None, float | No
     return tuple(map(float, np.quantile(found, [tail, 1 - tail]))) if len(found) else (None, None)
 
 
+def full_summary(series: DataFrame, x: str, lags: int, keys: list[str], block: int = 20, samples: int = 2000, seed: int = 0, order: str = "t", date: str = "d") -> DataFrame:
+    """The summary of each series with the interval of its mean; rows are the whole calendar, gaps as null."""
+    return summary(series, x, lags, keys, order).join(bootstrap(series, x, block, samples, seed, keys, date), keys, "left")
+
+
 def sharpe_difference(series: DataFrame, a: str, b: str, block: int = 20, samples: int = 2000, seed: int = 0, date: str = "d", year: float = 252.0, level: float = 0.95, keys: list[str] | None = None) -> DataFrame:
     """For each of `keys` (one row without): the difference of two Sharpe ratios over the days that have both, and its interval under shared blocks within years.
 

@@ -177,15 +177,20 @@ def admit(df: DataFrame, group: str, delta: str, admissible: Column, order: list
 NATIVE = {"exact_repeat": 0.1, "family_free": 8, "family_low": 0.08, "family_repeat": 0.02, "family_good": 0.1, "family_new": 0.02, "behaviour_good": 0.12, "behaviour_corr": 0.85, "behaviour_penalty": 0.08, "behaviour_low": 0.5, "behaviour_bonus": 0.02}
 
 
-def native_reward(ic: Column, ir: Column, seen: Column, family: Column, behaviour: Column, spec: dict | None = None) -> Column:
-    """Clipped rank correlation with bonuses for new families and behaviour and penalties for repeats."""
+def mined(ic: Column, coverage: Column, seen: Column, least_ic: float, least_coverage: float) -> Column:
+    """Whether a candidate is good and covered enough, and new, to be kept."""
+    return F.coalesce((ic >= least_ic) & (coverage >= least_coverage) & ~seen, F.lit(False))
+
+
+def native_reward(ic: Column, ir: Column, seen: Column, family: Column, behaviour: Column, spec: dict | None = None, has_pool: bool = True) -> Column:
+    """Clipped rank correlation with bonuses for new families and behaviour and penalties for repeats; behaviour counts beside a pool alone."""
     s = NATIVE | (spec or {})
     clip = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
     raw = clip(ic * 5.0 + 0.02 * F.tanh(ir))
     bonus = F.when((family == 0) & (raw >= s["family_good"]), s["family_new"]).otherwise(0.0)
     repeat = F.when((family > s["family_free"]) & (raw < s["family_low"]), s["family_repeat"]).otherwise(0.0)
     close = F.when(behaviour > s["behaviour_corr"], -s["behaviour_penalty"] * (behaviour - s["behaviour_corr"])).when(behaviour < s["behaviour_low"], s["behaviour_bonus"]).otherwise(0.0)
-    return clip(raw - F.when(seen, s["exact_repeat"]).otherwise(0.0) - repeat + bonus + F.when(raw >= s["behaviour_good"], close).otherwise(0.0))
+    return clip(raw - F.when(seen, s["exact_repeat"]).otherwise(0.0) - repeat + bonus + (F.when(raw >= s["behaviour_good"], close).otherwise(0.0) if has_pool else F.lit(0.0)))
 
 
 def decorrelated(order: list[str], corr: dict[frozenset, float], limit: float = 0.7, most: int = 20) -> list[str]:

@@ -20,6 +20,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from ..functions import finite
 
 FLAT = 1e-12
+#: deviations that are this small beside the mean are rounding: a constant has none
+NOISE = 1e-14
 
 
 def frame(w: int, a: str = "a", t: str = "t"):
@@ -99,11 +101,18 @@ def with_window_moments(panel: DataFrame, columns: dict[str, tuple[str, str, int
         n = p("n") + q("n")
         weight = F.coalesce(F.try_divide(p("n") * q("n"), n), F.lit(0.0))
         dx = p("x") - q("x")
+
+        def spread(v: str, m: str, d: Column) -> Column:
+            """Both sums of squares and what lies between the means; what is less than rounding of the mean leaves is none."""
+            total = p(v) + q(v) + d * d * weight  # noqa: B023
+            noise = F.greatest(F.abs(p(m)), F.abs(q(m))) * NOISE  # noqa: B023
+            return F.when(total > n * noise * noise, total).otherwise(0.0)  # noqa: B023
+
         out[f"{name}_n"] = n
-        out[f"{name}_vx"] = p("vx") + q("vx") + dx * dx * weight
+        out[f"{name}_vx"] = spread("vx", "x", dx)
         if x != y:
             dy = p("y") - q("y")
-            out[f"{name}_vy"] = p("vy") + q("vy") + dy * dy * weight
+            out[f"{name}_vy"] = spread("vy", "y", dy)
             out[f"{name}_c"] = p("c") + q("c") + dx * dy * weight
         drop += [f"_{name}_{way}_{k}" for way in ("p", "s", "l") for k in keys]
     return panel.withColumns(inner).withColumns(lagged).withColumns(out).drop(*drop)

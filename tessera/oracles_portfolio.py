@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 from .oracles import _FACTORS, _LABEL, _TARGET, PANEL, _ic, fold, rolled, spread, z_of
-from .oracles_research import L, _r, _std
+from .operators.inference import block_starts
+from .oracles_research import _ICS, L, _r, _res, _std, _summary
 
 QUERIES: dict[str, str] = {}
 
@@ -183,3 +184,110 @@ def _student() -> str:
 QUERIES["st_seed_ci"] = f"""{PANEL}, {_student()}, sd AS (SELECT nation, a, avg(ret) AS x FROM p WHERE member GROUP BY nation, a), sg AS (SELECT nation, count(x) AS seeds, avg(x) AS mean, stddev_samp(x) AS sd FROM sd GROUP BY nation),
 sh AS (SELECT *, CASE WHEN seeds > 1 THEN q * sd / sqrt(seeds) WHEN seeds = 1 THEN 0.0 END AS half FROM sg LEFT JOIN tq ON nu = seeds - 1) SELECT nation, CAST(seeds AS BIGINT) AS seeds, {_r('mean')}, {fold('mean - half')} AS low, {fold('mean + half')} AS high FROM sh"""
 QUERIES["src_panel"] = f"{PANEL}, q AS (SELECT * FROM p WHERE d BETWEEN DATE '1994-03-01' AND DATE '1996-06-30') SELECT a, t, {fold(rolled('avg', 'close', 10))} AS mean, {fold(spread('stddev_samp', 'close', 10))} AS std FROM q"
+
+
+# --- combined signals ------------------------------------------------------------------------------------
+
+QUERIES["po_combiner"] = f"{_R1}, cw AS (SELECT w1, w2 FROM wt WHERE f = 'full') SELECT p.a, p.t, {fold('CASE WHEN o2.mask AND (f1 IS NOT NULL OR f2 IS NOT NULL) THEN w1 * coalesce(f1, 0) + w2 * coalesce(f2, 0) END')} AS signal FROM p LEFT JOIN o2 ON o2.a = p.a AND o2.t = p.t CROSS JOIN cw"
+
+# --- intervals: the draws of the generator, written as a table ---------------------------------------------
+
+_WEEKS = {1995: 52, 1996: 53, 1997: 52, 1998: 52, 1999: 52, 2000: 52, 2001: 44}
+
+
+def _drawn(days: dict[int, int], block: int, samples: int, seed: int = 0) -> str:
+    """CTE draws (s, y, pos): the place in its year of every day of every sample."""
+    rows = ", ".join(f"({s},{y},{n},{b},{w},{v})" for s, y, n, b, w, v in block_starts(days, block, samples, seed))
+    return f"starts AS (SELECT * FROM (VALUES {rows}) q(s, y, n, b, w, v)), draws AS (SELECT s, y, v + k AS pos FROM (SELECT *, unnest(generate_series(0, w - 1)) AS k FROM starts) WHERE b * w + k < n)"
+
+
+def _boot(series: str) -> str:
+    """CTEs from `series` (name, d, x; every date) to bi (name, low, high)."""
+    return f"""nu AS (SELECT name, x, year(d) AS y, row_number() OVER (PARTITION BY name, year(d) ORDER BY d) - 1 AS pos FROM {series}), ny AS (SELECT name, y, count(x) AS c FROM nu GROUP BY name, y),
+by_ AS (SELECT name, s, y, avg(x) AS m FROM nu JOIN draws USING (y, pos) GROUP BY name, s, y),
+ms AS (SELECT name, s, CASE WHEN count(m) = count(*) THEN sum(m * c) / sum(c) END AS m FROM by_ JOIN ny USING (name, y) WHERE c > 0 GROUP BY name, s), bi AS (SELECT name, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM ms GROUP BY name)"""
+
+
+_LONG = "ln AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, d, i_{n} AS x FROM iw" for n in ("close", "volume", "open", "return")) + ")"
+QUERIES["st_bootstrap"] = f"{PANEL}, {_ICS}, {_LONG}, {_drawn(_WEEKS, 20, 400)}, {_boot('ln')} SELECT name, {_r('low', 'high')} FROM bi"
+QUERIES["st_interval"] = f"{PANEL}, {_ICS}, ln AS (SELECT 'close' AS name, d, i_close AS x FROM iw), {_drawn(_WEEKS, 20, 400)}, {_boot('ln')}, ser AS (SELECT t, i_close AS x FROM iw), {_summary('ser')} SELECT CAST(n AS BIGINT) AS n, {_r('mean', 'sd', 'se', 't_value', 'low', 'high')} FROM sm, bi"
+_RATIO = "avg({0}) / CASE WHEN stddev_samp({0}) > 0 THEN stddev_samp({0}) END * sqrt(52.0)"
+QUERIES["st_sharpe"] = f"""{PANEL}, mk AS (SELECT d, median(ret) AS x, avg(ret) AS y0 FROM p WHERE member GROUP BY d), bo AS (SELECT d, x, y0, year(d) AS y, row_number() OVER (PARTITION BY year(d) ORDER BY d) - 1 AS pos FROM mk WHERE x IS NOT NULL AND y0 IS NOT NULL),
+{_drawn(_WEEKS | {1995: 51}, 20, 400)}, dr AS (SELECT s, {_RATIO.format('x')} - {_RATIO.format('y0')} AS df FROM bo JOIN draws USING (y, pos) GROUP BY s)
+SELECT {fold(f"(SELECT {_RATIO.format('x')} - {_RATIO.format('y0')} FROM bo)")} AS difference, {fold('quantile_cont(df, 0.025)')} AS low, {fold('quantile_cont(df, 0.975)')} AS high FROM dr"""
+
+# --- queries of the research module without SQL so far -----------------------------------------------------
+
+_FIVE = ("close", "high", "volume", "open", "low")
+
+
+def _greedy() -> str:
+    ctes, before = [], "pr"
+    pairs = ", ".join(f"covar_pop({x}, {y}) FILTER ({x} IS NOT NULL AND {y} IS NOT NULL) / (stddev_pop({x}) FILTER ({y} IS NOT NULL) * stddev_pop({y}) FILTER ({x} IS NOT NULL)) AS r_{x}_{y}" for i, x in enumerate(_FIVE) for y in _FIVE[:i])
+    for i, x in enumerate(_FIVE):
+        own = " AND ".join(f"NOT (k_{y} AND abs(r_{x}_{y}) >= 0.7)" for y in _FIVE[:i]) or "true"
+        ctes.append(f"g{i} AS (SELECT *, {own} AS k_{x} FROM {before})")
+        before = f"g{i}"
+    rows = " UNION ALL ".join(f"SELECT {i} AS i, '{x}' AS name FROM {before} WHERE k_{x}" for i, x in enumerate(_FIVE))
+    return f"{PANEL}, pr AS (SELECT {pairs} FROM p WHERE mask), {', '.join(ctes)}, al AS ({rows}) SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS INTEGER) AS place, name FROM al"
+
+
+QUERIES["so_greedy"] = _greedy()
+_STATUS = {"return": "ret", "copy": "high * 2 + 0.001", "sparse": "CASE WHEN a % 3 = 0 THEN close END", "flat": "CASE WHEN close IS NOT NULL THEN 1.0 END"}
+
+
+def _near(x: str, m: str) -> str:
+    both = f"mask AND {x} IS NOT NULL AND {m} IS NOT NULL"
+    ranks = f"SELECT t, rank() OVER (PARTITION BY t ORDER BY {x}) + (count(*) OVER (PARTITION BY t, {x}) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY t ORDER BY {m}) + (count(*) OVER (PARTITION BY t, {m}) - 1) / 2.0 AS ry FROM vs WHERE {both}"
+    valid = f"t IN (SELECT t FROM vs WHERE mask GROUP BY t HAVING count({x}) >= 3)"
+    daily = f"SELECT avg(abs(ic)) FROM (SELECT t, {_ic(x, m)} AS ic FROM vs WHERE mask GROUP BY t) WHERE {valid}"
+    ranked = f"SELECT avg(abs(ic)) FROM (SELECT t, {_ic('rx', 'ry')} AS ic FROM ({ranks}) GROUP BY t) WHERE {valid}"
+    pooled = f"SELECT abs(covar_pop({x}, {m}) / (stddev_pop({x}) * stddev_pop({m}))) FROM vs WHERE {both} HAVING stddev_pop({x}) > 1e-12 AND stddev_pop({m}) > 1e-12"
+    return f"greatest(coalesce(({daily}), 0), coalesce(({ranked}), 0), coalesce(({pooled}), 0))"
+
+
+def _gated(name: str) -> str:
+    c = f"s_{name}"
+    return f"""SELECT '{name}' AS signal, sum(n_{c}) / sum(n) AS coverage, count(*) FILTER (n_{c} >= 3) AS valid_days, count(*) FILTER (n_{c} >= 3 AND v_{c} > 1e-12) / nullif(count(*) FILTER (n_{c} >= 3), 0) AS variable_rate, {_near(c, 'high')} AS c_high, {_near(c, 'volume')} AS c_volume FROM dv"""
+
+
+QUERIES["val_status"] = f"""{PANEL}, vs AS (SELECT *, {', '.join(f'{x} AS s_{n}' for n, x in _STATUS.items())} FROM p), dv AS (SELECT t, count(*) AS n, {', '.join(f'count(s_{n}) AS n_s_{n}, var_pop(s_{n}) AS v_s_{n}' for n in _STATUS)} FROM vs WHERE mask GROUP BY t),
+gt AS ({' UNION ALL '.join(_gated(n) for n in _STATUS)}),
+st AS (SELECT *, CASE WHEN coverage < 0.8 THEN 'coverage_failure' WHEN valid_days < 30 THEN 'insufficient_valid_days' WHEN coalesce(variable_rate, 0) < 0.8 THEN 'near_constant' ELSE 'valid' END AS first FROM gt)
+SELECT signal, CASE WHEN first = 'valid' AND greatest(c_high, c_volume) > 0.95 THEN 'near_duplicate_signal' ELSE first END AS status, CAST(valid_days AS BIGINT) AS valid_days, {_r('coverage', 'variable_rate')}, {fold("CASE WHEN first = 'valid' THEN greatest(c_high, c_volume) END")} AS strongest, CASE WHEN first = 'valid' THEN CASE WHEN c_volume > c_high THEN 'volume' ELSE 'high' END END AS member FROM st"""
+_CHAIN = {"return": "ret", "copy": "high * 2 + 0.001", "open": "open"}
+
+
+def _chain(name: str) -> str:
+    ranks = f"SELECT t, rank() OVER (PARTITION BY t ORDER BY s_{name}) + (count(*) OVER (PARTITION BY t, s_{name}) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY t ORDER BY y) + (count(*) OVER (PARTITION BY t, y) - 1) / 2.0 AS ry FROM vs WHERE mask AND s_{name} IS NOT NULL AND y IS NOT NULL"
+    return f"SELECT '{name}' AS signal, (SELECT avg(ic) FROM rk_{name}) AS ic, (SELECT avg(ic) / nullif(stddev_pop(ic), 0) FROM rk_{name}) AS ir, greatest({_near(f's_{name}', 'high')}, {_near(f's_{name}', 'volume')}) AS corr, (SELECT count(s_{name}) / count(*) FROM vs WHERE mask) AS coverage", f"rk_{name} AS (SELECT t, {_ic('rx', 'ry')} AS ic FROM ({ranks}) GROUP BY t)"
+
+
+_CHAINED = {n: _chain(n) for n in _CHAIN}
+QUERIES["po_native_chain"] = f"""{PANEL}, {_LABEL}, vs AS (SELECT *, {', '.join(f'{x} AS s_{n}' for n, x in _CHAIN.items())} FROM lab), {', '.join(c for _, c in _CHAINED.values())}, ch AS ({' UNION ALL '.join(q for q, _ in _CHAINED.values())}),
+rw AS (SELECT *, greatest(-1, least(1, ic * 5 + 0.02 * tanh(ir))) AS raw FROM ch)
+SELECT signal, 'valid' AS status, {_r('ic', 'corr')}, {fold("greatest(-1, least(1, raw + CASE WHEN raw >= 0.1 THEN 0.02 ELSE 0 END + CASE WHEN raw >= 0.12 THEN CASE WHEN corr > 0.85 THEN -0.08 * (corr - 0.85) WHEN corr < 0.5 THEN 0.02 ELSE 0 END ELSE 0 END))")} AS reward, coalesce(ic >= 0.01 AND coverage >= 0.5, false) AS mined FROM rw"""
+
+# --- gates and filters -------------------------------------------------------------------------------------
+
+_GATES = {
+    "daily_dates": ("count(*) FILTER (d IS NULL)", "bd", 0, 0), "daily_ids": ("0", "bd", 0, 0), "daily_company_ids": ("0", "bd", 0, 0),
+    "return_below_minus_one": ("count(*) FILTER (close / open - 1 < -1)", "bd", 0, 0), "return_not_finite": ("0", "bd", 0, 0),
+    "close_not_positive": ("count(*) FILTER (close <= 0)", "bd", 0, 0), "close_not_finite": ("0", "bd", 0, 0), "volume_negative": ("count(*) FILTER (volume < 0)", "bd", 0, 0), "volume_not_finite": ("0", "bd", 0, 0),
+    "ohlc_violation_rate": ("(count(*) FILTER (high < greatest(open, close)) + count(*) FILTER (low > least(open, close))) / (2.0 * count(*))", "bd", 0, 1e-5),
+    "price_factor_rate": ("0", "bd", 0, 0.001), "share_factor_rate": ("avg(CASE WHEN a % 50 = 0 THEN 1.0 ELSE 0.0 END)", "bd", 0, 0.001),
+    "cap_identity": ("1", "bd", 0.9, 1.1), "coverage_close": ("1", "bd", 0.8, 1), "coverage_return": ("avg(CASE WHEN close / open IS NULL THEN 0.0 ELSE 1.0 END)", "bd", 0.8, 1), "coverage_volume": ("1", "bd", 0.8, 1),
+    "daily_keys": ("count(*) - count(DISTINCT (a, d))", "bd", 0, 0), "membership_ids": ("0", "mb", 0, 0), "membership_intervals": ("count(*) FILTER (s > e)", "mb", 0, 0),
+    "members_1996-06-28": ("count(*) FILTER (a % 10 <> 0 AND DATE '1996-06-28' BETWEEN s AND e)", "mb", 5, 550), "members_1999-06-30": ("count(*) FILTER (a % 10 <> 0 AND DATE '1999-06-30' BETWEEN s AND e)", "mb", 5, 550), "membership_overlaps": ("0", "mb", 0, 0),
+    "market_keys": ("0", "orders", 0, 0), "market_dates": ("count(*) FILTER (o_orderdate IS NULL)", "orders", 0, 0),
+    "delistings_keys": ("count(*) - count(DISTINCT (a, d))", "dl", 0, 0), "delistings_dates": ("count(*) FILTER (d IS NULL)", "dl", 0, 0), "delistings_ids": ("0", "dl", 0, 0),
+    "links_keys": ("0", "customer", 0, 0), "links_ids": ("count(*) FILTER (c_acctbal / 10 IS NULL OR fmod(c_acctbal / 10, 1) <> 0)", "customer", 0, 0), "links_gvkeys": ("0", "customer", 0, 0),
+    "fundamentals_keys": ("count(*) - count(DISTINCT (o_custkey, CAST(o_orderdate AS DATE)))", "orders", 0, 0), "fundamentals_gvkeys": ("0", "orders", 0, 0), "date_types": ("0", "orders", 0, 0),
+}
+_ROWS = " UNION ALL ".join(f"SELECT '{g}' AS gate, CAST({x} AS DOUBLE) AS value, CAST({lo} AS DOUBLE) AS low, CAST({hi} AS DOUBLE) AS high FROM {source}" for g, (x, source, lo, hi) in _GATES.items() if "(" in x)
+_CONSTANTS = ", ".join(f"('{g}', {float(x)}, {float(lo)}, {float(hi)})" for g, (x, _, lo, hi) in _GATES.items() if "(" not in x)
+QUERIES["dv_bundle"] = f"""{PANEL}, bd AS (SELECT * FROM bar), mb AS (SELECT s_suppkey AS a, DATE '1995-01-01' + to_months(CAST(s_suppkey % 12 AS INTEGER)) AS s, DATE '2001-12-31' - to_months(CAST(s_suppkey % 7 AS INTEGER)) AS e FROM supplier),
+dl AS (SELECT l_suppkey AS a, CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_returnflag = 'R'), al AS ({_ROWS} UNION ALL SELECT * FROM (VALUES {_CONSTANTS}) q(gate, value, low, high))
+SELECT gate, {_r('value', 'low', 'high')}, coalesce(value BETWEEN low AND high, false) AS ok FROM al"""
+QUERIES["fl_tradable"] = """SELECT o_orderkey, o_orderstatus IN ('F', 'O') AND o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW') AND c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE') AND r_name IN ('ASIA', 'EUROPE', 'AMERICA') AND n_name IN ('BRAZIL', 'CHINA', 'FRANCE', 'JAPAN', 'GERMANY', 'INDIA', 'PERU') AND o_totalprice > 0 AND c_acctbal > 0 AS ok
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import sources as SRC
 from .functions import rounded
+from .operators import combiner as CB
 from .operators import cross_section as CS
+from .operators import gates as GT
 from .operators import gram as GR
 from .operators import inference as INF
 from .operators import lineage as LN
@@ -19,10 +21,12 @@ from .operators import projection as PJ
 from .operators import replacement as RP
 from .operators import reselect as RS
 from .operators import rolling as TS
+from .operators import statistics as ST
 from .operators import trace as TR
-from .plans.panel import calendar, table, weekly_panel
+from .operators import validity as VAL
+from .plans.panel import bars, calendar, table, weekly_panel
 from .queries import _factors, _labelled, _targets, panel_query, query
-from .queries_research import EXIT, FOLDS, LAGS, QUERIES, RIDGE, r6
+from .queries_research import EXIT, FOLDS, LAGS, QUERIES, RIDGE, _ics, r6
 
 __all__ = ["QUERIES"]
 LARGEST = 0.03
@@ -238,3 +242,74 @@ def src_panel(spark, sf_dir):
     p = SRC.read_panel(spark, stored_panel(spark, sf_dir), "1994-03-01", "1996-06-30")
     p = p.withColumn("mean", TS.ROLLING["Mean"](F.col("close"), 10))
     return TS.with_moments(p, {"std": ("Std", "close", "close", 10)}).select("a", "t", *r6("mean", "std"))
+
+
+# --- gates, filters, combined signals ------------------------------------------------------------
+
+
+def _bundle(spark, sf_dir: str) -> dict[str, DataFrame]:
+    """The given tables in the place of a raw bundle: bars, suppliers' intervals, order dates, returned lines, customers and orders."""
+    li, o, c, s = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "supplier"))
+    a = F.col("s_suppkey")
+    daily = bars(li).select("a", (F.col("a") * 7).alias("company"), "d", "open", "high", "low", "close", (F.col("close") / F.col("open") - 1).alias("ret"), "volume", F.lit(2.0).alias("price_factor"), F.when(F.col("a") % 50 != 0, 1.0).alias("share_factor"), (F.col("close") * F.col("volume") * 1000).alias("cap"), (F.col("volume") * 1000).alias("shares"))
+    start = F.add_months(F.lit("1995-01-01").cast("date"), (a % 12).cast("int"))
+    return {
+        "daily": daily,
+        "membership": s.select(a.alias("a"), start.alias("start"), F.add_months(F.lit("2001-12-31").cast("date"), -(a % 7).cast("int")).alias("end"), F.when(a % 10 != 0, "norm").otherwise("n").alias("flag")),
+        "market": o.select(F.col("o_orderdate").cast("date").alias("d")).distinct().withColumn("ret", F.lit(0.0)),
+        "delistings": li.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("a"), F.col("l_shipdate").cast("date").alias("d")),
+        "links": c.select(F.col("c_custkey").cast("string").alias("gvkey"), (F.col("c_acctbal") / 10).alias("a"), F.lit("1995-01-01").cast("date").alias("start"), F.lit(None).cast("date").alias("end"), F.lit("LC").alias("kind"), F.lit("P").alias("primary")),
+        "fundamentals": o.select(F.col("o_custkey").cast("string").alias("gvkey"), F.col("o_orderdate").cast("date").alias("d")),
+    }
+
+
+@query
+def dv_bundle(spark, sf_dir):
+    """Every hard gate of a raw bundle: what was found, between which limits, and whether it holds."""
+    found = GT.bundle_report(_bundle(spark, sf_dir), ["1996-06-28", "1999-06-30"], (5, 550))
+    return found.select("gate", *r6("value", "low", "high"), "ok")
+
+
+@query
+def fl_tradable(spark, sf_dir):
+    """Orders that pass five sets of categories and have amounts above 0."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    both = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))), F.col("c_nationkey") == F.col("n_nationkey"))
+    sets = {"security": ("F", "O"), "subtype": ("1-URGENT", "2-HIGH", "5-LOW"), "share": ("BUILDING", "MACHINERY", "FURNITURE"), "exchange": ("ASIA", "EUROPE", "AMERICA"), "status": tuple(f"{x}" for x in ("BRAZIL", "CHINA", "FRANCE", "JAPAN", "GERMANY", "INDIA", "PERU"))}
+    both = both.withColumns({"px": F.col("o_totalprice"), "vol": F.col("c_acctbal"), "r": F.col("o_totalprice") / 1e5, "_seg": F.concat(F.lit(" "), F.lower("c_mktsegment"))})
+    ok = GT.tradable({"security": "o_orderstatus", "subtype": "o_orderpriority", "share": "_seg", "exchange": "r_name", "status": "n_name"}, sets, "px", "vol", "r")
+    return both.select("o_orderkey", ok.alias("ok"))
+
+
+@panel_query
+def po_combiner(p):
+    """The signal of weights that were fitted with the label and are applied without it, after a round trip through their stored form."""
+    f = _labelled(p).select("a", "t", "mask", F.col("close").alias("f1"), (F.col("high") - F.col("low")).alias("f2"), "y", F.log("volume").alias("size"))
+    made = CB.Combiner(["f1", "f2"], ["size"], RIDGE).fit(f, "y", F.col("mask"))
+    return CB.Combiner.from_json(made.to_json()).transform(f, F.col("mask")).select("a", "t", *r6("signal"))
+
+
+@panel_query
+def st_interval(p):
+    """The summary of daily correlations with its bootstrap interval."""
+    s = _ics(p, ["close"]).withColumn("name", F.lit("close"))
+    return INF.full_summary(s, "close", LAGS, ["name"], block=20, samples=400).select("n", *r6("mean", "sd", "se", "t_value", "low", "high"))
+
+
+@panel_query
+def po_native_chain(p):
+    """Baseline rewards of candidates from the panel itself: rank correlation, its ratio, validity and the closest pool member."""
+    cands, pool = ["return", "copy", "open"], ["high", "volume"]
+    p = _labelled(p).withColumn("copy", F.col("high") * 2 + 0.001)
+    days = None
+    for c in cands:
+        one = ST.daily_spearman(p.where("mask").select("t", c, "y"), c, "y").select(F.lit(c).alias("signal"), "rank_ic")
+        days = one if days is None else days.unionByName(one)
+    ic = days.groupBy("signal").agg(F.avg("rank_ic").alias("ic"), F.try_divide(F.avg("rank_ic"), F.stddev_pop("rank_ic")).alias("ir"))
+    near = VAL.redundancy(p, cands, pool, F.col("mask"), 3).groupBy("signal").agg(F.max(F.greatest("pooled", "daily", "ranked")).alias("corr"))
+    gates = VAL.gates(p, cands, F.col("mask"), min_assets=3, min_days=30).select("signal", "coverage", "status")
+    rows = ic.join(near, "signal").join(gates, "signal")
+    out = rows.withColumn("reward", F.when(F.col("status") == "valid", PO.native_reward(F.col("ic"), F.col("ir"), F.lit(False), F.lit(0), F.col("corr"))).otherwise(-1.0))
+    mined = PO.mined(F.col("ic"), F.col("coverage"), F.lit(False), 0.01, 0.5)
+    return out.select("signal", "status", *r6("ic", "corr", "reward"), mined.alias("mined"))
