@@ -288,3 +288,78 @@ def test_repair_on_rows(spark):
     gone = repair.digest(edits).where(F.col("conv_id") == lost[0]).first()
     assert tuple(gone)[1:] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
     assert repair.digest(repair.repair(repair.find_faults(repair.damage(table.limit(0))))).count() == 0
+
+
+# --- op9: forms of personal data
+
+
+def pii_forms():
+    """(kind, form) of data that is written in many ways, made from the formats and not from the patterns."""
+    rng = random.Random(9)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    w = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    h = lambda: f"{rng.randrange(1, 65536):x}"
+    out = []
+    for k in range(20):
+        out += [("ip6", ":".join(h() for _ in range(8))), ("ip6", f"{h()}:{h()}::{h()}"), ("ip6", f"2001:db8::{h()}"), ("ip6", ":".join(f"{rng.randrange(65536):04X}" for _ in range(8)))]
+        out += [("mail", f"{w(4)}.{w(5)}@{w(6)}.org"), ("mail", f"{w(3).capitalize()}_{d(2)}@{w(4)}-{w(3)}.{w(5)}.com")]
+        out += [("phone", f"+44 20 {d(4)} {d(4)}"), ("phone", f"0044 20 {d(4)} {d(4)}"), ("phone", f"004420{d(8)}"), ("phone", f"({rng.randrange(200, 999)}) {d(3)}-{d(4)}"), ("phone", f"+1-{rng.randrange(200, 999)}-{d(3)}-{d(4)}")]
+        out += [("ssn", f"{d(3)}-{d(2)}-{d(4)}"), ("card", f"4{d(3)} {d(4)} {d(4)} {d(4)}"), ("card", f"37{d(2)}-{d(6)}-{d(5)}"), ("login", f"https://{w(5)}:{w(4)}{d(3)}@{w(6)}.net/x")]
+    return out
+
+
+def test_forms_keep_their_classes(spark):
+    from tessera.llm import pii
+
+    forms = pii_forms()
+    assert len(forms) >= 300
+    d = spark.createDataFrame([(k, f"see {f} now") for k, (_, f) in enumerate(forms)], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n) for r in pii.replace_entities(d, count="n").collect()}
+    classes = lambda x: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", x)))
+    for k, (kind, f) in enumerate(forms):
+        text, n = got[k]
+        new = text.removeprefix("see ").removesuffix(" now")
+        assert n == 1 and new != f, (kind, f, text)
+        if kind == "ip6":
+            # hexadecimal digits for hexadecimal digits, and the same groups
+            assert re.sub("[0-9a-fA-F]", "x", new) == re.sub("[0-9a-fA-F]", "x", f) and re.fullmatch("[0-9a-fA-F:]+", new) and (f == f.lower()) == (new == new.lower()), (f, new)
+        elif kind == "login":
+            assert new.split(":")[1] == f.split(":")[1] and new.split("@")[1] == f.split("@")[1] and new.split("@")[0] != f.split("@")[0] and classes(new) == classes(f)
+        else:
+            assert classes(new) == classes(f), (kind, f, new)
+        if f.startswith(("+44", "0044")):
+            assert new.startswith(f[: 4 if f[0] == "0" else 3])
+
+
+def test_names_in_other_forms(spark):
+    from tessera.llm import pii
+
+    texts = {
+        1: "Mr McDonald came. McDonald left.",
+        2: "Ms O'Brien and Prof. D’Angelo sat.",
+        3: "Mrs SMITH signed; Mr Smith did not, SMITH said.",
+        4: "Ms. de la Cruz, then Dr Ana de la Cruz.",
+        5: "Herr von der Heide und Frau Müller-Lüdenscheidt gingen.",
+        6: "MR SMITH is left alone, and the Dr is in.",
+        7: "::1 and a::1 and fe80::1 at 10:20:30",
+    }
+    got = {r.doc_id: r.text for r in pii.replace_entities(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert re.fullmatch(r"Mr (\w+) came\. \1 left\.", got[1]) and "McDonald" not in got[1]
+    assert "Brien" not in got[2] and "Angelo" not in got[2] and re.fullmatch(r"Ms \w+ and Prof\. \w+ sat\.", got[2])
+    caps = re.fullmatch(r"Mrs ([A-Z]+) signed; Mr ([A-Z][a-z]+) did not, \1 said\.", got[3])
+    assert caps and caps[1] == caps[2].upper() != "SMITH"
+    cruz = re.fullmatch(r"Ms\. de la (\w+), then Dr (\w+) de la \1\.", got[4])
+    assert cruz and cruz[1] != "Cruz" and cruz[2] != "Ana"
+    assert re.fullmatch(r"Herr von der (\w+) und Frau [\w-]+ gingen\.", got[5]) and "Heide" not in got[5] and "Lüdenscheidt" not in got[5]
+    assert got[6] == texts[6]
+    assert "a::1" not in got[7] and "fe80::1" not in got[7] and got[7].endswith(" at 10:20:30")
+
+
+def test_short_addresses_do_not_run_out(spark):
+    from tessera.llm import pii
+
+    rows = [(k, f"at {k % 10}::{k // 10 % 10} and {'abcdef'[k % 6]}::{k % 10} end") for k in range(160)]
+    got = pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    made = {x for r in got for x in re.findall(r"\S*::\S*", r.text)}
+    was = {x for _, t in rows for x in re.findall(r"\S*::\S*", t)}
+    assert len(made) == len(was) and not made & was
