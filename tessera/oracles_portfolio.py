@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from .oracles import _FACTORS, _LABEL, _TARGET, PANEL, _ic, fold, rolled, spread, z_of
+from .functions import INDUSTRIES
 from .operators.inference import block_starts
-from .oracles_research import _ICS, L, _r, _res, _std, _summary
+from .oracles import _FACTORS, _IND, _LABEL, _TARGET, PANEL, _ic, fold, rolled, spread, z_of
+from .oracles_research import _ICS, L, _r, _std, _summary
 
 QUERIES: dict[str, str] = {}
 
@@ -291,3 +292,28 @@ dl AS (SELECT l_suppkey AS a, CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE
 SELECT gate, {_r('value', 'low', 'high')}, coalesce(value BETWEEN low AND high, false) AS ok FROM al"""
 QUERIES["fl_tradable"] = """SELECT o_orderkey, o_orderstatus IN ('F', 'O') AND o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW') AND c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE') AND r_name IN ('ASIA', 'EUROPE', 'AMERICA') AND n_name IN ('BRAZIL', 'CHINA', 'FRANCE', 'JAPAN', 'GERMANY', 'INDIA', 'PERU') AND o_totalprice > 0 AND c_acctbal > 0 AS ok
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+
+
+def _many_exposures() -> str:
+    """Residuals of the label on 21 exposures and a constant, one orthogonal step after the other; a column that the others explain adds nothing."""
+    w = "OVER (PARTITION BY t)"
+    lags = {f"{c}{k}": f"lag({source}, {k}) OVER (PARTITION BY a ORDER BY t)" for c, source in (("s", "close"), ("v", "volume")) for k in range(5)}
+    names = [f"e{k}" for k in range(len(INDUSTRIES))] + list(lags)
+    ctes = [f"l0 AS (SELECT *, {_IND} AS ind, {', '.join(f'{x} AS l_{n}' for n, x in lags.items())} FROM (SELECT *, a * 137 % 10000 AS code FROM lab))"]
+    dummies = ", ".join(f"CASE WHEN ind = '{n}' THEN 1.0 ELSE 0.0 END AS e{k}" for k, (n, _) in enumerate(INDUSTRIES))
+    ctes.append(f"l1 AS (SELECT a, t, mask, y, {dummies}, {', '.join(f'coalesce({z_of(f'l_{n}')}, 0) AS {n}' for n in lags)} FROM l0)")
+    ctes.append(f"q0 AS (SELECT * FROM (SELECT *, count(*) {w} AS n FROM l1 WHERE mask AND y IS NOT NULL) WHERE n > {len(names) + 1})")
+    # the next column r{i} is what the ones before leave of it; then they take their part of all that follow and of the label
+    before = "q0"
+    left = [*names, "y"]
+    ctes.append(f"q1 AS (SELECT a, t, {', '.join(f'{n} - avg({n}) {w} AS {n}' for n in left)} FROM {before})")
+    before = "q1"
+    for i, own in enumerate(names):
+        left = [*names[i + 1 :], "y"]
+        part = lambda n: f"{n} - coalesce(CASE WHEN var_pop({own}) {w} > 1e-12 THEN covar_pop({n}, {own}) {w} / var_pop({own}) {w} END, 0) * {own} AS {n}"  # noqa: B023, E731
+        ctes.append(f"q{i + 2} AS (SELECT a, t, {', '.join(map(part, left))} FROM {before})")
+        before = f"q{i + 2}"
+    return f"{PANEL}, {_LABEL}, {', '.join(ctes)} SELECT p.a, p.t, {fold('q.y', 4)} AS v FROM p LEFT JOIN {before} q ON q.a = p.a AND q.t = p.t"
+
+
+QUERIES["cs_residual_22"] = _many_exposures()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +24,7 @@ from .operators import trace as TR
 from .operators import validity as VAL
 from .plans.panel import bars, calendar, table, weekly_panel
 from .queries import _factors, _labelled, _targets, panel_query, query
-from .queries_research import EXIT, FOLDS, LAGS, QUERIES, RIDGE, _ics, r6
+from .queries_research import EXIT, FOLDS, LAGS, QUERIES, RIDGE, _ics, r6, scratch
 
 __all__ = ["QUERIES"]
 LARGEST = 0.03
@@ -230,9 +228,10 @@ def st_seed_ci(p):
 
 
 def stored_panel(spark, sf_dir: str) -> str:
-    """The panel of a folder as a bucketed table, written anew; its name follows from the folder's."""
-    name = f"panel_{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}"
-    SRC.store_panel(weekly_panel(spark, sf_dir).select("a", "t", "d", "close", "volume", "return", "mask"), name, 8)
+    """The panel of a folder as a bucketed table in the shared folder, written anew; its name follows from the application and the folder."""
+    path = f"{scratch(spark, sf_dir)}/panel"
+    name = "panel_" + "".join(c if c.isalnum() else "_" for c in path.rsplit("/", 2)[1])
+    SRC.store_panel(weekly_panel(spark, sf_dir).select("a", "t", "d", "close", "volume", "return", "mask"), name, 8, path=path)
     return name
 
 

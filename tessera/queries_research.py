@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -471,14 +472,19 @@ def src_contracts(spark, sf_dir):
     return spark.createDataFrame(rows, "contract string, file string, n long")
 
 
-def _scratch(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None) or tempfile.mkdtemp(prefix="layer-")
-    return f"{folder}/layers"
+def scratch(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of this application and these tables that all executors share; only a local session may do without a named one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="layer-")
+    return f"{folder}/layers/{spark.sparkContext.applicationId}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}"
 
 
 @query
 def src_years(spark, sf_dir):
     """The daily layer written by year, checked, and two years of it read back."""
-    path = f"{_scratch(spark)}/{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    path = f"{scratch(spark, sf_dir)}/years"
     SRC.write_years(weekly_panel(spark, sf_dir).select("a", "t", "d", "close", "volume"), path, "d", ["a", "t"])
     return SRC.read_years(spark, path, 1997, 1998).select("a", "t", "d", *r6("close", "volume"))

@@ -67,14 +67,16 @@ def read_years(spark: SparkSession, path: str, first: int, last: int) -> DataFra
     return spark.read.parquet(path).where(F.col("year").between(first, last))
 
 
-def store_panel(panel: DataFrame, name: str, buckets: int, date: str = "d") -> None:
-    """The panel as a table of the warehouse, written once: a folder for each year, and in it `buckets` files by asset, each in the order of asset and date.
+def store_panel(panel: DataFrame, name: str, buckets: int, date: str = "d", path: str | None = None) -> None:
+    """The panel as a table of the warehouse (or of the folder `path`), written once: a folder for each year, and in it `buckets` files by asset, each in the order of asset and date.
 
     Series windows on what read_panel() gives need no shuffle, as all rows of an asset are in one bucket, and ranges of dates
     read their years alone.
     """
     rows = panel.withColumn("year", F.year(date))
-    rows.repartition(buckets, "a").sortWithinPartitions("year", "a", "t").write.mode("overwrite").format("parquet").option("compression", "zstd").partitionBy("year").bucketBy(buckets, "a").sortBy("a", "t").saveAsTable(name)
+    writer = rows.repartition(buckets, "a").sortWithinPartitions("year", "a", "t").write
+    writer = writer if path is None else writer.option("path", path)
+    writer.mode("overwrite").format("parquet").option("compression", "zstd").partitionBy("year").bucketBy(buckets, "a").sortBy("a", "t").saveAsTable(name)
 
 
 def read_panel(spark: SparkSession, name: str, first: str | None = None, last: str | None = None, date: str = "d") -> DataFrame:
