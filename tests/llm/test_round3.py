@@ -363,3 +363,23 @@ def test_short_addresses_do_not_run_out(spark):
     made = {x for r in got for x in re.findall(r"\S*::\S*", r.text)}
     was = {x for _, t in rows for x in re.findall(r"\S*::\S*", t)}
     assert len(made) == len(was) and not made & was
+
+
+# --- op2: scores follow from the table
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    from tessera.llm import lm
+
+    rng = random.Random(12)
+    words = ["red", "green", "blue", "house", "tree", "river", "stone", "cloud", "walks", "sleeps", "under", "over", "the", "a"]
+    rows = [(k, " ".join(rng.choice(words[: 4 + k % 11]) for _ in range(rng.randint(1, 120)))) for k in range(150)]
+    rows += [(7, rows[7][1]), (None, rows[3][1]), (None, None), (200, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for parts in (1, 4, 16):
+        out = lm.score_documents(docs.repartition(parts), tokenizer_path(), groups=4, members=8, every=4).select("doc_id", "n_tokens", "score", "base_score").collect()
+        found.append(sorted(map(tuple, out), key=str))
+    for other in found[1:]:
+        for a, b in zip(found[0], other, strict=True):
+            assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-6)
