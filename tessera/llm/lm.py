@@ -10,8 +10,9 @@ what they follow.  P(id | left context) is P(group) * P(class | group, previous
 probability is a softmax over the attention's logits plus the log of the smoothed counts of groups
 after the previous class, the class's are smoothed counts.  Counts of ids, of classes and of pairs of classes come from all training
 documents.  So do the attention's weights: they are trained in numpy, by Adam, in rounds over all units of documents.
-Each training document gives the first of every ``every`` windows, every task makes its steps from the round's common weights, and the
-tasks' weights are averaged by their steps; the work grows with the documents, the weights don't.
+Every token of every training document is learnt once: its windows for training follow each other without a gap or an overlap, and each
+is learnt in one of the rounds.  Buckets of documents make their steps from the round's common weights, and the
+buckets' weights are averaged by their steps; the work grows with the documents, the weights don't.
 
 Long texts are scored in overlapping
 windows: each token is scored once, by the window that gives it the most left context
@@ -36,8 +37,10 @@ from .packing import word_tokens
 
 GROUPS, MEMBERS = 32, 64
 SPAN, STEP, WIDTH = 24, 18, 16
-#: rounds of training; one window in so many of each training document; least steps of a bucket in a round; windows of a step, of a bucket
-ROUNDS, EVERY, LEAST_STEPS, STEP_WINDOWS, BUCKET_WINDOWS = 2, 48, 60, 128, 8192
+#: rounds of training, over which every document's windows are dealt; least steps of a bucket in a round; windows of a step, of a bucket
+ROUNDS, LEAST_STEPS, STEP_WINDOWS, BUCKET_WINDOWS = 2, 60, 256, 32768
+#: keys that are counted together
+COUNTED = 1 << 22
 MOST_TASKS = 4096
 RATE = 1e-2
 UNIT_BYTES = 4 << 20
@@ -167,37 +170,70 @@ def _fused_log_probs(model: Model, tables: tuple, x: np.ndarray, g: np.ndarray,
     return out if np.isfinite(out).all() else group_log_probs(model, x, g)[:, off:]
 
 
+def _row_sums(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """For each of n numbers, the sum of the rows that `at` gives it."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")  # a radix sort for short integers
+    ordered = at[order]
+    first = np.flatnonzero(np.diff(ordered, prepend=-1))
+    out[ordered[first]] = np.add.reduceat(rows[order], first)
+    return out
+
+
 def train_steps(w: dict, first_table: np.ndarray, x: np.ndarray, g: np.ndarray, real: np.ndarray, steps: int, size: int = STEP_WINDOWS, rate: float = RATE, seed: int = 7) -> dict:
-    """Adam on the groups' cross entropy, over windows in a shuffled order; x, g, real: (windows, span). The table is fixed."""
+    """Adam on the groups' cross entropy, over windows in a shuffled order; x, g, real: (windows, span). The table is fixed.
+
+    The passes of `_attend`, in place and with the projections in one product; logits are bounded instead of shifted.
+    """
     w, m1, m2 = dict(w), {}, {}
-    rng, scale = np.random.default_rng(seed), np.float32(1 / np.sqrt(w["q"].shape[0]))
-    flat = lambda u: u.reshape(-1, u.shape[-1])
+    width, span, prior = w["q"].shape[0], x.shape[1], np.exp(first_table)
+    rng, scale, most = np.random.default_rng(seed), np.float32(1 / np.sqrt(width)), np.float32(80)
+    past = np.tril(np.ones((span, span), np.float32))
     order = np.zeros(0, np.int64)
     for t in range(1, steps + 1):
         if len(order) < size:
             order = np.concatenate([order, *[rng.permutation(len(x)) for _ in range(-(-size // len(x)))]])
         own, order = order[:size], order[size:]
         xs = x[own]
-        h, q, k, v, a, c, out = _attend(w, xs)
-        at = np.arange(xs.size)
-        z = _softmax(flat(out) @ w["w1"] + first_table[xs.reshape(-1)])
+        flat, at = xs.reshape(-1), np.arange(xs.size)
+        h = np.take(w["e"], flat, axis=0).reshape(size, span, width)
+        h += w["p"][:span]
+        hf = h.reshape(-1, width)
+        qkv = (hf @ np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1)).reshape(size, span, 3 * width)
+        q, k, v = qkv[:, :, :width], qkv[:, :, width : 2 * width], qkv[:, :, 2 * width :]
+        a = q @ k.transpose(0, 2, 1)
+        np.exp(np.minimum(a, most, out=a), out=a)
+        a *= past
+        a /= a.sum(2, keepdims=True)
+        c = (a @ v).reshape(-1, width)
+        out = c @ w["o"]
+        out += hf
+        z = out @ w["w1"]
+        np.exp(np.minimum(z, most, out=z), out=z)
+        z *= np.take(prior, flat, axis=0)
+        z /= z.sum(1, keepdims=True)
         z[at, g[own].reshape(-1)] -= 1
-        z *= (real[own].reshape(-1) / np.float32(max(real[own].sum(), 1)))[:, None]
-        d = {"w1": flat(out).T @ z}
-        d_out = (z @ w["w1"].T).reshape(out.shape)
-        d["o"] = flat(c).T @ flat(d_out)
-        d_c = d_out @ w["o"].T
-        d_a = d_c @ v.transpose(0, 2, 1)
-        d_v = a.transpose(0, 2, 1) @ d_c
-        d_s = a * (d_a - (d_a * a).sum(2, keepdims=True)) * scale
-        d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
-        d_h = d_out + d_q @ w["q"].T + d_k @ w["k"].T + d_v @ w["v"].T
-        for name, u in (("q", d_q), ("k", d_k), ("v", d_v)):
-            d[name] = flat(h).T @ flat(u)
+        mask = real[own].reshape(-1)
+        z *= (mask / np.float32(max(mask.sum(), 1)))[:, None]
+        d = {"w1": out.T @ z}
+        d_out = z @ w["w1"].T
+        d["o"] = c.T @ d_out
+        d_c = (d_out @ w["o"].T).reshape(size, span, width)
+        d_qkv = np.empty_like(qkv)
+        d_qkv[:, :, 2 * width :] = a.transpose(0, 2, 1) @ d_c
+        d_s = d_c @ v.transpose(0, 2, 1)
+        d_s -= np.einsum("ijk,ijk->ij", d_s, a)[..., None]
+        d_s *= a
+        d_qkv[:, :, :width] = d_s @ k
+        d_qkv[:, :, :width] *= scale
+        d_qkv[:, :, width : 2 * width] = d_s.transpose(0, 2, 1) @ q  # q carries the scale
+        df = d_qkv.reshape(-1, 3 * width)
+        d["q"], d["k"], d["v"] = np.split(hf.T @ df, 3, axis=1)
+        d_h = df @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T
+        d_h += d_out
         d["p"] = np.zeros_like(w["p"])
-        d["p"][: d_h.shape[1]] = d_h.sum(0)
-        d["e"] = np.zeros_like(w["e"])
-        np.add.at(d["e"], xs.reshape(-1), flat(d_h))
+        d["p"][:span] = d_h.reshape(size, span, width).sum(0)
+        d["e"] = _row_sums(d_h, flat, len(w["e"]))
         for name, u in d.items():
             m1[name] = 0.9 * m1.get(name, 0) + 0.1 * u
             m2[name] = 0.99 * m2.get(name, 0) + 0.01 * u * u
@@ -292,29 +328,42 @@ def _tokens_of(packed: bytes, kind: type) -> list[np.ndarray]:
     return [small[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def _about(packed: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    """Ids and numbers of words of a unit's documents, and each word's number among the unit's distinct ones."""
+def _about(packed: bytes) -> tuple[list, np.ndarray, bytes]:
+    """Ids and numbers of words of a unit's documents, and, squeezed, each word's number among the unit's distinct ones."""
     cut = 4 + int.from_bytes(packed[:4], "little")
     about = pa.ipc.read_record_batch(pa.py_buffer(packed[4:cut]), pa.schema([("id", pa.int64()), ("n", pa.int64())]))
-    return about.column(0).to_pylist(), about.column(1).to_numpy(), expand(packed[cut:], np.uint32)
+    return about.column(0).to_pylist(), about.column(1).to_numpy(), packed[cut:]
+
+
+class _Numbers(dict):
+    """Numbers its keys in the order in which they come."""
+
+    def __missing__(self, key: bytes) -> int:
+        n = self[key] = len(self)
+        return n
 
 
 def _passed(docs: DataFrame, tokenizer_path: str, n_ids: int, folds: int, fold: int, n_blocks: int) -> DataFrame:
     """The pass over the texts: units of documents with their ids; each unit's words by ranges of hashes; each task's counts of ids."""
     kind = np.uint16 if n_ids <= 1 << 16 else np.uint32
 
-    def rows_of(unit, ids, texts, tokens):
-        words = [[*t.split(), END_KEY] for t in texts]
-        n = np.array([len(w) for w in words])
-        keys = word_hashes([w for own in words for w in own])
+    def rows_of(unit, ids, words, n, tok, single):
+        number = _Numbers()
+        place = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        tokens = [b"" if w == END_KEY else tok.words[w] for w in number]  # what a unit repeats is looked up once
+        distinct, same = np.unique(word_hashes(list(number)), return_inverse=True)
         train = np.repeat(np.array([not is_held_out(i, folds, fold) for i in ids]), n)
-        distinct, place = np.unique(keys, return_inverse=True)
-        count = np.bincount(place[train], minlength=len(distinct)).astype(np.uint32)
-        lengths = np.array([len(t) // 4 for t in tokens], np.uint32)
-        small = np.frombuffer(b"".join(tokens), "<u4").astype(kind)
+        learnt = np.bincount(place[train], minlength=len(tokens))
+        count = np.bincount(same, learnt, len(distinct)).astype(np.uint32)
+        long, small = np.array([len(t) // 4 for t in tokens]), np.frombuffer(b"".join(tokens), "<u4").astype(kind)
+        single += np.bincount(small, np.repeat(learnt, long), n_ids).astype(np.int64)
+        single[-1] += learnt[number[END_KEY]]
+        per = long[place]
+        lengths = np.add.reduceat(per, starts(n)[:-1]).astype(np.uint32)
+        small = small[np.repeat(starts(long)[:-1][place] - starts(per)[:-1], per) + np.arange(per.sum())]
         about = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["id", "n"]).serialize().to_pybytes()
         # each word as its number among the unit's distinct words, so that later passes need no text
-        yield "unit", unit, None, len(about).to_bytes(4, "little") + about + squeeze(place.astype(np.uint32)), len(lengths).to_bytes(4, "little") + lengths.tobytes() + zstandard.ZstdCompressor(level=3).compress(small.tobytes())
+        yield "unit", unit, None, len(about).to_bytes(4, "little") + about + squeeze(same[place].astype(np.uint32)), len(lengths).to_bytes(4, "little") + lengths.tobytes() + zstandard.ZstdCompressor(level=3).compress(small.tobytes())
         block, cut = filled_blocks(distinct, 64, n_blocks)
         for k, lo, hi in zip(block.tolist(), cut[:-1], cut[1:], strict=True):
             yield "words", unit, k, squeeze_sorted(distinct[lo:hi]), squeeze(count[lo:hi])
@@ -325,24 +374,21 @@ def _passed(docs: DataFrame, tokenizer_path: str, n_ids: int, folds: int, fold:
         use("lm")
         part, k = TaskContext.get().partitionId(), 0
         tok, single = word_tokens(tokenizer_path), np.zeros(n_ids, np.int64)
-        ids, texts, tokens, size = [], [], [], 0
+        ids, words, n, size = [], [], [], 0
 
         def flush():
-            nonlocal ids, texts, tokens, size, k
-            rows = list(rows_of((part << 24) + k, ids, texts, tokens))
-            own = [np.frombuffer(t, "<u4") for i, t in zip(ids, tokens, strict=True) if not is_held_out(i, folds, fold)]
-            if own:
-                single[:] += np.bincount(np.concatenate(own), minlength=n_ids)
-                single[-1] += len(own)
-            k, ids, texts, tokens, size = k + 1, [], [], [], 0
+            nonlocal ids, words, n, size, k
+            rows = list(rows_of((part << 24) + k, ids, words, np.array(n), tok, single))
+            k, ids, words, n, size = k + 1, [], [], [], 0
             return _kinds(rows)
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), binaries(b.column(1)), strict=True):
-                t = t.lower()
+                own = t.lower().split()
                 ids.append(i)
-                texts.append(t)
-                tokens.append(tok.ids(t))
+                words += own
+                words.append(END_KEY)
+                n.append(len(own) + 1)
                 size += len(t) + 16
                 if size >= UNIT_BYTES:
                     yield flush()
@@ -379,12 +425,17 @@ def _pairs(units: DataFrame, klass: np.ndarray, classes: int, folds: int, fold:
     to_class, n_ids = units.sparkSession.sparkContext.broadcast(klass), len(klass)
 
     def count(part, units_texts):
-        total = np.zeros((classes + 1) * classes, np.int32)
+        total, held = np.zeros((classes + 1) * classes, np.int32), []
         for own in units_texts:
             y = to_class.value[np.concatenate(own)]
             x = np.append(classes, y[:-1])
             x[starts(np.array([len(t) for t in own]))[:-1]] = classes
-            total += np.bincount(x * classes + y, minlength=len(total)).astype(np.int32)
+            held.append((x * classes + y).astype(np.int32))
+            if sum(map(len, held)) >= COUNTED:  # the table is large, so units are counted together
+                total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
+                held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
         if total.any():
             yield _kinds(_sparse("pair", part, total, 8))
 
@@ -392,41 +443,43 @@ def _pairs(units: DataFrame, klass: np.ndarray, classes: int, folds: int, fold:
     return _totals(rows.select("unit", "block", "a", "b"), (classes + 1) * classes).reshape(classes + 1, classes)
 
 
-def _packed_windows(x: np.ndarray, g: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Windows as rows of bytes: previous classes, groups and the number of tokens."""
-    return np.concatenate([x.astype("<u2").view(np.uint8).reshape(len(x), -1), g.astype(np.uint8), n.astype(np.uint8)[:, None]], axis=1)
+def _dealt_windows(own: list[np.ndarray], x: np.ndarray, y: np.ndarray, number: int, of: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of round `number` of `of`: each window's bucket, and the windows as rows of the class before them, their classes and their number of tokens.
 
+    Windows lie end to end, so each token is in one; a document's windows go to its rounds in turn, from one that its checksum gives.
+    """
+    lengths = np.array([len(t) for t in own])
+    first, n, _ = windows(lengths, SPAN, SPAN)
+    per = -(-lengths // SPAN)
+    doc = np.repeat(np.arange(len(per)), per)
+    sums = np.array([zlib.crc32(np.asarray(t, "<u4").tobytes()) for t in own])
+    mine = (np.arange(len(first)) - starts(per)[:-1][doc] + (sums // buckets)[doc]) % of == number
+    first, n = first[mine], n[mine]
+    classes = y[first[:, None] + np.minimum(np.arange(SPAN), n[:, None] - 1)]
+    return (sums % buckets)[doc[mine]], np.concatenate([x[first][:, None], classes, n[:, None]], axis=1).astype("<u2")
 
-def _unpacked_windows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.ascontiguousarray(rows[:, : 2 * SPAN]).view("<u2").astype(np.int32)
-    return x, rows[:, 2 * SPAN : 3 * SPAN].astype(np.int32), np.arange(SPAN) < rows[:, 3 * SPAN :]
 
+def _unpacked_windows(rows: np.ndarray, members: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Previous classes, groups and which places are real."""
+    rows = rows.astype(np.int32)
+    return rows[:, :SPAN], rows[:, 1 : SPAN + 1] // members, np.arange(SPAN) < rows[:, SPAN + 1 :]
 
-def _round(units: DataFrame, model: Model, number: int, folds: int, fold: int, every: int, least: int, buckets: int) -> dict:
-    """The weights after one more round over all units: each bucket's steps from the same weights, averaged by their number.
+
+def _round(units: DataFrame, model: Model, number: int, folds: int, fold: int, of: int, least: int, buckets: int) -> dict:
+    """The weights after one of `of` rounds over all units: each bucket's steps from the same weights, averaged by their number.
 
     A document's windows go to the bucket of its tokens' checksum, and a bucket learns them in the order of their content, so the
     weights follow from the table alone and not from how Spark deals it, or from what it runs again.
     """
     share, n_ids = units.sparkSession.sparkContext.broadcast(model), len(model.klass)
-    span = np.arange(SPAN)
     names = list(model.weights)
     shapes = [model.weights[k].shape for k in names]
 
     def pick(part, units_texts):
         m = share.value
         for own in units_texts:
-            lengths = np.array([len(t) for t in own])
             _, y, x = laid_out(m, own)
-            first, n, _ = windows(lengths)
-            per = 1 + np.maximum(0, -(-(lengths - SPAN) // STEP))
-            doc = np.repeat(np.arange(len(per)), per)
-            k = np.arange(len(first)) - np.repeat(starts(per)[:-1], per)
-            mine = (k + number * every // ROUNDS) % every == 0
-            mine |= (per[doc] <= every // ROUNDS) & (k == 0)  # short documents give one in each round
-            place = first[mine][:, None] + np.minimum(span, n[mine][:, None] - 1)
-            rows = _packed_windows(x[place], y[place] // m.second.shape[2], n[mine])
-            bucket = np.array([zlib.crc32(np.asarray(t, "<u4").tobytes()) % buckets for t in own])[doc[mine]]
+            bucket, rows = _dealt_windows(own, x, y, number, of, buckets)
             order = np.argsort(bucket, kind="stable")
             at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             parts = np.split(rows[order], at[1:]) if len(order) else []
@@ -435,8 +488,8 @@ def _round(units: DataFrame, model: Model, number: int, folds: int, fold: int, e
     def train(key, t):
         use("lm")
         m = share.value
-        rows = np.frombuffer(b"".join(t.column("rows").to_pylist()), np.uint8).reshape(-1, 3 * SPAN + 1)
-        x, g, real = _unpacked_windows(rows[np.lexsort(rows.T[::-1])])
+        rows = np.frombuffer(b"".join(t.column("rows").to_pylist()), "<u2").reshape(-1, SPAN + 2)
+        x, g, real = _unpacked_windows(rows[np.lexsort(rows.T[::-1])], m.second.shape[2])
         steps = max(least, -(-len(x) // STEP_WINDOWS))
         w = train_steps(m.weights, m.first, x, g, real, steps, seed=number, rate=RATE / (1 + number))
         flat = np.concatenate([w[k].reshape(-1) for k in names]).astype(np.float64)
@@ -476,7 +529,7 @@ def _merge_words(key, t: pa.Table) -> pa.RecordBatch:
     return batch(unit=t.column("unit").combine_chunks(), block=pa.array([key[0].as_py()] * n, pa.int32()), counts=pa.array(back, pa.binary()), tokens=pa.array([int(total.sum()) * f for f in first], pa.int64()), types=pa.array([int((total > 0).sum()) * f for f in first], pa.int64()))
 
 
-def fit(units: DataFrame, single: np.ndarray, groups: int, members: int, folds: int, fold: int, rounds: int = ROUNDS, every: int = EVERY, least: int = LEAST_STEPS) -> Model:
+def fit(units: DataFrame, single: np.ndarray, groups: int, members: int, folds: int, fold: int, rounds: int = ROUNDS, every: int = 1, least: int = LEAST_STEPS) -> Model:
     """The model of the units' training documents; single: how often they hold each id."""
     classes = groups * members
     klass = common_classes(single, classes)
@@ -489,14 +542,14 @@ def fit(units: DataFrame, single: np.ndarray, groups: int, members: int, folds:
     smooth = single + 1.0
     model = Model(klass, np.log(smooth / np.bincount(klass, smooth, classes)[klass]).astype(np.float32), first, second, init_weights(classes, groups))
     # so many that one has about BUCKET_WINDOWS windows in a round: a number that the table alone decides
-    buckets = max(1, round(int(single.sum()) / (STEP * every * BUCKET_WINDOWS)))
+    buckets = max(1, round(int(single.sum()) / (SPAN * max(rounds, 1) * every * BUCKET_WINDOWS)))
     for number in range(rounds):
-        model.weights = _round(units, model, number, folds, fold, every, least, buckets)
+        model.weights = _round(units, model, number, folds, fold, rounds * every, least, buckets)
     return model
 
 
-def score_documents(docs: DataFrame, tokenizer_path: str, folds: int = 7, fold: int = 2, groups: int = GROUPS, members: int = MEMBERS, rounds: int = ROUNDS, every: int = EVERY, least: int = LEAST_STEPS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of `docs`; with rounds = 0, the tables alone."""
+def score_documents(docs: DataFrame, tokenizer_path: str, folds: int = 7, fold: int = 2, groups: int = GROUPS, members: int = MEMBERS, rounds: int = ROUNDS, every: int = 1, least: int = LEAST_STEPS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of `docs`; with rounds = 0, the tables alone; with every > 1, attention learnt from a part of the windows only."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_ids = word_tokens(tokenizer_path).tok.get_vocab_size() + 1  # the last number is the end
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -515,6 +568,7 @@ def score_documents(docs: DataFrame, tokenizer_path: str, folds: int = 7, fold:
     def finish(key, left, right):
         use("lm")
         ids, n, place = _about(left.column("a")[0].as_py())
+        place = expand(place, np.uint32)
         back = dict(zip(right.column("block").to_pylist(), right.column("counts").to_pylist(), strict=True))
         c = np.concatenate([expand(back[k], np.int64) for k in sorted(back)])[place]
         doc = np.repeat(np.arange(len(ids)), n)

@@ -383,3 +383,53 @@ def test_scores_do_not_depend_on_partitions(spark):
     for other in found[1:]:
         for a, b in zip(found[0], other, strict=True):
             assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-6)
+
+
+def test_every_token_of_training_is_learnt_once():
+    """Over the rounds, the windows that are learnt hold each token once, as the class it is and after the class it follows."""
+    from tessera.llm import lm
+
+    rng = np.random.default_rng(4)
+    lengths = [1, 2, lm.SPAN - 1, lm.SPAN, lm.SPAN + 1, 2 * lm.SPAN, 2 * lm.SPAN + 1, 700]
+    texts = [rng.integers(0, 50, n) for n in lengths]
+    m = lm.Model(np.arange(50) % 12, None, None, None, None)
+    m.second = np.zeros((13, 4, 3))
+    _, y, x = lm.laid_out(m, texts)
+    for rounds in (1, 2, 3):
+        learnt, buckets = [], []
+        for number in range(rounds):
+            bucket, rows = lm._dealt_windows(texts, x, y, number, rounds, 5)
+            prev, group, real = lm._unpacked_windows(rows, 3)
+            learnt += list(zip(prev[real].tolist(), group[real].tolist(), strict=True))
+            buckets += bucket.tolist()
+        assert sorted(learnt) == sorted(zip(x.tolist(), (y // 3).tolist(), strict=True))
+        assert len(buckets) == sum(-(-n // lm.SPAN) for n in lengths) and set(buckets) <= set(range(5))
+    assert lm.score_documents.__defaults__[-2] == 1  # every window, unless a caller wants fewer
+
+
+def test_training_follows_the_plain_gradient():
+    """The first step of Adam has the sign of the loss's gradient, here from differences of the plain forward pass."""
+    from tessera.llm import lm
+
+    rng = np.random.default_rng(5)
+    w = {k: v.astype(np.float64) for k, v in lm.init_weights(6, 3, width=4, span=5).items()}
+    first = np.log(rng.dirichlet(np.ones(3), 7))
+    x, g = rng.integers(0, 7, (8, 5)), rng.integers(0, 3, (8, 5))
+    real = np.arange(5) < rng.integers(1, 6, 8)[:, None]
+
+    def loss(at):
+        m = lm.Model(None, None, first, np.zeros((7, 3, 2)), at)
+        return -lm.group_log_probs(m, x, g)[real].mean()
+
+    after = lm.train_steps(w, first, x, g, real, 1, size=8)
+    seen = 0
+    for name, v in w.items():
+        for place in np.ndindex(v.shape):
+            up, down = ({**w, name: v.copy()} for _ in range(2))
+            up[name][place] += 1e-5
+            down[name][place] -= 1e-5
+            slope = (loss(up) - loss(down)) / 2e-5
+            if abs(slope) > 1e-4:
+                assert np.sign(w[name][place] - after[name][place]) == np.sign(slope), (name, place)
+                seen += 1
+    assert seen > 60
