@@ -394,6 +394,7 @@ def _passed(docs: DataFrame, tokenizer_path: str, n_ids: int, folds: int, fold:
                     yield flush()
         if ids:
             yield flush()
+        tok.rest()
         if single.any():
             yield _kinds(_sparse("single", part, single, 1))
 

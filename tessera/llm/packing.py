@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,14 @@ OPEN_BINS = 512
 SHARD_TOKENS = 1 << 24
 
 
+def _keep_first(known: dict, n: int) -> None:
+    """Leaves the n entries that came first: common words come early."""
+    if len(known) > n:
+        first = list(islice(known.items(), n))
+        known.clear()
+        known.update(first)
+
+
 class _Words(dict):
     """What `make` gives for a key, kept for at most `limit` keys."""
 
@@ -41,7 +50,7 @@ class _Words(dict):
 
     def __missing__(self, key):
         if len(self) >= self.limit:
-            self.clear()
+            _keep_first(self, self.limit // 4)
         value = self[key] = self.make(key)
         return value
 
@@ -55,7 +64,9 @@ class WordTokens:
     normaliser and the merges.  All other words go to the tokenizer whole.
     """
 
-    WORDS, PIECES = 400_000, 600_000
+    WORDS, PIECES = 150_000, 600_000
+    #: entries of either cache that a worker without a task holds: all of an executor's workers have been used in turn, and few have a task
+    IDLE = 100_000
     _SPLIT = regex.compile(r"\p{L}+|\p{N}|[\p{P}\p{S}]+")
     _SPECIAL = regex.compile(r"[^\p{L}\p{N}\p{P}\p{S}]|['İ]|<\|")
     _ENDS = ".,;:!?#$%&*"
@@ -81,7 +92,7 @@ class WordTokens:
         ids = self.pieces.get(p)
         if ids is None:
             if len(self.pieces) >= self.PIECES:
-                self.pieces.clear()
+                _keep_first(self.pieces, self.PIECES // 4)
             shown = p.lower() if p.isascii() else self.normalize(p).encode().decode("latin-1").translate(self.alphabet)
             ids = self.pieces[p] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return ids
@@ -99,6 +110,11 @@ class WordTokens:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
         return b"".join(map(self.words.__getitem__, text.split()))
 
+    def rest(self) -> None:
+        """At the end of a task."""
+        _keep_first(self.words, self.IDLE)
+        _keep_first(self.pieces, self.IDLE)
+
 
 _loaded: dict[str, WordTokens] = {}
 cache_of("tokens", _loaded.clear)
@@ -128,6 +144,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                     for c, v in zip(cols, (i, k, at, len(part) // 4, zlib.crc32(part)), strict=True):
                         c.append(v)
             yield batch(doc_id=pa.array(cols[0], pa.int64()), piece=pa.array(cols[1], pa.int32()), start=pa.array(cols[2], pa.int64()), length=pa.array(cols[3], pa.int64()), ids_crc32=pa.array(cols[4], pa.int64()))
+        tok.rest()
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -433,3 +433,24 @@ def test_training_follows_the_plain_gradient():
                 assert np.sign(w[name][place] - after[name][place]) == np.sign(slope), (name, place)
                 seen += 1
     assert seen > 60
+
+
+def test_idle_workers_hold_few_words(spark):
+    """Workers are used in turn, so what each holds after its task counts for all of them."""
+    import pyarrow as pa
+    from tessera.llm import packing
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    docs = spark.createDataFrame([(k, " ".join(word() for _ in range(14_000))) for k in range(10)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in packing.pieces(docs, tokenizer_path()).where("piece = 0").collect()}
+    assert len(got) == 10
+
+    def held(batches):
+        from tessera.llm import packing
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([max((max(len(t.words), len(t.pieces)) for t in packing._loaded.values()), default=0)], pa.int64())], names=["n"])
+
+    most = max(r.n for r in spark.range(0, 64, 1, 64).mapInArrow(held, "n long").collect())
+    assert most <= 100_000
