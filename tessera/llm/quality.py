@@ -179,8 +179,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, per
             yield batch(doc_id=b.column(0), label=b.column(2), features=pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(f, pa.int32())))
 
     sample = labelled_sample(docs, labels, "quality", folds, fold, per_class)
-    found = sorted(map_arrow(sample.select("doc_id", "text", "label"), run, "doc_id long, label int, features array<int>").collect(), key=lambda r: (r[0], len(r[2])))
-    return fit([np.array(r[2], np.int64) for r in found], np.array([r[1] for r in found], np.int64), bits)
+    # as Arrow: as Python numbers, the features take many times their size in the driver
+    found = map_arrow(sample.select("doc_id", "text", "label"), run, "doc_id long, label int, features array<int>").toArrow().combine_chunks()
+    features = [x.values.to_numpy() for x in found.column("features")]
+    ids, own = found.column("doc_id").to_pylist(), found.column("label").to_numpy()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], len(features[i])))
+    return fit([features[i].astype(np.int64) for i in order], own[order].astype(np.int64), bits)
+
 
 
 def score(docs: DataFrame, model: QualityModel, folds: int = 5, fold: int = 0, threshold: float = THRESHOLD) -> DataFrame:
