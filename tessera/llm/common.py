@@ -11,6 +11,7 @@ Rules that hold for every operator here:
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -60,10 +61,20 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-#: Spark's own setting: a query's shuffle files go when it ends
+#: Spark's own setting: a query's shuffle files go when it ends; read when its frame is made
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver collect its garbage once its heap has taken half of what it may: Spark deletes shuffle files, broadcasts and checkpoints
+    that nothing holds only then, and the heap of a driver that plans many small jobs else grows to its limit first."""
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        gc.collect()
+        jvm.System.gc()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder; the pass's shuffle files go with it."""
     spark = df.sparkSession
@@ -71,9 +82,10 @@ def settle(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # a frame that is made under the setting
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+        let_go(spark)
 
 
 def free_name(columns: list[str], base: str) -> str:

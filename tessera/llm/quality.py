@@ -159,7 +159,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, cost: floa
         own = np.flatnonzero(part)
         y = labels[own] * 2.0 - 1
         c = cost * np.where(y > 0, len(y) / max(2 * (y > 0).sum(), 1), len(y) / max(2 * (y < 0).sum(), 1))
-        return dual_coordinate_descent([np.append(rows[i], dim) for i in own], [values(rows[i]) for i in own], y, c, dim + 1)
+        # one array each: the memory of many small ones stays with the driver
+        at = starts(np.array([len(rows[i]) + 1 for i in own]))
+        flat, value = np.empty(at[-1], np.int32), np.empty(at[-1])
+        for i, lo, hi in zip(own, at[:-1], at[1:], strict=True):
+            flat[lo : hi - 1], flat[hi - 1], value[lo:hi] = rows[i], dim, values(rows[i])
+        return dual_coordinate_descent(np.split(flat, at[1:-1]), np.split(value, at[1:-1]), y, c, dim + 1)
 
     w = model(fold > 0)
     unseen = np.flatnonzero(fold == 0)
@@ -184,8 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, per
     features = [x.values.to_numpy() for x in found.column("features")]
     ids, own = found.column("doc_id").to_pylist(), found.column("label").to_numpy()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], len(features[i])))
-    return fit([features[i].astype(np.int64) for i in order], own[order].astype(np.int64), bits)
-
+    return fit([features[i] for i in order], own[order].astype(np.int64), bits)
 
 
 def score(docs: DataFrame, model: QualityModel, folds: int = 5, fold: int = 0, threshold: float = THRESHOLD) -> DataFrame:
