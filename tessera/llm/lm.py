@@ -566,16 +566,22 @@ def score_documents(docs: DataFrame, tokenizer_path: str, folds: int = 7, fold:
     sums = answers.agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = int(sums[0] or 0), int(sums[1] or 0)
 
-    def finish(key, left, right):
+    def score(batches):
         use("lm")
+        for b in batches:
+            scores = [score_texts(model.value, [np.append(t, n_ids - 1) for t in _tokens_of(x, kind)]).tobytes() for x in b.column(2).to_pylist()]
+            yield batch(unit=b.column(0), a=b.column(1), scores=pa.array(scores, pa.binary()))
+
+    def finish(key, left, right):
         ids, n, place = _about(left.column("a")[0].as_py())
         place = expand(place, np.uint32)
         back = dict(zip(right.column("block").to_pylist(), right.column("counts").to_pylist(), strict=True))
         c = np.concatenate([expand(back[k], np.int64) for k in sorted(back)])[place]
         doc = np.repeat(np.arange(len(ids)), n)
         base = np.bincount(doc, np.log10(c + 1.0), len(ids)) - n * np.log10(tokens + types + 1.0)
-        score = score_texts(model.value, [np.append(t, n_ids - 1) for t in _tokens_of(left.column("b")[0].as_py(), kind)])
+        score = np.frombuffer(left.column("scores")[0].as_py())
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([is_held_out(i, folds, fold) for i in ids], pa.bool_()), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(np.bincount(doc, c > 0, len(ids)).astype(np.int64)), "train_tokens": pa.array(np.full(len(ids), tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return units.groupBy("unit").cogroup(answers.select("unit", "block", "counts").groupBy("unit")).applyInArrow(finish, schema)
+    scored = map_arrow(units, score, "unit long, a binary, scores binary")  # before the shuffle, so that no ids are sent
+    return scored.groupBy("unit").cogroup(answers.select("unit", "block", "counts").groupBy("unit")).applyInArrow(finish, schema)
