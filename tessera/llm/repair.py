@@ -3,8 +3,9 @@
 The rows of a conversation are read once, in order, by a generalised LR parser of the role grammar.  Its stacks
 share their lower parts; at each row a stack may keep it, give it another role, delete it, or have an empty row put
 before it, each at its cost.  Stacks with equal tops accept the same rest, so they merge into the one with the
-smallest (cost, audit), the audit being the initials of its edits.  Actions before the last row that all stacks
-agree on are passed on at once, so a conversation of any length is streamed.
+smallest (cost, audit), the audit being the initials of its edits.  A stack that costs more than the cheapest one and
+all it takes to go on as any other goes, else the one that deletes every row would stay.  Actions before the last row
+that all stacks agree on are passed on at once, so a conversation of any length is streamed.
 
 Faults are found by Spark before: a row is blank, or its role and text stood earlier in the conversation (a window
 over equal rows, so that no task has to remember what it saw), or it ends without a closing mark.
@@ -32,6 +33,8 @@ from .common import batch, map_arrow
 GRAMMAR = (("conversation", ()), ("conversation", ("pairs",)), ("conversation", ("s", "pairs")), ("pairs", ("pair",)), ("pairs", ("pairs", "pair")), ("pair", ("u", "a")))
 ROLES = {"u": "user", "a": "assistant"}
 RETAG, DELETE, INSERT, CUT_SHORT = 2, 3, 2, 1
+#: with this much, a stack can end or go on as any other one: the system row deleted, or a row put in
+CATCH_UP = DELETE + 2 * INSERT
 BLANK = " \t\n\x0b\x0c\r"
 END = ""
 
@@ -217,7 +220,8 @@ class Repairer:
                     for target in shifted(stack, terminal):
                         self._offer(heads, cost + extra + RETAG, Edit(edit, "R", new, text), target)
         self._insert(heads)
-        self.heads = heads
+        least = min(cost for cost, _, _ in heads.values())
+        self.heads = {state: head for state, head in heads.items() if head[0] <= least + CATCH_UP}
         self.rows += 1
 
     def _since(self, edit: Edit) -> list[Edit]:
