@@ -28,11 +28,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, binaries, blocks_for, expand, expand_sorted, filled_blocks, group_arrow, map_arrow, settle, squeeze, squeeze_sorted, starts, use, word_hashes
+from .common import batch, blocks_for, expand, expand_sorted, filled_blocks, group_arrow, map_arrow, ragged, settle, squeeze, squeeze_sorted, starts, string_hashes, use
 from .packing import word_tokens
 
 GROUPS, MEMBERS = 32, 64
@@ -46,7 +48,7 @@ RATE = 1e-2
 UNIT_BYTES = 4 << 20
 #: tables of tasks that are added up together
 FAN_IN = 64
-END_KEY = b"\n"  # no word holds a line break
+END_HASH = string_hashes(pa.array(["\n"]))  # no word holds a line break
 
 
 def is_held_out(doc_id, folds: int, fold: int) -> bool:
@@ -71,12 +73,11 @@ class Model:
         return self.second.shape[1] * self.second.shape[2]
 
     def fused(self) -> tuple:
-        """Tables that scoring looks up: of a class's and of a place's share in (state, query, key, value, 1), and P(group | previous class)."""
-        w, n = self.weights, len(self.weights["e"])
-        own = lambda h: [h, h @ w["q"] * np.float32(1 / np.sqrt(h.shape[1])), h @ w["k"], h @ w["v"] @ w["o"]]
-        by_class = np.concatenate([*own(w["e"]), np.ones((n, 1), np.float32)], axis=1)
-        by_place = np.concatenate([*own(w["p"]), np.zeros((len(w["p"]), 1), np.float32)], axis=1)
-        return by_class, by_place, np.exp(self.first)
+        """Tables that scoring looks up: a class's and a place's share in states and in queries (on states: q and k act by their product only),
+        what attention adds to a state (v and o, too), and P(group | previous class)."""
+        w = self.weights
+        qk = w["q"] @ w["k"].T * np.float32(1 / np.sqrt(w["q"].shape[0]))
+        return w["e"], w["p"], w["e"] @ qk, w["p"] @ qk, w["v"] @ w["o"], np.exp(self.first)
 
 
 def group_classes(pairs: np.ndarray, groups: int) -> np.ndarray:
@@ -149,24 +150,26 @@ def group_log_probs(model: Model, x: np.ndarray, g: np.ndarray) -> np.ndarray:
 def _fused_log_probs(model: Model, tables: tuple, x: np.ndarray, g: np.ndarray, off: int) -> np.ndarray:
     """The same from place `off` on, in few passes over memory: looked-up projections, no shifts by the maximum, which
     the plain form does where a number gets too large."""
-    by_class, by_place, first = tables
-    n, span = x.shape
-    w = (by_class.shape[1] - 1) // 4
-    z = np.take(by_class, x, axis=0, mode="clip")
-    z += by_place[:span]
-    a = z[:, off:, w : 2 * w] @ z[:, :, 2 * w : 3 * w].transpose(0, 2, 1)
+    state, state_place, query, query_place, vo, first = tables
+    (n, span), w, groups = x.shape, vo.shape[0], first.shape[1]
+    asked = np.ascontiguousarray(x[:, off:])
+    h = np.take(state, x, axis=0, mode="clip")
+    h += state_place[:span]
+    u = np.take(query, asked, axis=0, mode="clip")
+    u += query_place[off:span]
+    a = u @ h.transpose(0, 2, 1)
     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
         np.exp(a, out=a)
         a *= np.tril(np.ones((span, span), np.float32))[off:]
-        c = a @ z[:, :, 3 * w :]
-        o = c[..., :w]
-        o /= c[..., w:]
-        o += z[:, off:, :w]
-        e = o.reshape(-1, w) @ model.weights["w1"]
+        c = a @ h
+        c /= a @ np.ones((span, 1), np.float32)
+        o = c.reshape(-1, w) @ vo
+        o += h[:, off:].reshape(-1, w)
+        e = o @ model.weights["w1"]
         np.exp(e, out=e)
-        p, k = np.take(first, x[:, off:].reshape(-1), axis=0, mode="clip"), np.arange(len(e))
-        at = g[:, off:].reshape(-1)
-        out = np.log(e[k, at] * p[k, at] / np.einsum("ij,ij->i", e, p)).reshape(n, span - off)
+        e *= np.take(first, asked.reshape(-1), axis=0, mode="clip")
+        at = np.arange(0, e.size, groups) + g[:, off:].reshape(-1)
+        out = np.log(e.reshape(-1)[at] / (e @ np.ones(groups, np.float32))).reshape(n, span - off)
     return out if np.isfinite(out).all() else group_log_probs(model, x, g)[:, off:]
 
 
@@ -176,69 +179,75 @@ def _row_sums(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")  # a radix sort for short integers
     ordered = at[order]
     first = np.flatnonzero(np.diff(ordered, prepend=-1))
-    out[ordered[first]] = np.add.reduceat(rows[order], first)
+    out[ordered[first]] = np.add.reduceat(np.take(rows, order, axis=0), first)
     return out
 
 
 def train_steps(w: dict, first_table: np.ndarray, x: np.ndarray, g: np.ndarray, real: np.ndarray, steps: int, size: int = STEP_WINDOWS, rate: float = RATE, seed: int = 7) -> dict:
     """Adam on the groups' cross entropy, over windows in a shuffled order; x, g, real: (windows, span). The table is fixed.
 
-    The passes of `_attend`, in place and with the projections in one product; logits are bounded instead of shifted.
+    The passes of `_attend` and their gradients, in fewer operations: q and k, and v and o, only act by their products, so their gradients follow from
+    those of two matrices; the sums of softmaxes act on narrow arrays and never on the attention's; logits are bounded instead of shifted.
     """
-    w, m1, m2 = dict(w), {}, {}
-    width, span, prior = w["q"].shape[0], x.shape[1], np.exp(first_table)
-    rng, scale, most = np.random.default_rng(seed), np.float32(1 / np.sqrt(width)), np.float32(80)
-    past = np.tril(np.ones((span, span), np.float32))
+    names, kind = list(w), w["e"].dtype
+    cut = np.cumsum([0, *(w[k].size for k in names)])
+    every, slope = np.concatenate([w[k].reshape(-1) for k in names]), np.zeros(cut[-1], kind)
+    w, d = ({k: v[lo:hi].reshape(w[k].shape) for k, lo, hi in zip(names, cut[:-1], cut[1:], strict=True)} for v in (every, slope))  # parts of one array each
+    m1, m2 = np.zeros_like(every), np.zeros_like(every)
+    width, span, groups = w["q"].shape[0], x.shape[1], w["w1"].shape[1]
+    rng, scale, most, least = np.random.default_rng(seed), kind.type(1 / np.sqrt(width)), kind.type(80), kind.type(1e-30)
+    prior, past = np.exp(first_table).astype(kind, copy=False), np.tril(np.ones((span, span), kind))
+    sums, at = {n: np.ones((n, m), kind) for n, m in ((span, width), (groups, 1), (width, width))}, np.arange(size * span) * groups  # sums of rows, in as many columns as they act on
+    both, beside = np.empty((size, 2 * span, span), kind), np.empty((size, 2 * span, width), kind)
+    a, d_s, back, u = both[:, :span], both[:, span:], beside[:, :span], beside[:, span:]
     order = np.zeros(0, np.int64)
     for t in range(1, steps + 1):
         if len(order) < size:
             order = np.concatenate([order, *[rng.permutation(len(x)) for _ in range(-(-size // len(x)))]])
         own, order = order[:size], order[size:]
-        xs = x[own]
-        flat, at = xs.reshape(-1), np.arange(xs.size)
+        flat, mask = x[own].reshape(-1), real[own].reshape(-1)
+        share = (mask / kind.type(max(mask.sum(), 1))).astype(kind, copy=False)
+        qk, vo = w["q"] @ w["k"].T * scale, w["v"] @ w["o"]
         h = np.take(w["e"], flat, axis=0).reshape(size, span, width)
         h += w["p"][:span]
         hf = h.reshape(-1, width)
-        qkv = (hf @ np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1)).reshape(size, span, 3 * width)
-        q, k, v = qkv[:, :, :width], qkv[:, :, width : 2 * width], qkv[:, :, 2 * width :]
-        a = q @ k.transpose(0, 2, 1)
+        u[:] = (hf @ qk).reshape(u.shape)
+        np.matmul(u, h.transpose(0, 2, 1), out=a)
         np.exp(np.minimum(a, most, out=a), out=a)
         a *= past
-        a /= a.sum(2, keepdims=True)
-        c = (a @ v).reshape(-1, width)
-        out = c @ w["o"]
+        mixed, total = (a @ h).reshape(-1, width), (a @ sums[span]).reshape(-1, width)
+        total += least
+        c = mixed / total
+        out = c @ vo
         out += hf
         z = out @ w["w1"]
         np.exp(np.minimum(z, most, out=z), out=z)
         z *= np.take(prior, flat, axis=0)
-        z /= z.sum(1, keepdims=True)
-        z[at, g[own].reshape(-1)] -= 1
-        mask = real[own].reshape(-1)
-        z *= (mask / np.float32(max(mask.sum(), 1)))[:, None]
-        d = {"w1": out.T @ z}
+        z *= share[:, None] / (z @ sums[groups] + least)
+        z.reshape(-1)[at + g[own].reshape(-1)] -= share
         d_out = z @ w["w1"].T
-        d["o"] = c.T @ d_out
-        d_c = (d_out @ w["o"].T).reshape(size, span, width)
-        d_qkv = np.empty_like(qkv)
-        d_qkv[:, :, 2 * width :] = a.transpose(0, 2, 1) @ d_c
-        d_s = d_c @ v.transpose(0, 2, 1)
-        d_s -= np.einsum("ijk,ijk->ij", d_s, a)[..., None]
+        np.matmul(out.T, z, out=d["w1"])
+        d_vo = c.T @ d_out
+        d["v"][:], d["o"][:] = d_vo @ w["o"].T, w["v"].T @ d_vo
+        d_c = d_out @ vo.T
+        d_c /= total
+        shift = (d_c * c) @ sums[width]
+        np.matmul(d_c.reshape(h.shape), h.transpose(0, 2, 1), out=d_s)
         d_s *= a
-        d_qkv[:, :, :width] = d_s @ k
-        d_qkv[:, :, :width] *= scale
-        d_qkv[:, :, width : 2 * width] = d_s.transpose(0, 2, 1) @ q  # q carries the scale
-        df = d_qkv.reshape(-1, 3 * width)
-        d["q"], d["k"], d["v"] = np.split(hf.T @ df, 3, axis=1)
-        d_h = df @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T
+        d_u = (d_s @ h).reshape(-1, width)
+        d_u -= mixed * shift
+        np.subtract(d_c.reshape(h.shape), u * shift.reshape(h.shape), out=back)
+        d_qk = hf.T @ d_u * scale
+        d["q"][:], d["k"][:] = d_qk @ w["k"], d_qk.T @ w["q"]
+        d_h = (both.transpose(0, 2, 1) @ beside).reshape(-1, width)
+        d_h += d_u @ qk.T
         d_h += d_out
-        d["p"] = np.zeros_like(w["p"])
-        d["p"][:span] = d_h.reshape(size, span, width).sum(0)
-        d["e"] = _row_sums(d_h, flat, len(w["e"]))
-        for name, u in d.items():
-            m1[name] = 0.9 * m1.get(name, 0) + 0.1 * u
-            m2[name] = 0.99 * m2.get(name, 0) + 0.01 * u * u
-            w[name] = (w[name] - rate * (m1[name] / (1 - 0.9**t)) / (np.sqrt(m2[name] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-    return w
+        d["p"][:span] = d_h.reshape(size, -1).sum(0).reshape(span, width)
+        d["e"][:] = _row_sums(d_h, flat, len(w["e"]))
+        m1 += kind.type(0.1) * (slope - m1)
+        m2 += kind.type(0.01) * (slope * slope - m2)
+        every -= kind.type(rate / (1 - 0.9**t)) * m1 / (np.sqrt(m2 * kind.type(1 / (1 - 0.99**t))) + kind.type(1e-8))
+    return {k: v.astype(np.float32) for k, v in w.items()}
 
 
 def laid_out(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,7 +260,7 @@ def laid_out(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return ids, y, x
 
 
-def score_texts(model: Model, texts: list[np.ndarray], tables: tuple | None = None, chunk: int = 128) -> np.ndarray:
+def score_texts(model: Model, texts: list[np.ndarray], tables: tuple | None = None, chunk: int = 256) -> np.ndarray:
     """log10 probability of each text of ids (the end included as the last id)."""
     if not texts:
         return np.zeros(0)
@@ -262,14 +271,21 @@ def score_texts(model: Model, texts: list[np.ndarray], tables: tuple | None = No
     first, n, done = windows(lengths)
     per = model.share[ids].astype(np.float64)
     per += model.second[x, group, member]
-    span = np.arange(SPAN)
+    # a window may read on into the next text: attention looks back only, and what it gives there is left out
+    x, group = (sliding_window_view(np.append(v, np.zeros(SPAN, v.dtype)), SPAN) for v in (x, group))
     for off in (0, SPAN - STEP):
-        f, m = first[done == off], n[done == off]
-        for lo in range(0, len(f), chunk):
-            place = f[lo : lo + chunk, None] + np.minimum(span, m[lo : lo + chunk, None] - 1)
-            real = (span < m[lo : lo + chunk, None])[:, off:]
-            got = _fused_log_probs(model, tables, x[place], group[place], off)
-            per[place[:, off:][real]] += got[real]
+        scored = sliding_window_view(per, SPAN - off, writeable=True) if len(per) >= SPAN else None
+        for whole in (True, False):
+            own = (done == off) & ((n == SPAN) == whole)
+            f, m = first[own], n[own]
+            for lo in range(0, len(f), chunk):
+                at = f[lo : lo + chunk]
+                got = _fused_log_probs(model, tables, x[at], group[at], off)
+                if whole:  # these score places of their own
+                    scored[at + off] += got
+                else:
+                    real = np.arange(off, SPAN) < m[lo : lo + chunk, None]
+                    per[(at[:, None] + np.arange(off, SPAN))[real]] += got[real]
     return np.add.reduceat(per, starts(lengths)[:-1]) / np.log(10)
 
 
@@ -335,32 +351,41 @@ def _about(packed: bytes) -> tuple[list, np.ndarray, bytes]:
     return about.column(0).to_pylist(), about.column(1).to_numpy(), packed[cut:]
 
 
-class _Numbers(dict):
-    """Numbers its keys in the order in which they come."""
-
-    def __missing__(self, key: bytes) -> int:
-        n = self[key] = len(self)
-        return n
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words (A-Z; split at ASCII white space) of texts without nulls, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, n = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    real = pc.binary_length(words).to_numpy() > 0  # white space at either end leaves an empty part
+    if not real.all():
+        n = np.diff(starts(real)[starts(n)])
+        words = words.filter(pa.array(real))
+    return words, n
 
 
 def _passed(docs: DataFrame, tokenizer_path: str, n_ids: int, folds: int, fold: int, n_blocks: int) -> DataFrame:
     """The pass over the texts: units of documents with their ids; each unit's words by ranges of hashes; each task's counts of ids."""
     kind = np.uint16 if n_ids <= 1 << 16 else np.uint32
 
-    def rows_of(unit, ids, words, n, tok, single):
-        number = _Numbers()
-        place = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        tokens = [b"" if w == END_KEY else tok.words[w] for w in number]  # what a unit repeats is looked up once
-        distinct, same = np.unique(word_hashes(list(number)), return_inverse=True)
+    def rows_of(unit, ids, texts, tok, single):
+        words, n = _words(texts)
+        n = n + 1  # the end
+        coded = words.dictionary_encode()  # what a unit repeats is looked up once
+        number, last = coded.dictionary, len(coded.dictionary)
+        place = np.full(n.sum(), last)
+        inner = np.ones(len(place), bool)
+        inner[starts(n)[1:] - 1] = False
+        place[inner] = coded.indices.to_numpy()
+        distinct, same = np.unique(np.append(string_hashes(number), END_HASH), return_inverse=True)
         train = np.repeat(np.array([not is_held_out(i, folds, fold) for i in ids]), n)
-        learnt = np.bincount(place[train], minlength=len(tokens))
+        learnt = np.bincount(place[train], minlength=last + 1)
         count = np.bincount(same, learnt, len(distinct)).astype(np.uint32)
-        long, small = np.array([len(t) // 4 for t in tokens]), np.frombuffer(b"".join(tokens), "<u4").astype(kind)
+        small, long = tok.ids_of(number)
+        small, long = small.astype(kind), np.append(long, 0)
         single += np.bincount(small, np.repeat(learnt, long), n_ids).astype(np.int64)
-        single[-1] += learnt[number[END_KEY]]
+        single[-1] += learnt[last]
         per = long[place]
         lengths = np.add.reduceat(per, starts(n)[:-1]).astype(np.uint32)
-        small = small[np.repeat(starts(long)[:-1][place] - starts(per)[:-1], per) + np.arange(per.sum())]
+        small = small[ragged(starts(long)[:-1][place], per)]
         about = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["id", "n"]).serialize().to_pybytes()
         # each word as its number among the unit's distinct words, so that later passes need no text
         yield "unit", unit, None, len(about).to_bytes(4, "little") + about + squeeze(same[place].astype(np.uint32)), len(lengths).to_bytes(4, "little") + lengths.tobytes() + zstandard.ZstdCompressor(level=3).compress(small.tobytes())
@@ -374,24 +399,26 @@ def _passed(docs: DataFrame, tokenizer_path: str, n_ids: int, folds: int, fold:
         use("lm")
         part, k = TaskContext.get().partitionId(), 0
         tok, single = word_tokens(tokenizer_path), np.zeros(n_ids, np.int64)
-        ids, words, n, size = [], [], [], 0
+        ids, texts, size = [], [], 0
 
         def flush():
-            nonlocal ids, words, n, size, k
-            rows = list(rows_of((part << 24) + k, ids, words, np.array(n), tok, single))
-            k, ids, words, n, size = k + 1, [], [], [], 0
+            nonlocal ids, texts, size, k
+            rows = list(rows_of((part << 24) + k, ids, pa.concat_arrays(texts), tok, single))
+            k, ids, texts, size = k + 1, [], [], 0
             return _kinds(rows)
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), binaries(b.column(1)), strict=True):
-                own = t.lower().split()
-                ids.append(i)
-                words += own
-                words.append(END_KEY)
-                n.append(len(own) + 1)
-                size += len(t) + 16
+            own, at = pc.fill_null(b.column(1), ""), 0
+            for m, n in enumerate(pc.binary_length(own).to_pylist(), 1):
+                size += n + 16
                 if size >= UNIT_BYTES:
+                    ids += b.column(0).slice(at, m - at).to_pylist()
+                    texts.append(own.slice(at, m - at))
+                    at = m
                     yield flush()
+            if at < len(own):
+                ids += b.column(0).slice(at).to_pylist()
+                texts.append(own.slice(at))
         if ids:
             yield flush()
         tok.rest()
@@ -456,8 +483,12 @@ def _dealt_windows(own: list[np.ndarray], x: np.ndarray, y: np.ndarray, number:
     sums = np.array([zlib.crc32(np.asarray(t, "<u4").tobytes()) for t in own])
     mine = (np.arange(len(first)) - starts(per)[:-1][doc] + (sums // buckets)[doc]) % of == number
     first, n = first[mine], n[mine]
-    classes = y[first[:, None] + np.minimum(np.arange(SPAN), n[:, None] - 1)]
-    return (sums % buckets)[doc[mine]], np.concatenate([x[first][:, None], classes, n[:, None]], axis=1).astype("<u2")
+    rows = np.empty((len(first), SPAN + 2), "<u2")
+    rows[:, 0], rows[:, -1] = x[first], n
+    rows[:, 1:-1] = sliding_window_view(np.append(y.astype("<u2"), np.zeros(SPAN, "<u2")), SPAN)[first]
+    short = np.flatnonzero(n < SPAN)  # these end with their text, whose last class fills them
+    rows[short, 1:-1] = y[first[short, None] + np.minimum(np.arange(SPAN), n[short, None] - 1)]
+    return (sums % buckets)[doc[mine]], rows
 
 
 def _unpacked_windows(rows: np.ndarray, members: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -14,6 +14,8 @@ that open bins waste next to nothing at any size.
 
 from __future__ import annotations
 
+import codecs
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -21,11 +23,12 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, binaries, cache_of, map_arrow, settle, use
+from .common import batch, binaries, byte_strings, cache_of, map_arrow, ragged, settle, starts, use
 
 CAPACITY = 2048
 OPEN_BINS = 512
@@ -67,6 +70,8 @@ class WordTokens:
     WORDS, PIECES = 150_000, 600_000
     #: entries of either cache that a worker without a task holds: all of an executor's workers have been used in turn, and few have a task
     IDLE = 100_000
+    #: the same of the cores of `ids_of`, whose keys and ids are short bytes; who asks for these fills neither of the others
+    IDLE_CORES = 300_000
     _SPLIT = regex.compile(r"\p{L}+|\p{N}|[\p{P}\p{S}]+")
     _SPECIAL = regex.compile(r"[^\p{L}\p{N}\p{P}\p{S}]|['İ]|<\|")
     _ENDS = ".,;:!?#$%&*"
@@ -80,10 +85,13 @@ class WordTokens:
         self.model, self.normalize = self.tok.model, self.tok.normalizer.normalize_str
         self.words = _Words(self._word, self.WORDS)
         self.pieces: dict[str, bytes] = {}
+        self.cores = _Words(self._core, self.PIECES)
+        self.tails = _Words(lambda tail: self._made(tail.decode()), 10_000)
         # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
-        self.alphabet = {b: 256 + k for k, b in enumerate(hidden)}
+        at = {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.alphabet = "".join(at.get(b, chr(b)) for b in range(256))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -93,10 +101,22 @@ class WordTokens:
         if ids is None:
             if len(self.pieces) >= self.PIECES:
                 _keep_first(self.pieces, self.PIECES // 4)
-            shown = p.lower() if p.isascii() else self.normalize(p).encode().decode("latin-1").translate(self.alphabet)
-            ids = self.pieces[p] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            ids = self.pieces[p] = self._made(p)
         return ids
 
+    def _made(self, p: str) -> bytes:
+        if p.isascii():
+            shown = p.lower()
+        else:  # the normaliser composes and lower-cases
+            plain = p.islower() and unicodedata.is_normalized("NFC", p)
+            shown = codecs.charmap_decode((p if plain else self.normalize(p)).encode(), "strict", self.alphabet)[0]
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _core(self, core: bytes) -> bytes | None:
+        """The ids of a word without the marks it ends in, if it is of letters only."""
+        s = core.decode("utf-8", "replace")
+        return self._made(s) if s.isalpha() and "İ" not in s else None
+
     def _word(self, word: bytes) -> bytes:
         s = word.decode("utf-8", "replace")
         core = s.rstrip(self._ENDS)
@@ -110,10 +130,29 @@ class WordTokens:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
         return b"".join(map(self.words.__getitem__, text.split()))
 
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many different words, end to end, and how many each has: words that differ in the marks they end in are looked up once."""
+        core = pc.ascii_rtrim(words, characters=self._ENDS)
+        coded = core.dictionary_encode()
+        known, first = list(map(self.cores.__getitem__, byte_strings(coded.dictionary))), coded.indices.to_numpy().astype(np.int64)
+        whole = np.fromiter((k is None for k in known), bool, len(known))[first]
+        marked = ~whole & (pc.binary_length(words).to_numpy() > pc.binary_length(core).to_numpy())
+        short = pc.binary_length(core).to_numpy()[marked]
+        table = [k or b"" for k in known]
+        table += map(self.words.__getitem__, byte_strings(words.filter(pa.array(whole))))
+        first[whole] = len(known) + np.arange(whole.sum())
+        second = np.full(len(first), len(table) + marked.sum())  # no ids
+        second[marked] = len(table) + np.arange(marked.sum())
+        table += [self.tails[w[n:]] for w, n in zip(byte_strings(words.filter(pa.array(marked))), short.tolist(), strict=True)]
+        table.append(b"")
+        long, part = np.fromiter(map(len, table), np.int64, len(table)) // 4, np.stack([first, second], axis=1).reshape(-1)
+        return np.frombuffer(b"".join(table), "<u4")[ragged(starts(long)[:-1][part], long[part])], long[part].reshape(-1, 2).sum(1)
+
     def rest(self) -> None:
         """At the end of a task."""
         _keep_first(self.words, self.IDLE)
         _keep_first(self.pieces, self.IDLE)
+        _keep_first(self.cores, self.IDLE_CORES)
 
 
 _loaded: dict[str, WordTokens] = {}
