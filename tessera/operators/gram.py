@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import cross_section as CS
 from .pool import FEWEST, FLAT_SHARE, NO_SPREAD, Moments
 
 _FIELDS = "bi int, bj int, n long, y double, vy double, s array<double>, p array<double>, c array<double>, g array<double>"
@@ -34,13 +35,27 @@ def _lists(col) -> list[np.ndarray]:
     return [values[lo:hi] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def day_rows(x: np.ndarray, y: np.ndarray, width: int) -> list[tuple]:
+    """The rows of daily_blocks() for one day, from its factors and label without gaps."""
+    edges = [*range(0, x.shape[1], width), x.shape[1]]
+    n, mean = len(y), float(y.mean())
+    off = y - mean
+    rows = []
+    for bi in range(len(edges) - 1):
+        left = x[:, edges[bi] : edges[bi + 1]]
+        for bj in range(bi, len(edges) - 1):
+            g = left.T @ x[:, edges[bj] : edges[bj + 1]] / n
+            at = (left.mean(axis=0), left.T @ y / n, (left - left.mean(axis=0)).T @ off / n) if bi == bj else (np.zeros(0),) * 3
+            rows.append(_row(bi, bj, n, mean, float((off * off).mean()), *at, g))
+    return rows
+
+
 def daily_blocks(df: DataFrame, factors: list[str], label: str, universe: Column, key: str = "t", name: str = "a", width: int = 64, parts: int = 1) -> DataFrame:
     """For each day and pair of blocks bi <= bj: n, the label's mean and variance, means of the factors of bi (s), of their
     products with the label (p), their covariances with it (c), and means of products of bi with bj (g, row by row).
 
     Factors that are missing count as 0 on the universe of names with a label; s, p and c stand on the diagonal alone.
     """
-    edges = [*range(0, len(factors), width), len(factors)]
     own = df.where(F.coalesce(universe, F.lit(False)) & F.col(label).isNotNull())
     deal = F.pmod(F.xxhash64(name), F.lit(parts)) if parts > 1 else F.lit(0)
     own = own.select(key, F.col(label).cast("double").alias("_y"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, f in enumerate(factors)], deal.alias("_part"))
@@ -48,16 +63,7 @@ def daily_blocks(df: DataFrame, factors: list[str], label: str, universe: Column
     columns = [f"_x{i}" for i in range(len(factors))]
 
     def one(keys, table):
-        x, y = _matrix(table, columns), table.column("_y").to_numpy()
-        n, mean = len(y), float(y.mean())
-        off = y - mean
-        rows = []
-        for bi in range(len(edges) - 1):
-            left = x[:, edges[bi] : edges[bi + 1]]
-            for bj in range(bi, len(edges) - 1):
-                g = left.T @ x[:, edges[bj] : edges[bj + 1]] / n
-                at = (left.mean(axis=0), left.T @ y / n, (left - left.mean(axis=0)).T @ off / n) if bi == bj else (np.zeros(0),) * 3
-                rows.append(_row(bi, bj, n, mean, float((off * off).mean()), *at, g))
+        rows = day_rows(_matrix(table, columns), table.column("_y").to_numpy(), width)
         return _arrow(keys[0].as_py(), key, rows, arrow)
 
     arrow = _arrow_schema(schema)
@@ -65,6 +71,20 @@ def daily_blocks(df: DataFrame, factors: list[str], label: str, universe: Column
     return blocks if parts == 1 else _merged(blocks, key, schema)
 
 
+def neutral_blocks(df: DataFrame, factors: list[str], label: str, base: Column, exposures: list[str] | None = None, key: str = "t", width: int = 64) -> DataFrame:
+    """daily_blocks() of CS.neutral_inputs(), a call for each day from the raw base rows to the moments: base rows are shuffled once, and none comes back."""
+    own = df.where(F.coalesce(base, F.lit(False))).select(key, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*factors, label, *(exposures or [])])])
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, {_FIELDS}"
+
+    def one(keys, table):
+        x, y, here = CS.neutral_day(CS.matrix(table, factors), CS.matrix(table, [label])[:, 0], np.ones(table.num_rows, bool), CS.matrix(table, exposures) if exposures else None)
+        rows = day_rows(np.nan_to_num(x[here], nan=0.0), y[here], width) if here.any() else []
+        return _arrow(keys[0].as_py(), key, rows, arrow)
+
+    arrow = _arrow_schema(schema)
+    return own.groupBy(key).applyInArrow(one, schema)
+
+
 def _arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -73,7 +93,7 @@ def _arrow_schema(schema: str) -> pa.Schema:
 
 
 def _arrow(value, key: str, rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    columns = [[value] * len(rows), *map(list, zip(*rows, strict=True))]
+    columns = [[value] * len(rows), *map(list, zip(*rows, strict=True))] if rows else [[]] * len(schema)
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 

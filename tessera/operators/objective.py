@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.settled import settle
 from . import cross_section as CS
-from .gram import block_moments, composites, daily_blocks
+from .gram import block_moments, composites, daily_blocks, neutral_blocks
 from .pool import FEWEST, NO_SPREAD, Fold, in_part, with_exit
 from .statistics import hac
 
@@ -29,7 +30,7 @@ class InsufficientSupport(ValueError):
 
 def neutral_inputs(df: DataFrame, factors: list[str], label: str, base: Column, exposures: list[str]) -> DataFrame:
     """Each factor residualised on its own rows, then factors and label together on one universe, `metric`."""
-    return CS.fixed_universe(CS.own_transform(df, factors, base, exposures), factors, label, base, exposures)
+    return CS.neutral_inputs(df, factors, label, base, exposures)
 
 
 def support(df: DataFrame, label: str, base: Column, metric: Column, folds: list[Fold], calendar: DataFrame, offset: int, need: Support) -> DataFrame:
@@ -70,7 +71,17 @@ def walk_forward(inputs: DataFrame, factors: list[str], label: str, alternatives
 
     The weights named full are fitted on all days and are the ones to deploy, never a mean of the folds'.
     """
-    blocks = with_exit(daily_blocks(inputs, factors, label, F.col(metric), parts=parts), calendar, offset)
+    return scored_blocks(daily_blocks(inputs, factors, label, F.col(metric), parts=parts), factors, alternatives, folds, penalty, calendar, offset)
+
+
+def neutral_walk_forward(df: DataFrame, factors: list[str], label: str, base: Column, exposures: list[str], alternatives: dict[str, list[str]], folds: list[Fold], penalty: float, calendar: DataFrame, offset: int) -> Scored:
+    """walk_forward() of neutral_inputs(), from the raw rows to the moments in one call for each date."""
+    return scored_blocks(neutral_blocks(df, factors, label, base, exposures), factors, alternatives, folds, penalty, calendar, offset)
+
+
+def scored_blocks(blocks: DataFrame, factors: list[str], alternatives: dict[str, list[str]], folds: list[Fold], penalty: float, calendar: DataFrame, offset: int) -> Scored:
+    """walk_forward() from the moments of the days, which are few and are kept: weights and scores read them, and the panel is read once."""
+    blocks = settle(with_exit(blocks, calendar, offset))
     k = len(factors)
     fits = block_moments(blocks, k, {"full": F.lit(True)} | {f"f{n}": in_part(f.fit) for n, f in enumerate(folds)})
     weights: dict[str, dict[str, np.ndarray]] = {}

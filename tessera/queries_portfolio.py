@@ -22,7 +22,7 @@ from .operators import rolling as TS
 from .operators import statistics as ST
 from .operators import trace as TR
 from .operators import validity as VAL
-from .plans.panel import bars, calendar, table, weekly_panel
+from .plans.panel import bars, calendar, table, weekly_panel, weeks
 from .queries import _factors, _labelled, _targets, panel_query, query
 from .queries_research import EXIT, FOLDS, LAGS, QUERIES, RIDGE, _ics, r6, scratch
 
@@ -94,25 +94,29 @@ def po_reselect(p):
 # --- objectives on neutralised inputs --------------------------------------------------------
 
 
+def _sized(p: DataFrame) -> DataFrame:
+    return _labelled(p).select("a", "t", "mask", F.col("close").alias("f1"), (F.col("high") - F.col("low")).alias("f2"), "y", F.log("volume").alias("size"))
+
+
 def _neutral(p: DataFrame) -> DataFrame:
-    f = _labelled(p).select("a", "t", "mask", F.col("close").alias("f1"), (F.col("high") - F.col("low")).alias("f2"), "y", F.log("volume").alias("size"))
-    return OB.neutral_inputs(f, ["f1", "f2"], "y", F.col("mask"), ["size"])
+    return OB.neutral_inputs(_sized(p).where("mask"), ["f1", "f2"], "y", F.col("mask"), ["size"])
 
 
-def _r1(p: DataFrame) -> OB.Scored:
-    return OB.walk_forward(_neutral(p), ["f1", "f2"], "y", {"pool": ["f1", "f2"], "first": ["f1"], "none": []}, FOLDS, RIDGE, calendar(p), EXIT)
+def _r1(spark, sf_dir: str) -> OB.Scored:
+    pools = {"pool": ["f1", "f2"], "first": ["f1"], "none": []}
+    return OB.neutral_walk_forward(_sized(weekly_panel(spark, sf_dir)), ["f1", "f2"], "y", F.col("mask"), ["size"], pools, FOLDS, RIDGE, weeks(spark, sf_dir), EXIT)
 
 
-@panel_query
-def po_r1(p):
+@query
+def po_r1(spark, sf_dir):
     """Out-of-sample correlations of pools on inputs neutral to size: over all days and in each fold, with errors."""
-    return OB.summaries(_r1(p), LAGS).select("name", "scope", "n", *r6("mean", "se"))
+    return OB.summaries(_r1(spark, sf_dir), LAGS).select("name", "scope", "n", *r6("mean", "se"))
 
 
-@panel_query
-def po_r1_increment(p):
+@query
+def po_r1_increment(spark, sf_dir):
     """What the second factor adds on neutral inputs: mean difference, error and the bound half an error lower, over all days and by fold."""
-    return OB.summaries(_r1(p), LAGS, "first", 0.5).where("name = 'pool'").select("scope", "n", *r6("mean", "se", "lower"))
+    return OB.summaries(_r1(spark, sf_dir), LAGS, "first", 0.5).where("name = 'pool'").select("scope", "n", *r6("mean", "se", "lower"))
 
 
 @panel_query
@@ -122,10 +126,10 @@ def po_r1_support(p):
     return OB.support(_neutral(p), "y", F.col("mask"), F.col("metric"), FOLDS, calendar(p), EXIT, need).select("fold", "part", "expected_days", "valid_days", "required_days", "base_rows", "valid_rows", *r6("day_rate", "row_rate"), "enough")
 
 
-@panel_query
-def po_r1_weights(p):
+@query
+def po_r1_weights(spark, sf_dir):
     """Weights by fold, and those of all days, which are the ones to deploy."""
-    return OB.weight_table(_r1(p), ["f1", "f2"]).where("name = 'pool'").select("part", "factor", *r6("weight", "share"))
+    return OB.weight_table(_r1(spark, sf_dir), ["f1", "f2"]).where("name = 'pool'").select("part", "factor", *r6("weight", "share"))
 
 
 # --- blocked moments --------------------------------------------------------------------------
@@ -284,7 +288,7 @@ def fl_tradable(spark, sf_dir):
 @panel_query
 def po_combiner(p):
     """The signal of weights that were fitted with the label and are applied without it, after a round trip through their stored form."""
-    f = _labelled(p).select("a", "t", "mask", F.col("close").alias("f1"), (F.col("high") - F.col("low")).alias("f2"), "y", F.log("volume").alias("size"))
+    f = _sized(p)
     made = CB.Combiner(["f1", "f2"], ["size"], RIDGE).fit(f, "y", F.col("mask"))
     return CB.Combiner.from_json(made.to_json()).transform(f, F.col("mask")).select("a", "t", *r6("signal"))
 
