@@ -8,8 +8,9 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.settled import settle
 from . import cross_section as CS
-from .gram import block_moments, daily_blocks
+from .gram import block_moments, neutral_blocks
 
 
 @dataclass(frozen=True)
@@ -24,20 +25,20 @@ class Combiner:
 
     def fit(self, df: DataFrame, label: str, base: Column) -> Combiner:
         """The combiner with weights; factors are standardised (and residualised on the exposures) each on its own rows first."""
-        own = CS.own_transform(df, self.factors, base, self.exposures)
-        inputs = CS.fixed_universe(own, self.factors, label, base, self.exposures)
-        m = block_moments(daily_blocks(inputs, self.factors, label, F.col("metric")), len(self.factors))["all"]
+        blocks = settle(neutral_blocks(df, self.factors, label, base, self.exposures))
+        m = block_moments(blocks, len(self.factors))["all"]
         low, condition = m.spectrum()
         w, _ = m.ridge(self.penalty)
         return Combiner(self.factors, self.exposures, self.penalty, [float(x) for x in w], m.days, low, condition)
 
-    def transform(self, df: DataFrame, base: Column, out: str = "signal") -> DataFrame:
-        """Adds the combined signal, which no label enters: missing factors count as 0, rows without any weighted factor are missing."""
+    def transform(self, df: DataFrame, base: Column, out: str = "signal", keep: list[str] | None = None) -> DataFrame:
+        """Adds the combined signal, which no label enters: missing factors count as 0, rows without any weighted factor are missing.
+
+        With `keep`, rows come with these columns and the signal alone.
+        """
         if self.weights is None:
             raise ValueError("fit the combiner first")
-        own = CS.own_transform(df.select("a", "t", base.alias("_base"), *self.factors, *self.exposures), self.factors, F.col("_base"), self.exposures)
-        total, here = CS.combine(dict(zip(self.factors, self.weights, strict=True)))
-        return df.join(own.select("a", "t", F.when(F.col("_base") & here, total).alias(out)), ["a", "t"], "left")
+        return CS.own_combined(df, dict(zip(self.factors, self.weights, strict=True)), base, self.exposures, out, keep)
 
     def metric(self, df: DataFrame, label: str, base: Column) -> DataFrame:
         """The combined signal, made without the label, and then both on their common universe: a, t, metric, signal and label."""

@@ -290,7 +290,7 @@ def po_combiner(p):
     """The signal of weights that were fitted with the label and are applied without it, after a round trip through their stored form."""
     f = _sized(p)
     made = CB.Combiner(["f1", "f2"], ["size"], RIDGE).fit(f, "y", F.col("mask"))
-    return CB.Combiner.from_json(made.to_json()).transform(f, F.col("mask")).select("a", "t", *r6("signal"))
+    return CB.Combiner.from_json(made.to_json()).transform(f, F.col("mask"), keep=["a", "t"]).select("a", "t", *r6("signal"))
 
 
 @panel_query
