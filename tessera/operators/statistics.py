@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,6 +53,71 @@ def daily_spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None)
     return own.groupBy(*keys).agg(pearson(F.col("_rx"), F.col("_ry")).alias("rank_ic"))
 
 
+# --- quantiles of many values ---------------------------------------------------------------
+
+#: the bits of a value's place in order that a pass over the values settles
+_BITS = 16
+
+
+def _places(x: np.ndarray) -> np.ndarray:
+    """Numbers in the values' order: the doubles' bits, those of negative ones turned round; NaN is largest, and -0 is 0."""
+    bits = np.where(np.isnan(x), np.nan, x + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(2**63 - 1))
+
+
+def _value(place: int) -> float:
+    bits = np.array([place], np.int64)
+    return float((bits ^ ((bits >> 63) & np.int64(2**63 - 1))).view(np.float64)[0])
+
+
+def quantiles(df: DataFrame, x: str, at: list[float]) -> list[float | None]:
+    """Exact quantiles, interpolated as F.percentile does, in bounded memory: no task holds more than counts, however many values differ.
+
+    The values are made once and kept on the executors' disks. A pass counts them by the first bits of their place in order; the next ones count
+    what shares these bits with a wanted rank by the bits that follow, until all 64 are known. A pass gives the driver 2**16 counts at most for each rank.
+    """
+    own = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("x")).persist(StorageLevel.DISK_ONLY)
+    try:
+        found: dict[int, tuple[int, int]] = {}  # wanted rank -> its place's first bits, and the rank among those that share them
+        total, shift = None, 64
+        while shift:
+            above, shift = shift, shift - _BITS
+            known = np.unique(np.array([p for p, _ in found.values()], np.int64))
+
+            def partial(batches, above=above, shift=shift, known=known):
+                held: Counter[int] = Counter()
+                for b in batches:
+                    place = _places(b.column("x").to_numpy())
+                    if above < 64:
+                        place = place[np.isin(place >> above, known)]
+                    held.update(dict(zip(*(v.tolist() for v in np.unique(place >> shift, return_counts=True)), strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["place", "n"])
+
+            counts = own.mapInArrow(partial, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+            place, n = (counts.column(k).to_numpy() for k in ("place", "n"))
+            order = np.argsort(place)
+            place, n = place[order], n[order]
+            if total is None:
+                total = int(n.sum())
+                if not total:
+                    return [None] * len(at)
+                found = {r: (0, r) for q in at for r in (math.floor(q * (total - 1)), math.ceil(q * (total - 1)))}
+            for r, (prefix, rank) in found.items():
+                same = slice(None) if above == 64 else place >> _BITS == prefix
+                ends = np.cumsum(n[same])
+                k = int(np.searchsorted(ends, rank, side="right"))
+                found[r] = (int(place[same][k]), rank - (int(ends[k - 1]) if k else 0))
+    finally:
+        own.unpersist()
+    out = []
+    for q in at:
+        where = q * (total - 1)
+        low, high = math.floor(where), math.ceil(where)
+        a, b = _value(found[low][0]), _value(found[high][0])
+        out.append(a if low == high or a == b else (high - where) * a + (where - low) * b)
+    return out
+
+
 # --- inference on daily series ------------------------------------------------------------
 
 

@@ -327,8 +327,9 @@ def ag_universe_counts(p):
 
 @panel_query
 def ag_quantiles(p):
-    q = p.agg(F.percentile("return", F.array(*map(F.lit, (0.001, 0.01, 0.5, 0.99, 0.999)))).alias("q"))
-    return q.select(*[rounded(F.col("q")[k]).alias(n) for k, n in enumerate(("q001", "q01", "q50", "q99", "q999"))])
+    names = ["q001", "q01", "q50", "q99", "q999"]
+    found = ST.quantiles(p, "return", [0.001, 0.01, 0.5, 0.99, 0.999])
+    return p.sparkSession.createDataFrame([tuple(found)], ", ".join(f"{n} double" for n in names)).select(*[rounded(F.col(n)).alias(n) for n in names])
 
 
 @panel_query
