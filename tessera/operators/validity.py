@@ -20,8 +20,11 @@ def gates(panel: DataFrame, signals: list[str], member: Column, min_assets: int
     valid = lambda s: F.col(f"n_{s}") >= min_assets
     one = by.agg(*[F.struct(F.lit(s).alias("signal"), (F.sum(f"n_{s}") / F.sum("n")).alias("coverage"), F.count_if(valid(s)).alias("valid_days"), F.try_divide(F.count_if(valid(s) & (F.col(f"v_{s}") > flat)), F.count_if(valid(s))).alias("variable_rate")).alias(f"s{k}") for k, s in enumerate(signals)])
     rows = one.select(F.inline(F.array(*[f"s{k}" for k in range(len(signals))])))
-    status = F.when(F.col("coverage") < coverage, "coverage_failure").when(F.col("valid_days") < min_days, "insufficient_valid_days").when(F.coalesce("variable_rate", F.lit(0.0)) < variable, "near_constant").otherwise("valid")
-    return rows.withColumn("status", status)
+    return rows.withColumn("status", _status(min_days, coverage, variable))
+
+
+def _status(min_days: int, coverage: float, variable: float) -> Column:
+    return F.when(F.col("coverage") < coverage, "coverage_failure").when(F.col("valid_days") < min_days, "insufficient_valid_days").when(F.coalesce("variable_rate", F.lit(0.0)) < variable, "near_constant").otherwise("valid")
 
 
 def average_ranks(x: np.ndarray) -> np.ndarray:
@@ -81,6 +84,22 @@ _DAY = "t int, k int, enough boolean, n double, mx double, my double, vx double,
 _PAIR = "k int, daily double, pooled double, ranked double, corr_coverage double"
 
 
+_PAIRED = ("n", "mx", "my", "vx", "vy", "c", "corr", "ranked")
+
+
+def _pair_row(v: dict[str, np.ndarray]) -> tuple[float, float, float, float]:
+    """daily, pooled, ranked and corr_coverage of a pair from its days."""
+    enough, (n, mx, my, vx, vy, c, corr, ranked) = v["enough"].astype(bool), (v[k] for k in _PAIRED)
+    mean = lambda v: float(np.nanmean(np.abs(v[enough]))) if np.isfinite(v[enough]).any() else 0.0
+    total, pooled = n.sum(), 0.0
+    if total:
+        dx, dy = mx - n @ mx / total, my - n @ my / total
+        sx, sy, sxy = float(vx.sum() + n @ (dx * dx)), float(vy.sum() + n @ (dy * dy)), float(c.sum() + n @ (dx * dy))
+        if (sx / total) ** 0.5 > POOLED_FLAT and (sy / total) ** 0.5 > POOLED_FLAT:
+            pooled = abs(sxy / (sx * sy) ** 0.5)
+    return mean(corr), pooled, mean(ranked), float(np.isfinite(corr[enough]).sum() / max(1, enough.sum()))
+
+
 def redundancy(panel: DataFrame, signals: list[str], pool: list[str], member: Column, min_assets: int = 100) -> DataFrame:
     """For each signal and pool member: mean absolute daily correlation, absolute pooled correlation, mean absolute daily rank correlation,
     the largest of them, and the share of the signal's valid days that have a daily correlation. Missing ones count as 0.
@@ -98,27 +117,61 @@ def redundancy(panel: DataFrame, signals: list[str], pool: list[str], member: Co
         found, _ = day_pairs(x, y)
         enough = np.repeat(np.isfinite(x).sum(axis=0) >= min_assets, len(pool))
         cols = [pa.array(np.full(len(pairs), keys[0].as_py(), np.int32)), pa.array(np.arange(len(pairs), dtype=np.int32)), pa.array(enough)]
-        cols += [pa.array(found[k].ravel(), mask=np.isnan(found[k].ravel())) for k in ("n", "mx", "my", "vx", "vy", "c", "corr", "ranked")]
+        cols += [pa.array(found[k].ravel(), mask=np.isnan(found[k].ravel())) for k in _PAIRED]
         return pa.Table.from_arrays(cols, names=[f.split()[0] for f in _DAY.split(", ")])
 
     def pair(keys, table):
-        enough = table.column("enough").to_numpy(zero_copy_only=False)
-        n, mx, my, vx, vy, c, corr, ranked = (table.column(k).to_numpy() for k in ("n", "mx", "my", "vx", "vy", "c", "corr", "ranked"))
-        mean = lambda v: float(np.nanmean(np.abs(v[enough]))) if np.isfinite(v[enough]).any() else 0.0
-        total, pooled = n.sum(), 0.0
-        if total:
-            dx, dy = mx - n @ mx / total, my - n @ my / total
-            sx, sy, sxy = float(vx.sum() + n @ (dx * dx)), float(vy.sum() + n @ (dy * dy)), float(c.sum() + n @ (dx * dy))
-            if (sx / total) ** 0.5 > POOLED_FLAT and (sy / total) ** 0.5 > POOLED_FLAT:
-                pooled = abs(sxy / (sx * sy) ** 0.5)
-        cover = float(np.isfinite(corr[enough]).sum() / max(1, enough.sum()))
-        return pa.table({"k": pa.array([keys[0].as_py()], pa.int32()), "daily": [mean(corr)], "pooled": [pooled], "ranked": [mean(ranked)], "corr_coverage": [cover]})
+        found = _pair_row({k: table.column(k).to_numpy(zero_copy_only=False) for k in ("enough", *_PAIRED)})
+        return pa.table({"k": pa.array([keys[0].as_py()], pa.int32())} | {k: [v] for k, v in zip(("daily", "pooled", "ranked", "corr_coverage"), found, strict=True)})
 
     rows = own.groupBy("t").applyInArrow(day, _DAY).groupBy("k").applyInArrow(pair, _PAIR)
     named = F.element_at(F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(m).alias("member")) for s, m in pairs]), F.col("k") + 1)
     return rows.withColumn("n", named).select("n.*", "daily", "pooled", "corr_coverage", "ranked", F.greatest("daily", "pooled", "ranked").alias("strongest"))
 
 
+def _variance(x: np.ndarray) -> float | None:
+    return float(x.var()) if len(x) else None
+
+
+def scores(panel: DataFrame, signals: list[str], pool: list[str], label: str, member: Column, min_assets: int = 100, min_days: int = 252, coverage: float = 0.8, variable: float = 0.8, flat: float = 1e-12) -> DataFrame:
+    """What daily_spearman() with the label, redundancy() and gates() say of each signal: ic and ir of its daily rank correlations, corr, the
+    strongest of its correlations with the pool, coverage, valid_days, variable_rate and status.
+
+    A date's rows give all of it in one call, and a signal's days, as many as the calendar has, its row: member rows are shuffled once.
+    """
+    names = list(dict.fromkeys([*signals, *pool, label]))
+    own = panel.where(member).select("t", *[F.col(c).cast("double").alias(c) for c in names])
+    paired = ", ".join(f"{k} array<double>" for k in _PAIRED)
+    daily = f"k int, rows long, present long, spread double, rank_ic double, {paired}"
+    lists = pa.list_(pa.float64())
+
+    def day(keys, table):
+        has = {c: table.column(c).is_valid().to_numpy(zero_copy_only=False) for c in names}
+        col = {c: table.column(c).to_numpy() for c in names}
+        found, _ = day_pairs(np.column_stack([col[c] for c in signals]), np.column_stack([col[c] for c in pool])) if pool else ({k: np.zeros((len(signals), 0)) for k in _PAIRED}, 0)
+        rank_ic = []
+        for s in signals:
+            both = has[s] & has[label]
+            value = float(_correlate(average_ranks(col[s][both])[:, None], average_ranks(col[label][both])[:, None])[0][0, 0]) if both.any() else np.nan
+            rank_ic.append(None if np.isnan(value) else value)
+        cols = [pa.array(np.arange(len(signals), dtype=np.int32)), pa.array([table.num_rows] * len(signals), pa.int64()), pa.array([int(has[s].sum()) for s in signals], pa.int64()), pa.array([_variance(col[s][has[s]]) for s in signals], pa.float64()), pa.array(rank_ic, pa.float64())]
+        return pa.Table.from_arrays([*cols, *[pa.array(list(found[k]), lists) for k in _PAIRED]], names=[f.split()[0] for f in daily.split(", ")])
+
+    def signal(keys, table):
+        rows, present, spread, rank_ic = (table.column(c).to_numpy().astype(float) for c in ("rows", "present", "spread", "rank_ic"))
+        valid, ic = present >= min_assets, rank_ic[~np.isnan(rank_ic)]
+        by = {k: np.array(table.column(k).to_pylist(), float).reshape(table.num_rows, len(pool)) for k in _PAIRED}
+        strongest = max((max(_pair_row({k: v[:, j] for k, v in by.items()} | {"enough": valid})[:3]) for j in range(len(pool))), default=None)
+        ir = float(ic.mean() / ic.std()) if len(ic) and ic.std() else None
+        one = {"k": keys[0].as_py(), "ic": float(ic.mean()) if len(ic) else None, "ir": ir, "corr": strongest, "coverage": float(present.sum() / rows.sum()), "valid_days": int(valid.sum()), "variable_rate": float((~(spread[valid] <= flat)).mean()) if valid.any() else None}
+        return pa.Table.from_pylist([one], schema=final)
+
+    final = pa.schema([("k", pa.int32()), ("ic", pa.float64()), ("ir", pa.float64()), ("corr", pa.float64()), ("coverage", pa.float64()), ("valid_days", pa.int64()), ("variable_rate", pa.float64())])
+    found = own.groupBy("t").applyInArrow(day, daily).groupBy("k").applyInArrow(signal, "k int, ic double, ir double, corr double, coverage double, valid_days long, variable_rate double")
+    named = F.element_at(F.array(*map(F.lit, signals)), F.col("k") + 1)
+    return found.select(named.alias("signal"), "ic", "ir", "corr", "coverage", "valid_days", "variable_rate").withColumn("status", _status(min_days, coverage, variable))
+
+
 def validate(panel: DataFrame, signals: list[str], pool: list[str], member: Column, most: float = 0.95, min_assets: int = 100, **limits) -> DataFrame:
     """The gates of every signal; those that pass them, and only those, are compared with the pool.
 

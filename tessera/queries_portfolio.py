@@ -19,7 +19,6 @@ from .operators import projection as PJ
 from .operators import replacement as RP
 from .operators import reselect as RS
 from .operators import rolling as TS
-from .operators import statistics as ST
 from .operators import trace as TR
 from .operators import validity as VAL
 from .plans.panel import bars, calendar, table, weekly_panel, weeks
@@ -305,14 +304,7 @@ def po_native_chain(p):
     """Baseline rewards of candidates from the panel itself: rank correlation, its ratio, validity and the closest pool member."""
     cands, pool = ["return", "copy", "open"], ["high", "volume"]
     p = _labelled(p).withColumn("copy", F.col("high") * 2 + 0.001)
-    days = None
-    for c in cands:
-        one = ST.daily_spearman(p.where("mask").select("t", c, "y"), c, "y").select(F.lit(c).alias("signal"), "rank_ic")
-        days = one if days is None else days.unionByName(one)
-    ic = days.groupBy("signal").agg(F.avg("rank_ic").alias("ic"), F.try_divide(F.avg("rank_ic"), F.stddev_pop("rank_ic")).alias("ir"))
-    near = VAL.redundancy(p, cands, pool, F.col("mask"), 3).groupBy("signal").agg(F.max(F.greatest("pooled", "daily", "ranked")).alias("corr"))
-    gates = VAL.gates(p, cands, F.col("mask"), min_assets=3, min_days=30).select("signal", "coverage", "status")
-    rows = ic.join(near, "signal").join(gates, "signal")
+    rows = VAL.scores(p, cands, pool, "y", F.col("mask"), min_assets=3, min_days=30)
     out = rows.withColumn("reward", F.when(F.col("status") == "valid", PO.native_reward(F.col("ic"), F.col("ir"), F.lit(False), F.lit(0), F.col("corr"))).otherwise(-1.0))
     mined = PO.mined(F.col("ic"), F.col("coverage"), F.lit(False), 0.01, 0.5)
     return out.select("signal", "status", *r6("ic", "corr", "reward"), mined.alias("mined"))
